@@ -1,0 +1,93 @@
+"""Fixed-dimensional encodings of token matrices, whose dot products stand for MaxSim."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from functools import cached_property
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: The seed of the encoder and the constants of its generator.
+SEED = 0x4D5556455241
+STEP, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def signs(seed: int, count: int) -> np.ndarray:
+    """``count`` values of -1 or 1 from the low bits of a SplitMix64 sequence."""
+    i = np.arange(1, count + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        z = np.uint64(seed) + i * np.uint64(STEP)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX_A)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX_B)
+        z = z ^ (z >> np.uint64(31))
+    return np.where(z & np.uint64(1), 1.0, -1.0)
+
+
+@dataclass(frozen=True)
+class FdeEncoder:
+    """Tokens fall into 2^ksim buckets by the signs of ksim projections, per repetition. A query adds up its
+    tokens per bucket, a document takes their mean, and an empty bucket of a document the mean of the occupied
+    bucket that differs in the fewest bits (the lowest of equals). Buckets are projected and put end to end."""
+
+    dimension: int
+    ksim: int = 4
+    projected: int = 8
+    repetitions: int = 20
+    seed: int = SEED
+
+    @property
+    def output_dimension(self) -> int:
+        return (1 << self.ksim) * self.projected * self.repetitions
+
+    @cached_property
+    def planes(self) -> tuple[np.ndarray, np.ndarray]:
+        rows = self.ksim + self.projected
+        all_ = signs(self.seed, self.repetitions * rows * self.dimension).reshape(self.repetitions, rows, self.dimension)
+        return all_[:, : self.ksim], all_[:, self.ksim :] / np.sqrt(self.projected)
+
+    @cached_property
+    def by_distance(self) -> np.ndarray:
+        """For each bucket all buckets in order of differing bits, then of number."""
+        n = 1 << self.ksim
+        d = np.array([[(a ^ b).bit_count() for b in range(n)] for a in range(n)])
+        return np.argsort(d, axis=1, kind="stable")
+
+    def _encode(self, tokens: np.ndarray, document: bool) -> np.ndarray:
+        x = np.asarray(tokens, dtype=np.float64)
+        hashes, projections = self.planes
+        n = 1 << self.ksim
+        bucket = ((np.einsum("rkd,td->rtk", hashes, x) > 0) << np.arange(self.ksim)).sum(2)
+        out = np.empty((self.repetitions, n, self.projected))
+        for r in range(self.repetitions):
+            count = np.bincount(bucket[r], minlength=n)
+            sums = np.zeros((n, self.dimension))
+            np.add.at(sums, bucket[r], x)
+            if document and len(x):
+                order = self.by_distance
+                near = order[np.arange(n), (count[order] > 0).argmax(1)]
+                sums = sums[near] / count[near][:, None]
+            out[r] = sums @ projections[r].T
+        return out.ravel()
+
+    def encode_query(self, tokens: np.ndarray) -> np.ndarray:
+        return self._encode(tokens, False)
+
+    def encode_document(self, tokens: np.ndarray) -> np.ndarray:
+        return self._encode(tokens, True)
+
+
+def encode_documents(df: DataFrame, id_col: str, tokens: str, encoder: FdeEncoder) -> DataFrame:
+    """(id, fde) for documents with tokens, in Arrow batches; tokens are brought to length 1 first."""
+    from tarnwell.operators.quantize import unit
+
+    def run(batches):
+        for b in batches:
+            rows = [encoder.encode_document(unit(np.array(t, dtype=np.float64))).astype(np.float32) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float32()))], names=["id", "fde"])
+
+    return df.where(F.size(tokens) > 0).select(F.col(id_col).cast("bigint").alias("id"), F.col(tokens).cast("array<array<float>>").alias("t")).mapInArrow(
+        run, "id bigint, fde array<float>"
+    )

@@ -1,11 +1,599 @@
-"""Registry of the queries of the core and their SQL."""
+"""Queries of the core over the test tables, each with its SQL where SQL can express it.
+
+Searches take as queries every row whose id is divisible by 20, against all rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tarnwell.functions import predicates as P
+from tarnwell.functions import text as T
+from tarnwell.functions import vectors as V
+from tarnwell.operators import context, dense, evalkit, fusion, late, lexical, muvera, quantize
+from tarnwell.operators.topk import group_top_n, rounded, top, top_per
+from tarnwell.sources.tables import latest, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def current(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    return latest(table(s, d, "retrieval_docs").select("number", "seq", *columns), "number", "seq")
+
+
+def docs(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").withColumnRenamed("doc_id", "id")
+
+
+def items(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "eval_items").where("item_id % 20 = 0").select(F.col("item_id").alias("qid"), "text")
+
+
+def vectors(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+def first_vector(s: SparkSession, d: str) -> list[float]:
+    return list(vectors(s, d).orderBy("id").select("vector").first()[0])
+
+
+def hits(s: SparkSession, d: str) -> DataFrame:
+    ok = F.col("raw_score").isNotNull() & ~F.isnan("raw_score") & (F.abs("raw_score") != float("inf"))
+    score = F.when(F.col("channel") == "dense_l2", -F.col("raw_score")).otherwise(F.col("raw_score"))
+    rows = table(s, d, "channel_hits").where(ok & F.col("query_id").isNotNull() & F.col("number").isNotNull())
+    return rows.select(F.col("query_id").alias("qid"), "channel", F.col("number").alias("id"), score.alias("score"))
+
+
+def channel(s: SparkSession, d: str, name: str) -> DataFrame:
+    return hits(s, d).where(F.col("channel") == name).drop("channel")
+
+
+WORDS = r"list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+'), lambda w: lower(w))"
+CURRENT = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY number ORDER BY seq DESC) AS rn FROM retrieval_docs WHERE number IS NOT NULL) WHERE rn = 1)"
+UNIT = "list_transform({v}::DOUBLE[], lambda x: x / sqrt(list_dot_product({v}::DOUBLE[], {v}::DOUBLE[])))"
+HITS = """hits AS (SELECT query_id AS qid, channel, number AS id, max(CASE WHEN channel = 'dense_l2' THEN -raw_score ELSE raw_score END) AS score
+  FROM channel_hits WHERE isfinite(raw_score) AND query_id IS NOT NULL AND number IS NOT NULL GROUP BY ALL)"""
+
+
+# Lexical and sparse channels.
+
+TF = f"SELECT doc_id AS id, unnest({WORDS}) AS term FROM documents WHERE text IS NOT NULL"
+
+
+@query(f"SELECT id, term, count(*)::BIGINT AS tf FROM ({TF}) GROUP BY ALL")
+def term_counts(s, d):
+    return lexical.term_counts(docs(s, d))
+
+
+@query(f"SELECT term, count(DISTINCT id)::BIGINT AS df FROM ({TF}) GROUP BY term")
+def doc_freq(s, d):
+    return lexical.document_frequency(lexical.term_counts(docs(s, d)))
+
+
+def _bm25_sql(where: str = "true", k: int = 10) -> str:
+    return f"""
+WITH d AS (SELECT doc_id AS id, {where} AS ok, {WORDS} AS w FROM documents WHERE text IS NOT NULL),
+t AS (SELECT count(*)::DOUBLE AS n, avg(len(w))::DOUBLE AS avgdl FROM d),
+p AS (SELECT id, ok, len(w)::DOUBLE AS dl, unnest(w) AS term FROM d),
+tf AS (SELECT id, coalesce(ok, false) AS ok, dl, term, count(*)::DOUBLE AS tf FROM p GROUP BY ALL),
+df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term),
+q AS (SELECT qid, term, count(*)::DOUBLE AS qtf FROM (SELECT item_id AS qid, unnest({WORDS}) AS term FROM eval_items WHERE item_id % 20 = 0) GROUP BY ALL),
+sc AS (SELECT qid, id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM tf JOIN q USING (term) JOIN df USING (term), t WHERE ok GROUP BY qid, id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM sc)
+SELECT qid, id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= {k}"""
+
+
+def _bm25(s, d, eligible=None):
+    return lexical.bm25(docs(s, d), items(s, d), 10, eligible=eligible).withColumn("score", rounded("score"))
+
+
+@query(_bm25_sql())
+def bm25_topk(s, d):
+    return _bm25(s, d)
+
+
+@query(_bm25_sql("lang = 'en'"))
+def bm25_filtered_global_idf(s, d):
+    return _bm25(s, d, F.col("lang") == "en")
+
+
+@query()
+def bm25_english(s, d):
+    return lexical.bm25(docs(s, d), items(s, d), 10, analyzer=T.ENGLISH)
+
+
+SPARSE = f"""sp AS (SELECT number AS id, feature, sum(weight) AS weight FROM (
+  SELECT number, unnest(sparse.indices) AS feature, unnest(sparse."values")::DOUBLE AS weight FROM {CURRENT}
+  WHERE len(sparse.indices) = len(sparse."values")) WHERE feature IS NOT NULL AND weight >= 0 AND isfinite(weight) GROUP BY ALL HAVING sum(weight) > 0)"""
+
+
+@query(f"WITH {SPARSE} SELECT id, feature, round(weight, 6) AS weight FROM sp")
+def sparse_canonical(s, d):
+    return lexical.canonical_sparse(current(s, d, "sparse"), "number", "sparse").withColumn("weight", rounded("weight"))
+
+
+@query(f"""WITH {SPARSE}, sc AS (SELECT q.id AS qid, p.id, sum(q.weight * p.weight) AS score FROM sp p JOIN sp q USING (feature) WHERE q.id % 20 = 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM sc)
+SELECT qid, id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 10""")
+def sparse_dot_topk(s, d):
+    postings = lexical.canonical_sparse(current(s, d, "sparse"), "number", "sparse")
+    asked = postings.where("id % 20 = 0").withColumnRenamed("id", "qid")
+    return lexical.sparse_dot(postings, asked, 10).withColumn("score", rounded("score"))
+
+
+# Dense and late-interaction channels.
+
+ONE = "(SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)"
+
+
+def _dense_sql(key: str, raw: str, where: str = "true") -> str:
+    return f"""WITH q AS (SELECT {ONE} AS q), s AS (SELECT vec_id AS id, {key} AS sort_key, embedding::DOUBLE[] AS e FROM embeddings, q WHERE {where})
+SELECT id, round(sort_key, 6) AS sort_key, round({raw}, 6) AS raw_score FROM s ORDER BY sort_key, id LIMIT 10"""
+
+
+def _dense(s, d, metric, eligible=None):
+    out = dense.search(vectors(s, d), "vector", first_vector(s, d), 10, metric, eligible=eligible)
+    return out.select("id", rounded("sort_key").alias("sort_key"), rounded("raw_score").alias("raw_score"))
+
+
+COSINE = "1 - greatest(-1, least(1, list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q)))))"
+
+
+@query(_dense_sql(COSINE, "1 - sort_key"))
+def dense_cosine_topk(s, d):
+    return _dense(s, d, "cosine")
+
+
+@query(_dense_sql("-list_dot_product(embedding::DOUBLE[], q)", "-sort_key"))
+def dense_dot_topk(s, d):
+    return _dense(s, d, "dot")
+
+
+@query(_dense_sql("list_sum(list_transform(list_zip(embedding::DOUBLE[], q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))", "sort_key"))
+def dense_l2_topk(s, d):
+    return _dense(s, d, "euclidean")
+
+
+@query(_dense_sql(COSINE, "1 - sort_key", "label = 3"))
+def dense_filtered_topk(s, d):
+    return _dense(s, d, "cosine", F.col("label") == 3)
+
+
+BATCH = f"""e AS (SELECT vec_id AS id, label, {UNIT.format(v='embedding')} AS v FROM embeddings),
+sc AS (SELECT q.id AS qid, e.id, e.label, q.label AS qlabel, list_dot_product(q.v, e.v) AS score FROM e, e q WHERE q.id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM sc)"""
+
+
+def _batch(s, d, k=10):
+    v = vectors(s, d)
+    return dense.batch_search(v, v.where("id % 20 = 0").withColumnRenamed("id", "qid"), k)
+
+
+@query(f"WITH {BATCH} SELECT qid, id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 10")
+def dense_batch_topk(s, d):
+    return _batch(s, d).withColumn("score", rounded("score"))
+
+
+GOOD_MATRIX = """len(vectors) > 0 AND len(list_filter(vectors, lambda v: v IS NULL OR len(v) <> 24 OR len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) > 0
+  OR len(list_filter(v, lambda x: x <> 0)) = 0)) = 0"""
+TOKENS = f"""tok AS (SELECT number AS id, list_transform(vectors, lambda v: {UNIT.format(v='v')}) AS m FROM {CURRENT} WHERE {GOOD_MATRIX})"""
+
+
+def _matrices(s, d):
+    return current(s, d, "vectors").where(dense.usable_matrix("vectors", 24)).select(F.col("number").alias("id"), F.col("vectors").alias("tokens"))
+
+
+@query(f"""WITH {TOKENS}, q AS (SELECT id AS qid, unnest(m) AS v, generate_subscripts(m, 1) AS i FROM tok WHERE id % 20 = 0),
+b AS (SELECT qid, i, id, list_max(list_transform(m, lambda y: list_dot_product(y, v))) AS best FROM q, tok),
+sc AS (SELECT qid, id, sum(best) AS score FROM b GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM sc)
+SELECT qid, id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 5""")
+def maxsim_topk(s, d):
+    m = _matrices(s, d)
+    out = dense.exact_maxsim(m, "tokens", m.where("id % 20 = 0").withColumnRenamed("id", "qid"), 5)
+    return out.withColumn("score", rounded("score"))
+
+
+CODES = "list_transform({u}, lambda x: floor(greatest(0.0, least(255.0, x * 127.5 + 128.0)) + 0.5)::INTEGER)"
+
+
+@query(f"""SELECT vec_id AS id, list_sum(c)::BIGINT AS total, list_max(c)::INTEGER AS top, list_min(c)::INTEGER AS low, list_aggregate(c, 'string_agg', ',') AS codes
+FROM (SELECT vec_id, {CODES.format(u=UNIT.format(v='embedding'))} AS c FROM embeddings)""")
+def sq8_codes(s, d):
+    c = vectors(s, d).select("id", V.sq8_code(V.normalise("vector")).alias("c"))
+    total = F.aggregate("c", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return c.select("id", total.alias("total"), F.array_max("c").alias("top"), F.array_min("c").alias("low"), F.array_join(F.col("c").cast("array<string>"), ",").alias("codes"))
+
+
+@query(f"""WITH u AS (SELECT vec_id AS id, {UNIT.format(v='embedding')} AS u FROM embeddings),
+q AS (SELECT u AS q FROM u ORDER BY id LIMIT 1),
+c AS (SELECT id, u, q, {CODES.format(u='u')} AS c, list_transform(q, lambda x: round(greatest(-128.0, least(127.0, x * 127.5)))::INTEGER) AS qc FROM u, q),
+s AS (SELECT id, u, q, list_sum(list_transform(list_zip(c, qc), lambda p: (p[1] - 128) * p[2])) AS code_score FROM c ORDER BY code_score DESC, id LIMIT 50)
+SELECT id, code_score::BIGINT AS code_score, round(list_dot_product(u, q), 6) AS score FROM s ORDER BY score DESC, id LIMIT 10""")
+def sq8_rerank(s, d):
+    q = dense.literal(list(quantize.unit(np.array(first_vector(s, d), dtype=float))))
+    u = vectors(s, d).select("id", V.normalise("vector").alias("u"))
+    coded = u.withColumn("code_score", V.sq8_score(V.sq8_code("u"), V.sq8_query(q)))
+    return top(top(coded, 50, "code_score").select("id", "code_score", rounded(V.dot("u", q)).alias("score")), 10)
+
+
+# Predicates.
+
+META = "SELECT number, metadata FROM " + CURRENT + " WHERE {w}"
+
+
+def _meta(s, d, p):
+    return current(s, d, "metadata").where(P.compile_predicate(p)).select("number")
+
+
+VALID = "(CASE WHEN json_valid(metadata) THEN metadata END)"
+
+
+@query(f"SELECT number FROM {CURRENT} WHERE coalesce(json_type({VALID}, '$.year') IN ('UBIGINT', 'BIGINT') AND json_extract({VALID}, '$.year')::VARCHAR = '2024', false)")
+def pred_eq_json(s, d):
+    return _meta(s, d, P.Eq("year", 2024))
+
+
+@query(f"SELECT number FROM {CURRENT} WHERE coalesce(json_type({VALID}, '$.lang') = 'VARCHAR' AND json_extract_string({VALID}, '$.lang') IN ('en', 'de'), false)")
+def pred_in(s, d):
+    return _meta(s, d, P.In("lang", ("en", "de")))
+
+
+@query(f"SELECT number FROM {CURRENT} WHERE coalesce(json_type({VALID}, '$.year') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND json_extract_string({VALID}, '$.year')::DOUBLE BETWEEN 2023 AND 2025, false)")
+def pred_range(s, d):
+    return _meta(s, d, P.Range("year", 2023, 2025))
+
+
+@query(f"SELECT number FROM {CURRENT} WHERE NOT coalesce(json_type({VALID}, '$.lang') = 'VARCHAR' AND json_extract_string({VALID}, '$.lang') = 'en', false)")
+def pred_not_missing(s, d):
+    return _meta(s, d, P.Not(P.Eq("lang", "en")))
+
+
+@query("SELECT doc_id FROM documents WHERE coalesce(n_chars >= 500, false) AND coalesce(lang <> 'en', false)")
+def payload_compare(s, d):
+    return table(s, d, "documents").where(P.compare("n_chars", "bigint", "gte", 500) & P.compare("lang", "string", "neq", "en")).select("doc_id")
+
+
+@query("SELECT query_id, count(*)::BIGINT AS copies FROM query_requests WHERE list_contains(channels, 'bm25') AND len(channels) >= 2 GROUP BY query_id")
+def list_ops(s, d):
+    ok = P.list_query("channels", "contains", "bm25") & P.list_query("channels", "length", "gte", 2)
+    return table(s, d, "query_requests").where(ok).groupBy("query_id").agg(F.count("*").alias("copies"))
+
+
+# Fusion.
+
+CHANNELS = ("bm25", "exact_dense", "sparse_dot")
+
+
+@query(f"""WITH {HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY qid, channel ORDER BY score DESC, id) - 1 AS rank FROM hits WHERE channel IN {CHANNELS})
+SELECT qid, id, round(sum(1 / (10.0 + rank + 1)), 6) AS score, count(*)::INTEGER AS n_sources FROM r GROUP BY qid, id""")
+def rrf_fusion(s, d):
+    return fusion.fuse([channel(s, d, c) for c in CHANNELS]).select("qid", "id", rounded("score").alias("score"), F.size("sources").alias("n_sources"))
+
+
+@query(f"""WITH {HITS} SELECT qid, id, round(sum(score * CASE channel WHEN 'bm25' THEN 0.5 WHEN 'exact_dense' THEN 2.0 ELSE 0.25 END), 6) AS score
+FROM hits WHERE channel IN {CHANNELS} GROUP BY qid, id""")
+def weighted_fusion(s, d):
+    return fusion.fuse([channel(s, d, c) for c in CHANNELS], "weighted", weights=[0.5, 2.0, 0.25]).select("qid", "id", rounded("score").alias("score"))
+
+
+@query(f"WITH {HITS} SELECT qid, id, round(score, 6) AS score FROM hits WHERE channel = 'bm25'")
+def single_channel_native(s, d):
+    return fusion.fuse([channel(s, d, "bm25")]).select("qid", "id", rounded("score").alias("score"))
+
+
+@query(f"""WITH {HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY qid, channel ORDER BY score DESC, id) AS rank FROM hits WHERE channel IN {CHANNELS}),
+t AS (SELECT qid, channel, list(id) AS ids FROM r WHERE rank <= 10 GROUP BY ALL),
+o AS (SELECT a.qid, c.channel, coalesce(len(list_intersect(a.ids, b.ids)) / len(list_distinct(list_concat(a.ids, b.ids))), 0) AS j
+  FROM t a CROSS JOIN (SELECT unnest(['exact_dense', 'sparse_dot']) AS channel) c LEFT JOIN t b ON a.qid = b.qid AND b.channel = c.channel WHERE a.channel = 'bm25')
+SELECT qid, round(min(j), 6) AS agreement FROM o GROUP BY qid""")
+def channel_agreement(s, d):
+    return fusion.agreement([channel(s, d, c) for c in CHANNELS], 10).select("qid", rounded("agreement").alias("agreement"))
+
+
+@query(f"""WITH {HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM hits WHERE channel = 'bm25')
+SELECT qid, round(coalesce(max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END), 0), 6) AS margin, round(max(score) - min(score), 6) AS spread
+FROM r WHERE rank <= 10 GROUP BY qid""")
+def ranking_signals(s, d):
+    best = channel(s, d, "bm25").groupBy("qid", "id").agg(F.max("score").alias("score"))
+    return fusion.signals(best, 10).select("qid", rounded("margin").alias("margin"), rounded("spread").alias("spread"))
+
+
+def _asked(s, d):
+    rows = latest(table(s, d, "query_requests").select("query_id", "text", "vectors", "ingested_at"), "query_id", "ingested_at")
+    return rows.where("query_id % 20 = 0").select(F.col("query_id").alias("qid"), "text", F.get("vectors", F.lit(0)).alias("vector"))
+
+
+def _live(s, d):
+    rows = latest(table(s, d, "snapshot_points").select("point_id", "vector", "deleted", "ingested_at"), "point_id", "ingested_at")
+    return rows.where(~F.coalesce("deleted", F.lit(False)) & dense.usable("vector", 64)).select(F.col("point_id").alias("id"), "vector")
+
+
+GOOD_VECTOR = "len({v}) = 64 AND len(list_filter({v}, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter({v}, lambda x: x <> 0)) > 0"
+
+
+@query(rf"""
+WITH asked AS (SELECT query_id AS qid, text, vectors[1] AS vector FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ingested_at DESC) AS rn FROM query_requests) WHERE rn = 1 AND query_id % 20 = 0),
+live AS (SELECT point_id AS id, {UNIT.format(v='vector')} AS v FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY ingested_at DESC) AS rn FROM snapshot_points)
+  WHERE rn = 1 AND NOT coalesce(deleted, false) AND {GOOD_VECTOR.format(v='vector')}),
+dn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM
+  (SELECT qid, id, list_dot_product(v, {UNIT.format(v='vector')}) AS score FROM asked, live WHERE {GOOD_VECTOR.format(v='vector')})),
+d AS (SELECT number AS id, {WORDS} AS w FROM {CURRENT} WHERE text IS NOT NULL),
+t AS (SELECT count(*)::DOUBLE AS n, avg(len(w))::DOUBLE AS avgdl FROM d),
+tf AS (SELECT id, dl, term, count(*)::DOUBLE AS tf FROM (SELECT id, len(w)::DOUBLE AS dl, unnest(w) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term),
+q AS (SELECT qid, term, count(*)::DOUBLE AS qtf FROM (SELECT qid, unnest({WORDS}) AS term FROM asked) GROUP BY ALL),
+lx AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM
+  (SELECT qid, id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN q USING (term) JOIN df USING (term), t GROUP BY qid, id)),
+f AS (SELECT qid, id, round(sum(1 / (10.0 + rank)), 9) AS score FROM (SELECT qid, id, rank FROM dn WHERE rank <= 100 UNION ALL SELECT qid, id, rank FROM lx WHERE rank <= 100) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM f)
+SELECT qid, r.id, round(score, 6) AS score, rank::INTEGER AS rank, text FROM r LEFT JOIN (SELECT number AS id, text FROM {CURRENT}) x USING (id) WHERE rank <= 10""")
+def hybrid_rrf(s, d):
+    """BM25 over texts and exact cosine over vectors of the same numbers, fused by reciprocal ranks, with the text
+    joined to the ten best."""
+    asked, records = _asked(s, d), current(s, d, "text").withColumnRenamed("number", "id")
+    lex = lexical.bm25(records, asked.select("qid", "text"), 100).withColumn("score", F.round("score", 9))
+    den = dense.batch_search(_live(s, d), asked.where(dense.usable("vector", 64)), 100)
+    fused = fusion.fuse([lex, den.withColumn("score", F.round("score", 9))]).withColumn("score", F.round("score", 9))
+    return top_per(fused, "qid", 10).join(records, "id", "left").select("qid", "id", rounded("score").alias("score"), "rank", "text")
+
+
+@query(f"""WITH q AS (SELECT {ONE} AS q), s AS (SELECT vec_id AS id, label, list_dot_product(embedding::DOUBLE[], q) AS score FROM embeddings, q),
+p AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS pos FROM s),
+g AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY pos) AS place FROM p),
+l AS (SELECT label, row_number() OVER (ORDER BY score DESC, pos) AS group_rank FROM g WHERE place = 1)
+SELECT id, label, place::INTEGER AS place, group_rank::INTEGER AS group_rank FROM g JOIN l USING (label) WHERE place <= 2 AND group_rank <= 3""")
+def group_top(s, d):
+    scored = vectors(s, d).select("id", "label", V.dot("vector", dense.literal(first_vector(s, d))).alias("score"))
+    # A list position is needed only for the best rows; the best two of every label are enough to place them all.
+    short = top_per(scored, "label", 2, rank="_r").withColumn("position", F.row_number().over(W.orderBy(F.desc("score"), F.asc("id"))))
+    return group_top_n(short, "label", 2, 3).select("id", "label", "place", "group_rank")
+
+
+# Context.
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*)::BIGINT AS copies FROM documents WHERE text IS NOT NULL GROUP BY text UNION ALL SELECT doc_id, 1 FROM documents WHERE text IS NULL")
+def dedup_exact_text(s, d):
+    key = F.coalesce(F.sha2("text", 256), F.concat(F.lit("id:"), F.col("doc_id").cast("string")))
+    return table(s, d, "documents").groupBy(key.alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("k")
+
+
+@query(f"""SELECT number, parent, place::INTEGER AS place FROM (SELECT number, chunk.parent AS parent, row_number() OVER (PARTITION BY chunk.parent ORDER BY chunk."position", number) AS place
+FROM {CURRENT} WHERE chunk.parent IS NOT NULL AND chunk."position" IS NOT NULL) WHERE place <= 2""")
+def per_parent_cap(s, d):
+    rows = current(s, d, "chunk").select("number", "chunk.parent", "chunk.position").where("parent IS NOT NULL AND position IS NOT NULL")
+    place = F.row_number().over(W.partitionBy("parent").orderBy("position", "number"))
+    return rows.withColumn("place", place).where("place <= 2").select("number", "parent", "place")
+
+
+@query(f"""WITH c AS (SELECT number, chunk.parent AS parent, chunk."position" AS pos FROM {CURRENT} WHERE chunk.parent IS NOT NULL)
+SELECT a.number AS seed, b.number AS number, (b.pos - a.pos)::BIGINT AS gap FROM c a JOIN c b ON a.parent = b.parent AND abs(a.pos - b.pos) <= 2 AND a.number <> b.number""")
+def neighbour_expand(s, d):
+    c = current(s, d, "chunk").select("number", "chunk.parent", F.col("chunk.position").alias("pos")).where("parent IS NOT NULL")
+    a, b = c.select(F.col("number").alias("seed"), "parent", F.col("pos").alias("at")), c
+    return a.join(b, "parent").where("abs(at - pos) <= 2 AND seed <> number").select("seed", "number", (F.col("pos") - F.col("at")).alias("gap"))
+
+
+@query(r"SELECT doc_id, greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\s\x{000B}\x{0085}\p{Z}]+')) * 13 // 10)::BIGINT AS tokens FROM documents")
+def token_estimate(s, d):
+    return table(s, d, "documents").select("doc_id", T.estimated_tokens("text").alias("tokens"))
+
+
+def _pool(s, d):
+    best = channel(s, d, "bm25").groupBy("qid", "id").agg(F.max("score").alias("score"))
+    rows = current(s, d, "text", "chunk").select(F.col("number").alias("id"), "text", "chunk.parent", "chunk.position")
+    return best, rows
+
+
+@query()
+def context_select(s, d):
+    best, rows = _pool(s, d)
+    return context.select_context(best, rows, context.ContextOptions(limit=8, per_parent=2, neighbours=1, deduplicate=True, budget_tokens=600))
+
+
+@query()
+def context_mmr(s, d):
+    best, rows = _pool(s, d)
+    m = _matrices(s, d).select("id", F.get("tokens", F.lit(0)).alias("vector"))
+    return context.select_context(best, rows.join(m, "id"), context.ContextOptions(limit=5, mmr=0.5), "vector")
+
+
+# Storage semantics.
+
+
+@query(f"SELECT number, seq, md5(coalesce(text, '')) AS digest FROM {CURRENT}")
+def upsert_last_wins(s, d):
+    return current(s, d, "text").select("number", "seq", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+
+
+@query("SELECT snapshot, count(DISTINCT point_id)::BIGINT AS live FROM snapshot_points WHERE NOT coalesce(deleted, false) AND point_id NOT IN (SELECT point_id FROM snapshot_points WHERE deleted) GROUP BY snapshot")
+def delete_tombstone(s, d):
+    p = table(s, d, "snapshot_points").select("point_id", "snapshot", "deleted")
+    live = p.where(~F.coalesce("deleted", F.lit(False))).join(p.where("deleted").select("point_id").distinct(), "point_id", "left_anti")
+    return live.groupBy("snapshot").agg(F.count_distinct("point_id").alias("live"))
+
+
+@query("""SELECT user_id, event_id AS seq, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+WHERE rn = 1 AND event_type <> 'error'""")
+def wal_replay(s, d):
+    from tarnwell.streaming.mutations import replay
+
+    log = table(s, d, "events").select("user_id", F.struct("ts", "event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"), "value")
+    return replay(log, "user_id").select("user_id", F.col("seq.event_id").alias("seq"), rounded("value").alias("value"))
+
+
+@query(f"""SELECT count(*)::BIGINT AS documents, count(text)::BIGINT AS text_documents, count_if({GOOD_MATRIX})::BIGINT AS token_documents,
+coalesce(sum(CASE WHEN {GOOD_MATRIX} THEN len(vectors) END), 0)::BIGINT AS token_vectors, count_if(len(sparse.indices) = len(sparse."values"))::BIGINT AS sparse_documents FROM {CURRENT}""")
+def index_stats(s, d):
+    ok = dense.usable_matrix("vectors", 24)
+    yes = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("bigint"))
+    return current(s, d, "text", "vectors", "sparse").agg(
+        F.count("*").alias("documents"), F.count("text").alias("text_documents"), yes(ok).alias("token_documents"),
+        F.coalesce(F.sum(F.when(ok, F.size("vectors"))), F.lit(0)).alias("token_vectors"),
+        yes(F.size(F.col("sparse.indices")) == F.size(F.col("sparse.values"))).alias("sparse_documents"),
+    )
+
+
+# Compressed tokens, encodings and inverted lists.
+
+
+def _models(s, d):
+    """Codec and encoder of index_config, fitted on the tokens of at most 4,096 records with the smallest hashes."""
+    c = table(s, d, "index_config").where("collection = 'retrieval_docs'").first()
+    m = _matrices(s, d)
+    rows = m.orderBy(F.xxhash64("id")).limit(4096).select("tokens").collect()
+    samples = np.concatenate([np.array(r.tokens, dtype=float) for r in rows])
+    codec = quantize.ResidualCodec.train(samples, min(c.centroids, len(samples)), c.residual_bits, 10)
+    encoder = muvera.FdeEncoder(c.dimension, c.fde_ksim, c.fde_projected, c.fde_repetitions)
+    q = np.array(m.orderBy("id").select("tokens").first()[0], dtype=float)
+    return late.encode_tokens(m, "id", "tokens", codec, encoder), codec, encoder, q, c.probes
+
+
+@query()
+def fde_topk(s, d):
+    stored, _, encoder, q, _ = _models(s, d)
+    return late.fde_candidates(stored, q, 20, encoder)
+
+
+@query()
+def residual_maxsim(s, d):
+    stored, codec, encoder, q, _ = _models(s, d)
+    return late.token_query(stored, q, 10, codec, encoder)
+
+
+@query()
+def centroid_prune(s, d):
+    stored, codec, encoder, q, _ = _models(s, d)
+    return late.token_query(stored, q, 10, codec, encoder, candidates=200, rerank_candidates=50)
+
+
+@query()
+def centroid_probes(s, d):
+    stored, codec, _, q, probes = _models(s, d)
+    return late.probe_query(stored, q, 10, 100, probes, codec)
+
+
+@query()
+def token_explain(s, d):
+    stored, codec, encoder, q, _ = _models(s, d)
+    return late.explain_tokens(late.token_query(stored, q, 10, codec, encoder))
+
+
+@query()
+def ivf_topk(s, d):
+    from tarnwell.operators.ann import AnnOptions, IvfIndex
+    from tarnwell.session import shared_dir
+
+    live = _live(s, d)
+    index = IvfIndex.build(live, f"{shared_dir(s)}/tarnwell-ivf-{abs(hash(d))}", 32)
+    q = list(live.orderBy("id").select("vector").first()[0])
+    return index.search(s, q, 10, AnnOptions(nprobe=8))
+
+
+# Evaluation.
+
+
+@query(f"""WITH {BATCH}, run AS (SELECT qid, id, rank, label = qlabel AS hit FROM r WHERE rank <= 100),
+ideal AS (SELECT q.id AS qid, count(*) AS n FROM e q JOIN e ON q.label = e.label WHERE q.id % 20 = 0 GROUP BY ALL),
+dcg AS (SELECT qid, sum(CASE WHEN hit AND rank <= 10 THEN 1 / log2(rank + 1) END) AS dcg, min(CASE WHEN hit AND rank <= 10 THEN rank END) AS first,
+  count_if(hit AND rank <= 10) AS h10, count_if(hit AND rank <= 100) AS h100 FROM run GROUP BY qid)
+SELECT qid, round(coalesce(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(n, 10) + 1) t(i)), 0), 6) AS ndcg, round(coalesce(1 / first, 0), 6) AS mrr,
+round(h10 / n, 6) AS recall_10, round(h100 / n, 6) AS recall_100 FROM ideal JOIN dcg USING (qid)""")
+def ndcg_recall_mrr(s, d):
+    v = vectors(s, d)
+    qrels = v.where("id % 20 = 0").select(F.col("id").alias("qid"), "label").join(v.select("id", "label"), "label").select("qid", "id", F.lit(1.0).alias("grade"))
+    m = evalkit.ranking_metrics(_batch(s, d, 100), qrels, 10, (100,))
+    return m.select("qid", *[rounded(c).alias(c) for c in ("ndcg", "mrr", "recall_10", "recall_100")])
+
+
+@query(f"""WITH {BATCH}, {{coded}}
+SELECT t.qid, round(count(c.id) / 10, 6) AS recall FROM (SELECT * FROM r WHERE rank <= 10) t LEFT JOIN (SELECT qid, id FROM cr WHERE rank <= 10) c ON t.qid = c.qid AND t.id = c.id GROUP BY t.qid""".replace(
+    "{coded}", f"""cd AS (SELECT id, {CODES.format(u='v')} AS c, list_transform(v, lambda x: round(greatest(-128.0, least(127.0, x * 127.5)))::INTEGER) AS qc FROM e),
+cs AS (SELECT q.id AS qid, cd.id, list_sum(list_transform(list_zip(cd.c, q.qc), lambda p: (p[1] - 128) * p[2])) AS score FROM cd, cd q WHERE q.id % 20 = 0),
+cr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM cs)"""))
+def recall_of_codes(s, d):
+    u = vectors(s, d).select("id", V.normalise("vector").alias("u"))
+    c = u.select("id", F.transform(V.sq8_code("u"), lambda x: (x - 128).cast("double")).alias("vector"))
+    q = u.where("id % 20 = 0").select(F.col("id").alias("qid"), V.sq8_query("u").cast("array<double>").alias("vector"))
+    found = dense.batch_search(c, q, 10, normal=False)
+    return evalkit.recall_at_k(found, _batch(s, d), 10).withColumn("recall", rounded("recall"))
+
+
+@query("""WITH v AS (SELECT config, elapsed_ms, row_number() OVER (PARTITION BY config ORDER BY elapsed_ms) - 1 AS i, count(*) OVER (PARTITION BY config) AS n
+FROM query_log WHERE elapsed_ms > 0 AND isfinite(elapsed_ms))
+SELECT config, max(n)::BIGINT AS n, max(CASE WHEN i = floor(0.5 * (n - 1) + 0.5) THEN elapsed_ms END) AS p50, max(CASE WHEN i = floor(0.99 * (n - 1) + 0.5) THEN elapsed_ms END) AS p99 FROM v GROUP BY config""")
+def percentiles(s, d):
+    ok = (F.col("elapsed_ms") > 0) & ~F.isnan("elapsed_ms") & (F.col("elapsed_ms") != float("inf"))
+    return evalkit.rank_percentiles(table(s, d, "query_log").where(ok), ["config"], "elapsed_ms", (0.5, 0.99))
+
+
+REPORTS = "reports AS (SELECT DISTINCT run_id, collection, config, ef_search, recall, p50_ms FROM run_reports WHERE recall IS NOT NULL AND p50_ms IS NOT NULL)"
+
+
+def _reports(s, d):
+    return table(s, d, "run_reports").select("run_id", "collection", "config", "ef_search", "recall", "p50_ms").where("recall IS NOT NULL AND p50_ms IS NOT NULL").distinct()
+
+
+@query(f"""WITH {REPORTS} SELECT a.run_id, a.collection, a.recall, a.p50_ms FROM reports a WHERE NOT EXISTS (SELECT 1 FROM reports b WHERE b.collection = a.collection
+AND b.recall >= a.recall AND b.p50_ms <= a.p50_ms AND (b.recall > a.recall OR b.p50_ms < a.p50_ms))""")
+def pareto_front(s, d):
+    return evalkit.pareto_front(_reports(s, d), "recall", "p50_ms", ["collection"]).select("run_id", "collection", "recall", "p50_ms")
+
+
+@query("""WITH o AS (SELECT config AS plan, query_idx AS qid, avg(coalesce(recall, 0)) AS quality, quantile_cont(elapsed_ms, 0.5) AS latency_ms
+  FROM query_log WHERE elapsed_ms > 0 AND isfinite(elapsed_ms) GROUP BY ALL),
+s AS (SELECT *, max(quality) OVER (PARTITION BY qid) - quality AS short FROM o)
+SELECT plan, round(avg(quality), 6) AS quality, round(avg(latency_ms), 6) AS latency_ms, round(avg(short), 6) AS regret,
+round(avg(CASE WHEN round(short, 9) <= 0.05 THEN 1.0 ELSE 0.0 END), 6) AS epsilon_hit, count_if(latency_ms > 1.0)::BIGINT AS violations FROM s GROUP BY plan""")
+def plan_regret(s, d):
+    ok = (F.col("elapsed_ms") > 0) & ~F.isnan("elapsed_ms") & (F.col("elapsed_ms") != float("inf"))
+    o = table(s, d, "query_log").where(ok).select(F.col("config").alias("plan"), F.col("query_idx").alias("qid"), F.col("recall").alias("quality"), F.col("elapsed_ms").alias("latency_ms"))
+    out = evalkit.plan_regret(o, 0.05 + 5e-10, 1.0)
+    return out.select("plan", *[rounded(c).alias(c) for c in ("quality", "latency_ms", "regret", "epsilon_hit")], "violations")
+
+
+@query(f"""WITH {REPORTS}, g AS (SELECT collection, config, ef_search, avg(recall) AS recall, avg(p50_ms) AS p50 FROM reports GROUP BY ALL)
+SELECT collection, config, ef_search, lead(ef_search) OVER w AS next_ef, round(lead(recall) OVER w - recall, 6) AS quality_gain, round(lead(p50) OVER w - p50, 6) AS latency_cost
+FROM g WINDOW w AS (PARTITION BY collection, config ORDER BY ef_search)""")
+def knob_marginal_returns(s, d):
+    g = _reports(s, d).groupBy("collection", "config", "ef_search").agg(F.avg("recall").alias("recall"), F.avg("p50_ms").alias("p50"))
+    out = evalkit.marginal_returns(g, ["collection", "config"], "ef_search", "recall", "p50")
+    return out.select("collection", "config", "ef_search", F.col("next_knob").alias("next_ef"), rounded("quality_gain").alias("quality_gain"), rounded("latency_cost").alias("latency_cost"))
+
+
+@query(f"""WITH {REPORTS}, t AS (SELECT unnest([0.8, 0.9, 0.95]) AS threshold)
+SELECT threshold::DOUBLE AS threshold, min(p50_ms) AS best_latency, arg_min(config, (p50_ms, config)) AS config FROM reports, t WHERE recall >= threshold GROUP BY threshold""")
+def best_at_recall(s, d):
+    return evalkit.best_at_recall(_reports(s, d), [0.8, 0.9, 0.95], "recall", "p50_ms", "config")
+
+
+@query("""SELECT item_id, CASE WHEN row_number() OVER (ORDER BY sha256('seed-1' || item_id::VARCHAR)) <= (SELECT count(*) // 2 FROM eval_items) THEN 'dev' ELSE 'test' END AS part FROM eval_items""")
+def query_split(s, d):
+    return evalkit.split_queries(table(s, d, "eval_items").select("item_id"), "item_id", "seed-1")
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
