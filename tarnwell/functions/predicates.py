@@ -146,7 +146,7 @@ def compile_predicate(p: Predicate, metadata: str = "metadata") -> Column:
                 return reduce(Column.__or__, [field.scalar_equals(v) for v in vs]) | field.elements_overlap(list(vs))
             case Range(f, a, b):
                 x = JsonField(metadata, f).number()
-                checks = [x >= float(a)] * (a is not None) + [x <= float(b)] * (b is not None)
+                checks = ([] if a is None else [x >= float(a)]) + ([] if b is None else [x <= float(b)])
                 return F.coalesce(reduce(Column.__and__, checks), F.lit(False))
             case And(fs):
                 return reduce(Column.__and__, map(build, fs))
