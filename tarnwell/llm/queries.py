@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.llm import communities, distinctive, leakage, packing, quantiles, rank_fusion, repetition, similar, splitting
+from tarnwell.llm.sql import oracle_sql as oracle_sql
 from tarnwell.llm.words import word_count
 from tarnwell.sources.tables import latest, table
 
@@ -79,7 +80,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return rank_fusion.reciprocal_rank_fusion(table(spark, d, "channel_hits"))
+    return rank_fusion.reciprocal_rank_fusion(table(spark, d, "channel_hits")).withColumn("total", F.round("total", 6))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +124,3 @@ def queries() -> dict[str, Query]:
         p5_found, p5_pieces, p6_found, p6_ranking, p7_found, p7_containers, p8_found, p8_leaks, p8_clean, p9_found, p9_measures,
     ]
     return {f.__name__: f for f in found}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

@@ -90,7 +90,8 @@ def reciprocal_rank_fusion(hits: DataFrame, k: float = 60.0, hot: int = HOT_GROU
         place = lambda *a: ranked(*a, hot=hot)
     in_channel = place(best_hits(hits), ["query_id", "channel"], "merit", "number", "channel_rank")
     fused = in_channel.groupBy("query_id", "number").agg(
-        F.sum(1.0 / (F.lit(k) + F.col("channel_rank"))).alias("total"),
+        # Rounded, so that the order in which parts are added cannot part equal totals.
+        F.round(F.sum(1.0 / (F.lit(k) + F.col("channel_rank"))), 12).alias("total"),
         F.count("*").alias("channels"),
         F.max("channel_rank").alias("worst_rank"),
         F.sum(F.when(F.col("channel_rank") == 1, 1).otherwise(0)).alias("_firsts"),
