@@ -283,8 +283,7 @@ def best_k(base: DataFrame, visitors: DataFrame, cells: Cells, dim: int, k: int,
 
 def confirm(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """The pairs (id, other) for which some pair of vectors reaches ``threshold`` in floating point."""
-    dim_free = pairs.distinct()
-    joined = dim_free.join(left.select("id", "no", F.col("vec").alias("va")), ["id", "no"]).join(
+    joined = pairs.join(left.select("id", "no", F.col("vec").alias("va")), ["id", "no"]).join(
         right.select(F.col("id").alias("other"), F.col("no").alias("other_no"), F.col("vec").alias("vb")), ["other", "other_no"]
     )
 
@@ -312,6 +311,6 @@ def copies(vectors: DataFrame, content: str = "vec") -> DataFrame:
     return keys.join(keys.groupBy("h1", "h2").agg(F.min("id").alias("rep")), ["h1", "h2"]).select("id", "rep")
 
 
-def representatives(vectors: DataFrame, members: DataFrame) -> DataFrame:
-    """The rows of ``vectors`` that stand for their copies."""
-    return vectors.join(members.where("id <> rep").select("id"), "id", "left_anti")
+def representatives(vectors: DataFrame, dupes: DataFrame) -> DataFrame:
+    """The rows of ``vectors`` that stand for their copies; ``dupes`` holds the others (id, rep)."""
+    return vectors.join(dupes.select("id"), "id", "left_anti")

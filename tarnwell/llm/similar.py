@@ -91,32 +91,34 @@ def tokens(matrices: DataFrame, dim: int = TOKEN_DIM, cells: Cells | None = None
     return matrices.mapInArrow(run, "id bigint, no int, vec binary")
 
 
-def _expand(pairs: DataFrame, left: DataFrame, right: DataFrame | None) -> DataFrame:
-    """Pairs of representatives (id, other) as pairs of all their members."""
-    out = pairs.join(left.select(F.col("id").alias("id_a"), F.col("rep").alias("id")), "id")
-    if right is None:
-        return out.select("id_a", F.col("other").alias("id_b"))
-    return out.join(right.select(F.col("id").alias("id_b"), F.col("rep").alias("other")), "other").select("id_a", "id_b")
-
-
-def _within(members: DataFrame) -> DataFrame:
-    """Pairs of ids with the same content, smaller id first."""
-    grouped = members.join(members.where("id <> rep").select("rep").distinct(), "rep", "left_semi")
-    a, b = grouped.select("rep", F.col("id").alias("id_a")), grouped.select("rep", F.col("id").alias("id_b"))
+def _spread(pairs: DataFrame, column: str, dupes: DataFrame) -> DataFrame:
+    """``pairs`` of representatives with, for each copy (id, rep) of the one in ``column``, a row of its own."""
+    more = pairs.join(dupes.select(F.col("id").alias("_copy"), F.col("rep").alias(column)), column)
+    return pairs.unionByName(more.withColumn(column, F.col("_copy")).drop("_copy"))
+
+
+def _within(dupes: DataFrame) -> DataFrame:
+    """(id_a, id_b): pairs of ids with the same content, smaller id first."""
+    all_ = dupes.select("id", "rep").unionByName(dupes.select(F.col("rep").alias("id"), "rep").distinct())
+    a, b = all_.select("rep", F.col("id").alias("id_a")), all_.select("rep", F.col("id").alias("id_b"))
     return a.join(b, "rep").where("id_a < id_b").select("id_a", "id_b")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    return pairs.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"))
 
 
 def similar_points(points: DataFrame, requests: DataFrame, threshold: float = 0.97, dim: int = POINT_DIM) -> DataFrame:
-    """(kind, id_a, id_b) of kinds ``point`` and ``query``."""
+    """(kind, id_a, id_b) of kinds ``point`` and ``query``.
+
+    Vectors, copies and surviving pairs are written between the steps: the tiles are multiplied once,
+    and small tables are known to be small when the joins with them are planned.
+    """
     vectors = materialize(live_points(points, dim), "p2-points")
     queries = materialize(query_vectors(requests, dim), "p2-queries")
     n = vectors.count()
-    members = copies(vectors)
-    base = representatives(vectors, members)
+    dupes = materialize(copies(vectors).where("id <> rep"), "p2-copies")
+    base = representatives(vectors, dupes)
     visitors = [(base, JOIN_VISITS), (queries, ONE_SIDED_VISITS)]
     cells = plan_cells(vectors, [(vectors, JOIN_VISITS), (queries, ONE_SIDED_VISITS)], dim, max(n, 1))
     near = pairs_above(base, visitors, cells, dim, threshold).where("id <> other OR other_no < 0")
@@ -126,10 +128,11 @@ def similar_points(points: DataFrame, requests: DataFrame, threshold: float = 0.
         F.when(swap, F.col("other")).otherwise(F.col("id")).alias("id"), "no",
         F.when(swap, F.col("id")).otherwise(F.col("other")).alias("other"), "other_no",
     )
+    near = materialize(near.distinct(), "p2-pairs")
     of_points = confirm(near.where("other_no >= 0"), vectors, vectors, threshold)
     of_queries = confirm(near.where("other_no < 0"), vectors, queries, threshold)
-    point = _ordered(_expand(of_points, members, members)).unionByName(_within(members))
-    query = _expand(of_queries, members, None)
+    point = _ordered(_spread(_spread(of_points, "id", dupes), "other", dupes)).unionByName(_within(dupes))
+    query = _spread(of_queries, "id", dupes).select(F.col("id").alias("id_a"), F.col("other").alias("id_b"))
     return point.select(F.lit("point").alias("kind"), "id_a", "id_b").unionByName(query.select(F.lit("query").alias("kind"), "id_a", "id_b"))
 
 
@@ -158,16 +161,16 @@ def similar_records(records: DataFrame, threshold: float = 0.97, dim: int = TOKE
     Every vector of a similar record has a counterpart, so any one token of a record finds it.
     """
     matrices = materialize(token_matrices(records, dim), "p2-records")
-    members = copies(matrices)
-    distinct = representatives(matrices, members)
+    dupes = materialize(copies(matrices).where("id <> rep"), "p2-copies")
+    distinct = representatives(matrices, dupes)
     base = tokens(distinct, dim)
     n = max(1, base.count())
     cells = plan_cells(base, [(base, ONE_SIDED_VISITS // 3)], dim, n)
     chosen = tokens(distinct, dim, cells)
     near = pairs_above(base, [(chosen, ONE_SIDED_VISITS)], cells, dim, threshold).where("id <> other")
-    pairs = near.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
-    found = _ordered(_expand(both_ways(pairs, matrices, threshold, dim), members, members)).unionByName(_within(members))
-    return found.select(F.lit("record").alias("kind"), "id_a", "id_b")
+    pairs = materialize(near.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct(), "p2-pairs")
+    found = _spread(_spread(both_ways(pairs, matrices, threshold, dim), "id", dupes), "other", dupes)
+    return _ordered(found).unionByName(_within(dupes)).select(F.lit("record").alias("kind"), "id_a", "id_b")
 
 
 def nearest_points(points: DataFrame, requests: DataFrame, k: int = 10, every: int = 20, dim: int = POINT_DIM) -> DataFrame:
