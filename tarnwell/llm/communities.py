@@ -247,6 +247,12 @@ def second_pass(blocked: DataFrame, dim: int, k: int) -> DataFrame:
     return blocked.groupBy("block").applyInArrow(run, _LINKS)
 
 
+def relabel(df: DataFrame, column: str, pairs: DataFrame) -> DataFrame:
+    """``column`` with the communities (comm) of ``pairs`` replaced by what they went into."""
+    p = pairs.select(F.col("comm").alias("_from"), F.col("into").alias("_to"))
+    return df.join(p, F.col(column) == F.col("_from"), "left").withColumn(column, F.coalesce("_to", column)).drop("_from", "_to")
+
+
 def coarsen(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
     """Join communities that are each other's best gain until at most ``most`` are left.
 
@@ -267,11 +273,11 @@ def coarsen(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
         pairs = materialize(best.join(back, ["a", "b"]).where("a < b").select(F.col("b").alias("comm"), F.col("a").alias("into")), "p3-pairs")
         if pairs.isEmpty():
             break
-        step = lambda df, c, p=pairs: df.join(p.select(F.col("comm").alias(c), "into"), c, "left").withColumn(c, F.coalesce("into", c)).drop("into")
         old = edges
-        edges = materialize(step(step(edges, "a"), "b").groupBy("a", "b").agg(F.sum("w").alias("w")), "p3-edges")
+        renamed = relabel(relabel(edges, "a", pairs), "b", pairs)
+        edges = materialize(renamed.groupBy("a", "b").agg(F.sum("w").alias("w")), "p3-edges")
         release(old)
-        grown = pairs if mapping is None else step(mapping, "into").unionByName(pairs)
+        grown = pairs if mapping is None else relabel(mapping, "into", pairs).unionByName(pairs)
         mapping = materialize(grown, "p3-mapping")
     return edges, mapping
 

@@ -200,19 +200,23 @@ def fill_containers(
     sized = df.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("id"), F.greatest(F.coalesce(size.cast("bigint"), F.lit(0)), F.lit(0)).alias("whole")
     )
-    # Copies of an id get numbers of their own, so that they count as separate items.
-    sized = sized.groupBy("id", "whole").agg(F.count("*").alias("copies")).withColumn(
-        "copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1))
-    )
-    pieces = sized.withColumn(
-        "pieces", F.when(F.col("whole") > full, F.ceil(F.col("whole") / full)).otherwise(F.lit(1)).cast("int")
-    ).select(
-        "id", "whole", "pieces", "copy", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("k")
-    ).select(
-        "id",
-        (F.col("copy") * F.col("pieces") + F.col("k")).cast("int").alias("piece"),
-        F.when(F.col("k") < F.col("pieces") - 1, full).otherwise(F.col("whole") - full * (F.col("pieces") - 1)).alias("size"),
-        (F.col("whole") > full).alias("oversized"),
+    # Rows of an id get piece numbers one after the other, so that copies count as separate items.
+    per = F.when(F.col("whole") > full, F.ceil(F.col("whole") / full)).otherwise(F.lit(1)).cast("bigint")
+    before = W.partitionBy("id").orderBy("whole").rowsBetween(W.unboundedPreceding, -1)
+    pieces = (
+        sized.groupBy("id", "whole")
+        .agg(F.count("*").alias("copies"))
+        .withColumn("pieces", per)
+        .withColumn("base", F.coalesce(F.sum(F.col("copies") * F.col("pieces")).over(before), F.lit(0)))
+        .withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") * F.col("pieces") - 1)))
+        .select(
+            "id",
+            (F.col("base") + F.col("k")).cast("int").alias("piece"),
+            F.when(F.col("k") % F.col("pieces") < F.col("pieces") - 1, full)
+            .otherwise(F.col("whole") - full * (F.col("pieces") - 1))
+            .alias("size"),
+            (F.col("whole") > full).alias("oversized"),
+        )
     )
     # Full pieces are containers already; the hash keeps them apart from the packed ones.
     first = _pack_groups(pieces.withColumn("g", F.pmod(F.xxhash64("id", "piece"), F.lit(groups))), "g", capacity, 0)
