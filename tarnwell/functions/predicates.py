@@ -10,7 +10,7 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_CHILDREN, MOST_DEPTH, MOST_VALUES = 64, 16, 1024
@@ -198,6 +198,31 @@ def indexed(p: Predicate) -> bool:
     return False
 
 
+def flat_scalars(text: str | None) -> list[tuple[str, str, str]]:
+    """(pointer, kind, value) of every scalar of a JSON text but nulls; array elements are named by their place."""
+    out: list[tuple[str, str, str]] = []
+    try:
+        todo = [("", json.loads(text))] if text else []
+    except ValueError:
+        return out
+    while todo:
+        at, v = todo.pop()
+        if isinstance(v, dict):
+            todo += [(f"{at}/{k.replace('~', '~0').replace('/', '~1')}", x) for k, x in v.items()]
+        elif isinstance(v, list):
+            todo += [(f"{at}/{i}", x) for i, x in enumerate(v)]
+        elif v is not None:
+            kind = "bool" if isinstance(v, bool) else "int" if isinstance(v, int) else "float" if isinstance(v, float) else "string"
+            out.append((at, kind, v if kind == "string" else json.dumps(v)))
+    return sorted(out)
+
+
+def flatten(df: DataFrame, id_col: str, metadata: str) -> DataFrame:
+    """(id, pointer, kind, value): the scalars of a JSON column, read in Arrow batches."""
+    run = F.pandas_udf(lambda s: s.map(flat_scalars), "array<struct<pointer: string, kind: string, value: string>>")
+    return df.select(id_col, F.explode(run(metadata)).alias("e")).select(id_col, "e.*")
+
+
 # Payload predicates over typed columns.
 
 _OPS = {

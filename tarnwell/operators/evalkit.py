@@ -110,6 +110,43 @@ def best_at_recall(df: DataFrame, thresholds: list[float], quality: str, latency
     )
 
 
+def intrinsic_dimension(neighbours: DataFrame) -> DataFrame:
+    """(qid, lid): Hill estimate of the local dimension from the cosines (qid, score) of a query's neighbours."""
+    k = neighbours.select("qid", F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0))).alias("dist"))
+    far = k.groupBy("qid").agg(F.max("dist").alias("far"))
+    return k.join(far, "qid").where("dist > 0 AND dist < far").groupBy("qid").agg((-1 / F.avg(F.log(F.col("dist") / F.col("far")))).alias("lid"))
+
+
+def query_hardness(log: DataFrame, query: list[str]) -> DataFrame:
+    """(query, mean_recall, worst_recall, configs): how well the configurations answer each query."""
+    per = log.where("recall IS NOT NULL").groupBy(*query, "config").agg(F.avg("recall").alias("r"))
+    return per.groupBy(*query).agg(F.avg("r").alias("mean_recall"), F.min("r").alias("worst_recall"), F.count("*").alias("configs"))
+
+
+def paired_effects(df: DataFrame, match: list[str], factor: str, base: str, measures: dict[str, str]) -> DataFrame:
+    """Mean difference of each measure from the ``base`` level of a factor, over rows that match in everything else."""
+    a = df.where(F.col(factor) == base).select(*match, *[F.col(m).alias(f"_{m}") for m in measures])
+    b = df.where(F.col(factor) != base)
+    return b.join(a, match).groupBy(factor).agg(
+        F.count("*").alias("pairs"), *[F.avg(F.col(m) - F.col(f"_{m}")).alias(name) for m, name in measures.items()]
+    )
+
+
+def summarise_journal(events: DataFrame) -> DataFrame:
+    """(plan, queries, failures, quality, p90_ms) from journal events (event, plan, qid, quality, elapsed_ms).
+
+    A query that started and did not finish is a failure; failures count with quality 0.
+    """
+    started = events.where("event = 'query_started'").select("plan", "qid").distinct()
+    done = events.where("event = 'query_finished'").groupBy("plan", "qid").agg(F.max("quality").alias("quality"), F.min("elapsed_ms").alias("ms"))
+    return started.join(done, ["plan", "qid"], "left").groupBy("plan").agg(
+        F.count("*").alias("queries"),
+        F.sum(F.col("ms").isNull().cast("bigint")).alias("failures"),
+        F.avg(F.coalesce("quality", F.lit(0.0))).alias("quality"),
+        F.expr("percentile(ms, 0.9)").alias("p90_ms"),
+    )
+
+
 def split_queries(queries: DataFrame, qid: str, seed: str) -> DataFrame:
     """Half of the queries for development, half for the test, by the order of a digest of seed and id."""
     order = F.row_number().over(W.orderBy(F.sha2(F.concat(F.lit(seed), F.col(qid).cast("string")), 256)))

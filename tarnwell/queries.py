@@ -501,10 +501,10 @@ def token_explain(s, d):
 @query()
 def ivf_topk(s, d):
     from tarnwell.operators.ann import AnnOptions, IvfIndex
-    from tarnwell.session import shared_dir
+    from tarnwell.session import scratch_path
 
     live = _live(s, d)
-    index = IvfIndex.build(live, f"{shared_dir(s)}/tarnwell-ivf-{abs(hash(d))}", 32)
+    index = IvfIndex.build(live, scratch_path(s, "ivf"), 32)
     q = list(live.orderBy("id").select("vector").first()[0])
     return index.search(s, q, 10, AnnOptions(nprobe=8))
 
@@ -591,6 +591,71 @@ def query_split(s, d):
     return evalkit.split_queries(table(s, d, "eval_items").select("item_id"), "item_id", "seed-1")
 
 
+# Statistics of indexes and logs.
+
+
+@query("SELECT snapshot, max_level, count(DISTINCT point_id)::BIGINT AS points FROM snapshot_points GROUP BY ALL")
+def level_histogram(s, d):
+    return table(s, d, "snapshot_points").groupBy("snapshot", "max_level").agg(F.count_distinct("point_id").alias("points"))
+
+
+LIVE = f"""live AS (SELECT point_id AS id, snapshot, vector::DOUBLE[] AS v FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY ingested_at DESC) AS rn FROM snapshot_points)
+  WHERE rn = 1 AND NOT coalesce(deleted, false) AND {GOOD_VECTOR.format(v='vector')})"""
+
+
+@query(f"""WITH {LIVE}, n AS (SELECT sqrt(list_dot_product(v, v)) AS norm FROM live)
+SELECT count(*)::BIGINT AS vectors, round(avg(norm), 6) AS mean_norm, round(min(norm), 6) AS least_norm, round(max(norm), 6) AS greatest_norm, round(stddev_pop(norm), 6) AS spread FROM n""")
+def norm_stats(s, d):
+    n = _live(s, d).select(V.norm("vector").alias("norm"))
+    return n.agg(
+        F.count("*").alias("vectors"), rounded(F.avg("norm")).alias("mean_norm"), rounded(F.min("norm")).alias("least_norm"),
+        rounded(F.max("norm")).alias("greatest_norm"), rounded(F.stddev_pop("norm")).alias("spread"),
+    )
+
+
+@query("""WITH x AS (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+r AS (SELECT i, min(x) AS low, CASE WHEN max(x) > min(x) THEN (max(x) - min(x)) / 15 ELSE 1 END AS step FROM x GROUP BY i)
+SELECT round(sqrt(avg(power(low + step * greatest(0, least(15, floor((x - low) / step + 0.5))) - x, 2))), 6) AS rmse FROM x JOIN r USING (i)""")
+def sq4_rmse(s, d):
+    """Error of 4-bit codes between each dimension's extremes, measured on the table itself."""
+    x = vectors(s, d).select(F.posexplode(V.doubles("vector")).alias("i", "x"))
+    r = x.groupBy("i").agg(F.min("x").alias("low"), F.when(F.max("x") > F.min("x"), (F.max("x") - F.min("x")) / 15).otherwise(1.0).alias("step"))
+    code = F.greatest(F.lit(0), F.least(F.lit(15), F.floor((F.col("x") - F.col("low")) / F.col("step") + 0.5)))
+    error = F.col("low") + F.col("step") * code - F.col("x")
+    return x.join(r, "i").agg(rounded(F.sqrt(F.avg(error * error))).alias("rmse"))
+
+
+@query(f"""WITH {BATCH}, k AS (SELECT qid, rank, sqrt(greatest(2 - 2 * score, 0)) AS dist FROM r WHERE rank BETWEEN 2 AND 17),
+m AS (SELECT qid, max(dist) AS far FROM k GROUP BY qid)
+SELECT qid, round(-1 / avg(ln(dist / far)), 4) AS lid FROM k JOIN m USING (qid) WHERE dist > 0 AND dist < far GROUP BY qid""")
+def intrinsic_dimension(s, d):
+    """Hill estimate from the distances to the sixteen nearest others."""
+    return evalkit.intrinsic_dimension(_batch(s, d, 17).where("rank > 1")).withColumn("lid", rounded("lid", 4))
+
+
+@query("""WITH o AS (SELECT collection, query_idx, config, avg(recall) AS recall FROM query_log WHERE recall IS NOT NULL GROUP BY ALL)
+SELECT collection, query_idx, round(avg(recall), 6) AS mean_recall, round(min(recall), 6) AS worst_recall, count(*)::BIGINT AS configs FROM o GROUP BY ALL""")
+def query_hardness(s, d):
+    return evalkit.query_hardness(table(s, d, "query_log"), ["collection", "query_idx"]).select(
+        "collection", "query_idx", rounded("mean_recall").alias("mean_recall"), rounded("worst_recall").alias("worst_recall"), "configs")
+
+
+@query(f"""WITH {REPORTS}, g AS (SELECT collection, config, ef_search, avg(recall) AS recall, avg(p50_ms) AS p50 FROM reports GROUP BY ALL)
+SELECT b.config, count(*)::BIGINT AS pairs, round(avg(b.recall - a.recall), 6) AS recall_effect, round(avg(b.p50 - a.p50), 6) AS latency_effect
+FROM g a JOIN g b ON a.collection = b.collection AND a.ef_search = b.ef_search AND a.config = 'm16' AND b.config <> 'm16' GROUP BY b.config""")
+def paired_effects(s, d):
+    g = _reports(s, d).groupBy("collection", "config", "ef_search").agg(F.avg("recall").alias("recall"), F.avg("p50_ms").alias("p50"))
+    out = evalkit.paired_effects(g, ["collection", "ef_search"], "config", "m16", {"recall": "recall_effect", "p50": "latency_effect"})
+    return out.select("config", "pairs", rounded("recall_effect").alias("recall_effect"), rounded("latency_effect").alias("latency_effect"))
+
+
+@query(f"""SELECT number, replace(replace(replace(substr(e.fullkey, 2), '.', '/'), '[', '/'), ']', '') AS pointer,
+CASE WHEN e.type = 'VARCHAR' THEN 'string' WHEN e.type IN ('UBIGINT', 'BIGINT') THEN 'int' WHEN e.type = 'DOUBLE' THEN 'float' ELSE 'bool' END AS kind,
+CASE WHEN e.type = 'VARCHAR' THEN e.value->>'$' ELSE e.value::VARCHAR END AS value FROM {CURRENT}, json_tree({VALID}) e WHERE e.type NOT IN ('NULL', 'OBJECT', 'ARRAY')""")
+def payload_flatten(s, d):
+    return P.flatten(current(s, d, "metadata"), "number", "metadata")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

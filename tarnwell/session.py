@@ -28,6 +28,14 @@ def _hadoop_path(spark: SparkSession, path: str):
     return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder, removed when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/tarnwell-{label}-{uuid.uuid4().hex}"
+    hadoop, fs = _hadoop_path(spark, path)
+    fs.deleteOnExit(hadoop)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
@@ -35,10 +43,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     recomputation of the iterations before. The folder is removed when the session's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tarnwell-{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
-    hadoop, fs = _hadoop_path(spark, path)
-    fs.deleteOnExit(hadoop)
     back = spark.read.schema(df.schema).parquet(path)
     back._tarnwell_path = path
     return back

@@ -264,3 +264,23 @@ def test_running_calibration_stream(spark, tmp_path):
     q.awaitTermination()
     row = spark.table("calibration").where("key = 'k'").first()
     assert row.observations == 5 and row.p90 == pytest.approx(0.02)
+
+
+def test_vector_index_and_sql_functions(spark, tmp_path):
+    from tarnwell.functions.registry import register
+    from tarnwell.sources.vector_index import VectorIndex
+
+    v = VectorIndex.build(spark, str(tmp_path / "v"), [("a", [1, 0, 0]), ("b", [0, 1, 0]), ("c", [0.5, 0.5, 0])])
+    assert [n for n, _ in v.search([0.9, 0.2, 0], 2)] == ["a", "c"] and len(v) == 3
+    assert v.id_at(1) == "b" and v.position_of("c") == 2 and v.id_at(9) is None
+    assert "tw_cosine" in register(spark)
+    r = spark.sql("SELECT tw_cosine(array(1.0, 0.0), array(2.0, 0.0)) AS c, tw_maxsim(array(array(1.0, 0.0)), array(array(0.5, 1.0), array(1.0, 1.0))) AS m, tw_analyze_english('The running dogs') AS t").first()
+    assert (r.c, r.m, r.t) == (1.0, 1.0, ["run", "dog"])
+
+
+def test_flatten_and_journal(spark):
+    assert P.flat_scalars('{"a": {"b/c": [1, null, "x"]}, "d": 1.5}') == [("/a/b~1c/0", "int", "1"), ("/a/b~1c/2", "string", "x"), ("/d", "float", "1.5")]
+    assert P.flat_scalars('{"a"') == [] and P.flat_scalars(None) == []
+    events = [("query_started", "p", 1, None, None), ("query_finished", "p", 1, 0.8, 5.0), ("query_started", "p", 2, None, None)]
+    r = evalkit.summarise_journal(spark.createDataFrame(events, "event string, plan string, qid int, quality double, elapsed_ms double")).first()
+    assert (r.queries, r.failures, r.quality) == (2, 1, 0.4)
