@@ -33,10 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Vectors per cell aimed at, the greatest number of cells, sample rows per cell for fitting them.
+#: Vectors per cell aimed at, the greatest number of cells, and rows of the sample that fits them, per cell and in all.
 CELL_ROWS = 256
-MOST_CELLS = 4096
+MOST_CELLS = 16_384
 SAMPLE_PER_CELL = 24
+SAMPLE_ROWS = 98_304
 #: Rows of a tile's two sides.
 BASE_BLOCK = 2048
 VISITOR_BLOCK = 8192
@@ -94,11 +95,11 @@ def unit_vectors(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataF
 def fit_cells(vectors: DataFrame, dim: int, n: int, cell_rows: int = CELL_ROWS, rounds: int = 6) -> np.ndarray:
     """Centroids of about n / ``cell_rows`` cells, at most MOST_CELLS, by spherical k-means on a sample.
 
-    The sample is the rows with the smallest hashes, SAMPLE_PER_CELL per cell: at most 98,304 rows
-    whatever the size of the data.
+    The sample is an even share of the rows by hash, about SAMPLE_PER_CELL per cell and at most
+    2 * SAMPLE_ROWS whatever the size of the data.
     """
     cells = int(min(MOST_CELLS, max(1, n // cell_rows)))
-    want = cells * SAMPLE_PER_CELL
+    want = min(cells * SAMPLE_PER_CELL, SAMPLE_ROWS)
     step = max(1, n // want)
     rows = vectors.where(F.pmod(F.xxhash64("id", "no"), F.lit(step)) == 0).select("vec").limit(2 * want).toArrow().column(0)
     x = matrix(rows, np.float32, dim)
