@@ -85,10 +85,14 @@ def term_scores(records: DataFrame, prior: float = PRIOR) -> DataFrame:
 
 
 def marking_terms(scores: DataFrame, least_count: int = 3, least_share: float = 0.25, most_records: int = 12) -> DataFrame:
-    """Terms with a score of at least 0 that occur often enough in the record and in few records."""
+    """Scored terms that occur often enough in the record and in few records.
+
+    The score's sign is no condition: in a collection of a few records a term that only some of them
+    hold can still be no more frequent in one of them than in the others.
+    """
     enough = F.when(F.col("kind") == "word", F.col("y") >= least_count).otherwise(F.col("y") >= least_share * F.col("n"))
     return (
-        scores.where(enough & (F.col("df") <= most_records) & (F.col("score") >= -1e-9))
+        scores.where(enough & (F.col("df") <= most_records) & F.col("score").isNotNull())
         .select("number", "term")
         .dropDuplicates()
     )
