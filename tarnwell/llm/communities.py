@@ -6,9 +6,9 @@
    first pass kept apart. Blocks have a bounded size; dense regions become several blocks.
 2. Community detection by modularity. Local moves inside the blocks of the first pass join records
    into small communities, which become the nodes of a contracted graph; both passes give its edges,
-   summed before they leave a task. While the contracted graph has more than ``DRIVER_NODES`` nodes,
-   pairs that are each other's best gain in modularity are joined in Spark; then local moves with
-   contraction finish it on the driver.
+   summed before they leave a task. While the contracted graph has more than ``DRIVER_NODES`` nodes
+   or ``DRIVER_LINKS`` links, pairs that are each other's best gain in modularity are joined in
+   Spark; then local moves with contraction finish it on the driver.
 3. The communities are brought to the number asked for: those of alike mean direction are joined, and
    of those that remain, the ones that hold the most records are kept.
 4. An exact check against the mean directions drops records below the membership limit and hands a
@@ -43,8 +43,9 @@ MEMBER = 0.75
 #: Neighbours below this cosine are not linked: two members at the limit, placed independently around the
 #: mean direction, have its square. Without it stray records bridge clusters and small ones are swallowed.
 LINK = MEMBER**2
-#: Nodes of the contracted graph that the driver takes over.
-DRIVER_NODES = 50_000
+#: Nodes and links (both directions) of the contracted graph that the driver takes over.
+DRIVER_NODES = 20_000
+DRIVER_LINKS = 1_000_000
 #: Candidate clusters that are counted over all records, at least; more if more clusters are asked for.
 CANDIDATES = 512
 
@@ -253,14 +254,17 @@ def relabel(df: DataFrame, column: str, pairs: DataFrame) -> DataFrame:
     return df.join(p, F.col(column) == F.col("_from"), "left").withColumn(column, F.coalesce("_to", column)).drop("_from", "_to")
 
 
-def coarsen(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
-    """Join communities that are each other's best gain until at most ``most`` are left.
+def coarsen(edges: DataFrame, most: int, links: int = DRIVER_LINKS) -> tuple[DataFrame, DataFrame | None]:
+    """Join communities that are each other's best gain until at most ``most`` with ``links`` links are left.
 
     ``edges``: (a, b, w) with both directions. Gives the contracted edges and the table (comm, into)
     of what was joined, or None.
     """
     mapping = None
-    while edges.select("a").distinct().count() > most:
+    while True:
+        nodes, rows = edges.agg(F.count_distinct("a"), F.count("*")).first()
+        if nodes <= most and rows <= links:
+            break
         degree = edges.groupBy("a").agg(F.sum("w").alias("d"))
         m2 = edges.agg(F.sum("w")).first()[0]
         gain = F.col("w") - F.col("da") * F.col("db") / F.lit(m2)
