@@ -31,10 +31,14 @@ PRIOR = 0.01
 
 
 def word_postings(records: DataFrame) -> DataFrame:
-    """(number, kind, term, y, n): how often each word occurs in each record."""
+    """(number, kind, term, y, n): how often each word occurs in each record.
+
+    The outer form of explode keeps Spark from inferring a filter on the array, which would split every
+    text a second time.
+    """
     split = records.select("number", words("text").alias("w")).select(
-        "number", F.size("w").cast("double").alias("n"), F.explode("w").alias("term")
-    )
+        "number", F.size("w").cast("double").alias("n"), F.explode_outer("w").alias("term")
+    ).where("term IS NOT NULL")
     return split.groupBy("number", "n", "term").agg(F.count("*").cast("double").alias("y")).select(
         "number", F.lit("word").alias("kind"), "term", "y", "n"
     )
