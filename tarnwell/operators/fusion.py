@@ -54,10 +54,12 @@ def fuse(lists: list[DataFrame], fusion: str = "rrf", k: float = RRF_K, weights:
 
 def agreement(lists: list[DataFrame], limit: int, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
     """(keys, agreement): the least Jaccard overlap of the ``limit`` best ids of channel 0 with those of another."""
+    if len(lists) < 2:
+        raise ValueError("agreement needs two channels")
     tops = channel_lists(lists, keys).where(F.col("rank") < limit).groupBy(*keys, "channel").agg(F.collect_set("id").alias("ids"))
     first = tops.where("channel = 0").select(*keys, F.col("ids").alias("a"))
     rest = tops.where("channel > 0").select(*keys, F.col("channel"), F.col("ids").alias("b"))
-    every = first.join(F.broadcast(tops.sparkSession.range(1, len(lists)).select(F.col("id").cast("int").alias("channel"))))
+    every = first.withColumn("channel", F.explode(F.array(*[F.lit(i) for i in range(1, len(lists))])))
     overlap = F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))
     return every.join(rest, [*keys, "channel"], "left").groupBy(*keys).agg(F.min(F.coalesce(overlap, F.lit(0.0))).alias("agreement"))
 

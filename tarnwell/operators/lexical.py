@@ -3,7 +3,8 @@
 Statistics are those of the whole collection even where a filter restricts who may be found.
 Postings of query terms are found by an equi-join on the term, so a corpus word that no query names
 is dropped right after the split into words; term counts and scores are aggregated in the tasks
-that hold the document.
+that hold the document. Words are exploded with the outer form and nulls dropped after it: from the
+plain form Spark would infer a filter on the array's size and split every text twice.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ K1, B = 1.2, 0.75
 
 def term_counts(docs: DataFrame, id_col: str = "id", text: str = "text", analyzer: Analyzer = PLAIN) -> DataFrame:
     """(id, term, tf) of documents with a text."""
-    terms = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.explode(analyzer.column(text)).alias("term"))
+    terms = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.explode_outer(analyzer.column(text)).alias("term")).where("term IS NOT NULL")
     return terms.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
@@ -58,7 +59,7 @@ def bm25(
     )
     words = docs.where(F.col(text).isNotNull()).select(
         F.col(id_col).alias("id"), (F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))).alias("ok"), analyzer.column(text).alias("w")
-    ).select("id", "ok", F.size("w").cast("double").alias("dl"), F.explode("w").alias("term"))
+    ).select("id", "ok", F.size("w").cast("double").alias("dl"), F.explode_outer("w").alias("term")).where("term IS NOT NULL")
     counts = words.join(asked.select("term").distinct(), "term").groupBy("id", "ok", "dl", "term").agg(F.count("*").cast("double").alias("tf"))
     df = counts.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     totals = corpus_totals(docs, text, analyzer)  # one row
