@@ -115,6 +115,41 @@ class IvfIndex:
                 break
         return rows, backend
 
+    def search_pruned(self, spark: SparkSession, query: list[float], k: int, eligible: Column | None = None) -> tuple[DataFrame, list[int]]:
+        """(rows, lists read): the exact ``k`` nearest, without reading lists that cannot hold one of them.
+
+        The k-th distance within the nearest lists bounds the answer; by the triangle inequality a list whose
+        centroid is farther than that plus its radius holds nothing nearer. Not for dot products.
+        """
+        if self.metric == "dot":
+            raise ValueError("dot products obey no triangle inequality")
+        q = np.array(query, dtype=np.float64)
+        q = unit(q) if self.metric == "cosine" else q
+        size = {r["list"]: (r.rows, r.radius) for r in self.stats(spark).collect()}
+        near, held = [], 0
+        for i in self.probe(query, len(self.centroids)):
+            near.append(i)
+            held += size.get(i, (0, 0.0))[0]
+            if held >= k:
+                break
+        first = self.search(spark, query, k, AnnOptions(nprobe=len(near)), eligible).collect()
+        # A cosine distance of d is a chord of length sqrt(2 d) between unit vectors.
+        worst = np.inf if len(first) < k else np.sqrt(max(0.0, (2 if self.metric == "cosine" else 1) * first[-1].sort_key))
+        gap = np.linalg.norm(self.centroids - q, axis=1)
+        lists = [i for i, (_, radius) in sorted(size.items()) if gap[i] - radius <= worst + 1e-9]
+        rows = spark.read.parquet(self.path).where(F.col("list").isin(lists))
+        if eligible is not None:
+            rows = rows.where(F.coalesce(eligible, F.lit(False)))
+        return top(rows.select("id", sort_key(self.metric, "vector", literal(query)).alias("sort_key")), k, "sort_key", ascending=True), lists
+
+    def probe_report(self, spark: SparkSession, query: list[float], nprobe: int) -> DataFrame:
+        """One row: lists probed, rows scored and rows left unread."""
+        probed = F.col("list").isin(self.probe(query, nprobe))
+        return spark.read.parquet(self.path).groupBy("list").count().agg(
+            F.count(F.when(probed, 1)).alias("lists"), F.coalesce(F.sum(F.when(probed, F.col("count"))), F.lit(0)).alias("scored"),
+            F.coalesce(F.sum(F.when(~probed, F.col("count"))), F.lit(0)).alias("unread"),
+        )
+
     def stats(self, spark: SparkSession) -> DataFrame:
         """(list, rows, radius): size of each list and the greatest distance of its rows from the centroid."""
         c = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(self.centroids)], "list int, centre array<double>")

@@ -122,6 +122,15 @@ class Collection:
         fresh = now.join(held, ["id", "h"], "left_anti").count()
         return self.build_dense_ann(name, lists) if needs_rebuild(held.count(), fresh, fraction) else None
 
+    def auto_compact_fde_ann(self, lists: int = 64, fraction: float = 0.2) -> int | None:
+        """As above for the encoded tokens."""
+        index = self.indexes.get(None)
+        if index is None or index.generation == self.store.generation:
+            return None
+        held = self.spark.read.parquet(index.path).select("id", F.xxhash64("vector").alias("h"))
+        fresh = self.stored().select("id", F.xxhash64("fde").alias("h")).join(held, ["id", "h"], "left_anti").count()
+        return self.build_fde_ann(lists) if needs_rebuild(held.count(), fresh, fraction) else None
+
     # Token vectors.
 
     def train(self, samples: np.ndarray, iterations: int = 20) -> None:

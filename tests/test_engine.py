@@ -65,6 +65,20 @@ def test_ann_equals_exact_on_all_lists(collection):
         collection.plan(RetrieveRequest((Dense("semantic", (1.0,)),)))
 
 
+def test_token_queries_and_rebuilds(spark, tmp_path):
+    c = Collection.open(spark, str(tmp_path / "t"), IndexConfig(2, centroids=2, residual_bits=8, fde_ksim=1, fde_projected=2, fde_repetitions=4))
+    rows = [(i, [[float(np.cos(i)), float(np.sin(i))]]) for i in range(6)]
+    c.upsert(spark.createDataFrame(rows, "id bigint, vectors array<array<float>>"))
+    with pytest.raises(ValueError):
+        c.query(np.array([[1.0, 0.0]]), 1)
+    c.train(np.array([r[1][0] for r in rows]), 3)
+    assert c.query(np.array([rows[2][1][0]]), 2, 6).orderBy(F.desc("score")).first().id == 2
+    assert c.query_with_probes(np.array([rows[3][1][0]]), 1, 6, 2).first().id == 3
+    assert c.build_fde_ann(2) == 6 and c.ready() == {None} and c.auto_compact_fde_ann(2) is None
+    c.upsert(spark.createDataFrame([(i, [[1.0, 0.1 * i]]) for i in range(10, 14)], "id bigint, vectors array<array<float>>"))
+    assert not c.ready() and c.auto_compact_fde_ann(2) == 10 and c.ready() == {None}
+
+
 def test_batch_keeps_errors_apart(collection):
     a, b = collection.retrieve_batch([RetrieveRequest((Dense("none", (1.0, 0.0)),)), RetrieveRequest((Bm25("repair"),))])
     assert isinstance(a, InvalidRequest) and ids(b)

@@ -221,6 +221,10 @@ def test_inverted_lists(spark, tmp_path):
     delta = spark.createDataFrame([(1000, [float(v) for v in x[5]])], "id bigint, vector array<float>")
     assert 1000 in found(8, delta=delta)
     assert index.search_widening(spark, q, 10, 401)[1] == "exact"
+    pruned, lists = index.search_pruned(spark, q, 10)
+    assert [r.id for r in pruned.collect()] == truth and len(lists) < 8
+    report = index.probe_report(spark, q, 2).first()
+    assert report.lists == 2 and report.scored + report.unread == 400
     assert index.stats(spark).agg(F.sum("rows")).first()[0] == 400
 
 
