@@ -21,10 +21,10 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -38,13 +38,12 @@ OVERLAP = 150
 PARAGRAPH, LINE, SENTENCE, WORD, ANY, END = 1, 2, 3, 4, 5, 6
 KINDS = {PARAGRAPH: "paragraph", LINE: "line", SENTENCE: "sentence", WORD: "word", ANY: "any", END: "end"}
 
-_LINE = re.compile(r"[^\n]*\n?")
 _SENTENCE = re.compile(r"[.!?…。！？][\"'»”’)\]]*\s+(?=\S)")
 _WORD = re.compile(r"(?<=\s)\S")
 
 
-def starts(text: str) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Offsets of the starts of paragraphs, other lines, sentences and words."""
+def line_starts(text: str) -> tuple[list[int], list[int]]:
+    """Offsets of the starts of paragraphs and of other lines, at their first character that is not white space."""
     paragraphs, lines = [], []
     after_blank, at = True, 0
     for line in text.split("\n"):
@@ -53,27 +52,35 @@ def starts(text: str) -> tuple[list[int], list[int], list[int], list[int]]:
             (paragraphs if after_blank else lines).append(at + len(line) - len(body))
         after_blank = not body
         at += len(line) + 1
-    sentences = [m.end() for m in _SENTENCE.finditer(text)]
-    words = [m.start() for m in _WORD.finditer(text)]
-    return paragraphs, lines, sentences, words
+    return paragraphs, lines
+
+
+def sentence_starts(text: str, a: int, b: int) -> list[int]:
+    """Sentence starts after ``a`` and before ``b``; ``a`` is 0 or the place of a character."""
+    return [m.end() for m in _SENTENCE.finditer(text, a, b)]
+
+
+def word_starts(text: str, a: int, b: int) -> list[int]:
+    return [m.start() for m in _WORD.finditer(text, a + 1, b)]
 
 
 def boundaries(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[int], list[int]]:
-    """(offsets, kinds) of the boundaries at which a cut can fall, with 0 first and the text's end last."""
+    """(offsets, kinds) of the boundaries at which a cut can fall, with 0 first and the text's end last.
+
+    Sentences and words are looked for only inside the gaps that need them.
+    """
     window, n = limit - overlap, len(text)
-    kinds = {p: k for k, found in reversed(list(enumerate(starts(text), 1))) for p in found}
-    kept = {0: ANY, n: END}
-    for kind in (PARAGRAPH, LINE, SENTENCE, WORD):
-        have = np.array(sorted(kept))
-        for p, k in kinds.items():
-            if k != kind or not 0 < p < n:
-                continue
-            if kind == PARAGRAPH:
-                kept[p] = kind
-            else:
-                i = int(np.searchsorted(have, p))
-                if have[i] - have[i - 1] > window:
-                    kept[p] = kind
+    paragraphs, lines = line_starts(text)
+    kept = {0: ANY, n: END} | {p: PARAGRAPH for p in paragraphs if 0 < p < n}
+
+    def lines_between(_: str, a: int, b: int) -> list[int]:
+        return lines[bisect.bisect_right(lines, a) : bisect.bisect_left(lines, b)]
+
+    for kind, find in ((LINE, lines_between), (SENTENCE, sentence_starts), (WORD, word_starts)):
+        have = sorted(kept)
+        for a, b in zip(have[:-1], have[1:], strict=True):
+            if b - a > window:
+                kept |= {p: kind for p in find(text, a, b)}
     offsets = sorted(kept)
     out = []
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):

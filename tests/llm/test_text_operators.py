@@ -178,13 +178,14 @@ def test_nothing_to_split(spark):
     assert splitting.split(df).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab .\n\r", min_size=30, max_size=300))
 def test_kept_boundaries_lose_no_cut(t):
     """Leaving out boundaries of lower kinds does not change the greedy cuts."""
     limit, overlap = 25, 5
     offsets, kinds = splitting.boundaries(t, limit, overlap)
-    every = {p: k for k, found in reversed(list(enumerate(splitting.starts(t), 1))) for p in found if 0 < p < len(t)}
+    found = (*splitting.line_starts(t), splitting.sentence_starts(t, 0, len(t)), splitting.word_starts(t, 0, len(t)))
+    every = {p: k for k, f in reversed(list(enumerate(found, 1))) for p in f if 0 < p < len(t)}
     all_at = sorted({0, len(t), *every, *offsets})
     kept = dict(zip(offsets, kinds))
     all_kinds = [kept[p] if p in (0, len(t)) else every.get(p, kept.get(p)) for p in all_at]
