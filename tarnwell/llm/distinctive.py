@@ -103,6 +103,6 @@ def marking_terms(scores: DataFrame, least_count: int = 3, least_share: float =
 
 
 def top_terms(scores: DataFrame, k: int = 10) -> DataFrame:
-    """The ``k`` terms of highest score per record and kind, with their place."""
+    """The ``k`` terms of highest score per record and kind, with their place; scores that agree to six places are ties."""
     w = W.partitionBy("number", "kind").orderBy(F.col("score").desc(), F.col("term").asc())
-    return scores.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return scores.withColumns({c: F.round(c, 6) for c in ("y", "n", "score")}).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)

@@ -22,6 +22,18 @@ k AS (SELECT *, sum(y) OVER (PARTITION BY number) AS n FROM i WHERE y > 0)
 SELECT number, term FROM w WHERE y >= 3 AND term IN (SELECT term FROM w GROUP BY term HAVING count(*) <= 12)
 UNION SELECT number, term FROM k WHERE y >= 0.25 * n AND term IN (SELECT term FROM k GROUP BY term HAVING count(*) <= 12)"""
 
+P1_SCORES = f"""
+WITH w AS (SELECT number, 'word' AS kind, term, count(*)::DOUBLE AS y, n FROM (SELECT number, len(w)::DOUBLE AS n, unnest(w) AS term FROM (SELECT number, {WORDS} AS w FROM {CURRENT})) GROUP BY ALL),
+i AS (SELECT number, i::VARCHAR AS term, sum(CASE WHEN isfinite(v) THEN v ELSE 0 END) AS y FROM (SELECT number, unnest(sparse.indices) AS i, unnest(sparse."values")::DOUBLE AS v FROM {CURRENT}
+  WHERE len(sparse.indices) = len(sparse."values")) WHERE i IS NOT NULL GROUP BY ALL HAVING sum(CASE WHEN isfinite(v) THEN v ELSE 0 END) > 0),
+p AS (SELECT * FROM w UNION ALL SELECT number, 'index', term, y, sum(y) OVER (PARTITION BY number) FROM i),
+t AS (SELECT kind, term, sum(y) AS cy, count(*)::BIGINT AS df FROM p GROUP BY ALL),
+c AS (SELECT kind, sum(cy) AS cn FROM t GROUP BY kind),
+x AS (SELECT number, kind, term, y, n, df, 0.01 * cy AS a, 0.01 * cn AS a0, greatest(cy - y, 0) AS rest, cn FROM p JOIN t USING (kind, term) JOIN c USING (kind)),
+z AS (SELECT number, kind, term, y, n, df, (ln((y + a) / greatest(n + a0 - y - a, 1e-12)) - ln((rest + a) / greatest(cn - n + a0 - rest - a, 1e-12))) / sqrt(1 / (y + a) + 1 / (rest + a)) AS score FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY number, kind ORDER BY round(score, 6) DESC, term) AS place FROM z)
+SELECT number, kind, term, round(y, 6) AS y, round(n, 6) AS n, df, round(score, 6) AS score, place::INTEGER AS place FROM r WHERE place <= 10"""
+
 P2 = f"""
 WITH p AS (SELECT point_id AS id, {unit('vector')} AS v FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY ingested_at DESC) AS rn FROM snapshot_points)
   WHERE rn = 1 AND NOT coalesce(deleted, false) AND {good('vector', 64)}),
@@ -82,6 +94,6 @@ SELECT id AS doc_id FROM c GROUP BY id, n HAVING sum(covered) / n >= 0.3"""
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_found": P1, "p2_found": P2, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p6_ranking": P6_RANKING,
+        "p1_found": P1, "p1_scores": P1_SCORES, "p2_found": P2, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p6_ranking": P6_RANKING,
         "p7_found": P7, "p8_found": P8, "p8_clean": f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({P8}))", "p9_found": P9,
     }
