@@ -27,7 +27,7 @@ def signs(seed: int, count: int) -> np.ndarray:
 
 
 @dataclass(frozen=True)
-class FdeEncoder:
+class FixedEncoder:
     """Tokens fall into 2^ksim buckets by the signs of ksim projections, per repetition. A query adds up its
     tokens per bucket, a document takes their mean, and an empty bucket of a document the mean of the occupied
     bucket that differs in the fewest bits (the lowest of equals). Buckets are projected and put end to end."""
@@ -79,7 +79,7 @@ class FdeEncoder:
         return self._encode(tokens, True)
 
 
-def encode_documents(df: DataFrame, id_col: str, tokens: str, encoder: FdeEncoder) -> DataFrame:
+def encode_documents(df: DataFrame, id_col: str, tokens: str, encoder: FixedEncoder) -> DataFrame:
     """(id, fde) for documents with tokens, in Arrow batches; tokens are brought to length 1 first."""
     from tarnwell.operators.quantize import unit
 

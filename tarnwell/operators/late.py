@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnwell.operators.muvera import FdeEncoder
+from tarnwell.operators.fixed_encoding import FixedEncoder
 from tarnwell.operators.quantize import ResidualCodec, unit
 from tarnwell.operators.topk import top
 
 
-def encode_tokens(df: DataFrame, id_col: str, tokens: str, codec: ResidualCodec, encoder: FdeEncoder) -> DataFrame:
+def encode_tokens(df: DataFrame, id_col: str, tokens: str, codec: ResidualCodec, encoder: FixedEncoder) -> DataFrame:
     """(id, centroid_ids, residuals, fde): the stored form of each document with tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +50,7 @@ def _score(df: DataFrame, columns: list[str], score, k: int, name: str = "score"
     return top(df.select("id", *columns).mapInArrow(run, f"id bigint, {name} double"), k, name)
 
 
-def fde_candidates(stored: DataFrame, query: np.ndarray, count: int, encoder: FdeEncoder) -> DataFrame:
+def fde_candidates(stored: DataFrame, query: np.ndarray, count: int, encoder: FixedEncoder) -> DataFrame:
     """(id, fde_score): documents by the dot product of their encoding with the query's."""
     q = encoder.encode_query(unit(np.asarray(query, dtype=np.float64)))
 
@@ -83,7 +83,7 @@ def centroid_prune(pool: DataFrame, stored: DataFrame, query: np.ndarray, keep:
     return _score(stored.join(pool.select("id"), "id", "left_semi"), ["centroid_ids"], score, keep)
 
 
-def token_query(stored: DataFrame, query: np.ndarray, k: int, codec: ResidualCodec, encoder: FdeEncoder, candidates: int | None = None, rerank_candidates: int | None = None) -> DataFrame:
+def token_query(stored: DataFrame, query: np.ndarray, k: int, codec: ResidualCodec, encoder: FixedEncoder, candidates: int | None = None, rerank_candidates: int | None = None) -> DataFrame:
     """(id, score, fde_score): encoded candidates (8 k unless said), pruned by centroids where
     ``rerank_candidates`` is given, rescored on compressed tokens."""
     count = max(k, candidates or 8 * k)

@@ -19,7 +19,7 @@ from tarnwell.functions.text import PRESETS
 from tarnwell.operators import dense, fusion, late, lexical
 from tarnwell.operators.ann import AnnOptions, IvfIndex, needs_rebuild
 from tarnwell.operators.context import select_context
-from tarnwell.operators.muvera import FdeEncoder
+from tarnwell.operators.fixed_encoding import FixedEncoder
 from tarnwell.operators.quantize import ResidualCodec
 from tarnwell.operators.topk import top
 from tarnwell.plans.calibration import Calibration
@@ -64,9 +64,9 @@ class Collection:
         return IndexConfig(**self.store.pointer.config)
 
     @property
-    def encoder(self) -> FdeEncoder:
+    def encoder(self) -> FixedEncoder:
         c = self.config
-        return FdeEncoder(c.dimension, c.fde_ksim, c.fde_projected, c.fde_repetitions)
+        return FixedEncoder(c.dimension, c.fde_ksim, c.fde_projected, c.fde_repetitions)
 
     def upsert(self, batch: DataFrame) -> int:
         return self.store.upsert(batch)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tarnwell.functions import predicates as P
 from tarnwell.functions import text as T
 from tarnwell.functions import vectors as V
-from tarnwell.operators import context, dense, evalkit, fusion, late, lexical, muvera, quantize
+from tarnwell.operators import context, dense, evalkit, fixed_encoding, fusion, late, lexical, quantize
 from tarnwell.operators.topk import group_top_n, rounded, top, top_per
 from tarnwell.sources.tables import latest, table
 
@@ -463,7 +463,7 @@ def _models(s, d):
     rows = m.orderBy(F.xxhash64("id")).limit(4096).select("tokens").collect()
     samples = np.concatenate([np.array(r.tokens, dtype=float) for r in rows])
     codec = quantize.ResidualCodec.train(samples, min(c.centroids, len(samples)), c.residual_bits, 10)
-    encoder = muvera.FdeEncoder(c.dimension, c.fde_ksim, c.fde_projected, c.fde_repetitions)
+    encoder = fixed_encoding.FixedEncoder(c.dimension, c.fde_ksim, c.fde_projected, c.fde_repetitions)
     q = np.array(m.orderBy("id").select("tokens").first()[0], dtype=float)
     return late.encode_tokens(m, "id", "tokens", codec, encoder), codec, encoder, q, c.probes
 

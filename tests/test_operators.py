@@ -10,7 +10,7 @@ from tarnwell.functions import predicates as P
 from tarnwell.functions import vectors as V
 from tarnwell.functions.stem import stem
 from tarnwell.functions.text import ENGLISH, PLAIN, Analyzer, estimate_tokens, estimated_tokens, is_identifier, query_features
-from tarnwell.operators import ann, context, dense, evalkit, fusion, late, lexical, muvera, quantize
+from tarnwell.operators import ann, context, dense, evalkit, fixed_encoding, fusion, late, lexical, quantize
 from tarnwell.sources import datasets
 from tarnwell.streaming import mutations
 
@@ -180,7 +180,7 @@ def test_codecs():
 
 
 def test_encoder_fills_empty_buckets():
-    e = muvera.FdeEncoder(4, 3, 2, 2)
+    e = fixed_encoding.FixedEncoder(4, 3, 2, 2)
     one = e.encode_document(np.array([[1.0, 0, 0, 0]])).reshape(2, 8, 2)
     assert np.allclose(one, one[:, :1])  # every bucket holds the only token
     q = e.encode_query(np.array([[1.0, 0, 0, 0]])).reshape(2, 8, 2)
@@ -192,7 +192,7 @@ def test_token_queries_against_plain_maxsim(spark):
     docs = {i: quantize.unit(rng.normal(size=(3, 6))) for i in range(60)}
     df = spark.createDataFrame([(i, m.tolist()) for i, m in docs.items()], "id bigint, t array<array<float>>")
     codec = quantize.ResidualCodec.train(np.concatenate(list(docs.values())), 8, 8, 8)
-    encoder = muvera.FdeEncoder(6, 3, 4, 20)
+    encoder = fixed_encoding.FixedEncoder(6, 3, 4, 20)
     stored = late.encode_tokens(df, "id", "t", codec, encoder).cache()
     q = docs[7]
     truth = sorted(docs, key=lambda i: -(q @ docs[i].T).max(1).sum())[:5]
