@@ -23,9 +23,10 @@ id.
 from __future__ import annotations
 
 import bisect
+import heapq
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,10 @@ GROUP = 4096
 REPACK = 8
 BLOCK = 64
 KEEP = 0.995
-NODES = 2000
+#: Nodes of one search, and items looked at by all of them together.
+NODES, LOOKED_AT = 20_000, 6_000_000
+#: Fillings tried per container.
+BRANCHES = 6
 
 
 def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -58,47 +62,37 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(rest: list[int], room: int, most: int = 3, width: int = 12) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` with up to ``most`` of the sizes ``rest`` (decreasing), most filled first.
+def fillings(rest: list[int], room: int, width: int = 12, skips: int = 3) -> list[tuple[int, ...]]:
+    """Undominated fillings of ``room`` with the sizes ``rest`` (decreasing), as positions, most filled first.
 
-    A filling is dominated by one of the same number of items or fewer that fills at least as much
-    with larger single items; for pairs and triples the partner that fits best decides.
+    Each filling takes the largest size that still fits until none does, having left out up to
+    ``skips`` sizes on the way; those that leave out late are tried first, and at most ``width``. A
+    filling is dominated where another has at least as many items, each at least as large.
     """
-    if not rest or rest[-1] > room:
-        return [()]
-    up = rest[::-1]  # increasing
-
-    def fit(free: int, below: int) -> int | None:
-        at = bisect.bisect_right(up, free, 0, below) - 1
-        return at if at >= 0 else None
-
-    found: dict[int, tuple[int, ...]] = {}
-    one = fit(room, len(up))
-    if one is None:
-        return [()]
-    found[up[one]] = (one,)
-    tried = 0
-    a = one
-    while a > 0 and tried < width * 4:
-        b = fit(room - up[a], a)
-        if b is not None:
-            total = up[a] + up[b]
-            if total not in found:
-                found[total] = (a, b)
-            if most > 2 and total < room:
-                c = fit(room - total, b)
-                if c is not None:
-                    found.setdefault(total + up[c], (a, b, c))
-        if max(found) == room:
-            break
-        tried += 1
-        a -= 1
-    last = len(rest) - 1
-    best = sorted(found, reverse=True)[:width]
-    return [tuple(last - i for i in found[t]) for t in best]
-
-
-def pack(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
+    below = [-x for x in rest]
+    found: list[tuple[int, tuple[int, ...]]] = []
+    # Chosen positions as a chain, where to look on, room left, sizes left out.
+    stack: list[tuple[tuple | None, int, int, int]] = [(None, 0, room, 0)]
+    while stack and len(found) < width:
+        chain, start, left, out = stack.pop()
+        while left and (i := bisect.bisect_left(below, -left, start)) < len(rest):
+            if out < skips and (j := bisect.bisect_right(below, below[i], i)) < len(rest):
+                stack.append((chain, j, left, out + 1))
+            chain, start, left = (chain, i), i + 1, left - rest[i]
+        chosen = []
+        while chain:
+            chain, i = chain
+            chosen.append(i)
+        found.append((left, tuple(reversed(chosen))))
+    found.sort(key=lambda f: f[0])
+    kept: list[tuple[int, ...]] = []
+    for _, f in found:
+        if not any(len(k) >= len(f) and all(rest[a] >= rest[b] for a, b in zip(k, f, strict=False)) for k in kept):
+            kept.append(f)
+    return kept
+
+
+def pack(sizes: list[int], capacity: int, nodes: int | None = None) -> list[list[int]]:
     """Containers as lists of positions of ``sizes`` (any order, each at most ``capacity``)."""
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     zero = [i for i in order if sizes[i] <= 0]
@@ -107,7 +101,7 @@ def pack(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]
     best = best_fit_decreasing(s, capacity)
     bound = -(-sum(s) // capacity)
     if len(best) > bound:
-        better = _complete(s, capacity, bound, len(best), nodes)
+        better = _complete(s, capacity, bound, len(best), nodes or min(NODES, LOOKED_AT // len(s)))
         best = better or best
     out = [[order[i] for i in b] for b in best]
     if zero:
@@ -118,38 +112,37 @@ def pack(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]
 
 
 def _complete(s: list[int], capacity: int, bound: int, incumbent: int, nodes: int) -> list[list[int]] | None:
-    """Depth-first bin completion: a solution of fewer than ``incumbent`` containers, or None.
+    """Bin completion: a solution of fewer than ``incumbent`` containers, or None.
 
     The waste sealed so far plus what is left to pack gives the fewest containers a branch can
-    reach; the branch is cut where that is not below the incumbent. The branches are kept on an explicit
-    stack, so depth is no matter.
+    reach; the branch is cut where that is not below the incumbent. Branches that depart least from the
+    most filled choices come first (limited discrepancy), each followed down to a leaf.
     """
     total = sum(s)
     best: list[list[int]] | None = None
-    stack: list[tuple[list[int], int, tuple]] = [(list(range(len(s))), 0, ())]
-    used = 0
-    while stack and used < nodes:
-        left, waste, done = stack.pop()
-        while left and used < nodes:
-            if -(-(total + waste) // capacity) >= incumbent:
-                break
+    order = count()
+    heap: list[tuple] = []
+    used = departures = 0
+    at: tuple[list[int], int, tuple | None] | None = (list(range(len(s))), 0, None)
+
+    def take(left: list[int], o: tuple[int, ...], sealed: int, done: tuple | None) -> tuple:
+        """The branch that fills the first item's container with the items at ``o`` of the others."""
+        taken = {k + 1 for k in o}
+        return [x for k, x in enumerate(left) if k and k not in taken], sealed, (done, [left[0], *(left[k + 1] for k in o)])
+
+    while at and used < nodes:
+        left, waste, done = at
+        at = None
+        while left and used < nodes and -(-(total + waste) // capacity) < incumbent:
             used += 1
-            first, rest = left[0], left[1:]
-            room = capacity - s[first]
-            options = fillings([s[i] for i in rest], room)
-            for o in reversed(options[1:3]):
-                taken = set(o)
-                stack.append(
-                    (
-                        [x for k, x in enumerate(rest) if k not in taken],
-                        waste + room - sum(s[rest[k]] for k in o),
-                        (done, [first, *(rest[k] for k in o)]),
-                    )
-                )
-            taken = set(options[0])
-            waste += room - sum(s[rest[k]] for k in options[0])
-            done = (done, [first, *(rest[k] for k in options[0])])
-            left = [x for k, x in enumerate(rest) if k not in taken]
+            room = capacity - s[left[0]]
+            sizes = [s[i] for i in left[1:]]
+            options = fillings(sizes, room)[:BRANCHES]
+            sealed = [waste + room - sum(sizes[k] for k in o) for o in options]
+            for rank, (o, w) in enumerate(zip(options[1:], sealed[1:], strict=True), 1):
+                if -(-(total + w) // capacity) < incumbent:
+                    heapq.heappush(heap, (departures + rank, next(order), left, o, w, done))  # the list is shared by its branches
+            left, waste, done = take(left, options[0], sealed[0], done)
         if not left:
             chain, bins = done, []
             while chain:
@@ -159,6 +152,9 @@ def _complete(s: list[int], capacity: int, bound: int, incumbent: int, nodes: in
                 best, incumbent = bins[::-1], len(bins)
                 if incumbent <= bound:
                     break
+        if heap:
+            departures, _, *branch = heapq.heappop(heap)
+            at = take(*branch)
     return best
 
 
