@@ -17,6 +17,7 @@ from tarnwell.functions import text as T
 from tarnwell.functions import vectors as V
 from tarnwell.operators import context, dense, evalkit, fixed_encoding, fusion, late, lexical, quantize
 from tarnwell.operators.topk import group_top_n, rounded, top, top_per
+from tarnwell.session import materialize
 from tarnwell.sources.tables import latest, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -465,7 +466,8 @@ def _models(s, d):
     codec = quantize.ResidualCodec.train(samples, min(c.centroids, len(samples)), c.residual_bits, 10)
     encoder = fixed_encoding.FixedEncoder(c.dimension, c.fde_ksim, c.fde_projected, c.fde_repetitions)
     q = np.array(m.orderBy("id").select("tokens").first()[0], dtype=float)
-    return late.encode_tokens(m, "id", "tokens", codec, encoder), codec, encoder, q, c.probes
+    # A query reads the stored form several times (candidates, pruning, rescoring), so it is written first.
+    return materialize(late.encode_tokens(m, "id", "tokens", codec, encoder), "tokens"), codec, encoder, q, c.probes
 
 
 @query()
