@@ -318,9 +318,9 @@ def ranking_signals(s, d):
     return fusion.signals(best, 10).select("qid", rounded("margin").alias("margin"), rounded("spread").alias("spread"))
 
 
-def _asked(s, d):
+def _asked(s, d, every=20):
     rows = latest(table(s, d, "query_requests").select("query_id", "text", "vectors", "ingested_at"), "query_id", "ingested_at")
-    return rows.where("query_id % 20 = 0").select(F.col("query_id").alias("qid"), "text", F.get("vectors", F.lit(0)).alias("vector"))
+    return rows.where(F.col("query_id") % every == 0).select(F.col("query_id").alias("qid"), "text", F.get("vectors", F.lit(0)).alias("vector"))
 
 
 def _live(s, d):
@@ -348,9 +348,13 @@ f AS (SELECT qid, id, round(sum(1 / (10.0 + rank)), 9) AS score FROM (SELECT qid
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM f)
 SELECT qid, r.id, round(score, 6) AS score, rank::INTEGER AS rank, text FROM r LEFT JOIN (SELECT number AS id, text FROM {CURRENT}) x USING (id) WHERE rank <= 10""")
 def hybrid_rrf(s, d):
+    return hybrid(s, d)
+
+
+def hybrid(s, d, every=20):
     """BM25 over texts and exact cosine over vectors of the same numbers, fused by reciprocal ranks, with the text
     joined to the ten best."""
-    asked, records = _asked(s, d), current(s, d, "text").withColumnRenamed("number", "id")
+    asked, records = _asked(s, d, every), current(s, d, "text").withColumnRenamed("number", "id")
     lex = lexical.bm25(records, asked.select("qid", "text"), 100).withColumn("score", F.round("score", 9))
     den = dense.batch_search(_live(s, d), asked.where(dense.usable("vector", 64)), 100)
     fused = fusion.fuse([lex, den.withColumn("score", F.round("score", 9))]).withColumn("score", F.round("score", 9))
