@@ -38,6 +38,8 @@ CELL_ROWS = 256
 MOST_CELLS = 16_384
 SAMPLE_PER_CELL = 24
 SAMPLE_ROWS = 98_304
+#: Centroids of this cosine are one: between cells so alike the visits would be spent without reaching others.
+SAME_CELL = 0.9999
 #: Rows of a tile's two sides.
 BASE_BLOCK = 2048
 VISITOR_BLOCK = 8192
@@ -96,7 +98,8 @@ def fit_cells(vectors: DataFrame, dim: int, n: int, cell_rows: int = CELL_ROWS,
     """Centroids of about n / ``cell_rows`` cells, at most MOST_CELLS, by spherical k-means on a sample.
 
     The sample is an even share of the rows by hash, about SAMPLE_PER_CELL per cell and at most
-    2 * SAMPLE_ROWS whatever the size of the data.
+    2 * SAMPLE_ROWS whatever the size of the data. Equal rows of it count once, so that a common vector
+    seeds one cell, and centroids without rows or next to another one are dropped.
     """
     cells = int(min(MOST_CELLS, max(1, n // cell_rows)))
     want = min(cells * SAMPLE_PER_CELL, SAMPLE_ROWS)
@@ -105,6 +108,7 @@ def fit_cells(vectors: DataFrame, dim: int, n: int, cell_rows: int = CELL_ROWS,
     x = matrix(rows, np.float32, dim)
     if not len(x):
         return np.zeros((1, dim), np.float32)
+    x = x[np.sort(np.unique(x.view(np.dtype((np.void, x.itemsize * dim))).ravel(), return_index=True)[1])]
     c = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)].copy()
     for _ in range(rounds):
         near = np.concatenate([(x[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(x), 4096)])
@@ -112,7 +116,18 @@ def fit_cells(vectors: DataFrame, dim: int, n: int, cell_rows: int = CELL_ROWS,
         np.add.at(sums, near, x)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         c = np.where(norm > 0, sums / np.maximum(norm, 1e-12), c).astype(np.float32)
-    return c
+    return apart(c[norm[:, 0] > 0])
+
+
+def apart(c: np.ndarray) -> np.ndarray:
+    """The centroids less those that reach cosine SAME_CELL with an earlier one that stays."""
+    keep = np.ones(len(c), bool)
+    for at in range(0, len(c), 1024):
+        i, j = np.nonzero(c[at : at + 1024] @ c.T >= SAME_CELL)
+        for a, b in zip(i + at, j, strict=True):
+            if b < a and keep[b]:
+                keep[a] = False
+    return c[keep]
 
 
 def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,6 +164,7 @@ class Cells:
     def visits(self, x: np.ndarray, count: int) -> np.ndarray:
         sims = x @ self.centroids.T
         count = min(count, sims.shape[1])
+        sims[np.arange(len(x)), sims.argmax(1)] = np.inf  # of equal centroids the home is visited
         return np.argpartition(-sims, count - 1, axis=1)[:, :count] if count < sims.shape[1] else np.tile(np.arange(count), (len(x), 1))
 
     def home(self, x: np.ndarray) -> np.ndarray:

@@ -116,11 +116,10 @@ def similar_points(points: DataFrame, requests: DataFrame, threshold: float = 0.
     """
     vectors = materialize(live_points(points, dim), "p2-points")
     queries = materialize(query_vectors(requests, dim), "p2-queries")
-    n = vectors.count()
     dupes = materialize(copies(vectors).where("id <> rep"), "p2-copies")
     base = representatives(vectors, dupes)
     visitors = [(base, JOIN_VISITS), (queries, ONE_SIDED_VISITS)]
-    cells = plan_cells(vectors, [(vectors, JOIN_VISITS), (queries, ONE_SIDED_VISITS)], dim, max(n, 1))
+    cells = plan_cells(base, visitors, dim, max(base.count(), 1))
     near = pairs_above(base, visitors, cells, dim, threshold).where("id <> other OR other_no < 0")
     # A pair of points is found from either side; one order of the two is enough.
     swap = (F.col("other_no") >= 0) & (F.col("id") > F.col("other"))

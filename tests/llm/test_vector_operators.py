@@ -104,6 +104,37 @@ def test_dense_cells_become_many_tiles(spark, monkeypatch):
     assert got == {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.97)) if i < j}
 
 
+def with_a_common_vector(rng, n, dim, near):
+    """Vectors of which the last third are one; ``near`` of the others lie at about cosine 0.98 from it."""
+    x = unit(rng.normal(size=(n, dim)))
+    x[:near] = unit(x[-1] + 0.2 * rng.normal(size=(near, dim)) / math.sqrt(dim))
+    x[n - n // 3 :] = x[-1]
+    return x
+
+
+def test_a_common_vector_hides_no_pairs(spark):
+    rng = np.random.default_rng(11)
+    n = 9000
+    x = with_a_common_vector(rng, n, 64, 40)
+    x[100:2100] = unit(x[2100:4100] + 0.12 * rng.normal(size=(2000, 64)) / 8)
+    got = similar.similar_points(points_table(spark, x), spark.createDataFrame([(7, [x[-1].tolist()], None)], ASKED))
+    got = {tuple(r) for r in got.where(f"kind = 'query' OR id_a < {n - n // 3}").collect()}
+    i, j = np.nonzero(x[: n - n // 3] @ x.T >= 0.97)
+    want = {("point", int(a), int(b)) for a, b in zip(i, j) if a < b}
+    want |= {("query", int(a), 7) for a in np.nonzero(x @ x[-1] >= 0.97)[0]}
+    assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.001 * len(want)
+
+
+def test_cells_of_a_common_vector(spark):
+    x = with_a_common_vector(np.random.default_rng(12), 60_000, 16, 200).astype(np.float32)
+    df = spark.createDataFrame([(i, 0, r.tobytes()) for i, r in enumerate(x)], neighbours.VECTORS)
+    cells = neighbours.plan_cells(df, [(df, 6)], 16, len(x))
+    c = cells.centroids
+    assert np.sort(c @ c.T, axis=1)[:, -2].max() < 0.9999 and len(c) > 100
+    tied = neighbours.Cells(np.repeat(c[:1], 50, axis=0), np.zeros(50), np.zeros(50))
+    assert (tied.visits(x[:100], 6) == tied.home(x[:100])[:, None]).any(1).all()
+
+
 # Problem 3.
 
 
