@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnwell.session import materialize
+
 #: Vectors per cell aimed at, the greatest number of cells, and rows of the sample that fits them, per cell and in all.
 CELL_ROWS = 256
 MOST_CELLS = 16_384
@@ -260,12 +262,46 @@ def pairs_above(
     return tiles.groupBy("tile").applyInArrow(run, "id bigint, no int, other bigint, other_no int")
 
 
-def best_k(base: DataFrame, visitors: DataFrame, cells: Cells, dim: int, k: int, visits: int = SEARCH_VISITS) -> DataFrame:
+def best_k(base: DataFrame, members: DataFrame, visitors: DataFrame, cells: Cells, dim: int, k: int, visits: int = SEARCH_VISITS) -> DataFrame:
     """(id, no, other, other_no, cosine, place): the ``k`` vectors of greatest cosine for every searching one.
 
-    Vectors of the same id are not each other's neighbours. Each tile keeps k per searching row,
-    after the codes have cut the candidates to those whose bound reaches the k-th best.
+    Vectors of the same id are not each other's neighbours; those with a negative ``no`` are of another kind and
+    exclude none. Each tile keeps k per searching row, after the codes have cut the candidates to those whose bound
+    reaches the k-th best. ``base`` and ``members`` come from :func:`contents`: equal vectors are searched as one and expanded at the end.
     """
+    found = _best_contents(base, visitors, cells, dim, k, visits)
+    w = W.partitionBy("id", "no").orderBy(F.col("cosine").desc(), F.col("other"), F.col("other_no"))
+    found = found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("place")
+    found = found.join(members, ["other", "other_no"], "left").select(
+        "id", "no", F.coalesce("member", "other").alias("other"), F.coalesce("member_no", "other_no").alias("other_no"), "cosine"
+    )
+    found = found.where((F.col("no") < 0) | (F.col("id") != F.col("other")))
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def contents(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(one vector per content, members of the shared ones as (other, other_no, member, member_no)).
+
+    A shared content goes by its least (id, no), with -1 - no where several ids share it, as it then is a
+    neighbour of each of them. Of its members the k + 1 least ids with k vectors each suffice for k neighbours.
+    """
+    keys = vectors.select("id", "no", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(7), "vec").alias("h2"))
+    groups = keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).where("n > 1")
+    shared = materialize(keys.join(groups, ["h1", "h2"]), "p2-shared")
+    of = W.partitionBy("h1", "h2")
+    first = shared.where("id = least").groupBy("h1", "h2", "least", "most").agg(F.min("no").alias("first"))
+    first = first.withColumn("coded", F.when(F.col("least") < F.col("most"), -1 - F.col("first")).otherwise(F.col("first")))
+    few = shared.withColumn("_i", F.dense_rank().over(of.orderBy("id"))).where(F.col("_i") <= k + 1)
+    few = few.withColumn("_r", F.row_number().over(W.partitionBy("h1", "h2", "id").orderBy("no"))).where(F.col("_r") <= k)
+    members = few.select("h1", "h2", F.col("id").alias("member"), F.col("no").alias("member_no")).join(
+        first.select("h1", "h2", F.col("least").alias("other"), F.col("coded").alias("other_no")), ["h1", "h2"]
+    )
+    single = vectors.join(shared.select("id", "no"), ["id", "no"], "left_anti").select("id", "no", "vec")
+    common = vectors.join(first.select(F.col("least").alias("id"), F.col("first").alias("no"), "coded"), ["id", "no"])
+    return single.unionByName(common.select("id", F.col("coded").alias("no"), "vec")), members.drop("h1", "h2")
+
+
+def _best_contents(base: DataFrame, visitors: DataFrame, cells: Cells, dim: int, k: int, visits: int) -> DataFrame:
     tiles = to_tiles(base, cells, dim, False, 1, True).unionByName(to_tiles(visitors, cells, dim, True, visits, True))
 
     def run(t: pa.Table) -> pa.Table:
@@ -274,9 +310,10 @@ def best_k(base: DataFrame, visitors: DataFrame, cells: Cells, dim: int, k: int,
         if len(b) and len(v):
             xb, xv = matrix(b.column("vec"), np.float32, dim), matrix(v.column("vec"), np.float32, dim)
             ib, iv = np.asarray(b.column("id")), np.asarray(v.column("id"))
+            own_b, own_v = np.asarray(b.column("no")) >= 0, np.asarray(v.column("no")) >= 0
             for at in range(0, len(v), 1024):
                 cos, bound = products(tuple(y[at : at + 1024] for y in cv), cb)
-                cos[iv[at : at + 1024][:, None] == ib[None, :]] = -9
+                cos[(iv[at : at + 1024][:, None] == ib[None, :]) & own_v[at : at + 1024][:, None] & own_b[None, :]] = -9
                 low = cos - bound
                 kth = np.partition(low, len(ib) - k, axis=1)[:, len(ib) - k] if len(ib) > k else np.full(len(low), -8.0)
                 i, j = np.nonzero((cos + bound >= kth[:, None]) & (cos > -8))
@@ -293,9 +330,7 @@ def best_k(base: DataFrame, visitors: DataFrame, cells: Cells, dim: int, k: int,
             [*(c.combine_chunks() for c in cols), pa.array(e.astype(np.float64))], names=["id", "no", "other", "other_no", "cosine"]
         )
 
-    found = tiles.groupBy("tile").applyInArrow(run, "id bigint, no int, other bigint, other_no int, cosine double")
-    w = W.partitionBy("id", "no").orderBy(F.col("cosine").desc(), F.col("other"), F.col("other_no"))
-    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return tiles.groupBy("tile").applyInArrow(run, "id bigint, no int, other bigint, other_no int, cosine double")
 
 
 def confirm(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:

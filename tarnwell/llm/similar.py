@@ -18,6 +18,7 @@ from tarnwell.llm.neighbours import (
     best_k,
     binary,
     confirm,
+    contents,
     copies,
     matrix,
     pairs_above,
@@ -178,8 +179,9 @@ def nearest_points(points: DataFrame, requests: DataFrame, k: int = 10, every: i
     vectors = materialize(live_points(points, dim), "p2-points")
     queries = materialize(query_vectors(requests, dim), "p2-queries")
     asked = vectors.unionByName(queries).where(F.col("id") % every == 0)
-    cells = plan_cells(vectors, [(asked, 24)], dim, max(1, vectors.count()))
-    return best_k(vectors, asked, cells, dim, k).select(
+    base, members = contents(vectors, k)
+    cells = plan_cells(base, [(asked, 24)], dim, max(1, base.count()))
+    return best_k(base, members, asked, cells, dim, k).select(
         F.when(F.col("no") < 0, F.lit("query")).otherwise(F.lit("point")).alias("kind"), "id", "no", "other", "cosine", "place"
     )
 
@@ -187,7 +189,8 @@ def nearest_points(points: DataFrame, requests: DataFrame, k: int = 10, every: i
 def nearest_tokens(records: DataFrame, k: int = 10, every: int = 20, dim: int = TOKEN_DIM) -> DataFrame:
     """(kind, id, no, other, other_no, cosine, place): the ``k`` tokens of other records nearest to every token of
     the records whose number is divisible by ``every``."""
-    base = materialize(tokens(token_matrices(records, dim), dim), "p2-tokens")
-    asked = base.where(F.col("id") % every == 0)
+    vectors = materialize(tokens(token_matrices(records, dim), dim), "p2-tokens")
+    asked = vectors.where(F.col("id") % every == 0)
+    base, members = contents(vectors, k)
     cells = plan_cells(base, [(asked, 24)], dim, max(1, base.count()))
-    return best_k(base, asked, cells, dim, k).select(F.lit("record").alias("kind"), "id", "no", "other", "other_no", "cosine", "place")
+    return best_k(base, members, asked, cells, dim, k).select(F.lit("record").alias("kind"), "id", "no", "other", "other_no", "cosine", "place")

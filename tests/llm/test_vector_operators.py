@@ -135,6 +135,41 @@ def test_cells_of_a_common_vector(spark):
     assert (tied.visits(x[:100], 6) == tied.home(x[:100])[:, None]).any(1).all()
 
 
+def test_nearest_of_a_common_vector(spark):
+    rng = np.random.default_rng(13)
+    n = 30_000
+    x = with_a_common_vector(rng, n, 64, 400)
+    hot = n - n // 3
+    x[1000:4000] = unit(x[4000:7000] + 0.5 * rng.normal(size=(3000, 64)) / 8)
+    asked = [(20, [x[-1].tolist(), x[20].tolist()], None)]
+    got = {}
+    for r in similar.nearest_points(points_table(spark, x), spark.createDataFrame(asked, ASKED)).orderBy("place").collect():
+        got.setdefault((r.kind, r.id, r.no), []).append(r.other)
+    least = list(range(hot, hot + 11))
+    for i in range(hot, n, 20):
+        assert got["point", i, 0] == [j for j in least if j != i][:10]
+    assert got["query", 20, -1] == least[:10] and got["query", 20, -2][0] == 20
+    for i in range(0, 400, 20):  # all of them lie nearest to the common vector
+        cos = x[i] @ x.T
+        assert set(got["point", i, 0]) == set(np.lexsort([np.arange(n), -np.where(np.arange(n) == i, -9, np.round(cos, 6))])[:10].tolist())
+    pairs = [(i, i + 3000) for i in range(1000, 4000, 20)]
+    assert np.mean([b in got["point", a, 0] for a, b in pairs]) >= 0.95
+
+
+def test_nearest_of_a_common_token(spark):
+    rng = np.random.default_rng(14)
+    hot = unit(rng.normal(size=24))
+    rows = [[hot.tolist()] * (1 + (i % 5 == 0)) + unit(rng.normal(size=(2, 24))).tolist() for i in range(3000)]
+    got = {}
+    found = similar.nearest_tokens(spark.createDataFrame(list(enumerate(rows)), "number bigint, vectors array<array<float>>"), k=4)
+    for r in found.orderBy("place").collect():
+        got.setdefault((r.id, r.no), []).append((r.other, r.other_no))
+    members = [(i, no) for i in range(20) for no in range(1 + (i % 5 == 0))]
+    assert len(got) == 150 * 4 and all(len(v) == 4 for v in got.values())
+    for i in range(0, 3000, 20):
+        assert got[i, 0] == got[i, 1] == [m for m in members if m[0] != i][:4]
+
+
 # Problem 3.
 
 
