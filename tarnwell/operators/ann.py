@@ -7,17 +7,20 @@ are scored exactly beside the lists, and probing every list equals the exact sea
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.functions.vectors import normalise, sort_key
+from tarnwell.operators import dense
 from tarnwell.operators.dense import literal
 from tarnwell.operators.quantize import train_centroids, unit
-from tarnwell.operators.topk import top
+from tarnwell.operators.topk import top, top_per
 
 #: Rows read to fit centroids, whatever the size of the table.
 TRAINING_ROWS = 65_536
@@ -104,6 +107,46 @@ class IvfIndex:
         key = sort_key(self.metric, "vector", literal(query))
         return top(rows.select("id", key.alias("sort_key")), k, "sort_key", ascending=True)
 
+    def search_batch(self, spark: SparkSession, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
+        """(qid, id, score, rank): the ``k`` rows of greatest cosine in the probed lists of every query (qid, vector).
+
+        Queries are taken in blocks; each task multiplies the rows of a list with the queries that probe it and
+        passes on k rows per query. Scores that agree to TIE_PLACES are ties and go to the lower id.
+        """
+        if self.metric != "cosine":
+            raise ValueError("batches are searched by cosine")
+        rows = spark.read.parquet(self.path).select(F.col("id").cast("bigint").alias("id"), "list", normalise("vector").alias("v"))
+        out = spark.createDataFrame([], "qid bigint, id bigint, score double")
+        for ids, q in dense._blocks(queries, "qid", "vector", True):
+            # Probes as in ``probe``: the nearest centroids by distance, the first of equals.
+            probed = [[] for _ in self.centroids]
+            gap = (self.centroids * self.centroids).sum(1)
+            for at in range(0, len(q), 4096):
+                near = np.argsort(gap - 2 * q[at : at + 4096] @ self.centroids.T, axis=1, kind="stable")[:, :nprobe]
+                for i, lists in enumerate(near, at):
+                    for c in lists:
+                        probed[c].append(i)
+            asked = [np.array(x, dtype=np.int64) for x in probed]
+
+            def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q, asked=asked) -> Iterator[pa.RecordBatch]:
+                best_s, best_i = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, np.int64)
+                for big in batches:
+                    for at in range(0, big.num_rows, 4096):
+                        b = big.slice(at, 4096)
+                        o = np.asarray(b.column("v").offsets)
+                        x = np.asarray(b.column("v").values)[o[0] : o[-1]].reshape(b.num_rows, -1)
+                        of, i = np.asarray(b.column("list")), np.asarray(b.column("id"))
+                        for c in np.unique(of):
+                            for part in range(0, len(asked[c]), 1024):
+                                a = asked[c][part : part + 1024]
+                                s = np.round(q[a] @ x[of == c].T, dense.TIE_PLACES)
+                                best_s[a], best_i[a] = _merged(best_s[a], best_i[a], s, i[of == c])
+                held = best_s > -np.inf
+                yield pa.RecordBatch.from_pydict({"qid": np.repeat(ids, held.sum(1)), "id": best_i[held], "score": best_s[held]})
+
+            out = out.unionByName(rows.mapInArrow(run, "qid bigint, id bigint, score double"))
+        return top_per(out, "qid", k)
+
     def search_widening(self, spark: SparkSession, query: list[float], k: int, target: int, options: AnnOptions = AnnOptions(), **kw) -> tuple[list, str]:
         """(rows, backend): search, once more with wider probing where fewer than ``target`` rows or a poor best
         one came back, and exactly (all lists) where that is not enough either."""
@@ -160,6 +203,21 @@ class IvfIndex:
         )
 
 
+def _merged(best_s: np.ndarray, best_i: np.ndarray, s: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row's ``best`` and its scores ``s`` of the rows ``ids``; of ties the lower ids."""
+    k = best_s.shape[1]
+    least = best_s[:, -1]
+    if s.shape[1] > k:
+        least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+    i, j = np.nonzero(s >= least[:, None])
+    row = np.concatenate([np.repeat(np.arange(len(s)), k), i])
+    score, at = np.concatenate([best_s.ravel(), s[i, j]]), np.concatenate([best_i.ravel(), ids[j]])
+    order = np.lexsort([at, -score, row])
+    count = np.bincount(row, minlength=len(s))
+    take = order[((np.cumsum(count) - count)[:, None] + np.arange(k))]
+    return score[take], at[take]
+
+
 def overlay(base: DataFrame, tombstones: DataFrame, delta: DataFrame, k: int) -> DataFrame:
     """Scores (id, sort_key) of a base less deleted and replaced ids, joined by those of the rows written since."""
     gone = tombstones.select("id").unionByName(delta.select("id")).distinct()

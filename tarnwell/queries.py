@@ -504,15 +504,30 @@ def token_explain(s, d):
     return late.explain_tokens(late.token_query(stored, q, 10, codec, encoder))
 
 
+#: Lists of the index and lists probed.
+IVF_LISTS, IVF_PROBES = 32, 12
+
+
+def _ivf(s, d, probes=None):
+    from tarnwell.operators.ann import IvfIndex
+    from tarnwell.session import scratch_path
+
+    live = materialize(_live(s, d), "ivf-live")
+    asked = live.where("id % 20 = 0").withColumnRenamed("id", "qid")
+    index = IvfIndex.build(live, scratch_path(s, "ivf"), IVF_LISTS)
+    return index.search_batch(s, asked, 10, probes or IVF_PROBES), live, asked
+
+
 @query()
 def ivf_topk(s, d):
-    from tarnwell.operators.ann import AnnOptions, IvfIndex
-    from tarnwell.session import scratch_path
+    return _ivf(s, d)[0]
 
-    live = _live(s, d)
-    index = IvfIndex.build(live, scratch_path(s, "ivf"), 32)
-    q = list(live.orderBy("id").select("vector").first()[0])
-    return index.search(s, q, 10, AnnOptions(nprobe=8))
+
+@query()
+def ivf_recall(s, d):
+    """Recall of ``ivf_topk`` against exhaustive search, per query."""
+    found, live, asked = _ivf(s, d)
+    return evalkit.recall_at_k(found, dense.batch_search(live, asked, 10), 10)
 
 
 # Evaluation.

@@ -228,6 +228,30 @@ def test_inverted_lists(spark, tmp_path):
     assert index.stats(spark).agg(F.sum("rows")).first()[0] == 400
 
 
+def test_inverted_lists_in_batches(spark, tmp_path):
+    x = datasets.synthetic_clusters(600, 8, 6)
+    x[300:330] = x[7]
+    df = datasets.from_numpy(spark, x)
+    asked = df.where("id % 20 = 0").withColumnRenamed("id", "qid")
+    index = ann.IvfIndex.build(df, str(tmp_path / "ivf"), 8)
+    rows = lambda t: {(r.qid, r["rank"]): r.id for r in t.collect()}
+    assert rows(index.search_batch(spark, asked, 10, 8)) == rows(dense.batch_search(df, asked, 10))
+    few = rows(index.search_batch(spark, asked, 10, 2))
+    one = index.search(spark, x[40].tolist(), 10, ann.AnnOptions(nprobe=2)).collect()
+    assert {few[40, i] for i in range(1, 11)} == {r.id for r in one}
+
+
+def test_inverted_list_queries(spark):
+    from tarnwell import queries
+
+    live = queries._live(spark, "/root/testdata/sf0.001")
+    asked = {r.id for r in live.where("id % 20 = 0").select("id").collect()}
+    found = queries.QUERIES["ivf_topk"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.qid for r in found} == asked and len(found) == 10 * len(asked)
+    recall = [r.recall for r in queries.QUERIES["ivf_recall"](spark, "/root/testdata/sf0.001").collect()]
+    assert len(recall) == len(asked) and np.mean(recall) >= 0.9
+
+
 def test_evaluation(spark):
     run = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "qid bigint, id bigint, rank int")
     qrels = spark.createDataFrame([(1, 11, 1.0), (1, 12, 1.0), (2, 5, 1.0)], "qid bigint, id bigint, grade double")
