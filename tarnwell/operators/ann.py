@@ -49,7 +49,7 @@ class IvfIndex:
         usable = df.where(F.col("vector").isNotNull())
         n = usable.count()
         step = max(1, n // TRAINING_ROWS)
-        sample = usable.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).orderBy("id").limit(TRAINING_ROWS).select("vector").collect()
+        sample = usable.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).orderBy(F.xxhash64("id"), "id").limit(TRAINING_ROWS).select("vector").collect()
         x = np.array([r.vector for r in sample], dtype=np.float64)
         lists = max(1, min(lists, len(x)))
         if metric == "cosine":

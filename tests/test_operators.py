@@ -241,6 +241,16 @@ def test_inverted_lists_in_batches(spark, tmp_path):
     assert {few[40, i] for i in range(1, 11)} == {r.id for r in one}
 
 
+def test_lists_are_fitted_on_rows_of_all_ids(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ann, "TRAINING_ROWS", 100)
+    monkeypatch.setattr(ann, "train_centroids", lambda x, lists, iterations: seen.append(x) or x[:lists])
+    x = np.ones((190, 8))
+    x[100:, 0] = 9
+    ann.IvfIndex.build(datasets.from_numpy(spark, x), str(tmp_path / "ivf"), 4)
+    assert len(seen[0]) == 100 and 30 <= (seen[0][:, 0] == 9).sum() <= 65
+
+
 def test_inverted_list_queries(spark):
     from tarnwell import queries
 
