@@ -20,11 +20,13 @@ z = 0; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnwell.llm.words import words
+from tarnwell.session import materialize
 
 #: The prior weighs as much as this share of the collection.
 PRIOR = 0.01
@@ -62,44 +64,105 @@ def index_postings(records: DataFrame) -> DataFrame:
     )
 
 
-def term_scores(records: DataFrame, prior: float = PRIOR) -> DataFrame:
-    """(number, kind, term, y, n, df, score) for every term of every record (rows: current records).
+def counted(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings, stats): how often each term occurs in each record, and over all of them (kind, term, Y, df).
 
-    Counting per record stays inside the partitioning by number that finding the current rows made.
-    Collection counts are aggregated on the map side before they shuffle, so a word that occurs in
-    every record arrives once per task. The join back to the counts is an equi-join on (kind, term)
-    that adaptive execution splits where a frequent word makes a partition large, or broadcasts
-    after measuring the counts. The two-row table of collection totals is the only fixed broadcast.
+    Both are written, so that every text is split once however often they are read. Collection counts are
+    aggregated on the map side before they shuffle: a word that occurs in every record arrives once per task.
     """
-    postings = word_postings(records).unionByName(index_postings(records))
+    postings = materialize(word_postings(records).unionByName(index_postings(records)), "p1-postings")
     stats = postings.groupBy("kind", "term").agg(F.sum("y").alias("Y"), F.count("*").alias("df"))
-    totals = stats.groupBy("kind").agg(F.sum("Y").alias("N"))
-    y, n, cap_y, cap_n = F.col("y"), F.col("n"), F.col("Y_all"), F.col("N_all")
-    a, a0 = cap_y * prior, cap_n * prior
-    # The rest's count is a difference of sums of doubles; what rounding leaves below 0 is 0.
-    rest = F.greatest(cap_y - y, F.lit(0.0))
-    others = F.greatest(cap_n - n + a0 - rest - a, F.lit(1e-12))
+    return postings, materialize(stats, "p1-stats")
+
+
+def log_odds(y: Column, n: Column, rest: Column, n_all: Column, prior: float) -> Column:
+    """The z-score of a term that occurs ``y`` times among the record's ``n`` and ``rest`` times in other records."""
+    a, a0 = (y + rest) * prior, n_all * prior
     inside = F.greatest(n + a0 - y - a, F.lit(1e-12))
+    others = F.greatest(n_all - n + a0 - rest - a, F.lit(1e-12))
     delta = F.log((y + a) / inside) - F.log((rest + a) / others)
+    return delta / F.sqrt(1.0 / (y + a) + 1.0 / (rest + a))
+
+
+def scored(postings: DataFrame, stats: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """(number, kind, term, y, n, df, score) for every term of every record.
+
+    The join of the counts is an equi-join on (kind, term) that adaptive execution splits where a frequent word
+    makes a partition large, or broadcasts after measuring the counts. The two-row table of collection totals is
+    the only fixed broadcast.
+    """
+    totals = stats.groupBy("kind").agg(F.sum("Y").alias("N_all"))
+    # The rest's count is a difference of sums of doubles; what rounding leaves below 0 is 0.
     return (
         postings.join(stats.withColumnRenamed("Y", "Y_all"), ["kind", "term"])
-        .join(F.broadcast(totals.withColumnRenamed("N", "N_all")), "kind")
-        .select("number", "kind", "term", "y", "n", "df", (delta / F.sqrt(1.0 / (y + a) + 1.0 / (rest + a))).alias("score"))
+        .join(F.broadcast(totals), "kind")
+        .withColumn("rest", F.greatest(F.col("Y_all") - F.col("y"), F.lit(0.0)))
+        .select("number", "kind", "term", "y", "n", "df", log_odds(F.col("y"), F.col("n"), F.col("rest"), F.col("N_all"), prior).alias("score"))
     )
 
 
-def marking_terms(scores: DataFrame, least_count: int = 3, least_share: float = 0.25, most_records: int = 12) -> DataFrame:
-    """Scored terms that occur often enough in the record and in few records.
+def term_scores(records: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """(number, kind, term, y, n, df, score) for every term of every record (rows: current records)."""
+    return scored(*counted(records), prior)
+
+
+#: Quarter octaves of a record's total for which the least score is tabulated, and steps of the rest's count.
+OCTAVES, STEPS = range(-80, 240), 48
+
 
-    The score's sign is no condition: in a collection of a few records a term that only some of them
-    hold can still be no more frequent in one of them than in the others.
+def least_scores(least: np.ndarray, n: tuple[np.ndarray, np.ndarray], n_all: float, most: float, prior: float) -> np.ndarray:
+    """A lower bound of the z-score for counts from ``least`` on, totals between the two arrays of ``n`` and rests up to ``most``.
+
+    The log-odds rise with the count and fall with the rest and the total; what they are multiplied with rises with
+    count and rest. So over a step of the rest the least product is that of the log-odds at its end and the factor
+    at its start; where the log-odds are negative, the factor is below the root of the rest's count with its prior.
+    """
+    low_n, high_n = (np.minimum(x, n_all) for x in n)
+    at = np.concatenate([[0.0], np.geomspace(0.01, max(most, 0.02), STEPS)])
+    y, start, end = least[:, None], at[None, :-1], at[None, 1:]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a, a0 = (y + end) * prior, n_all * prior
+        inside = np.maximum(high_n[:, None] + a0 - y - a, 1e-12)
+        others = np.maximum(n_all - high_n[:, None] + a0 - end - a, 1e-12)
+        delta = np.log((y + a) / inside) - np.log((end + a) / others)
+        b = (y + start) * prior
+        factor = 1 / np.sqrt(1 / (y + b) + 1 / (start + b))
+        beyond = np.sqrt(end * (1 + prior) + prior * high_n[:, None])
+        bound = np.nan_to_num(np.where(delta >= 0, delta * factor, delta * beyond), nan=-np.inf, neginf=-np.inf).min(1)
+    return np.where(low_n > 0, bound - 1e-6 * (1 + np.abs(bound)), -np.inf)
+
+
+def score_floors(stats: DataFrame, least_count: float, least_share: float, most_records: int, prior: float) -> DataFrame:
+    """(kind, octave, floor): the least score of a term that occurs often enough in a record of that size and in
+    at most ``most_records`` records. Two rows of totals are read; the table has 2 * len(OCTAVES) rows."""
+    few = F.max(F.when(F.col("df") <= most_records, F.col("Y")))
+    edges = 2.0 ** (np.array([*OCTAVES, OCTAVES.stop]) / 4)
+    low, high = edges[:-1].copy(), edges[1:].copy()
+    low[0], high[-1] = 0.0, np.inf
+    rows = []
+    for r in stats.groupBy("kind").agg(F.sum("Y").alias("all"), few.alias("most")).collect():
+        least = np.full(len(low), float(least_count)) if r.kind == "word" else least_share * low
+        bounds = least_scores(least, (low, high), r["all"], r.most or 0.0, prior)
+        rows += [(r.kind, o, float(x)) for o, x in zip(OCTAVES, bounds, strict=True)]
+    return stats.sparkSession.createDataFrame(rows, "kind string, octave int, floor double")
+
+
+def marking_terms(
+    records: DataFrame, least_count: int = 3, least_share: float = 0.25, most_records: int = 12, prior: float = PRIOR
+) -> DataFrame:
+    """(number, term): terms that occur often enough in the record and in few records.
+
+    All terms are scored, and those whose score such a term can have in a record of that size
+    (:func:`score_floors`) are the candidates; they are written, and their counts are then checked one by one.
     """
+    postings, stats = counted(records)
+    floors = score_floors(stats, least_count, least_share, most_records, prior)
+    octave = F.greatest(F.least(F.floor(4 * F.log2("n")), F.lit(OCTAVES.stop - 1)), F.lit(OCTAVES.start)).cast("int")
+    scores = scored(postings, stats, prior).withColumn("octave", octave)
+    high = scores.join(F.broadcast(floors), ["kind", "octave"]).where(F.col("score") >= F.col("floor"))
+    candidates = materialize(high.select("number", "kind", "term", "y", "n", "df", "score"), "p1-candidates")
     enough = F.when(F.col("kind") == "word", F.col("y") >= least_count).otherwise(F.col("y") >= least_share * F.col("n"))
-    return (
-        scores.where(enough & (F.col("df") <= most_records) & F.col("score").isNotNull())
-        .select("number", "term")
-        .dropDuplicates()
-    )
+    return candidates.where(enough & (F.col("df") <= most_records)).select("number", "term").dropDuplicates()
 
 
 def top_terms(scores: DataFrame, k: int = 10) -> DataFrame:

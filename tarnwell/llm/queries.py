@@ -28,7 +28,7 @@ def p1_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return distinctive.marking_terms(distinctive.term_scores(current(spark, d, "text", "sparse")))
+    return distinctive.marking_terms(current(spark, d, "text", "sparse"))
 
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:

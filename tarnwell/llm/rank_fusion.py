@@ -16,11 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnwell.session import materialize
+
 #: Channels in which a smaller score is better.
 SMALLER_IS_BETTER = ("dense_l2",)
-#: A group of more rows than this is ranked in slices of its score range.
+#: Where a query has more hits than this, hits are ranked in ranges of (query, score) that many tasks share.
 HOT_GROUP = 200_000
-SLICES = 64
+#: The constant of reciprocal ranks.
+K = 60.0
 
 
 def finite(c: Column) -> Column:
@@ -39,32 +42,24 @@ def best_hits(hits: DataFrame, smaller: tuple[str, ...] = SMALLER_IS_BETTER) ->
     )
 
 
-def ranked(df: DataFrame, group: list[str], score: str, tie: str, out: str, hot: int = HOT_GROUP) -> DataFrame:
-    """``out``: place from 1 within ``group`` by ``score`` descending, then ``tie`` ascending.
+def ranked(df: DataFrame, group: list[str], score: str, tie: str, out: str) -> DataFrame:
+    """``out``: place from 1 within ``group`` by ``score`` descending, then ``tie`` ascending, for groups of any size.
 
-    Groups up to ``hot`` rows are ranked in one window. Larger ones are cut at percentiles of their
-    score into slices of bounded size, ranked within the slice and shifted by the sizes of the
-    slices above, so no task sorts more than about 1/SLICES of a hot group. The table of hot groups
-    has at most rows / hot entries.
+    Rows are cut into ranges of (group, score, tie), so a hot group spans many ranges even where all its scores are
+    equal; a row's place is that inside its range plus what the group has in the ranges before. The ranges are written
+    first, since both parts of the sum must see the same cuts.
     """
-    sizes = df.groupBy(*group).agg(
-        F.count("*").alias("_n"), F.percentile_approx(score, [i / SLICES for i in range(1, SLICES)], 10_000).alias("_cut")
-    ).where(F.col("_n") > hot)
-    cuts = sizes.select(*group, F.array_distinct("_cut").alias("_cut"))
-    slice_no = F.when(F.col("_cut").isNull(), F.lit(0)).otherwise(
-        F.size(F.filter("_cut", lambda c: c >= F.col(score)))
-    )
-    sliced = df.join(cuts, group, "left").withColumn("_slice", slice_no).drop("_cut")
-    counts = sliced.groupBy(*group, "_slice").agg(F.count("*").alias("_in"))
-    above = counts.withColumn(
-        "_above", F.coalesce(F.sum("_in").over(W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ).where("_above > 0").drop("_in")
-    place = F.row_number().over(W.partitionBy(*group, "_slice").orderBy(F.col(score).desc(), F.col(tie).asc()))
+    cut = df.repartitionByRange(*group, F.desc(score), F.asc(tie)).withColumn("_range", F.spark_partition_id())
+    cut = materialize(cut, "p6-ranges")
+    held = cut.groupBy(*group, "_range").agg(F.count("*").alias("_in"))
+    before = F.sum("_in").over(W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    above = held.withColumn("_above", before).where("_above > 0").drop("_in")
+    place = F.row_number().over(W.partitionBy(*group, "_range").orderBy(F.col(score).desc(), F.col(tie).asc()))
     return (
-        sliced.withColumn("_place", place)
-        .join(above, [*group, "_slice"], "left")
+        cut.withColumn("_place", place)
+        .join(above, [*group, "_range"], "left")
         .withColumn(out, (F.col("_place") + F.coalesce("_above", F.lit(0))).cast("bigint"))
-        .drop("_place", "_above", "_slice")
+        .drop("_place", "_above", "_range")
     )
 
 
@@ -73,7 +68,7 @@ def _window_place(df: DataFrame, group: list[str], score: str, tie: str, out: st
     return df.withColumn(out, place.cast("bigint"))
 
 
-def reciprocal_rank_fusion(hits: DataFrame, k: float = 60.0, hot: int = HOT_GROUP) -> DataFrame:
+def reciprocal_rank_fusion(hits: DataFrame, k: float = K, hot: int = HOT_GROUP) -> DataFrame:
     """(query_id, number, total, position, channels, of_channels, worst_rank).
 
     ``channels`` counts the channels that hold the record, ``of_channels`` those in which the query
@@ -81,13 +76,13 @@ def reciprocal_rank_fusion(hits: DataFrame, k: float = 60.0, hot: int = HOT_GROU
 
     One small count decides the plan. Where no query has more than ``hot`` hits, the hits are hashed
     by query once and every later step (best hit, channel rank, total, position) works inside that
-    partitioning without another shuffle. Otherwise each step aggregates before it shuffles and hot
-    groups are ranked in slices (:func:`ranked`).
+    partitioning without another shuffle. Otherwise each step aggregates before it shuffles and ranks
+    in ranges (:func:`ranked`).
     """
     if hits.groupBy("query_id").count().where(F.col("count") > hot).isEmpty():
         hits, place = hits.select("query_id", "channel", "number", "raw_score").repartition("query_id"), _window_place
     else:
-        place = lambda *a: ranked(*a, hot=hot)
+        place = ranked
     in_channel = place(best_hits(hits), ["query_id", "channel"], "merit", "number", "channel_rank")
     fused = in_channel.groupBy("query_id", "number").agg(
         # Rounded, so that the order in which parts are added cannot part equal totals.
@@ -107,8 +102,28 @@ def reciprocal_rank_fusion(hits: DataFrame, k: float = 60.0, hot: int = HOT_GROU
     return placed.select("query_id", "number", "total", "position", "channels", "of_channels", "worst_rank")
 
 
-def unanimous_leaders(ranking: DataFrame, within: int = 2) -> DataFrame:
-    """Records among the ``within`` best of every channel of a query that has at least two channels."""
-    return ranking.where(
+def last_place(within: int, k: float) -> int:
+    """The last place of the fused ranking that a record among the ``within`` best of all c channels can take.
+
+    Its total is at least c / (k + within). Ranks in a channel are distinct, so m records have at most
+    c * (1 / (k + 1) + ... + 1 / (k + m)) together, and no more can reach that total than the greatest m for which
+    the mean of 1 / (k + rank) over ranks 1 to m does.
+    """
+    m, reached = 0, 0.0
+    while reached + 1 / (k + m + 1) >= (m + 1) / (k + within) - 1e-9:
+        m += 1
+        reached += 1 / (k + m)
+    return m
+
+
+def unanimous_leaders(ranking: DataFrame, within: int = 2, k: float = K) -> DataFrame:
+    """Records among the ``within`` best of every channel of a query that has at least two channels.
+
+    The fused ranking names the candidates: totals of at least channels / (k + within), which only the first
+    :func:`last_place` places can have. Their ranks are then checked one by one.
+    """
+    total = F.col("total") >= F.col("of_channels") / F.lit(k + within) - 1e-9
+    candidates = ranking.where(total & (F.col("position") <= last_place(within, k)))
+    return candidates.where(
         (F.col("of_channels") >= 2) & (F.col("channels") == F.col("of_channels")) & (F.col("worst_rank") <= within)
     ).select("query_id", "number")

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import oracles as o
 import pytest
 from hypothesis import given, settings
@@ -116,15 +117,32 @@ def test_scores_equal_plain_version(spark):
         assert {(n, t) for n, k, t in got if k == kind} == set(want)
         for (n, t), z in want.items():
             assert got[n, kind, t].score == pytest.approx(z, abs=1e-6)
-    marks = {tuple(r) for r in distinctive.marking_terms(distinctive.term_scores(df)).collect()}
+    marks = {tuple(r) for r in distinctive.marking_terms(df).collect()}
     assert (22, "only") in marks and all(k in marks for k in [(n, "4294967295") for n in range(8)])
-    assert distinctive.term_scores(df.where("false")).count() == 0
+    assert distinctive.term_scores(df.where("false")).count() == 0 and distinctive.marking_terms(df.where("false")).count() == 0
 
 
 def test_one_record_and_ties(spark):
     df = spark.createDataFrame([(1, "a a a b b b", None)], RECORD)
     top = distinctive.top_terms(distinctive.term_scores(df), 1).collect()
-    assert [(r.term, r.place) for r in top] == [("a", 1)] and distinctive.marking_terms(distinctive.term_scores(df)).count() == 2
+    assert [(r.term, r.place) for r in top] == [("a", 1)] and distinctive.marking_terms(df).count() == 2
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.floats(1, 2000), st.floats(0, 5000), st.floats(0, 1e6), st.floats(0, 1e7), st.sampled_from([3.0, 0.25]))
+def test_least_scores_are_bounds(y, rest, more, other, least):
+    """Whatever a term's counts, its score is not below the bound for its record's total."""
+    n = y + more
+    y = max(y, 3.0 if least == 3.0 else 0.25 * n)
+    n = max(n, y)
+    n_all = n + rest + other
+    octave = int(np.floor(4 * np.log2(n)))
+    low, high = np.array([2.0 ** (octave / 4)]), np.array([2.0 ** ((octave + 1) / 4)])
+    start = np.array([3.0]) if least == 3.0 else 0.25 * low
+    bound = distinctive.least_scores(start, (low, high), n_all, y + rest, 0.01)[0]
+    a, a0 = 0.01 * (y + rest), 0.01 * n_all
+    delta = math.log((y + a) / max(n + a0 - y - a, 1e-12)) - math.log((rest + a) / max(n_all - n + a0 - rest - a, 1e-12))
+    assert bound <= delta / math.sqrt(1 / (y + a) + 1 / (rest + a)) + 1e-6
 
 
 # Problem 5.

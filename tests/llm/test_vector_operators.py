@@ -337,3 +337,27 @@ def test_fusion_equals_plain_version(spark, hot):
     lead = {tuple(r) for r in rank_fusion.unanimous_leaders(got).collect()}
     assert lead == {k for k, v in want.items() if v[1] == v[2] >= 2 and v[3] <= 2}
     assert rank_fusion.reciprocal_rank_fusion(df.where("false"), hot=hot).count() == 0
+
+
+def test_places_of_a_hot_group_of_ties(spark):
+    rows = [(1, 0.5, i) for i in range(900)] + [(2, float(i % 3), i) for i in range(90)]
+    df = spark.createDataFrame(rows, "q int, s double, n bigint").repartition(4)
+    got = {(r.q, r.n): r.place for r in rank_fusion.ranked(df, ["q"], "s", "n", "place").collect()}
+    want = {(q, n): i for q in (1, 2) for i, (_, n) in enumerate(sorted((-s, n) for p, s, n in rows if p == q), 1)}
+    assert got == want
+
+
+@pytest.mark.parametrize("k", [0.0, 1.0, 10.0, 60.0])
+def test_last_place_of_a_leader(k):
+    """Random channels in which record 0 is among the two best of each: its total reaches the bound and its place too."""
+    rng = np.random.default_rng(int(k))
+    last = rank_fusion.last_place(2, k)
+    for _ in range(300):
+        c, totals = int(rng.integers(2, 7)), {}
+        for _ in range(c):
+            order = [int(n) for n in rng.permutation(np.arange(1, 9))]
+            order.insert(int(rng.integers(0, 2)), 0)
+            for r, n in enumerate(order, 1):
+                totals[n] = totals.get(n, 0) + 1 / (k + r)
+        assert totals[0] >= c / (k + 2) - 1e-9
+        assert sum(t >= totals[0] - 1e-12 for t in totals.values()) <= last
