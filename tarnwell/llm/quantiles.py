@@ -20,15 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnwell.session import materialize
 
 #: Tuples kept per summary: the uncertainty of a rank is at most about n / SIZE per level of compression.
-SIZE = 2048
-#: Summaries merged by one task for one group.
+SIZE = 1024
+#: The same for verdicts on statements, which a fifth of the value decides.
+VERDICT_SIZE = 512
+#: Summaries of a level merged at once.
 FAN_IN = 64
 #: Rows a task buffers before it summarises them.
 BUFFER = 1_000_000
@@ -83,6 +85,32 @@ def merge_all(parts: list[Summary], size: int = SIZE) -> Summary:
     return compress(parts[0], size)
 
 
+class Merger:
+    """Merges any number of summaries, holding fewer than FAN_IN per level.
+
+    FAN_IN summaries of a level become one of the next, so each value passes a number of merges that is the logarithm
+    of the number of summaries, and the ranks' error grows with that.
+    """
+
+    def __init__(self, size: int = SIZE):
+        self.size = size
+        self.levels: list[list[Summary]] = []
+
+    def add(self, s: Summary) -> None:
+        level = 0
+        while True:
+            if level == len(self.levels):
+                self.levels.append([])
+            self.levels[level].append(s)
+            if len(self.levels[level]) < FAN_IN:
+                return
+            s, self.levels[level] = merge_all(self.levels[level], self.size), []
+            level += 1
+
+    def result(self) -> Summary:
+        return merge_all([s for level in self.levels for s in level], self.size)
+
+
 def at_rank(s: Summary, rank: int) -> tuple[float, float, float, int]:
     """(estimate, low, high, error) for the value at ``rank`` from 1: low and high bound it for certain."""
     v, lo, hi, _ = s
@@ -161,12 +189,12 @@ def summarise(df: DataFrame, keys: dict[str, str], value: str, size: int = SIZE)
 
 
 def _merge_level(df: DataFrame, keys: dict[str, str], size: int) -> DataFrame:
-    """One summary per group. Rows arrive sorted by group, so a task holds one group's pieces at a time."""
+    """One summary per group. Rows arrive sorted by group, so a task merges one group at a time."""
     key_schema, full, sql = _schemas(keys)
     names = list(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, parts, done = None, [], []
+        current, held, done = None, None, []
         for b in batches:
             cols = [b.column(n).to_pylist() for n in names]
             lists = []
@@ -175,16 +203,16 @@ def _merge_level(df: DataFrame, keys: dict[str, str], size: int) -> DataFrame:
                 lists.append((np.asarray(c.offsets), np.asarray(c.values)))
             n = b.column("n").to_pylist()
             for i, key in enumerate(zip(*cols, strict=True)):
-                if parts and key != current:
-                    done.append((current, merge_all(parts, size)))
-                    parts = []
-                current = key
-                parts.append((*(x[o[i] : o[i + 1]] for o, x in lists), n[i]))
+                if held is None or key != current:
+                    if held is not None:
+                        done.append((current, held.result()))
+                    current, held = key, Merger(size)
+                held.add((*(x[o[i] : o[i + 1]] for o, x in lists), n[i]))
             if len(done) >= 1000:
                 yield _rows(done, key_schema, full)
                 done = []
-        if parts:
-            done.append((current, merge_all(parts, size)))
+        if held is not None:
+            done.append((current, held.result()))
         if done:
             yield _rows(done, key_schema, full)
 
@@ -199,8 +227,9 @@ def _merge_level(df: DataFrame, keys: dict[str, str], size: int) -> DataFrame:
 def combine(summaries: DataFrame, keys: dict[str, str], pieces: int, size: int = SIZE, spread: str | None = None) -> DataFrame:
     """Merge summaries into one per group of ``keys``.
 
-    ``pieces`` bounds the summaries per group from above; where it exceeds FAN_IN, groups are first
-    merged in that many shares (by a hash of ``spread``, or of the summary itself), level by level.
+    ``pieces`` is about how many summaries a group can have; where it exceeds FAN_IN, groups are first
+    merged in shares (by a hash of ``spread``, or of the summary itself), level by level, so that a hot
+    group is the work of many tasks. However many there are, a task holds a bounded number (:class:`Merger`).
     """
     while pieces > FAN_IN:
         pieces = math.ceil(pieces / FAN_IN)
@@ -283,45 +312,76 @@ def rollup_percentiles(log: DataFrame, by: str, ps: tuple[float, ...] = (0.5, 0.
     return percentiles(combine(parts, keys, FAN_IN * FAN_IN, size, spread="run_id"), [by], ps)
 
 
-def exact_at(rows: DataFrame, wanted: DataFrame, p: float, low: str, high: str) -> DataFrame:
-    """(run_id, exact): the percentile ``p`` of the runs in ``wanted``, which gives bounds and n.
+def exact_at(rows: DataFrame, wanted: DataFrame, key: str, p: float, low: str, high: str) -> DataFrame:
+    """(key, exact): the percentile ``p`` of the groups in ``wanted``, which gives n and bounds that hold it.
 
-    Values below the bounds are only counted; those within, a small share of the run that the
+    Values below the bounds are only counted; those within, a small share of the group that the
     summary's error bounds, are ranked.
     """
-    inside = rows.join(wanted.select("run_id", low, high, "n"), "run_id")
-    below = inside.groupBy("run_id").agg(F.sum((F.col("elapsed_ms") < F.col(low)).cast("bigint")).alias("_below"), F.first("n").alias("n"))
-    counts = inside.where(F.col("elapsed_ms").between(F.col(low), F.col(high))).groupBy("run_id", "elapsed_ms").agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(W.partitionBy("run_id").orderBy("elapsed_ms"))
+    inside = rows.select(key, "elapsed_ms").join(wanted.select(key, low, high, "n"), key)
+    below = inside.groupBy(key).agg(F.sum((F.col("elapsed_ms") < F.col(low)).cast("bigint")).alias("_below"), F.first("n").alias("n"))
+    counts = inside.where(F.col("elapsed_ms").between(F.col(low), F.col(high))).groupBy(key, "elapsed_ms").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(W.partitionBy(key).orderBy("elapsed_ms"))
     rank = F.floor(F.lit(p) * (F.col("n") - 1) + 0.5) + 1
     return (
-        counts.withColumn("_upto", upto).join(below, "run_id")
+        counts.withColumn("_upto", upto).join(below, key)
         .where(F.col("_below") + F.col("_upto") >= rank)
-        .groupBy("run_id").agg(F.min("elapsed_ms").alias("exact"))
+        .groupBy(key).agg(F.min("elapsed_ms").alias("exact"))
     )
 
 
-def misstated_runs(log: DataFrame, reports: DataFrame, tolerance: float = 0.2, size: int = SIZE) -> DataFrame:
-    """(run_id): runs whose stated median or 99th percentile is off by more than ``tolerance``.
+def settled(log: DataFrame, by: str, size: int = SIZE) -> DataFrame:
+    """(by, n, p50, p99): percentiles without error, from merged summaries and a count of what lies between their bounds."""
+    if by == "run_id":
+        known = run_percentiles(log, (0.5, 0.99), size)
+    else:
+        known = rollup_percentiles(log, by, (0.5, 0.99), size)
+    known, rows = materialize(known, "p4"), valid_times(log)
+    out = known.select(by, "n")
+    for p, name in ((0.5, "p50"), (0.99, "p99")):
+        out = out.join(exact_at(rows, known, by, p, f"{name}_low", f"{name}_high").withColumnRenamed("exact", name), by)
+    return out
 
-    The summaries decide every run whose bounds agree; runs they leave open, if any, are settled by
-    an exact count between the bounds.
+
+def verdict(stated: str, low: str, high: str, tolerance: float) -> Column:
+    """Whether a stated percentile is off by more than ``tolerance`` of one that lies between two bounds: true or
+    false where every value between them gives the same answer, null where the bounds leave it open.
+
+    A statement above a value by too much is so above every smaller one, and one below likewise above every larger one.
     """
-    stated = reports.where(F.col("run_id").isNotNull()).select("run_id", "p50_ms", "p99_ms").distinct()
-    known = materialize(run_percentiles(log, (0.5, 0.99), size), "p4")
+    s, lo, hi = F.col(stated), F.col(low), F.col(high)
 
-    def off(stated_col: str, actual: str):
-        s, x = F.col(stated_col), F.col(actual)
-        return s.isNotNull() & ~F.isnan(s) & (F.abs(s - x) > tolerance * x)
+    def above(x: Column) -> Column:
+        return s - x > tolerance * x
 
-    open_runs = known.where((F.col("p50_low") != F.col("p50_high")) | (F.col("p99_low") != F.col("p99_high")))
-    if open_runs.isEmpty():
-        actual = known.select("run_id", F.col("p50").alias("a50"), F.col("p99").alias("a99"))
-    else:
-        rows = valid_times(log)
-        e50 = exact_at(rows, open_runs, 0.5, "p50_low", "p50_high").withColumnRenamed("exact", "e50")
-        e99 = exact_at(rows, open_runs, 0.99, "p99_low", "p99_high").withColumnRenamed("exact", "e99")
-        actual = known.join(e50, "run_id", "left").join(e99, "run_id", "left").select(
-            "run_id", F.coalesce("e50", "p50").alias("a50"), F.coalesce("e99", "p99").alias("a99")
-        )
-    return stated.join(actual, "run_id").where(off("p50_ms", "a50") | off("p99_ms", "a99")).select("run_id").distinct()
+    def below(x: Column) -> Column:
+        return x - s > tolerance * x
+
+    none = s.isNull() | F.isnan(s)
+    return (
+        F.when(none, False).when(above(hi) | below(lo), True).when(~above(lo) & ~below(hi), False).otherwise(F.lit(None).cast("boolean"))
+    )
+
+
+def misstated_runs(log: DataFrame, reports: DataFrame, tolerance: float = 0.2, size: int = VERDICT_SIZE) -> DataFrame:
+    """(run_id): runs whose stated median or 99th percentile is off by more than ``tolerance``.
+
+    The bounds of the summaries give the verdict; only where both answers are possible between them are the
+    values of that run counted.
+    """
+    stated = reports.where(F.col("run_id").isNotNull()).select("run_id", "p50_ms", "p99_ms").distinct()
+    known = run_percentiles(log, (0.5, 0.99), size)
+    judged = stated.join(known, "run_id").withColumn("off50", verdict("p50_ms", "p50_low", "p50_high", tolerance)).withColumn(
+        "off99", verdict("p99_ms", "p99_low", "p99_high", tolerance)
+    )
+    judged = materialize(judged, "p4")
+    off = judged.where("off50 OR off99").select("run_id")
+    undecided = judged.where("NOT coalesce(off50 OR off99, false) AND (off50 IS NULL OR off99 IS NULL)")
+    if undecided.isEmpty():
+        return off.distinct()
+    runs = undecided.select("run_id", "n", "p50_low", "p50_high", "p99_low", "p99_high").distinct()
+    rows = valid_times(log.join(runs.select("run_id"), "run_id", "left_semi"))
+    for p, name in ((0.5, "50"), (0.99, "99")):
+        exact = exact_at(rows, runs, "run_id", p, f"p{name}_low", f"p{name}_high").withColumnRenamed("exact", f"e{name}")
+        undecided = undecided.join(exact, "run_id").withColumn(f"off{name}", verdict(f"p{name}_ms", f"e{name}", f"e{name}", tolerance))
+    return off.unionByName(undecided.where("off50 OR off99").select("run_id")).distinct()

@@ -67,6 +67,15 @@ def p4_days(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.rollup_percentiles(table(spark, d, "query_log"), "day")
 
 
+def p4_settled(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "query_log")
+    kinds = {"run": "run_id", "collection": "collection", "day": "day"}
+    parts = [
+        quantiles.settled(log, by).select(F.lit(kind).alias("kind"), F.col(by).cast("string").alias("of"), "n", "p50", "p99") for kind, by in kinds.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.misstated_runs(table(spark, d, "query_log"), table(spark, d, "run_reports"))
 
@@ -120,7 +129,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = [
-        p1_found, p1_scores, p2_found, p2_neighbours, p3_found, p3_clusters, p4_found, p4_runs, p4_collections, p4_days,
+        p1_found, p1_scores, p2_found, p2_neighbours, p3_found, p3_clusters, p4_found, p4_runs, p4_collections, p4_days, p4_settled,
         p5_found, p5_pieces, p6_found, p6_ranking, p7_found, p7_containers, p8_found, p8_leaks, p8_clean, p9_found, p9_measures,
     ]
     return {f.__name__: f for f in found}

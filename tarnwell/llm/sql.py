@@ -54,6 +54,14 @@ s AS (SELECT run_id, ms, row_number() OVER (PARTITION BY run_id ORDER BY ms) - 1
 p AS (SELECT run_id, max(CASE WHEN i = floor(0.5 * (n - 1) + 0.5) THEN ms END) AS a50, max(CASE WHEN i = floor(0.99 * (n - 1) + 0.5) THEN ms END) AS a99 FROM s GROUP BY run_id)
 SELECT DISTINCT run_id FROM run_reports JOIN p USING (run_id) WHERE (NOT isnan(p50_ms) AND abs(p50_ms - a50) > 0.2 * a50) OR (NOT isnan(p99_ms) AND abs(p99_ms - a99) > 0.2 * a99)"""
 
+P4_SETTLED = """
+WITH t AS (SELECT run_id, query_idx, rep, arg_min(elapsed_ms, ingested_at) AS ms, min(collection) AS collection, min(run_at)::DATE::VARCHAR AS day
+  FROM query_log WHERE elapsed_ms > 0 AND isfinite(elapsed_ms) GROUP BY ALL),
+k AS (SELECT 'run' AS kind, run_id::VARCHAR AS of, ms FROM t UNION ALL SELECT 'collection', collection, ms FROM t UNION ALL SELECT 'day', day, ms FROM t),
+s AS (SELECT kind, of, ms, row_number() OVER (PARTITION BY kind, of ORDER BY ms) - 1 AS i, count(*) OVER (PARTITION BY kind, of) AS n FROM k)
+SELECT kind, of, max(n)::BIGINT AS n, max(CASE WHEN i = floor(0.5 * (n - 1) + 0.5) THEN ms END) AS p50, max(CASE WHEN i = floor(0.99 * (n - 1) + 0.5) THEN ms END) AS p99
+FROM s GROUP BY kind, of"""
+
 P5 = rf"""
 WITH l AS (SELECT number, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT number, string_split(text, chr(10)) AS x FROM {CURRENT} WHERE length(text) > 1500)),
 o AS (SELECT number, i, line, regexp_extract(line, '^[\s\x{{000B}}\x{{0085}}\p{{Z}}]*') AS lead, coalesce(sum(length(line) + 1) OVER (PARTITION BY number ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l),
@@ -94,6 +102,6 @@ SELECT id AS doc_id FROM c GROUP BY id, n HAVING sum(covered) / n >= 0.3"""
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_found": P1, "p1_scores": P1_SCORES, "p2_found": P2, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p6_ranking": P6_RANKING,
+        "p1_found": P1, "p1_scores": P1_SCORES, "p2_found": P2, "p4_found": P4, "p4_settled": P4_SETTLED, "p5_found": P5, "p6_found": P6, "p6_ranking": P6_RANKING,
         "p7_found": P7, "p8_found": P8, "p8_clean": f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({P8}))", "p9_found": P9,
     }

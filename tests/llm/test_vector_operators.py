@@ -301,6 +301,37 @@ def test_levels_of_merging(spark, monkeypatch):
     assert got[0] == o.place(np.array([r[4] for r in rows if r[0] == 0]), 0.5)
 
 
+def test_any_number_of_summaries(spark):
+    """More summaries in a group than one level of merging takes, with few held at once."""
+    rng, m, values = np.random.default_rng(3), quantiles.Merger(64), []
+    for i in range(quantiles.FAN_IN**2 + 100):
+        v = np.round(rng.lognormal(size=int(rng.integers(1, 40))), 2)
+        values.append(v)
+        m.add(quantiles.compress(quantiles.exact(v), 64))
+        assert i % 500 or max(map(len, m.levels)) < quantiles.FAN_IN
+    s, v = m.result(), np.sort(np.concatenate(values))
+    assert s[3] == len(v) and len(s[0]) <= 64 and len(m.levels) == 3
+    for p in (0.0, 0.01, 0.5, 0.9, 0.99, 1.0):
+        rank = int(p * (len(v) - 1)) + 1
+        estimate, low, high, error = quantiles.at_rank(s, rank)
+        at = np.searchsorted(v, estimate, "left") + 1, np.searchsorted(v, estimate, "right")
+        assert low <= v[rank - 1] <= high and at[0] - error <= rank <= at[1] + error and error <= 0.15 * len(v)
+
+
+def test_verdicts(spark):
+    rows = [(130.0, 90.0, 100.0, True), (130.0, 100.0, 120.0, None), (100.0, 95.0, 110.0, False), (70.0, 95.0, 110.0, True), (85.0, 100.0, 110.0, None), (None, 1.0, 2.0, False), (float("nan"), 1.0, 2.0, False)]
+    df = spark.createDataFrame(rows, "s double, lo double, hi double, want boolean")
+    assert all(r.want == r.got for r in df.withColumn("got", quantiles.verdict("s", "lo", "hi", 0.2)).collect())
+
+
+def test_settled_percentiles(spark):
+    df, rows = log_table(spark, 600)
+    for by, at in (("run_id", lambda r: r[0]), ("collection", lambda r: r[1]), ("day", lambda r: str(r[5].date()))):
+        for r in quantiles.settled(df, by, 16).collect():
+            v = np.array([x[4] for x in rows if at(x) == r[by]])
+            assert (r.n, r.p50, r.p99) == (len(v), o.place(v, 0.5), o.place(v, 0.99))
+
+
 # Problem 6.
 
 HIT = "query_id bigint, channel string, number bigint, raw_score double"
