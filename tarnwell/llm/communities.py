@@ -7,12 +7,15 @@
 2. Community detection by modularity. Local moves inside the blocks of the first pass join records
    into small communities, which become the nodes of a contracted graph; both passes give its edges,
    summed before they leave a task. While the contracted graph has more than ``DRIVER_NODES`` nodes
-   or ``DRIVER_LINKS`` links, pairs that are each other's best gain in modularity are joined in
-   Spark; then local moves with contraction finish it on the driver.
+   or ``DRIVER_LINKS`` links, communities are joined in Spark with the neighbour they gain most modularity
+   with; then local moves with contraction finish it on the driver. Where none gains any more above
+   those limits, the communities are final as they are.
 3. The communities are brought to the number asked for: those of alike mean direction are joined, and
-   of those that remain, the ones that hold the most records are kept.
-4. An exact check against the mean directions drops records below the membership limit and hands a
-   record that only reaches it elsewhere to that cluster.
+   of those that remain, the ones are kept that most of their own records are close to. The driver sees
+   the ``MOST_GROUPS`` largest communities; smaller ones are joined in the tasks.
+4. A record belongs to the cluster of its community, or else to the one its links weigh most for. The mean
+   directions only reject records below the membership limit; a record that the graph left out although it
+   reaches a cluster is added last, and counted (``how``).
 
 Typical members are those of highest weighted degree inside their cluster.
 
@@ -27,8 +30,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,10 +48,10 @@ MEMBER = 0.75
 #: mean direction, have its square. Without it stray records bridge clusters and small ones are swallowed.
 LINK = MEMBER**2
 #: Nodes and links (both directions) of the contracted graph that the driver takes over.
-DRIVER_NODES = 20_000
-DRIVER_LINKS = 1_000_000
-#: Candidate clusters that are counted over all records, at least; more if more clusters are asked for.
-CANDIDATES = 512
+DRIVER_NODES = 10_000
+DRIVER_LINKS = 200_000
+#: So many of the largest groups are compared on the driver; smaller ones in the tasks.
+MOST_GROUPS = 1024
 
 
 def record_means(records: DataFrame, dim: int = DIM) -> DataFrame:
@@ -254,36 +258,49 @@ def relabel(df: DataFrame, column: str, pairs: DataFrame) -> DataFrame:
     return df.join(p, F.col(column) == F.col("_from"), "left").withColumn(column, F.coalesce("_to", column)).drop("_from", "_to")
 
 
-def coarsen(edges: DataFrame, most: int, links: int = DRIVER_LINKS) -> tuple[DataFrame, DataFrame | None]:
-    """Join communities that are each other's best gain until at most ``most`` with ``links`` links are left.
+def coarsen(edges: DataFrame, most: int, links: int = DRIVER_LINKS) -> tuple[DataFrame, DataFrame | None, bool]:
+    """Join communities with the one they gain most with until at most ``most`` with ``links`` links are left.
 
-    ``edges``: (a, b, w) with both directions. Gives the contracted edges and the table (comm, into)
-    of what was joined, or None.
+    ``edges``: (a, b, w) with both directions. Gives the contracted edges, the table (comm, into) of what was
+    joined, or None, and whether the rest is small. It is not only where joining two communities raises
+    modularity nowhere any more. Best is the neighbour of most weight for the product of degrees among those that
+    gain: by the gain alone a large community would be the best of all around it. In each round the communities are
+    heads, which stay, or tails, which join their best if that is a head: of two that are each other's best the
+    greater number is a tail, others are by a hash. So about a third goes in a round and no chains arise.
     """
-    mapping = None
+    mapping, turn = None, 0
     while True:
         nodes, rows = edges.agg(F.count_distinct("a"), F.count("*")).first()
         if nodes <= most and rows <= links:
-            break
+            return edges, mapping, True
+        turn += 1
         degree = edges.groupBy("a").agg(F.sum("w").alias("d"))
         m2 = edges.agg(F.sum("w")).first()[0]
         gain = F.col("w") - F.col("da") * F.col("db") / F.lit(m2)
         scored = (
             edges.where("a <> b").join(degree.withColumnRenamed("d", "da"), "a")
-            .join(degree.select(F.col("a").alias("b"), F.col("d").alias("db")), "b").withColumn("gain", gain)
+            .join(degree.select(F.col("a").alias("b"), F.col("d").alias("db")), "b").where(gain > 0)
         )
-        best = scored.groupBy("a").agg(F.max_by("b", F.struct("gain", -F.col("b"))).alias("b"), F.max("gain").alias("gain")).where("gain > 0")
-        back = best.select(F.col("a").alias("b"), F.col("b").alias("a"))
-        pairs = materialize(best.join(back, ["a", "b"]).where("a < b").select(F.col("b").alias("comm"), F.col("a").alias("into")), "p3-pairs")
-        if pairs.isEmpty():
-            break
+        # The same key for both ends.
+        key = F.struct(F.col("w") / (F.col("da") * F.col("db")), -F.least("a", "b"), -F.greatest("a", "b"))
+        best = materialize(scored.groupBy("a").agg(F.max_by("b", key).alias("b")), "p3-best")
+        if best.isEmpty():
+            return edges, mapping, False
+        coin = F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(2)) == 0
+        sided = best.join(best.select(F.col("a").alias("b"), F.col("b").alias("_back")), "b").select(
+            "a", "b", F.when(F.col("a") == F.col("_back"), F.col("a") < F.col("b")).otherwise(coin).alias("head")
+        )
+        heads = sided.where("head").select(F.col("a").alias("b"))
+        pairs = materialize(sided.where("NOT head").join(heads, "b", "left_semi").select(F.col("a").alias("comm"), F.col("b").alias("into")), "p3-pairs")
+        release(best)
         old = edges
         renamed = relabel(relabel(edges, "a", pairs), "b", pairs)
         edges = materialize(renamed.groupBy("a", "b").agg(F.sum("w").alias("w")), "p3-edges")
         release(old)
         grown = pairs if mapping is None else relabel(mapping, "into", pairs).unionByName(pairs)
-        mapping = materialize(grown, "p3-mapping")
-    return edges, mapping
+        before, mapping = mapping, materialize(grown, "p3-mapping")
+        release(before)
+        release(pairs)
 
 
 def directions(sums: np.ndarray) -> np.ndarray:
@@ -292,42 +309,114 @@ def directions(sums: np.ndarray) -> np.ndarray:
 
 
 def merge_alike(sums: np.ndarray, sizes: np.ndarray, alike: float = MEMBER) -> tuple[np.ndarray, np.ndarray]:
-    """(candidate of each community, sums of the candidates): communities whose mean directions are ``alike``
+    """(candidate of each group, sums of the candidates): groups whose mean directions are ``alike``
     are joined, largest first, so a few stray records do not turn the direction of a large one."""
     of = np.full(len(sizes), -1)
-    centres = np.zeros((len(sizes), sums.shape[1]))
+    centres, pointing = np.zeros_like(sums), np.zeros_like(sums)
     used = 0
-    for i in np.argsort(-sizes, kind="stable"):
+    for i, own in zip(order := np.argsort(-sizes, kind="stable"), directions(sums[order]), strict=True):
+        into = used
         if used:
-            cos = directions(centres[:used]) @ directions(sums[i : i + 1])[0]
+            cos = pointing[:used] @ own
             best = int(cos.argmax())
-            if cos[best] >= alike:
-                of[i] = best
-                centres[best] += sums[i]
-                continue
-        of[i] = used
-        centres[used] = sums[i]
-        used += 1
+            into = best if cos[best] >= alike else used
+        of[i] = into
+        used = max(used, into + 1)
+        centres[into] += sums[i]
+        pointing[into] = directions(centres[into : into + 1])[0]
     return of, centres[:used]
 
 
-def held_by(vectors: DataFrame, centres: np.ndarray, dim: int, least: float = MEMBER) -> np.ndarray:
-    """How many vectors each direction holds: those nearest to it that reach ``least``."""
+def alike_within_blocks(groups: DataFrame, dim: int, n: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(grp, into, n, s): ``groups`` (grp, n, s) joined where alike inside blocks of similar directions; each goes
+    by the least of its groups' numbers, with the size and sum of all on the row of that one."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(centres), np.int64)
+    def pointed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = matrix(b.column("vec"), np.float32, dim)
-            for at in range(0, len(x), 4096):
-                cos = x[at : at + 4096] @ centres.astype(np.float32).T
-                best = cos.argmax(1)
-                n += np.bincount(best[cos.max(1) >= least], minlength=len(centres))
-        yield pa.RecordBatch.from_pydict({"k": np.arange(len(n), dtype=np.int32), "n": n})
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column("grp"), binary(directions(_rows_of(b, "s", dim)).astype(np.float32))], names=["id", "vec"])
+
+    pointing = materialize(groups.mapInArrow(pointed, "id bigint, vec binary"), "p3-directions")
+    cells = plan_cells(pointing.withColumn("no", F.lit(0)), [], dim, max(n, 1), block_rows)
+    placed = blocks(pointing, cells, dim, []).select("block", F.col("id").alias("grp")).join(groups, "grp")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("grp").combine_chunks()
+        grp, size = np.asarray(t.column("grp")), np.asarray(t.column("n"))
+        of, sums = merge_alike(_rows_of(t, "s", dim), size)
+        lead = np.full(len(sums), np.iinfo(np.int64).max)
+        np.minimum.at(lead, of, grp)
+        return pa.table({"grp": grp, "into": lead[of], "n": np.bincount(of, size, len(sums)).astype(np.int64)[of], "s": sums[of].tolist()}, schema=_MERGED)
+
+    return placed.groupBy("block").applyInArrow(run, "grp bigint, into bigint, n bigint, s array<double>")
+
+
+_MERGED = pa.schema([("grp", pa.int64()), ("into", pa.int64()), ("n", pa.int64()), ("s", pa.list_(pa.float64()))])
+
 
-    counts = np.zeros(len(centres), np.int64)
-    for k, n in vectors.select("vec").mapInArrow(run, "k int, n bigint").groupBy("k").agg(F.sum("n")).collect():
-        counts[k] = n
-    return counts
+def _rows_of(t: pa.Table | pa.RecordBatch, column: str, dim: int) -> np.ndarray:
+    return np.array(t.column(column).to_pylist(), dtype=np.float64).reshape(-1, dim)
+
+
+def candidates(groups: DataFrame, dim: int, most: int = MOST_GROUPS) -> tuple[DataFrame, np.ndarray]:
+    """((grp, cand), sums of the candidates): which groups (grp, n, s) of the graph are one cluster's.
+
+    The ``most`` largest groups are joined where alike on the driver. Each smaller group goes to the candidate it
+    is alike with. Those that are alike with none are joined with each other in blocks, and the ``most`` largest
+    that result are candidates too. So what the driver sees does not grow with the number of stray groups, and a
+    group it does not see is smaller than all of those.
+    """
+    spark = groups.sparkSession
+
+    def largest(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        t = df.orderBy(F.desc("n"), F.asc("grp")).limit(most).select("grp", "n", "s").toArrow()
+        return np.asarray(t.column("grp"), dtype=np.int64), np.asarray(t.column("n"), dtype=np.int64), _rows_of(t, "s", dim)
+
+    ids, size, sums = largest(groups)
+    of, centre = merge_alike(sums, size)
+    pairs = [(int(g), int(c)) for g, c in zip(ids, of, strict=True)]
+
+    def placed(df: DataFrame, centre: np.ndarray) -> DataFrame:
+        pointing = directions(centre)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                cand = np.full(b.num_rows, -1)
+                if len(pointing):
+                    cos = directions(_rows_of(b, "s", dim)) @ pointing.T
+                    cand = np.where(cos.max(1) >= MEMBER, cos.argmax(1), -1)
+                yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("n"), b.column("s"), pa.array(cand.astype(np.int32))], names=["grp", "n", "s", "cand"])
+
+        return df.select("grp", "n", "s").mapInArrow(run, "grp bigint, n bigint, s array<double>, cand int")
+
+    smaller = groups.where("false")
+    if len(ids):
+        last = F.col("n") == int(size[-1])
+        smaller = groups.where((F.col("n") < int(size[-1])) | (last & (F.col("grp") > int(ids[-1]))))
+    small = materialize(placed(smaller, centre), "p3-small")
+    loose = small.where("cand < 0").select("grp", "n", "s")
+    kept = small.where("cand >= 0").select("grp", "cand")
+    if not loose.isEmpty():
+        merged = materialize(alike_within_blocks(loose, dim, loose.count()), "p3-loose")
+        new, size, sums = largest(merged.where("grp = into"))
+        if len(new):
+            of, more = merge_alike(sums, size)
+            more_of = spark.createDataFrame([(int(g), int(c) + len(centre)) for g, c in zip(new, of, strict=True)], "into bigint, cand int")
+            kept = kept.unionByName(merged.join(more_of, "into").select("grp", "cand"))
+            centre = np.concatenate([centre, more])
+    return spark.createDataFrame(pairs, "grp bigint, cand int").unionByName(kept), centre
+
+
+def _doubles(column: str, dim: int) -> Column:
+    """The doubles of a binary row (little-endian) as an array."""
+
+    @F.pandas_udf("array<double>")
+    def read(v: pd.Series) -> pd.Series:
+        return pd.Series(list(np.frombuffer(b"".join(v), np.float64).reshape(-1, dim)))
+
+    return read(column)
 
 
 def _sums(nodes: DataFrame, key: str, dim: int) -> DataFrame:
@@ -364,10 +453,10 @@ def _sums(nodes: DataFrame, key: str, dim: int) -> DataFrame:
 
 
 def clusters(
-    records: DataFrame, k: int, dim: int = DIM, neighbours: int = NEIGHBOURS, block_rows: int = BLOCK_ROWS, driver_nodes: int = DRIVER_NODES
-) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members are (id, cluster, cosine) with cluster 0 .. k - 1, links (id, comm, other, w)
-    together with ``mapped`` and ``other_mapped``, the clusters of both communities."""
+    records: DataFrame, k: int, dim: int = DIM, neighbours: int = NEIGHBOURS, block_rows: int = BLOCK_ROWS,
+    driver_nodes: int = DRIVER_NODES, most_groups: int = MOST_GROUPS,
+) -> tuple[DataFrame, DataFrame]:
+    """(members, links): members are (id, cluster, cosine, how) with cluster 0 .. k - 1, links (id, w, other_cluster)."""
     spark = records.sparkSession
     vectors = materialize(record_means(records, dim), "p3-means")
     n = max(1, vectors.count())
@@ -375,6 +464,7 @@ def clusters(
     cells = plan_cells(with_no, [], dim, n, block_rows)
     other_cells = plan_cells(with_no.withColumn("no", F.lit(1)), [], dim, n, block_rows * 3 // 4)
     nodes = materialize(first_pass(blocks(vectors, cells, dim, []), dim, neighbours), "p3-nodes")
+    release(vectors)
     within = nodes.select("id", "comm", F.explode(F.arrays_zip(F.col("others"), F.col("ws"))).alias("e")).select(
         "id", "comm", F.col("e.others").alias("other"), F.col("e.ws").alias("w")
     )
@@ -385,69 +475,97 @@ def clusters(
         one_way.select(F.col("other").alias("a"), F.col("comm").alias("b"), "w")
     )
     edges = materialize(both.groupBy("a", "b").agg(F.sum("w").alias("w")), "p3-edges")
-    edges, joined = coarsen(edges, driver_nodes)
-    labelled = nodes.select("id", "comm", "vec")
+    edges, joined, small = coarsen(edges, driver_nodes)
+    # (comm, grp) of every community with a link; a record without any has no group and never leaves the tasks.
+    if small:
+        e = edges.where("a <= b").toArrow()
+        a, b, w = (np.asarray(e.column(c)) for c in ("a", "b", "w"))
+        comm = np.unique(np.concatenate([a, b]))
+        label = modularity_communities(len(comm), np.searchsorted(comm, a), np.searchsorted(comm, b), np.asarray(w, dtype=np.float64))
+        grouped = spark.createDataFrame([(int(c), int(g)) for c, g in zip(comm, label, strict=True)], "comm bigint, grp bigint")
+    else:
+        grouped = edges.select(F.col("a").alias("comm"), F.col("a").alias("grp")).distinct()
     if joined is not None:
-        labelled = labelled.join(joined, "comm", "left").withColumn("comm", F.coalesce("into", "comm")).drop("into")
-    sums = _sums(labelled, "comm", dim).toArrow()
-    comm = np.asarray(sums.column("comm")) if len(sums) else np.empty(0, np.int64)
-    size = np.asarray(sums.column("n")) if len(sums) else np.empty(0, np.int64)
-    total = np.array(sums.column("s").to_pylist()).reshape(-1, dim)
-    order = np.argsort(comm)
-    comm, size, total = comm[order], size[order], total[order]
-    e = edges.where("a <= b").toArrow()
-    a, b, w = (np.asarray(e.column(c)) for c in ("a", "b", "w"))
-    a, b = np.searchsorted(comm, a), np.searchsorted(comm, b)
-    label = modularity_communities(len(comm), a, b, np.asarray(w, dtype=np.float64)) if len(comm) else np.empty(0, int)
-    groups = int(label.max()) + 1 if len(label) else 0
-    group_sum, group_size = np.zeros((groups, dim)), np.bincount(label, size, groups)
-    np.add.at(group_sum, label, total)
-    candidate, centre = merge_alike(group_sum, group_size)
-    # Of the candidates, at most CANDIDATES of them by size, those that hold the most records are kept.
-    largest = np.argsort(-np.bincount(candidate, group_size, len(centre)), kind="stable")[: max(CANDIDATES, 4 * k)]
-    held = held_by(vectors, directions(centre[largest]), dim) if groups else np.empty(0)
-    keep = largest[np.argsort(-held, kind="stable")[:k]]
+        later = joined.join(grouped.withColumnRenamed("comm", "into"), "into").select("comm", "grp")
+        grouped = later.unionByName(grouped)
+    labelled = materialize(nodes.select("id", "vec", "comm").join(grouped, "comm", "left"), "p3-groups")
+    groups = materialize(_sums(labelled.where("grp IS NOT NULL"), "grp", dim), "p3-sums")
+    of, centre = candidates(groups, dim, max(most_groups, k))
+    labelled = materialize(labelled.join(of, "grp", "left").select("id", "vec", "comm", F.coalesce("cand", F.lit(-1)).alias("cand")), "p3-labelled")
+    # Of the candidates those are kept whose own records reach their direction most often.
+    size, own = _reaching(labelled, directions(centre), dim)
+    keep = np.argsort(-size, kind="stable")[:k]
     place = np.full(len(centre), -1)
     place[keep] = np.arange(len(keep))
-    cluster = place[candidate][label] if groups else np.empty(0, int)
-    rows = [(int(c), int(g)) for c, g in zip(comm, cluster, strict=True)]
-    mapping = spark.createDataFrame(rows, "comm bigint, cluster int")
-    if joined is not None:
-        final = joined.join(mapping.withColumnRenamed("comm", "into"), "into").select("comm", "cluster").unionByName(mapping)
-    else:
-        final = mapping
+    numbers = spark.createDataFrame([(int(c), int(p)) for c, p in enumerate(place) if p >= 0], "cand int, cluster int")
+    labelled = labelled.join(F.broadcast(numbers), "cand", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
     centres = np.zeros((k, dim))
-    np.add.at(centres, cluster[cluster >= 0], total[cluster >= 0])
-    members = _check(nodes.join(final, "comm", "left"), directions(centres), dim)
-    for _ in range(2):  # the mean directions without those that fell out
-        found = _sums(members.where("cluster >= 0"), "cluster", dim).toArrow()
-        centres = np.zeros((k, dim))
-        for c, s in zip(found.column("cluster").to_pylist(), found.column("s").to_pylist(), strict=True):
-            centres[c] = s
-        members = _check(nodes.join(final, "comm", "left"), directions(centres), dim)
-    mapped = links.join(final.withColumnRenamed("cluster", "mapped"), "comm", "left").join(
-        final.select(F.col("comm").alias("other"), F.col("cluster").alias("other_mapped")), "other", "left"
-    )
-    return members.where("cluster >= 0").select("id", "cluster", "cosine"), mapped
+    centres[: len(keep)] = _reaching(labelled.withColumn("cand", F.col("cluster")), directions(own[keep]), dim)[1]
+    clustered = labelled.where("cluster >= 0").select("comm", F.col("cluster").alias("other_cluster")).distinct()
+    linked = links.join(clustered.withColumnRenamed("comm", "other"), "other").select("id", "w", "other_cluster")
+    return _members(labelled, linked, directions(centres), dim), linked
+
 
+def _reaching(labelled: DataFrame, centres: np.ndarray, dim: int, least: float = MEMBER) -> tuple[np.ndarray, np.ndarray]:
+    """(number, sum) of the vectors of each candidate (column ``cand``) that reach ``least`` with its direction.
 
-def _check(labelled: DataFrame, centres: np.ndarray, dim: int, least: float = MEMBER) -> DataFrame:
-    """(id, vec, cluster, cosine): the record's own cluster where it reaches ``least`` there, the one cluster
-    in which it does otherwise, or -1."""
+    Added up in each task, which passes on one row per candidate.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s = np.zeros(len(centres), np.int64), np.zeros((len(centres), dim))
         for b in batches:
-            x = matrix(b.column("vec"), np.float32, dim).astype(np.float64)
-            own = np.asarray(b.column("cluster").fill_null(-1)).astype(np.int64)
-            cos = x @ centres.T
-            row = np.arange(len(x))
-            mine = np.where(own >= 0, cos[row, np.maximum(own, 0)], -2)
-            best = cos.argmax(1) if len(x) else own
-            cluster = np.where(mine >= least, own, np.where(cos[row, best] >= least, best, -1))
-            value = cos[row, np.maximum(cluster, 0)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(cluster, pa.int64()), pa.array(value)], names=["id", "vec", "cluster", "cosine"])
+            x, of = matrix(b.column("vec"), np.float32, dim).astype(np.float64), np.asarray(b.column("cand")).astype(np.int64)
+            good = of >= 0
+            good[good] = np.einsum("ij,ij->i", x[good], centres[of[good]]) >= least
+            n += np.bincount(of[good], minlength=len(centres))
+            np.add.at(s, of[good], x[good])
+        hit = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(n[hit], pa.int64()), binary(s[hit])], names=["k", "n", "s"])
+
+    size, sums = np.zeros(len(centres), np.int64), np.zeros((len(centres), dim))
+    parts = labelled.where("cand >= 0").select("vec", "cand").mapInArrow(run, "k bigint, n bigint, s binary")
+    added = F.array(*[F.sum(F.col("v")[i]) for i in range(dim)])
+    parts = parts.select("k", "n", _doubles("s", dim).alias("v")).groupBy("k").agg(F.sum("n").alias("n"), added.alias("v"))
+    for r in parts.collect():
+        size[r.k], sums[r.k] = r.n, r.v
+    return size, sums
+
+
+def _members(labelled: DataFrame, linked: DataFrame, centres: np.ndarray, dim: int, least: float = MEMBER) -> DataFrame:
+    """(id, cluster, cosine, how): the cluster of each record's community, else that of most weight among its links,
+    else any, each only where the record reaches ``least`` with the cluster's direction; others are left out.
+
+    ``how`` is ``community``, ``links`` or ``direction``. The last stands for records the graph leaves without a
+    cluster although they reach one: neighbours that descent did not find.
+    """
 
-    return labelled.select("id", "vec", "cluster").mapInArrow(run, "id bigint, vec binary, cluster bigint, cosine double")
+    def tested(df: DataFrame, how: str, left: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = matrix(b.column("vec"), np.float32, dim).astype(np.float64)
+                at = np.asarray(b.column("cluster")).astype(np.int64)
+                if how == "direction":
+                    at = (x @ centres.T).argmax(1) if len(x) else at
+                cos = np.where(at >= 0, np.einsum("ij,ij->i", x, centres[np.maximum(at, 0)]), -2.0)
+                keep = pa.array(cos < least if left else cos >= least)
+                if left:
+                    yield pa.RecordBatch.from_arrays([b.column("id").filter(keep), b.column("vec").filter(keep)], names=["id", "vec"])
+                else:
+                    yield pa.RecordBatch.from_arrays([b.column("id").filter(keep), pa.array(at).filter(keep), pa.array(cos).filter(keep)], names=["id", "cluster", "cosine"])
+
+        schema = "id bigint, vec binary" if left else "id bigint, cluster bigint, cosine double"
+        out = df.select("id", "vec", "cluster").mapInArrow(run, schema)
+        return out if left else out.withColumn("how", F.lit(how))
+
+    own = tested(labelled, "community", False)
+    rest = materialize(tested(labelled, "community", True), "p3-rest")
+    weight = linked.join(rest.select("id"), "id", "left_semi").groupBy("id", "other_cluster").agg(F.sum("w").alias("w"))
+    most = weight.groupBy("id").agg(F.max_by("other_cluster", F.struct("w", -F.col("other_cluster"))).alias("cluster"))
+    rest = materialize(rest.join(most, "id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1))), "p3-rest")
+    by_links = tested(rest, "links", False)
+    last = tested(rest, "links", True).withColumn("cluster", F.lit(-1))
+    return materialize(own.unionByName(by_links).unionByName(tested(last, "direction", False)), "p3-members")
 
 
 def membership(members: DataFrame) -> DataFrame:
@@ -457,10 +575,14 @@ def membership(members: DataFrame) -> DataFrame:
 
 
 def describe(members: DataFrame, links: DataFrame, typical: int = 5) -> DataFrame:
-    """(cluster_number, size, place, number, degree, cosine): the ``typical`` members of each cluster of highest
-    weighted degree inside it."""
-    inside = links.where("mapped = other_mapped AND mapped >= 0").groupBy("id").agg(F.sum("w").alias("degree"))
-    heads = members.groupBy("cluster").agg(F.min("id").alias("cluster_number"), F.count("*").alias("size"))
+    """(cluster_number, size, by_links, by_direction, place, number, degree, cosine): the ``typical`` members of each
+    cluster of highest weighted degree inside it, and how many members their community did not bring."""
+    mine = links.join(members.select("id", "cluster"), "id").where("cluster = other_cluster")
+    inside = mine.groupBy("id").agg(F.sum("w").alias("degree"))
+    count = lambda how: F.sum((F.col("how") == how).cast("bigint"))
+    heads = members.groupBy("cluster").agg(
+        F.min("id").alias("cluster_number"), F.count("*").alias("size"), count("links").alias("by_links"), count("direction").alias("by_direction")
+    )
     top = W.partitionBy("cluster").orderBy(F.col("degree").desc(), F.col("id"))
     return (
         members.join(inside, "id", "left")
@@ -468,5 +590,5 @@ def describe(members: DataFrame, links: DataFrame, typical: int = 5) -> DataFram
         .withColumn("place", F.row_number().over(top))
         .where(F.col("place") <= typical)
         .join(heads, "cluster")
-        .select("cluster_number", "size", "place", F.col("id").alias("number"), "degree", "cosine")
+        .select("cluster_number", "size", "by_links", "by_direction", "place", F.col("id").alias("number"), "degree", "cosine")
     )

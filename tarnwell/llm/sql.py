@@ -48,6 +48,21 @@ UNION SELECT 'record', least(a, b), greatest(a, b) FROM c
   WHERE list_min(list_transform(x, lambda u: list_max(list_transform(y, lambda v: list_dot_product(u, v))))) >= 0.97
   AND list_min(list_transform(y, lambda u: list_max(list_transform(x, lambda v: list_dot_product(u, v))))) >= 0.97"""
 
+#: The definition of problem 3 without a graph: the records near a record point along its cluster's mean direction, and so
+#: do, more exactly, all records near that direction; whoever reaches that of the least such record is a member.
+_ADDED = "[" + ", ".join(f"sum(b.u[{i}])" for i in range(1, 25)) + "]"
+P3 = f"""
+WITH v AS (SELECT number, unnest(vectors)::DOUBLE[] AS u FROM {CURRENT} WHERE len(vectors) > 0 AND len(list_filter(vectors, lambda v: NOT {good('v', 24)})) = 0),
+s AS (SELECT number, {_ADDED} AS u FROM v b GROUP BY number),
+r AS (SELECT number, {unit('u')} AS u FROM s WHERE len(list_filter(u, lambda x: x <> 0)) > 0),
+m AS (SELECT a.number, any_value(a.u) AS u, {_ADDED} AS m FROM r a JOIN r b ON list_dot_product(a.u, b.u) >= 0.6 GROUP BY a.number),
+c AS (SELECT a.number, any_value(a.u) AS u, {_ADDED} AS m FROM m a JOIN r b ON list_dot_product({unit('a.m')}, b.u) >= 0.75 GROUP BY a.number),
+d AS (SELECT number, u, {unit('m')} AS m FROM c),
+h AS (SELECT a.number, any_value(a.u) AS u, min(b.number) AS cluster_number FROM d a JOIN r b ON list_dot_product(a.m, b.u) >= 0.75 GROUP BY a.number),
+f AS (SELECT h.number, h.cluster_number FROM h JOIN d ON d.number = h.cluster_number AND list_dot_product(h.u, d.m) >= 0.75),
+k AS (SELECT cluster_number, row_number() OVER (ORDER BY count(*) DESC, cluster_number) AS place FROM f GROUP BY cluster_number)
+SELECT number, cluster_number FROM f JOIN k USING (cluster_number) WHERE place <= (SELECT centroids FROM index_config WHERE collection = 'retrieval_docs')"""
+
 P4 = """
 WITH t AS (SELECT run_id, query_idx, rep, arg_min(elapsed_ms, ingested_at) AS ms FROM query_log WHERE elapsed_ms > 0 AND isfinite(elapsed_ms) GROUP BY ALL),
 s AS (SELECT run_id, ms, row_number() OVER (PARTITION BY run_id ORDER BY ms) - 1 AS i, count(*) OVER (PARTITION BY run_id) AS n FROM t),
@@ -102,6 +117,6 @@ SELECT id AS doc_id FROM c GROUP BY id, n HAVING sum(covered) / n >= 0.3"""
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_found": P1, "p1_scores": P1_SCORES, "p2_found": P2, "p4_found": P4, "p4_settled": P4_SETTLED, "p5_found": P5, "p6_found": P6, "p6_ranking": P6_RANKING,
+        "p1_found": P1, "p1_scores": P1_SCORES, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p4_settled": P4_SETTLED, "p5_found": P5, "p6_found": P6, "p6_ranking": P6_RANKING,
         "p7_found": P7, "p8_found": P8, "p8_clean": f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({P8}))", "p9_found": P9,
     }

@@ -187,8 +187,8 @@ def test_planted_clusters(spark):
         rows.append((len(rows), [unit(q[6:].T @ rng.normal(size=18)).tolist()]))
     rows += [(2000, None), (2001, []), (2002, [[0.0] * 24]), (2003, [[1.0] + [0.0] * 23, [-1.0] + [0.0] * 23]), (2004, [[1.0]])]
     df = spark.createDataFrame(rows, "number bigint, vectors array<array<float>>").withColumn("cluster", F.lit("clash"))
-    for nodes in (50_000, 10):  # contracted on the driver, and in Spark first
-        members, links = communities.clusters(df, 6, block_rows=200, driver_nodes=nodes)
+    for nodes, groups in ((50_000, 1024), (10, 6), (0, 6)):  # contracted on the driver, in Spark first, and only there
+        members, links = communities.clusters(df, 6, block_rows=200, driver_nodes=nodes, most_groups=groups)
         got = {r.number: r.cluster_number for r in communities.membership(members).collect()}
         assert got == {i: min(j for j, d in truth.items() if d == c) for i, c in truth.items()}
     described = communities.describe(members, links).collect()
@@ -196,6 +196,38 @@ def test_planted_clusters(spark):
     assert all(r.degree > 0 for r in described)
 
 
+def test_strays_stay_off_the_driver(spark, monkeypatch):
+    """What is compared on the driver does not grow with records that belong nowhere."""
+    rng = np.random.default_rng(21)
+    centres = np.eye(24)[:3]
+    seen = []
+    joined = communities.merge_alike
+    monkeypatch.setattr(communities, "merge_alike", lambda sums, *a: seen.append(len(sums)) or joined(sums, *a))
+    for strays in (200, 1500):
+        members = [unit(centres[i % 3] + 0.4 * rng.normal(size=24) / math.sqrt(24)) for i in range(300)]
+        rows = [(i, [x.tolist()]) for i, x in enumerate([*members, *unit(rng.normal(size=(strays, 24)) * ([0] * 3 + [1] * 21))])]
+        seen.clear()
+        found, _ = communities.clusters(spark.createDataFrame(rows, "number bigint, vectors array<array<float>>"), 3, block_rows=200, most_groups=8)
+        got = {r.number: r.cluster_number for r in communities.membership(found).collect()}
+        assert got == {i: i % 3 for i in range(300)} and max(seen) <= 8
+
+
+def test_merging_alike_equals_plain_version():
+    rng = np.random.default_rng(2)
+    sums, sizes = rng.normal(size=(60, 3)), rng.integers(1, 9, 60)
+    centres, want = [], np.empty(60, int)
+    for i in np.argsort(-sizes, kind="stable"):
+        cos = [float(unit(c) @ unit(sums[i])) for c in centres]
+        if cos and max(cos) >= 0.75:
+            want[i] = int(np.argmax(cos))
+            centres[want[i]] = centres[want[i]] + sums[i]
+        else:
+            want[i] = len(centres)
+            centres.append(sums[i].copy())
+    of, found = communities.merge_alike(sums, sizes)
+    assert (of == want).all() and np.allclose(found, centres)
+
+
 def test_no_records(spark):
     members, links = communities.clusters(spark.createDataFrame([], "number bigint, vectors array<array<float>>"), 3)
     assert members.count() == 0 and communities.describe(members, links).count() == 0
