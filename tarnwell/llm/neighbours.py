@@ -2,19 +2,23 @@
 
 Block matrix join. Vectors are brought to length 1 and coded in 8 bits with a scale of their own.
 The collection is divided into cells around centroids fitted on a bounded sample; every vector of
-the base lies in one cell and every searching vector visits the cells nearest to it. A tile is a
+the base lies in one cell and every searching vector visits cells near to it. A tile is a
 block of a cell's base rows against a block of its visitors: one product of integer codes gives all
 cosines of the tile together with a proven bound of their quantisation error, so a pair is dropped
 only where even the bound cannot bring it to the threshold (or into the best k of its tile).
-The pairs that survive are recomputed in floating point, and the best k per tile merged by heaps.
+The pairs that survive are recomputed in floating point; each tile selects its best k, and the tiles'
+selections are merged by rank.
 
 Cells and tiles keep the work close to linear: the number of cells grows with the data and a cell's
 share of rows is cut into blocks of fixed size, base and visitors alike, so a dense region becomes
 many tiles and no task sees more than one. Exact copies are represented by one vector and expanded
 when the result is written.
 
-What is lost: a pair whose base vector lies in none of the cells that the searching one visits. The
-tests measure recall against exhaustive search.
+Pairs above a threshold are all found. Vectors of two cells are parted by the plane half way between
+the centroids, so one that lies farther from that plane than the threshold's distance has no partner
+behind it, and it visits just the cells whose plane is nearer (:meth:`Cells.reached`). The best k of
+a vector may lie anywhere; there the number of cells visited follows from a recall asked for, measured
+on a sample (:func:`visits_for`), and ``exact`` compares all blocks with all instead.
 
 Cases: null vectors, vectors of another dimension, with null, NaN or infinite values or only zeros
 are not usable and take no part; equal cosines are ordered by id; of repeated rows of an id one
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +50,13 @@ SAME_CELL = 0.9999
 #: Rows of a tile's two sides.
 BASE_BLOCK = 2048
 VISITOR_BLOCK = 8192
-#: Cells visited: when all pairs above a threshold are sought (both vectors of a pair may find the other), and for the best k.
-JOIN_VISITS = 6
-SEARCH_VISITS = 24
+#: Share of the best k that the cells visited must hold, and searching vectors on which that is measured.
+RECALL = 0.95
+MEASURED = 512
+#: Rounding that distances to planes between centroids may carry (the closest centroids are 0.014 apart).
+SLACK = 2e-4
+#: Cosines that agree to this many places are ties.
+TIE_PLACES = 6
 
 VECTORS = "id bigint, no int, vec binary"
 
@@ -96,14 +105,14 @@ def unit_vectors(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataF
     )
 
 
-def fit_cells(vectors: DataFrame, dim: int, n: int, cell_rows: int = CELL_ROWS, rounds: int = 6) -> np.ndarray:
-    """Centroids of about n / ``cell_rows`` cells, at most MOST_CELLS, by spherical k-means on a sample.
+def fit_cells(vectors: DataFrame, dim: int, n: int, cell_rows: int | None = None, rounds: int = 6) -> np.ndarray:
+    """Centroids of about n / ``cell_rows`` (CELL_ROWS) cells, at most MOST_CELLS, by spherical k-means on a sample.
 
     The sample is an even share of the rows by hash, about SAMPLE_PER_CELL per cell and at most
     2 * SAMPLE_ROWS whatever the size of the data. Equal rows of it count once, so that a common vector
     seeds one cell, and centroids without rows or next to another one are dropped.
     """
-    cells = int(min(MOST_CELLS, max(1, n // cell_rows)))
+    cells = int(min(MOST_CELLS, max(1, n // (cell_rows or CELL_ROWS))))
     want = min(cells * SAMPLE_PER_CELL, SAMPLE_ROWS)
     step = max(1, n // want)
     rows = vectors.where(F.pmod(F.xxhash64("id", "no"), F.lit(step)) == 0).select("vec").limit(2 * want).toArrow().column(0)
@@ -154,6 +163,24 @@ def products(
     return cos, (1 + ea) * eb + ea * (1 + eb) + ea * eb + np.float32(1e-6)
 
 
+@dataclass(frozen=True)
+class Visits:
+    """Which cells a searching vector visits: all that can hold a vector within ``gap``, or the ``count`` nearest."""
+
+    gap: float | None = None
+    count: int = 1
+
+
+def both_search(threshold: float) -> Visits:
+    """For pairs of a set with itself. The distances of two vectors from the plane between their homes add up to at
+    most their own distance, so one of them is no farther from it than half of that."""
+    return Visits(math.sqrt(max(0.0, 2 - 2 * threshold)) / 2)
+
+
+def one_searches(threshold: float) -> Visits:
+    return Visits(math.sqrt(max(0.0, 2 - 2 * threshold)))
+
+
 class Cells:
     """Centroids with the number of blocks of each cell's base and visitors, estimated from the sample fit."""
 
@@ -163,14 +190,51 @@ class Cells:
         self.base_blocks = np.maximum(1, np.ceil(base / BASE_BLOCK)).astype(np.int64)
         self.visitor_blocks = np.maximum(1, np.ceil(visitors / VISITOR_BLOCK)).astype(np.int64)
 
-    def visits(self, x: np.ndarray, count: int) -> np.ndarray:
+    def home(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.centroids.T).argmax(1)
+
+    def nearest(self, x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of the ``count`` cells nearest to each row."""
         sims = x @ self.centroids.T
         count = min(count, sims.shape[1])
+        if count == sims.shape[1]:
+            return np.repeat(np.arange(len(x)), count), np.tile(np.arange(count), len(x))
         sims[np.arange(len(x)), sims.argmax(1)] = np.inf  # of equal centroids the home is visited
-        return np.argpartition(-sims, count - 1, axis=1)[:, :count] if count < sims.shape[1] else np.tile(np.arange(count), (len(x), 1))
+        return np.repeat(np.arange(len(x)), count), np.argpartition(-sims, count - 1, axis=1)[:, :count].ravel()
 
-    def home(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.centroids.T).argmax(1)
+    def reached(self, x: np.ndarray, gap: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of each row's home and of all cells that can hold a unit vector within distance ``gap``.
+
+        The plane between the home h and a cell c has the normal h - c, so the row lies (x.h - x.c) / |h - c| from
+        it, and every vector of c lies on the plane or behind.
+        """
+        sims = x @ self.centroids.T
+        row, home = np.arange(len(x)), sims.argmax(1)
+        homes, at = np.unique(home, return_inverse=True)
+        apart_ = np.sqrt(np.maximum(2 - 2 * (self.centroids[homes] @ self.centroids.T), 1e-12))
+        near = sims[row, home][:, None] - sims <= (gap + SLACK) * apart_[at]
+        near[row, home] = True
+        return np.nonzero(near)
+
+    def visited(self, x: np.ndarray, visits: Visits) -> tuple[np.ndarray, np.ndarray]:
+        return self.nearest(x, visits.count) if visits.gap is None else self.reached(x, visits.gap)
+
+    def loads(self, df: DataFrame, visits: Visits | None, dim: int, n: int) -> np.ndarray:
+        """About how many rows of ``df`` each cell holds, or is visited by, from a sample."""
+        x, step = _sample(df, n, dim)
+        held = np.zeros(len(self.centroids))
+        for at in range(0, len(x), self.rows_at_once):
+            part = x[at : at + self.rows_at_once]
+            held += np.bincount(self.home(part) if visits is None else self.visited(part, visits)[1], minlength=len(held))
+        return held * step
+
+    def with_visitors(self, df: DataFrame, visits: Visits, dim: int, n: int) -> Cells:
+        return Cells(self.centroids, self.load, self.loads(df, visits, dim, n))
+
+    @property
+    def rows_at_once(self) -> int:
+        """Rows whose products with all centroids take about 64 MB."""
+        return max(64, min(4096, 16_000_000 // len(self.centroids)))
 
 
 _TILE = "tile bigint, visitor boolean, id bigint, no int, code binary, scale float, err float"
@@ -180,19 +244,19 @@ def _mix(ids: np.ndarray) -> np.ndarray:
     return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
 
 
-def to_tiles(vectors: DataFrame, cells: Cells, dim: int, visitor: bool, visits: int, keep_vec: bool) -> DataFrame:
-    """Each base row to its cell's tiles, each searching row to the tiles of the cells it visits."""
+def to_tiles(vectors: DataFrame, cells: Cells, dim: int, visits: Visits | None, keep_vec: bool) -> DataFrame:
+    """Each base row to its cell's tiles; given ``visits``, each searching row to the tiles of the cells it visits."""
+    visitor = visits is not None
     names = ["tile", "visitor", "id", "no", "code", "scale", "err", *["vec"] * keep_vec]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 4096):
-                b = big.slice(at, 4096)
+            for at in range(0, big.num_rows, cells.rows_at_once):
+                b = big.slice(at, cells.rows_at_once)
                 x = matrix(b.column("vec"), np.float32, dim)
                 code, scale, err = encode(x)
-                near = cells.visits(x, visits) if visitor else cells.home(x)[:, None]
-                row = np.repeat(np.arange(len(x)), near.shape[1])
-                cell = near.ravel().astype(np.int64)
+                row, cell = cells.visited(x, visits) if visitor else (np.arange(len(x)), cells.home(x))
+                cell = cell.astype(np.int64)
                 mine, other = (cells.visitor_blocks, cells.base_blocks) if visitor else (cells.base_blocks, cells.visitor_blocks)
                 own = _mix(np.asarray(b.column("id")))[row] % mine[cell]
                 copies = other[cell]
@@ -221,28 +285,60 @@ def _sides(t: pa.Table, dim: int) -> tuple[pa.Table, pa.Table, tuple, tuple]:
     return base, visitors, codes(base), codes(visitors)
 
 
-def plan_cells(base: DataFrame, visitors: list[tuple[DataFrame, int]], dim: int, n: int, cell_rows: int = CELL_ROWS) -> Cells:
+def _sample(df: DataFrame, n: int, dim: int, rows: int = 20_000) -> tuple[np.ndarray, int]:
+    """(about ``rows`` vectors, by hash, and how many each stands for)."""
+    step = max(1, n // rows)
+    found = df.where(F.pmod(F.xxhash64("no", "id"), F.lit(step)) == 0).select("vec").limit(2 * rows).toArrow().column(0)
+    return matrix(found, np.float32, dim), step
+
+
+def plan_cells(base: DataFrame, visitors: list[tuple[DataFrame, Visits]], dim: int, n: int, cell_rows: int | None = None) -> Cells:
     """Cells fitted on the base, with block counts estimated on samples of both sides."""
     centroids = fit_cells(base, dim, n, cell_rows)
-    probe = Cells(centroids, np.zeros(len(centroids)), np.zeros(len(centroids)))
+    zero = np.zeros(len(centroids))
+    cells = Cells(centroids, zero, zero)
+    cells = Cells(centroids, cells.loads(base, None, dim, n), zero)
+    return Cells(centroids, cells.load, sum((cells.loads(df, v, dim, n) for df, v in visitors), zero))
 
-    def loads(df: DataFrame, count: int | None) -> np.ndarray:
-        sample = df.where(F.pmod(F.xxhash64("no", "id"), F.lit(max(1, n // 20_000))) == 0).select("vec").limit(40_000).toArrow().column(0)
-        x = matrix(sample, np.float32, dim)
-        near = (probe.home(x) if count is None else probe.visits(x, count).ravel()) if len(x) else np.empty(0, int)
-        return np.bincount(near, minlength=len(centroids)) * max(1, n // 20_000)
 
-    zero = np.zeros(len(centroids))
-    return Cells(centroids, loads(base, None), sum((loads(df, k) for df, k in visitors), zero))
+def one_cell(dim: int, base: int, visitors: int) -> Cells:
+    """All vectors in one cell: its blocks against those of its visitors are all pairs."""
+    return Cells(np.zeros((1, dim), np.float32), np.array([base]), np.array([visitors]))
+
+
+def visits_for(base: DataFrame, asked: DataFrame, dim: int, n: int, k: int, recall: float = RECALL) -> Visits:
+    """The number of nearest cells that hold the share ``recall`` of the ``k`` nearest vectors.
+
+    Measured on MEASURED searching vectors against a sample of the base of bounded size. Its vectors are sparser, so
+    their nearest lie farther off and in more distant cells than those of the whole base: the number errs upwards.
+    """
+    cells = Cells(c := fit_cells(base, dim, n), np.zeros(len(c)), np.zeros(len(c)))
+    x, _ = _sample(base, n, dim)
+    q, _ = _sample(asked, n // 20, dim, MEASURED)
+    if not len(x) or not len(q):
+        return Visits(count=1)
+    home = np.concatenate([cells.home(x[i : i + cells.rows_at_once]) for i in range(0, len(x), cells.rows_at_once)])
+    places = []
+    for at in range(0, len(q), 64):
+        part = q[at : at + 64]
+        cos = part @ x.T
+        cos[cos > 1 - 1e-6] = -2  # itself and its copies are in its own cell
+        best = np.argpartition(-cos, min(k, len(x)) - 1, axis=1)[:, :k]
+        to_cell = part @ cells.centroids.T
+        own = np.take_along_axis(to_cell, home[best], 1)
+        real = np.take_along_axis(cos, best, 1) > -2
+        places.append(((to_cell[:, None, :] > own[:, :, None]).sum(2) + 1)[real])
+    at = np.sort(np.concatenate(places))
+    return Visits(count=int(at[min(len(at) - 1, math.ceil(recall * len(at)))]) if len(at) else 1)
 
 
 def pairs_above(
-    base: DataFrame, visitors: list[tuple[DataFrame, int]], cells: Cells, dim: int, threshold: float
+    base: DataFrame, visitors: list[tuple[DataFrame, Visits]], cells: Cells, dim: int, threshold: float
 ) -> DataFrame:
     """(id, no, other, other_no): candidate pairs that the tiles cannot rule out; id is the base's, other the visitor's."""
-    tiles = to_tiles(base, cells, dim, False, 1, False)
+    tiles = to_tiles(base, cells, dim, None, False)
     for df, visits in visitors:
-        tiles = tiles.unionByName(to_tiles(df, cells, dim, True, visits, False))
+        tiles = tiles.unionByName(to_tiles(df, cells, dim, visits, False))
 
     def run(t: pa.Table) -> pa.Table:
         b, v, cb, cv = _sides(t, dim)
@@ -262,7 +358,7 @@ def pairs_above(
     return tiles.groupBy("tile").applyInArrow(run, "id bigint, no int, other bigint, other_no int")
 
 
-def best_k(base: DataFrame, members: DataFrame, visitors: DataFrame, cells: Cells, dim: int, k: int, visits: int = SEARCH_VISITS) -> DataFrame:
+def best_k(base: DataFrame, members: DataFrame, visitors: DataFrame, cells: Cells, dim: int, k: int, visits: Visits) -> DataFrame:
     """(id, no, other, other_no, cosine, place): the ``k`` vectors of greatest cosine for every searching one.
 
     Vectors of the same id are not each other's neighbours; those with a negative ``no`` are of another kind and
@@ -301,8 +397,8 @@ def contents(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return single.unionByName(common.select("id", F.col("coded").alias("no"), "vec")), members.drop("h1", "h2")
 
 
-def _best_contents(base: DataFrame, visitors: DataFrame, cells: Cells, dim: int, k: int, visits: int) -> DataFrame:
-    tiles = to_tiles(base, cells, dim, False, 1, True).unionByName(to_tiles(visitors, cells, dim, True, visits, True))
+def _best_contents(base: DataFrame, visitors: DataFrame, cells: Cells, dim: int, k: int, visits: Visits) -> DataFrame:
+    tiles = to_tiles(base, cells, dim, None, True).unionByName(to_tiles(visitors, cells, dim, visits, True))
 
     def run(t: pa.Table) -> pa.Table:
         b, v, cb, cv = _sides(t, dim)
@@ -316,8 +412,8 @@ def _best_contents(base: DataFrame, visitors: DataFrame, cells: Cells, dim: int,
                 cos[(iv[at : at + 1024][:, None] == ib[None, :]) & own_v[at : at + 1024][:, None] & own_b[None, :]] = -9
                 low = cos - bound
                 kth = np.partition(low, len(ib) - k, axis=1)[:, len(ib) - k] if len(ib) > k else np.full(len(low), -8.0)
-                i, j = np.nonzero((cos + bound >= kth[:, None]) & (cos > -8))
-                exact = np.einsum("ij,ij->i", xv[i + at].astype(np.float64), xb[j].astype(np.float64))
+                i, j = np.nonzero((cos + bound >= kth[:, None] - 10.0**-TIE_PLACES) & (cos > -8))
+                exact = np.round(np.einsum("ij,ij->i", xv[i + at].astype(np.float64), xb[j].astype(np.float64)), TIE_PLACES)
                 order = np.lexsort([ib[j], -exact, i])
                 i, j, exact = i[order], j[order], exact[order]
                 first = np.concatenate([[0], np.flatnonzero(np.diff(i)) + 1]) if len(i) else np.empty(0, int)

@@ -39,7 +39,14 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     points = similar.similar_points(table(spark, d, "snapshot_points"), table(spark, d, "query_requests"))
-    return points.unionByName(similar.similar_records(current(spark, d, "vectors")))
+    return points.expanded().unionByName(similar.similar_records(current(spark, d, "vectors")).expanded())
+
+
+def p2_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest without loss, all blocks against all."""
+    points = similar.nearest_points(table(spark, d, "snapshot_points"), table(spark, d, "query_requests"), exact=True)
+    both = points.withColumn("other_no", F.lit(0)).unionByName(similar.nearest_tokens(current(spark, d, "vectors"), exact=True))
+    return both.drop("cosine")
 
 
 def _clusters(spark: SparkSession, d: str):
@@ -129,7 +136,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = [
-        p1_found, p1_scores, p2_found, p2_neighbours, p3_found, p3_clusters, p4_found, p4_runs, p4_collections, p4_days, p4_settled,
+        p1_found, p1_scores, p2_found, p2_neighbours, p2_exact, p3_found, p3_clusters, p4_found, p4_runs, p4_collections, p4_days, p4_settled,
         p5_found, p5_pieces, p6_found, p6_ranking, p7_found, p7_containers, p8_found, p8_leaks, p8_clean, p9_found, p9_measures,
     ]
     return {f.__name__: f for f in found}

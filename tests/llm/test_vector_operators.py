@@ -40,16 +40,16 @@ def test_pairs_above_a_threshold(spark):
     bad = [(5000, None, None, None), (5001, [0.0] * 64, None, None), (5002, [float("nan")] + [1.0] * 63, None, None), (5003, [1.0] * 3, None, None), (None, x[0].tolist(), None, None), (5004, x[0].tolist(), True, None), (3, x[3].tolist(), None, None)]
     x = np.concatenate([x, copies])
     asked = [(i, v, None) for i, v in q.items()] + [(20_000, None, None), (20_001, [], None), (20_002, [[1.0]], None)]
-    got = {tuple(r) for r in similar.similar_points(points_table(spark, x, bad), spark.createDataFrame(asked, ASKED)).collect()}
+    got = {tuple(r) for r in similar.similar_points(points_table(spark, x, bad), spark.createDataFrame(asked, ASKED)).expanded().collect()}
     u = unit(x)
     want = {("point", i, j) for i, j in zip(*np.nonzero(u @ u.T >= 0.97)) if i < j}
     want |= {("query", int(i), k) for k, vs in q.items() for v in vs for i in np.nonzero(u @ unit(np.array(v)) >= 0.97)[0]}
-    assert len(got & want) >= 0.99 * len(want) and not got - want
+    assert got == want
 
 
 def test_empty_tables(spark):
     p, a = spark.createDataFrame([], POINT), spark.createDataFrame([], ASKED)
-    assert similar.similar_points(p, a).count() == 0 and similar.nearest_points(p, a).count() == 0
+    assert similar.similar_points(p, a).expanded().count() == 0 and similar.nearest_points(p, a).count() == 0
 
 
 def test_records_match_both_ways(spark):
@@ -61,7 +61,7 @@ def test_records_match_both_ways(spark):
         rows[300 + i] = np.concatenate([base[i], unit(rng.normal(size=(1, 24)))])  # one vector without counterpart
         rows[400 + i] = base[i]
     table = [(i, m.tolist()) for i, m in rows.items()] + [(900, None), (901, []), (902, [[0.0] * 24]), (903, [base[0][0].tolist(), [1.0]])]
-    got = {tuple(r)[1:] for r in similar.similar_records(spark.createDataFrame(table, "number bigint, vectors array<array<float>>")).collect()}
+    got = {tuple(r)[1:] for r in similar.similar_records(spark.createDataFrame(table, "number bigint, vectors array<array<float>>")).expanded().collect()}
     want = set()
     for a in rows:
         for b in rows:
@@ -71,19 +71,103 @@ def test_records_match_both_ways(spark):
     assert got == want and len(want) >= 100
 
 
-def test_recall_of_the_nearest(spark):
+def clustered(rng, n, dim, centres=30, spread=0.9):
+    c = unit(rng.normal(size=(centres, dim)))
+    return unit(c[rng.integers(0, centres, n)] + spread * rng.normal(size=(n, dim)) / math.sqrt(dim))
+
+
+@pytest.fixture
+def small_cells(monkeypatch):
+    """Cells of 16 vectors, so that a few thousand make many more cells than are visited; the visits chosen are kept."""
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 16)
+    chosen, search = [], similar.visits_for
+    monkeypatch.setattr(similar, "visits_for", lambda *a: chosen.append(search(*a)) or chosen[-1])
+    return chosen
+
+
+def test_recall_of_points_and_queries(spark, small_cells):
     rng = np.random.default_rng(5)
-    centres = unit(rng.normal(size=(30, 64)))
-    x = unit(centres[rng.integers(0, 30, 6000)] + 0.9 * rng.normal(size=(6000, 64)) / 8)
-    none = spark.createDataFrame([], ASKED)
+    n = 9000
+    x, q = clustered(rng, n, 64), clustered(np.random.default_rng(5), 400, 64)
+    asked = spark.createDataFrame([(100_000 + 20 * i, [v.tolist()], None) for i, v in enumerate(q)], ASKED)
+    got = {}
+    for r in similar.nearest_points(points_table(spark, x), asked).collect():
+        got.setdefault((r.kind, r.id), set()).add(r.other)
+        assert r.kind == "query" or r.cosine == pytest.approx(float(x[r.id] @ x[r.other]), abs=1e-5)
+    ids = range(0, n, 20)
+    assert sorted(i for k, i in got if k == "point") == list(ids) and len(got) == len(ids) + len(q)
+    s = x[::20] @ x.T
+    s[np.arange(len(s)), list(ids)] = -2
+    near = np.argsort(-s, axis=1)[:, :10]
+    assert np.mean([len(got["point", i] & set(t.tolist())) / 10 for i, t in zip(ids, near)]) >= 0.9
+    near = np.argsort(-(q @ x.T), axis=1)[:, :10]
+    assert np.mean([len(got["query", 100_000 + 20 * i] & set(t.tolist())) / 10 for i, t in enumerate(near)]) >= 0.9
+    assert small_cells[0].count * 10 <= n // 16
+
+
+def test_recall_of_tokens(spark, small_cells):
+    rng = np.random.default_rng(6)
+    x = clustered(rng, 8000, 24, 200, 0.5)
+    rows = [(i, x[2 * i : 2 * i + 2].tolist()) for i in range(4000)]
     got = {}
-    for r in similar.nearest_points(points_table(spark, x), none).where("kind = 'point'").collect():
-        got.setdefault(r.id, set()).add(r.other)
-        assert r.cosine == pytest.approx(float(x[r.id] @ x[r.other]), abs=1e-5)
-    asked = [i for i in range(6000) if i % 20 == 0]
-    assert sorted(got) == asked
-    truth = o.neighbours(x, 10)
-    assert np.mean([len(got[i] & set(truth[i].tolist())) / 10 for i in asked]) >= 0.9
+    for r in similar.nearest_tokens(spark.createDataFrame(rows, "number bigint, vectors array<array<float>>")).collect():
+        got.setdefault(2 * r.id + r.no, set()).add(2 * r.other + r.other_no)
+    ids = [i for i in range(8000) if i // 2 % 20 == 0]
+    assert sorted(got) == ids
+    s = x[ids] @ x.T
+    s[np.arange(8000)[None, :] // 2 == np.array(ids)[:, None] // 2] = -2
+    near = np.argsort(-s, axis=1)[:, :10]
+    assert np.mean([len(got[i] & set(t.tolist())) / 10 for i, t in zip(ids, near)]) >= 0.9
+    assert small_cells[0].count * 10 <= 8000 // 16
+
+
+def test_exact_search_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BASE_BLOCK", 300)
+    monkeypatch.setattr(neighbours, "VISITOR_BLOCK", 20)
+    x = clustered(np.random.default_rng(7), 2000, 64)
+    got = {}
+    for r in similar.nearest_points(points_table(spark, x), spark.createDataFrame([], ASKED), exact=True).orderBy("place").collect():
+        got.setdefault(r.id, []).append(r.other)
+    truth = o.neighbours(np.round(x.astype(np.float32).astype(float), 9), 10)
+    assert got == {i: truth[i].tolist() for i in range(0, 2000, 20)}
+
+
+def test_pairs_across_cells_are_all_found(spark, monkeypatch):
+    """Vectors spread evenly, so that most pairs have their ends in different cells."""
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 16)
+    rng = np.random.default_rng(8)
+    x = unit(rng.normal(size=(4000, 64)))
+    x[2000:] = unit(x[:2000] + 0.23 * rng.normal(size=(2000, 64)) / 8)
+    q = unit(x[:300] + 0.2 * rng.normal(size=(300, 64)) / 8)
+    asked = spark.createDataFrame([(10_000 + i, [v.tolist()], None) for i, v in enumerate(q)], ASKED)
+    found = similar.similar_points(points_table(spark, x), asked)
+    got = {tuple(r) for r in found.expanded().collect()}
+    want = {("point", int(i), int(j)) for i, j in zip(*np.nonzero(x @ x.T >= 0.97)) if i < j}
+    want |= {("query", int(i), 10_000 + int(j)) for i, j in zip(*np.nonzero(x @ q.T >= 0.97))}
+    assert got == want and len(want) > 1500
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 1000), st.sampled_from([0.5, 0.8, 0.97]))
+def test_cells_reached_hold_all_partners(seed, threshold):
+    rng = np.random.default_rng(seed)
+    x = unit(rng.normal(size=(300, 6))).astype(np.float32)
+    cells = neighbours.Cells(unit(rng.normal(size=(25, 6))).astype(np.float32), np.zeros(25), np.zeros(25))
+    one = set(zip(*map(np.ndarray.tolist, cells.visited(x, neighbours.one_searches(threshold)))))
+    both = set(zip(*map(np.ndarray.tolist, cells.visited(x, neighbours.both_search(threshold)))))
+    home = cells.home(x)
+    for i, j in zip(*np.nonzero(x @ x.T >= threshold)):
+        assert (i, home[j]) in one and ((i, home[j]) in both or (j, home[i]) in both)
+
+
+def test_copies_are_members_until_expanded(spark, monkeypatch):
+    monkeypatch.setattr(similar, "COPIES_AT_ONCE", 7)
+    x = np.repeat(np.eye(64)[:2], [60, 3], axis=0)
+    found = similar.similar_points(points_table(spark, x), spark.createDataFrame([(1000, [x[0].tolist()], None)], ASKED))
+    assert {tuple(r) for r in found.pairs.collect()} == {("query", 0, 1000)}
+    assert {(r.id, r.rep) for r in found.copies.where("kind = 'point'").collect()} == {(i, 0) for i in range(1, 60)} | {(61, 60), (62, 60)}
+    every = [tuple(r) for r in found.expanded().collect()]
+    assert len(every) == len(set(every)) == 60 * 59 // 2 + 3 + 60
 
 
 @settings(max_examples=20, deadline=None)
@@ -100,7 +184,7 @@ def test_dense_cells_become_many_tiles(spark, monkeypatch):
     x = near_copies(rng, 300, 64)
     monkeypatch.setattr(neighbours, "BASE_BLOCK", 20)
     monkeypatch.setattr(neighbours, "VISITOR_BLOCK", 50)
-    got = {tuple(r)[1:] for r in similar.similar_points(points_table(spark, x), spark.createDataFrame([], ASKED)).collect()}
+    got = {tuple(r)[1:] for r in similar.similar_points(points_table(spark, x), spark.createDataFrame([], ASKED)).expanded().collect()}
     assert got == {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.97)) if i < j}
 
 
@@ -117,22 +201,22 @@ def test_a_common_vector_hides_no_pairs(spark):
     n = 9000
     x = with_a_common_vector(rng, n, 64, 40)
     x[100:2100] = unit(x[2100:4100] + 0.12 * rng.normal(size=(2000, 64)) / 8)
-    got = similar.similar_points(points_table(spark, x), spark.createDataFrame([(7, [x[-1].tolist()], None)], ASKED))
+    got = similar.similar_points(points_table(spark, x), spark.createDataFrame([(7, [x[-1].tolist()], None)], ASKED)).expanded()
     got = {tuple(r) for r in got.where(f"kind = 'query' OR id_a < {n - n // 3}").collect()}
     i, j = np.nonzero(x[: n - n // 3] @ x.T >= 0.97)
     want = {("point", int(a), int(b)) for a, b in zip(i, j) if a < b}
     want |= {("query", int(a), 7) for a in np.nonzero(x @ x[-1] >= 0.97)[0]}
-    assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.001 * len(want)
+    assert got == want
 
 
 def test_cells_of_a_common_vector(spark):
     x = with_a_common_vector(np.random.default_rng(12), 60_000, 16, 200).astype(np.float32)
     df = spark.createDataFrame([(i, 0, r.tobytes()) for i, r in enumerate(x)], neighbours.VECTORS)
-    cells = neighbours.plan_cells(df, [(df, 6)], 16, len(x))
+    cells = neighbours.plan_cells(df, [(df, neighbours.both_search(0.97))], 16, len(x))
     c = cells.centroids
     assert np.sort(c @ c.T, axis=1)[:, -2].max() < 0.9999 and len(c) > 100
     tied = neighbours.Cells(np.repeat(c[:1], 50, axis=0), np.zeros(50), np.zeros(50))
-    assert (tied.visits(x[:100], 6) == tied.home(x[:100])[:, None]).any(1).all()
+    assert (tied.nearest(x[:100], 6)[1].reshape(100, 6) == tied.home(x[:100])[:, None]).any(1).all()
 
 
 def test_nearest_of_a_common_vector(spark):
