@@ -1,14 +1,16 @@
 """Problem 8: corpus documents that contain passages of held-out evaluation texts.
 
-Suffix arrays over the corpus: every task turns the documents it reads into shards of word numbers,
-sorts the shard's suffixes, finds the range of suffixes that start with the next ``least`` words of
-every suffix of every evaluation text by binary search, and follows each hit to its longest verbatim
-match. A document lies in one shard whole, so matches need no shuffle and no merge.
+Suffix arrays over the corpus: every task turns the documents it reads into shards of word numbers and
+ranks the suffixes of the shard and of the evaluation texts together, by prefix doubling up to the
+longest evaluation text. Every test suffix is searched in the sorted array by bisection for the range of
+suffixes that share its first ``least`` words, and each hit's longest verbatim match follows from the tables
+of ranks by halving steps. A document lies in one shard whole, so matches need no shuffle and no merge.
 
 A word that no evaluation text contains cannot be part of a match. Such words end a run, and only
 places whose next ``least`` words all occur in the evaluation texts are put into the array; that
-loses nothing and keeps the arrays a fraction of the corpus. Suffixes are ordered by their first
-``least`` words (rounded up to a power of two), which is all the search looks at.
+loses nothing and keeps the arrays a fraction of the corpus. Inside a range the suffixes stand in the order
+of the word before them, so those that only continue a longer common passage are skipped as one piece. A
+passage that many documents and items share is expanded in pieces of at most PAIRS hits.
 
 Cases: null, blank and short texts contain no passage; what stands between words does not count;
 very long texts are processed whole; repeated documents each match, repeated items each count; an
@@ -34,6 +36,9 @@ SHARD_WORDS = 4_000_000
 #: Words of evaluation texts sent to the tasks at once; larger item tables are searched in blocks of this size.
 ITEM_WORDS = 2_000_000
 
+#: Hits of evaluation suffixes in a shard that are followed at once.
+PAIRS = 2_000_000
+
 MATCHES = "doc_id bigint, item_id bigint, match_words int, doc_word int, item_word int"
 
 
@@ -72,42 +77,57 @@ class Items:
         return out
 
 
-def suffix_array(words: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
-    """``places`` in the order of the first ``depth`` words that follow them, by prefix doubling.
-
-    Every place of ``places`` has at least ``depth`` words of its own run after it, so ranks are only
-    needed at these places and those within ``depth`` of them.
-    """
-    rank = words.astype(np.int64)
+def suffix_ranks(words: np.ndarray, longest: int) -> list[np.ndarray]:
+    """Ranks of all suffixes by their first 1, 2, 4, ... words, until those reach ``longest``; past the end stands 0."""
+    ranks = [np.unique(words, return_inverse=True)[1].astype(np.int64)]
     step = 1
-    while step < depth:
-        reach = min(step, depth - step)
-        shifted = np.zeros_like(rank)
-        shifted[:-reach] = rank[reach:]
-        pair = rank * (int(rank.max()) + 1) + shifted
-        _, rank = np.unique(pair, return_inverse=True)
-        step += reach
-    return places[np.argsort(rank[places], kind="stable")]
-
-
-def _search(words: np.ndarray, array: np.ndarray, items: Items, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each start of ``items`` the range of ``array`` whose suffixes begin with its next ``least`` words."""
-    need = items.numbers[items.starts[:, None] + np.arange(least)]
-
-    def bound(after_equal: bool) -> np.ndarray:
-        lo, hi = np.zeros(len(need), np.int64), np.full(len(need), len(array), np.int64)
-        while (active := lo < hi).any():
-            mid = (lo + hi) // 2
-            have = words[array[np.minimum(mid, len(array) - 1)][:, None] + np.arange(least)]
-            differ = have != need
-            first = differ.argmax(1)
-            row = np.arange(len(need))
-            less = have[row, first] < need[row, first]
-            right = np.where(differ.any(1), less, after_equal)
-            lo, hi = np.where(active & right, mid + 1, lo), np.where(active & ~right, mid, hi)
-        return lo
-
-    return bound(False), bound(True)
+    while step < longest:
+        shifted = np.zeros_like(ranks[-1])
+        shifted[:-step] = ranks[-1][step:]
+        ranks.append(np.unique(ranks[-1] * (int(ranks[-1].max()) + 1) + shifted, return_inverse=True)[1].astype(np.int64))
+        step *= 2
+    return ranks
+
+
+def prefix_ranks(ranks: list[np.ndarray], length: int) -> np.ndarray:
+    """Ranks of all suffixes by their first ``length`` words."""
+    out, done = None, 0
+    for k in reversed(range(len(ranks))):
+        if not length >> k & 1:
+            continue
+        part = np.zeros_like(ranks[k])
+        part[: max(0, len(part) - done)] = ranks[k][done:]
+        out = part if out is None else np.unique(out * (int(part.max()) + 1) + part, return_inverse=True)[1].astype(np.int64)
+        done += 1 << k
+    return out
+
+
+def common_length(ranks: list[np.ndarray], a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many words the suffixes at ``a`` and ``b`` share, at most ``most``: equal ranks of 2^k words move both on."""
+    n, last = np.zeros(len(a), np.int64), len(ranks[0]) - 1
+    for k in reversed(range(len(ranks))):
+        same = ranks[k][np.minimum(a + n, last)] == ranks[k][np.minimum(b + n, last)]
+        n += same.astype(np.int64) << k
+    return np.minimum(n, most)
+
+
+def _pieces(count: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(index, offset) of the elements of ranges of the sizes ``count``, at most ``most`` at once."""
+    ends = np.cumsum(count)
+    total = int(ends[-1]) if len(ends) else 0
+    for at in range(0, total, most):
+        k = np.arange(at, min(at + most, total))
+        of = np.searchsorted(ends, k, "right")
+        yield of, k - (ends[of] - count[of])
+
+
+def _longest(rows: np.ndarray) -> np.ndarray:
+    """Of rows (doc, item, length, place, within) the one of greatest length per document and item, the first of equals."""
+    order = np.lexsort([rows[4], rows[3], -rows[2], rows[1], rows[0]])
+    rows = rows[:, order]
+    first = np.ones(rows.shape[1], bool)
+    first[1:] = (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)
+    return rows[:, first]
 
 
 def shard_matches(ids: np.ndarray, texts: np.ndarray, lens: np.ndarray, items: Items, least: int) -> pa.RecordBatch:
@@ -120,45 +140,43 @@ def shard_matches(ids: np.ndarray, texts: np.ndarray, lens: np.ndarray, items: I
     words[is_word] = items.number(texts)
     ends = np.flatnonzero(words == 0)
     run = np.diff(np.concatenate([[-1], ends])) - 1  # known words before each end
-    kept = np.concatenate([[0], np.cumsum(np.where(run >= least, run + 1, 0))])
     # Runs long enough to hold a match, each with the word that ends it.
     runs = np.flatnonzero(run >= least)
-    empty = pa.RecordBatch.from_pydict({n: [] for n in ("doc_id", "item_id", "match_words", "doc_word", "item_word")}, schema=_MATCH_SCHEMA)
-    if not len(runs) or not len(items.starts):
-        return empty
-    size = run[runs] + 1
-    offset = np.repeat(ends[runs] - run[runs], size) + (np.arange(kept[-1]) - np.repeat(np.cumsum(size) - size, size))
-    small, doc, place = words[offset], doc[offset], place[offset]
-    left = np.repeat(run[runs], size) - (np.arange(len(small)) - np.repeat(np.cumsum(size) - size, size))
-    array = suffix_array(small, np.flatnonzero(left >= least), least)
-    lo, hi = _search(small, array, items, least)
-    count = hi - lo
-    if not count.sum():
-        return empty
-    which = np.repeat(items.starts, count)
-    at = array[np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-    # Only the first suffix of a longer common passage is followed: the others are its tails.
-    before = np.maximum(which - 1, 0), np.maximum(at - 1, 0)
-    tail = (items.within[which] > 0) & (at > 0) & (items.numbers[before[0]] == small[before[1]])
-    which, at = which[~tail], at[~tail]
-    length = np.full(len(at), least, np.int32)
-    live = np.arange(len(at))
-    while len(live):
-        live = live[(items.left[which[live]] > length[live])]
-        live = live[small[at[live] + length[live]] == items.numbers[which[live] + length[live]]]
-        length[live] += 1
-    d, i = doc[at], items.owner[which]
-    order = np.lexsort([items.within[which], place[at], -length, i, d])
-    first = np.ones(len(order), bool)
-    first[1:] = (np.diff(d[order]) != 0) | (np.diff(i[order]) != 0)
-    o = order[first]
+    found = np.empty((5, 0), np.int64)
+    if len(runs) and len(items.starts):
+        size = run[runs] + 1
+        offset = np.repeat(ends[runs] - run[runs], size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+        doc, place = doc[offset], place[offset]
+        left = np.repeat(run[runs], size) - (np.arange(len(offset)) - np.repeat(np.cumsum(size) - size, size))
+        # Runs and evaluation texts in one sequence; a 0 ends each of the former, and what is left bounds the latter.
+        corpus = len(offset)
+        both = np.concatenate([words[offset], items.numbers, [0]])
+        ranks = suffix_ranks(both, max(least, int(min(items.left.max(), run[runs].max()))))
+        start = prefix_ranks(ranks, least)
+        before = np.concatenate([[0], both[:-1]]).astype(np.int64)
+        before[corpus:-1][items.within == 0] = -1  # an item's first word continues nothing
+        width = int(both.max()) + 2
+        key = start * width + before + 1
+        array = np.flatnonzero(left >= least)
+        array = array[np.argsort(key[array], kind="stable")]
+        sorted_keys, suffix = key[array], corpus + items.starts
+        low, high = start[suffix] * width, (start[suffix] + 1) * width
+        low, high = (np.searchsorted(sorted_keys, x) for x in (low, high))
+        # The suffixes in the same range after the same word continue a longer passage.
+        skip, on = (np.searchsorted(sorted_keys, key[suffix], side) for side in ("left", "right"))
+        first_part, count = skip - low, (skip - low) + (high - on)
+        for of, k in _pieces(count, PAIRS):
+            at = array[np.where(k < first_part[of], low[of] + k, on[of] + k - first_part[of])]
+            which = items.starts[of]
+            length = common_length(ranks, at, corpus + which, np.minimum(left[at], items.left[which]))
+            found = _longest(np.concatenate([found, np.stack([doc[at], items.owner[which], length, place[at], items.within[which]])], 1))
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(ids[d[o]], pa.int64()),
-            pa.array(items.ids[i[o]], pa.int64()),
-            pa.array(length[o], pa.int32()),
-            pa.array(place[at[o]], pa.int32()),
-            pa.array(items.within[which[o]], pa.int32()),
+            pa.array(ids[found[0]] if len(ids) else [], pa.int64()),
+            pa.array(items.ids[found[1]], pa.int64()),
+            pa.array(found[2], pa.int32()),
+            pa.array(found[3], pa.int32()),
+            pa.array(found[4], pa.int32()),
         ],
         schema=_MATCH_SCHEMA,
     )

@@ -120,6 +120,15 @@ ds AS (SELECT id, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT id, w, unn
 es AS (SELECT DISTINCT id, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS i FROM e WHERE len(w) >= 12))
 SELECT DISTINCT ds.id AS doc_id, es.id AS item_id FROM ds JOIN es USING (s)"""
 
+P8_LEAKS = f"""
+WITH d AS (SELECT doc_id AS id, {WORDS} AS w FROM documents WHERE doc_id IS NOT NULL), e AS (SELECT item_id AS id, {WORDS} AS w FROM eval_items),
+ds AS (SELECT id, i, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12)),
+es AS (SELECT id, i, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS i FROM e WHERE len(w) >= 12)),
+m AS (SELECT ds.id AS doc_id, es.id AS item_id, ds.i, es.i AS j, ds.i - row_number() OVER (PARTITION BY ds.id, es.id, ds.i - es.i ORDER BY ds.i) AS run FROM ds JOIN es USING (s)),
+l AS (SELECT doc_id, item_id, count(*) + 11 AS n, min(i) - 1 AS i, min(j) - 1 AS j FROM m GROUP BY doc_id, item_id, i - j, run),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, i, j) AS place FROM l)
+SELECT doc_id, item_id, n::INTEGER AS match_words, i::INTEGER AS doc_word, j::INTEGER AS item_word FROM r WHERE place = 1"""
+
 P9 = f"""
 WITH d AS (SELECT doc_id AS id, {WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
 s AS (SELECT id, len(w) AS n, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
@@ -131,5 +140,5 @@ SELECT id AS doc_id FROM c GROUP BY id, n HAVING sum(covered) / n >= 0.3"""
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1, "p1_scores": P1_SCORES, "p2_found": P2, "p2_exact": P2_EXACT, "p3_found": P3, "p4_found": P4, "p4_settled": P4_SETTLED, "p5_found": P5, "p6_found": P6, "p6_ranking": P6_RANKING,
-        "p7_found": P7, "p8_found": P8, "p8_clean": f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({P8}))", "p9_found": P9,
+        "p7_found": P7, "p8_found": P8, "p8_leaks": P8_LEAKS, "p8_clean": f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({P8}))", "p9_found": P9,
     }

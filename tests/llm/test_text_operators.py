@@ -92,6 +92,36 @@ def test_small_shards_and_blocks_change_nothing(spark, monkeypatch):
     assert rows() == whole
 
 
+def test_a_passage_in_every_text(spark, monkeypatch):
+    """Each document and item share one passage: one hit for each pair, followed in pieces of bounded size."""
+    passage = text(40)
+    docs = {d: f"x{d} {passage} y{d}" for d in range(300)}
+    items = {i: f"a{i} {passage} b{i}" for i in range(40)}
+    seen, follow = [], leakage.common_length
+    monkeypatch.setattr(leakage, "PAIRS", 500)
+    monkeypatch.setattr(leakage, "common_length", lambda r, a, b, most: seen.append(len(a)) or follow(r, a, b, most))
+    block = leakage.Items(np.arange(40), [np.array([hash(w) for w in o.words(t)]) for t in items.values()], 12)
+    words = [np.array([hash(w) for w in o.words(t)]) for t in docs.values()]
+    out = leakage.shard_matches(np.arange(300), np.concatenate(words), np.array([len(w) for w in words]), block, 12)
+    assert out.num_rows == 300 * 40 and set(out.column("match_words").to_pylist()) == {40}
+    assert sum(seen) == 300 * 40 and max(seen) <= 500
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 3), min_size=1, max_size=60), st.integers(1, 20))
+def test_ranks_give_order_and_common_length(sequence, length):
+    words = np.array([*sequence, 0])
+    ranks = leakage.suffix_ranks(words, 64)
+    suffixes = [tuple(words[i:]) + (0,) * 64 for i in range(len(words))]
+    assert np.argsort(ranks[-1], kind="stable").tolist() == sorted(range(len(words)), key=lambda i: (suffixes[i][:64], i))
+    heads = [s[:length] for s in suffixes]
+    place = {h: i for i, h in enumerate(sorted(set(heads)))}
+    assert np.unique(leakage.prefix_ranks(ranks, length), return_inverse=True)[1].tolist() == [place[h] for h in heads]
+    a, b = np.zeros(len(words), int), np.arange(len(words))
+    want = [next((n for n in range(64) if suffixes[0][n] != suffixes[i][n]), 64) for i in b]
+    assert leakage.common_length(ranks, a, b, np.full(len(b), 64)).tolist() == want
+
+
 # Problem 1.
 
 RECORD = "number bigint, text string, sparse struct<indices: array<bigint>, values: array<float>>"
