@@ -19,3 +19,14 @@ def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
     """
     w = W.partitionBy(key).orderBy(*[F.col(c).desc_nulls_last() for c in order])
     return df.where(F.col(key).isNotNull()).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, where its scan has at most half as many.
+
+    A scan has that few only if all of it is smaller than cores * ``spark.sql.files.maxPartitionBytes``, so what is
+    shuffled is small, and costly expressions over a small file are not the work of one task. Larger tables are
+    left as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
