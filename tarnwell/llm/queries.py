@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tarnwell.llm import communities, distinctive, leakage, packing, quantiles, rank_fusion, repetition, similar, splitting
 from tarnwell.llm.sql import oracle_sql as oracle_sql
 from tarnwell.llm.words import word_count
-from tarnwell.sources.tables import latest, table
+from tarnwell.sources.tables import latest, spread, table
 
 #: Ranks of byte pairs of a public tokenizer; a parameter of the queries that measure in tokens.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -103,22 +103,26 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return rank_fusion.unanimous_leaders(rank_fusion.reciprocal_rank_fusion(table(spark, d, "channel_hits")))
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def p7_containers(spark: SparkSession, d: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    sizes = packing.token_sizes(table(spark, d, "documents"), "doc_id", "text", tokenizer)
+    sizes = packing.token_sizes(texts(spark, d), "doc_id", "text", tokenizer)
     return packing.fill_containers(sizes, "id", F.col("tokens"), items=table(spark, d, "documents").count()).withColumnRenamed("id", "doc_id")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    packed = packing.fill_containers(table(spark, d, "documents"), "doc_id", word_count("text"))
+    packed = packing.fill_containers(texts(spark, d), "doc_id", word_count("text"))
     return packed.where("oversized").select(F.col("id").alias("doc_id")).distinct()
 
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leakage.leaks(texts(spark, d), table(spark, d, "eval_items"))
 
 
 def p8_clean(spark: SparkSession, d: str) -> DataFrame:
-    corpus = table(spark, d, "documents")
+    corpus = texts(spark, d)
     return leakage.without_leaks(corpus, leakage.leaks(corpus, table(spark, d, "eval_items"))).select("doc_id")
 
 
@@ -127,11 +131,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_measures(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.measure(table(spark, d, "documents"), "doc_id", "text")
+    return repetition.measure(texts(spark, d), "doc_id", "text")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.measure(table(spark, d, "documents"), "doc_id", "text").where("bad_repeat_share").select("doc_id")
+    return repetition.measure(texts(spark, d), "doc_id", "text").where("bad_repeat_share").select("doc_id")
 
 
 def queries() -> dict[str, Query]:

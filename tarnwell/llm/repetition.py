@@ -106,25 +106,25 @@ def _distinct_gap(parts: Column) -> Column:
     return bind(kept, lambda a: _ratio(F.size(a) - F.size(F.array_distinct(a)), F.size(a)))
 
 
-def measures(text: str) -> dict[str, Column]:
-    """All measures as expressions over the text column."""
+def parts(text: str) -> dict[str, Column]:
+    """What the measures share: the text, its words as written and its lines, each taken from the text once."""
     t = F.coalesce(F.col(text), F.lit(""))
-    w = raw_words(text)
-    lines = F.filter(F.split(t, "\r?\n"), lambda x: F.trim(x) != "")
+    return {"t": t, "w": raw_words(text), "l": F.split(t, "\r?\n")}
+
+
+def measures() -> dict[str, Column]:
+    """All measures as expressions over the columns of :func:`parts`."""
+    t, w = F.col("t"), F.col("w")
+    lines = F.filter("l", lambda x: F.trim(x) != "")
+    letters = F.aggregate(w, F.lit(0), lambda n, x: n + F.length(x))
     return {
         "n_words": F.size(w).cast("double"),
-        "mean_word_length": bind(w, lambda a: _ratio(F.length(F.array_join(a, "")), F.size(a))),
+        "mean_word_length": _ratio(letters, F.size(w)),
         "symbol_ratio": _ratio(F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s]+", "")), F.length(t)),
-        "stop_word_ratio": bind(
-            w, lambda a: _ratio(F.size(F.filter(a, lambda x: F.lower(x).isin(*STOP_WORDS))), F.size(a))
-        ),
-        "bullet_line_ratio": bind(
-            lines, lambda a: _ratio(F.size(F.filter(a, lambda x: x.rlike(r"^\s*[-*•]"))), F.size(a))
-        ),
-        "ellipsis_line_ratio": bind(
-            lines, lambda a: _ratio(F.size(F.filter(a, lambda x: x.rlike(r"(\.\.\.|…)\s*$"))), F.size(a))
-        ),
-        "duplicate_line_ratio": _distinct_gap(F.split(t, "\r?\n")),
+        "stop_word_ratio": _ratio(F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))), F.size(w)),
+        "bullet_line_ratio": bind(lines, lambda a: _ratio(F.size(F.filter(a, lambda x: x.rlike(r"^\s*[-*•]"))), F.size(a))),
+        "ellipsis_line_ratio": bind(lines, lambda a: _ratio(F.size(F.filter(a, lambda x: x.rlike(r"(\.\.\.|…)\s*$"))), F.size(a))),
+        "duplicate_line_ratio": _distinct_gap(F.col("l")),
         "duplicate_paragraph_ratio": _distinct_gap(F.split(t, r"\r?\n[ \t]*\r?\n")),
         "repeat_share": bind(
             F.transform(w, lambda x: F.xxhash64(F.lower(x))),
@@ -139,8 +139,9 @@ def measure(df: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...] =
     Every measure and flag is a column of its own, so a caller that needs one of them lets the
     optimiser drop the others.
     """
-    have = measures(text_col)
-    out = df.select(F.col(id_col), *[have[r.measure].alias(r.measure) for r in rules])
+    have = measures()
+    split = df.select(F.col(id_col).alias("i"), *[c.alias(name) for name, c in parts(text_col).items()])
+    out = split.select(F.col("i").alias(id_col), *[have[r.measure].alias(r.measure) for r in rules])
     flags = []
     for r in rules:
         bad = F.lit(False)
