@@ -20,7 +20,7 @@ from tarnwell.functions.vectors import normalise, sort_key
 from tarnwell.operators import dense
 from tarnwell.operators.dense import literal
 from tarnwell.operators.quantize import train_centroids, unit
-from tarnwell.operators.topk import top, top_per
+from tarnwell.operators.topk import keep_best, no_best, top, top_per
 
 #: Rows read to fit centroids, whatever the size of the table.
 TRAINING_ROWS = 65_536
@@ -129,7 +129,7 @@ class IvfIndex:
             asked = [np.array(x, dtype=np.int64) for x in probed]
 
             def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q, asked=asked) -> Iterator[pa.RecordBatch]:
-                best_s, best_i = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, np.int64)
+                best_s, best_i = no_best(len(ids), k)
                 for big in batches:
                     for at in range(0, big.num_rows, 4096):
                         b = big.slice(at, 4096)
@@ -140,7 +140,7 @@ class IvfIndex:
                             for part in range(0, len(asked[c]), 1024):
                                 a = asked[c][part : part + 1024]
                                 s = np.round(q[a] @ x[of == c].T, dense.TIE_PLACES)
-                                best_s[a], best_i[a] = _merged(best_s[a], best_i[a], s, i[of == c])
+                                best_s[a], best_i[a] = keep_best(best_s[a], best_i[a], s, i[of == c])
                 held = best_s > -np.inf
                 yield pa.RecordBatch.from_pydict({"qid": np.repeat(ids, held.sum(1)), "id": best_i[held], "score": best_s[held]})
 
@@ -203,21 +203,6 @@ class IvfIndex:
         )
 
 
-def _merged(best_s: np.ndarray, best_i: np.ndarray, s: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each row's ``best`` and its scores ``s`` of the rows ``ids``; of ties the lower ids."""
-    k = best_s.shape[1]
-    least = best_s[:, -1]
-    if s.shape[1] > k:
-        least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
-    i, j = np.nonzero(s >= least[:, None])
-    row = np.concatenate([np.repeat(np.arange(len(s)), k), i])
-    score, at = np.concatenate([best_s.ravel(), s[i, j]]), np.concatenate([best_i.ravel(), ids[j]])
-    order = np.lexsort([at, -score, row])
-    count = np.bincount(row, minlength=len(s))
-    take = order[((np.cumsum(count) - count)[:, None] + np.arange(k))]
-    return score[take], at[take]
-
-
 def overlay(base: DataFrame, tombstones: DataFrame, delta: DataFrame, k: int) -> DataFrame:
     """Scores (id, sort_key) of a base less deleted and replaced ids, joined by those of the rows written since."""
     gone = tombstones.select("id").unionByName(delta.select("id")).distinct()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions.vectors import doubles, maxsim, normalise, sort_key
 from tarnwell.operators.quantize import unit
-from tarnwell.operators.topk import top, top_per
+from tarnwell.operators.topk import keep_best, no_best, top, top_per
 
 #: Values of query vectors sent to the tasks at once (64 MB in double precision).
 QUERY_VALUES = 8_000_000
@@ -58,39 +58,46 @@ def batch_search(
 ) -> DataFrame:
     """(qid, id, score, rank): the ``k`` rows of greatest cosine (or dot product, ``normal=False``) for every query.
 
-    Each task multiplies its rows with the queries and passes on k rows per query; ties go to the lower id.
+    A query with several vectors, one per row of ``queries``, counts a row at the best of them. Each task multiplies
+    its rows with the queries and passes on k rows per query; ties go to the lower id.
     """
     rows = df.where(F.col(vector).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("id"), (normalise(vector) if normal else doubles(vector)).alias("v")
     )
-    out = None
+    out, blocks = df.sparkSession.createDataFrame([], FOUND), 0
     for ids, q in _blocks(queries, qid, query_vector, normal):
+        order = np.argsort(ids, kind="stable")
+        q, (own, first) = q[order], np.unique(ids[order], return_index=True)
 
-        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
-            best_s, best_i = np.full((len(ids), 0), -np.inf), np.full((len(ids), 0), -1, np.int64)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                c = b.column("v")
-                o = np.asarray(c.offsets)
-                fit = np.diff(o) == q.shape[1]
-                x = np.asarray(c.values)[o[:-1][fit][:, None] + np.arange(q.shape[1])]
-                i = np.asarray(b.column("id"))[fit]
-                s = np.concatenate([best_s, np.round(q @ x.T, TIE_PLACES)], 1)
-                n = np.concatenate([best_i, np.broadcast_to(i, (len(ids), len(i)))], 1)
-                order = np.lexsort([n, -s], axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(n, order, 1)
-            if best_s.size:
-                w = best_s.shape[1]
-                yield pa.RecordBatch.from_pydict({"qid": np.repeat(ids, w), "id": best_i.ravel(), "score": best_s.ravel()})
-
-        part = rows.mapInArrow(run, "qid bigint, id bigint, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = df.sparkSession.createDataFrame([], "qid bigint, id bigint, score double")
+        def run(batches: Iterator[pa.RecordBatch], own: np.ndarray = own, first: np.ndarray = first, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
+            best = no_best(len(own), k)
+            for big in batches:
+                for at in range(0, big.num_rows, 4096):
+                    b = big.slice(at, 4096)
+                    c = b.column("v")
+                    o = np.asarray(c.offsets)
+                    fit = np.diff(o) == q.shape[1]
+                    x = np.asarray(c.values)[o[:-1][fit][:, None] + np.arange(q.shape[1])]
+                    s = q @ x.T
+                    s = np.maximum.reduceat(s, first, axis=0) if len(own) < len(q) else s
+                    best = keep_best(*best, np.round(s, TIE_PLACES), np.asarray(b.column("id"))[fit])
+            yield found(own, *best)
+
+        out, blocks = out.unionByName(rows.mapInArrow(run, FOUND)), blocks + 1
+    if blocks > 1:  # the vectors of a query may be parted by the blocks
+        out = out.groupBy("qid", "id").agg(F.max("score").alias("score"))
     return top_per(out, "qid", k)
 
 
+FOUND = "qid bigint, id bigint, score double"
+
+
+def found(qids: np.ndarray, score: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """The rows that a task's table of best scores holds."""
+    held = score > -np.inf
+    return pa.RecordBatch.from_pydict({"qid": np.repeat(qids, held.sum(1)), "id": ids[held], "score": score[held]})
+
+
 def usable(v: Column | str, dim: int) -> Column:
     """The vector has ``dim`` finite values that are not all 0."""
     c = F.col(v) if isinstance(v, str) else v
@@ -128,7 +135,7 @@ def exact_maxsim(docs: DataFrame, tokens: str, queries: DataFrame, k: int, id_co
         out_ids = np.array(ids)
 
         def run(batches: Iterator[pa.RecordBatch], q=q, start=start, out_ids=out_ids) -> Iterator[pa.RecordBatch]:
-            best_s, best_i = np.full((len(out_ids), 0), -np.inf), np.full((len(out_ids), 0), -1, np.int64)
+            best = no_best(len(out_ids), k)
             for big in batches:
                 for at in range(0, big.num_rows, 1000):
                     b = big.slice(at, 1000)
@@ -137,22 +144,16 @@ def exact_maxsim(docs: DataFrame, tokens: str, queries: DataFrame, k: int, id_co
                     inner = c.values.slice(o[0], o[-1] - o[0])
                     io = np.asarray(inner.offsets)
                     x = unit(np.asarray(inner.values)[io[0] : io[-1]].reshape(len(io) - 1, -1).astype(np.float64))
-                    best = np.maximum.reduceat(q @ x.T, o[:-1] - o[0], axis=1)
-                    s = np.round(np.add.reduceat(best, start, axis=0), TIE_PLACES)
-                    s = np.concatenate([best_s, s], 1)
-                    i = np.asarray(b.column("id"))
-                    n = np.concatenate([best_i, np.broadcast_to(i, (len(out_ids), len(i)))], 1)
-                    order = np.lexsort([n, -s], axis=1)[:, :k]
-                    best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(n, order, 1)
-            if best_s.size:
-                w = best_s.shape[1]
-                yield pa.RecordBatch.from_pydict({"qid": np.repeat(out_ids, w), "id": best_i.ravel(), "score": best_s.ravel()})
+                    most = np.maximum.reduceat(q @ x.T, o[:-1] - o[0], axis=1)
+                    s = np.round(np.add.reduceat(most, start, axis=0), TIE_PLACES)
+                    best = keep_best(*best, s, np.asarray(b.column("id")))
+            yield found(out_ids, *best)
 
         d = docs.where(F.size(tokens) > 0).select(F.col(id_col).cast("bigint").alias("id"), F.col(tokens).alias("t"))
-        part = d.mapInArrow(run, "qid bigint, id bigint, score double")
+        part = d.mapInArrow(run, FOUND)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = docs.sparkSession.createDataFrame([], "qid bigint, id bigint, score double")
+        out = docs.sparkSession.createDataFrame([], FOUND)
     return top_per(out, "qid", k)
 
 

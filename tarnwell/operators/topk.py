@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,3 +40,22 @@ def group_top_n(ranked: DataFrame, key: str, per_group: int, groups: int, positi
 
 def rounded(c: Column | str, places: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, places)
+
+
+def keep_best(best_s: np.ndarray, best_i: np.ndarray, s: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row's ``best`` scores (k columns, -inf where free) and its scores ``s`` of the rows ``ids``; of ties the lower ids."""
+    k = best_s.shape[1]
+    least = best_s[:, -1]
+    if s.shape[1] > k:
+        least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+    i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+    row = np.concatenate([np.repeat(np.arange(len(s)), k), i])
+    score, at = np.concatenate([best_s.ravel(), s[i, j]]), np.concatenate([best_i.ravel(), ids[j]])
+    order = np.lexsort([at, -score, row])
+    count = np.bincount(row, minlength=len(s))
+    take = order[((np.cumsum(count) - count)[:, None] + np.arange(k))]
+    return score[take], at[take]
+
+
+def no_best(rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.full((rows, k), -np.inf), np.full((rows, k), np.iinfo(np.int64).max)

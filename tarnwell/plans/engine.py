@@ -169,10 +169,10 @@ class Collection:
             analyzer = PRESETS[self.config.analyzer]
             return lexical.bm25(docs, q, channel.limit, eligible=ok, analyzer=analyzer, k1=channel.k1, b=channel.b).select("id", "score")
         if isinstance(channel, Sparse):
-            q = self.spark.createDataFrame([(0, int(i), float(w)) for i, w in channel.vector], "qid int, feature bigint, weight double")
-            q = q.groupBy("qid", "feature").agg(F.sum("weight").alias("weight"))
-            postings = eligible.select("id", F.explode(F.col("sparse")[channel.field]).alias("e")).groupBy("id", "e.feature").agg(F.sum(F.col("e.weight").cast("double")).alias("weight"))
-            return lexical.sparse_dot(postings, q, channel.limit).select("id", "score")
+            q = self.spark.createDataFrame([(0, [int(i) for i, _ in channel.vector], [float(w) for _, w in channel.vector])], "qid bigint, indices array<bigint>, values array<double>")
+            e = F.col("sparse")[channel.field]
+            rows = eligible.select("id", F.transform(e, lambda x: x["feature"]).alias("indices"), F.transform(e, lambda x: x["weight"]).alias("values"))
+            return lexical.sparse_search(rows, q, channel.limit).select("id", "score")
         if isinstance(channel, Dense) and planned.operator == "exact_dense":
             rows = eligible.select("id", F.col("dense")[channel.field].alias("vector"))
             return dense.search(rows, "vector", list(channel.vector), channel.limit).select("id", F.col("raw_score").alias("score"))

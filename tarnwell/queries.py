@@ -17,7 +17,7 @@ from tarnwell.functions import text as T
 from tarnwell.functions import vectors as V
 from tarnwell.operators import context, dense, evalkit, fixed_encoding, fusion, late, lexical, quantize
 from tarnwell.operators.topk import group_top_n, rounded, top, top_per
-from tarnwell.session import materialize
+from tarnwell.session import materialize, scratch_path
 from tarnwell.sources.tables import latest, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,6 +116,13 @@ def bm25_filtered_global_idf(s, d):
     return _bm25(s, d, F.col("lang") == "en")
 
 
+@query(_bm25_sql())
+def bm25_indexed(s, d):
+    """As ``bm25_topk``, from postings written before."""
+    index = lexical.LexicalIndex.build(docs(s, d), scratch_path(s, "postings"))
+    return index.search(items(s, d), 10).withColumn("score", rounded("score"))
+
+
 @query()
 def bm25_english(s, d):
     return lexical.bm25(docs(s, d), items(s, d), 10, analyzer=T.ENGLISH)
@@ -135,9 +142,9 @@ def sparse_canonical(s, d):
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM sc)
 SELECT qid, id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 10""")
 def sparse_dot_topk(s, d):
-    postings = lexical.canonical_sparse(current(s, d, "sparse"), "number", "sparse")
-    asked = postings.where("id % 20 = 0").withColumnRenamed("id", "qid")
-    return lexical.sparse_dot(postings, asked, 10).withColumn("score", rounded("score"))
+    rows = current(s, d, "sparse").select(F.col("number").alias("id"), "sparse.indices", "sparse.values")
+    asked = rows.where("id % 20 = 0").withColumnRenamed("id", "qid")
+    return lexical.sparse_search(rows, asked, 10).withColumn("score", rounded("score"))
 
 
 # Dense and late-interaction channels.
@@ -320,7 +327,7 @@ def ranking_signals(s, d):
 
 def _asked(s, d, every=20):
     rows = latest(table(s, d, "query_requests").select("query_id", "text", "vectors", "ingested_at"), "query_id", "ingested_at")
-    return rows.where(F.col("query_id") % every == 0).select(F.col("query_id").alias("qid"), "text", F.get("vectors", F.lit(0)).alias("vector"))
+    return rows.where(F.col("query_id") % every == 0).select(F.col("query_id").alias("qid"), "text", "vectors")
 
 
 def _live(s, d):
@@ -332,11 +339,11 @@ GOOD_VECTOR = "len({v}) = 64 AND len(list_filter({v}, lambda x: x IS NULL OR NOT
 
 
 @query(rf"""
-WITH asked AS (SELECT query_id AS qid, text, vectors[1] AS vector FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ingested_at DESC) AS rn FROM query_requests) WHERE rn = 1 AND query_id % 20 = 0),
+WITH asked AS (SELECT query_id AS qid, text, vectors FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ingested_at DESC) AS rn FROM query_requests) WHERE rn = 1 AND query_id % 20 = 0),
 live AS (SELECT point_id AS id, {UNIT.format(v='vector')} AS v FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY ingested_at DESC) AS rn FROM snapshot_points)
   WHERE rn = 1 AND NOT coalesce(deleted, false) AND {GOOD_VECTOR.format(v='vector')}),
 dn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM
-  (SELECT qid, id, list_dot_product(v, {UNIT.format(v='vector')}) AS score FROM asked, live WHERE {GOOD_VECTOR.format(v='vector')})),
+  (SELECT qid, id, max(list_dot_product(v, {UNIT.format(v='vector')})) AS score FROM (SELECT qid, unnest(vectors) AS vector FROM asked), live WHERE {GOOD_VECTOR.format(v='vector')} GROUP BY qid, id)),
 d AS (SELECT number AS id, {WORDS} AS w FROM {CURRENT} WHERE text IS NOT NULL),
 t AS (SELECT count(*)::DOUBLE AS n, avg(len(w))::DOUBLE AS avgdl FROM d),
 tf AS (SELECT id, dl, term, count(*)::DOUBLE AS tf FROM (SELECT id, len(w)::DOUBLE AS dl, unnest(w) AS term FROM d) GROUP BY ALL),
@@ -352,12 +359,12 @@ def hybrid_rrf(s, d):
 
 
 def hybrid(s, d, every=20):
-    """BM25 over texts and exact cosine over vectors of the same numbers, fused by reciprocal ranks, with the text
-    joined to the ten best."""
+    """BM25 over texts and exact cosine over vectors of the same numbers, each record at the best of a request's vectors,
+    fused by reciprocal ranks, with the text joined to the ten best."""
     asked, records = _asked(s, d, every), current(s, d, "text").withColumnRenamed("number", "id")
-    lex = lexical.bm25(records, asked.select("qid", "text"), 100).withColumn("score", F.round("score", 9))
-    den = dense.batch_search(_live(s, d), asked.where(dense.usable("vector", 64)), 100)
-    fused = fusion.fuse([lex, den.withColumn("score", F.round("score", 9))]).withColumn("score", F.round("score", 9))
+    lex = lexical.bm25(records, asked.select("qid", "text"), 100)
+    den = dense.batch_search(_live(s, d), asked.select("qid", F.explode("vectors").alias("vector")).where(dense.usable("vector", 64)), 100)
+    fused = fusion.fuse([lex, den]).withColumn("score", F.round("score", 9))
     return top_per(fused, "qid", 10).join(records, "id", "left").select("qid", "id", rounded("score").alias("score"), "rank", "text")
 
 
