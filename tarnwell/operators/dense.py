@@ -110,26 +110,30 @@ def usable_matrix(m: str, dim: int) -> Column:
     return F.coalesce((F.size(m) > 0) & F.forall(m, lambda v: usable(v, dim)), F.lit(False))
 
 
-def exact_maxsim(docs: DataFrame, tokens: str, queries: DataFrame, k: int, id_col: str = "id") -> DataFrame:
-    """(qid, id, score, rank) for queries (qid, tokens), over tokens brought to length 1.
-
-    A block of queries, bounded by QUERY_VALUES, is multiplied with the tokens of a batch at once; the
-    greatest product per document and query token and their sums are segment reductions, and each task
-    passes on k rows per query.
-    """
-    blocks, ids, rows, held = [], [], [], 0
+def matrix_blocks(queries: DataFrame) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Query matrices (qid, tokens) in blocks of at most QUERY_VALUES values (or one matrix)."""
+    ids, rows, held = [], [], 0
     for r in queries.where(F.size("tokens") > 0).select(F.col("qid").cast("bigint").alias("qid"), "tokens").toLocalIterator():
         t = np.array(r.tokens, dtype=np.float64)
         if held and held + t.size > QUERY_VALUES:
-            blocks.append((ids, rows))
+            yield ids, rows
             ids, rows, held = [], [], 0
         ids.append(r.qid)
         rows.append(t)
         held += t.size
     if ids:
-        blocks.append((ids, rows))
+        yield ids, rows
+
+
+def exact_maxsim(docs: DataFrame, tokens: str, queries: DataFrame, k: int, id_col: str = "id") -> DataFrame:
+    """(qid, id, score, rank) for queries (qid, tokens), over tokens brought to length 1.
+
+    A block of queries, bounded by QUERY_VALUES, is multiplied with the tokens of a batch at once; the
+    greatest product per document and query token and their sums are segment reductions, and each task
+    passes on k rows per query.
+    """
     out = None
-    for ids, rows in blocks:
+    for ids, rows in matrix_blocks(queries):
         start = np.concatenate([[0], np.cumsum([len(t) for t in rows])[:-1]])
         q = unit(np.concatenate(rows))
         out_ids = np.array(ids)

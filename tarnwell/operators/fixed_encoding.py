@@ -55,38 +55,64 @@ class FixedEncoder:
         d = np.array([[(a ^ b).bit_count() for b in range(n)] for a in range(n)])
         return np.argsort(d, axis=1, kind="stable")
 
-    def _encode(self, tokens: np.ndarray, document: bool) -> np.ndarray:
-        x = np.asarray(tokens, dtype=np.float64)
-        hashes, projections = self.planes
-        n = 1 << self.ksim
-        bucket = ((np.einsum("rkd,td->rtk", hashes, x) > 0) << np.arange(self.ksim)).sum(2)
-        out = np.empty((self.repetitions, n, self.projected))
-        for r in range(self.repetitions):
-            count = np.bincount(bucket[r], minlength=n)
-            sums = np.zeros((n, self.dimension))
-            np.add.at(sums, bucket[r], x)
-            if document and len(x):
-                order = self.by_distance
-                near = order[np.arange(n), (count[order] > 0).argmax(1)]
-                sums = sums[near] / count[near][:, None]
-            out[r] = sums @ projections[r].T
-        return out.ravel()
+    def _buckets(self, x: np.ndarray, r: int) -> np.ndarray:
+        return ((x @ self.planes[0][r].T > 0) << np.arange(self.ksim)).sum(1)
 
     def encode_query(self, tokens: np.ndarray) -> np.ndarray:
-        return self._encode(tokens, False)
+        x, n = np.asarray(tokens, dtype=np.float64), 1 << self.ksim
+        out = np.zeros((self.repetitions, n, self.dimension))
+        for r in range(self.repetitions):
+            np.add.at(out[r], self._buckets(x, r), x)
+        return (out @ self.planes[1].transpose(0, 2, 1)).ravel()
+
+    def encode_documents(self, tokens: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """One row per document; ``tokens`` are those of all documents end to end, ``count`` of each. Documents without
+        tokens are zero."""
+        x, n = np.asarray(tokens, dtype=np.float64), 1 << self.ksim
+        of = np.repeat(np.arange(len(count)), count)
+        out = np.zeros((len(count), self.repetitions, n, self.projected))
+        every, buckets = np.arange(len(count))[:, None], np.arange(n)
+        for r in range(self.repetitions):
+            key = of * n + self._buckets(x, r)
+            order = np.argsort(key, kind="stable")
+            held, first = np.unique(key[order], return_index=True)
+            sums, size = np.zeros((len(count) * n, self.projected)), np.bincount(key, minlength=len(count) * n)
+            if len(held):
+                sums[held] = np.add.reduceat(x[order] @ self.planes[1][r].T, first, axis=0) / size[held][:, None]
+            full = size.reshape(-1, n) > 0
+            # The first occupied bucket in the order of differing bits.
+            near = self.by_distance[buckets, full[:, self.by_distance].argmax(2)]
+            out[:, r] = sums.reshape(-1, n, self.projected)[every, near]
+        return out.reshape(len(count), -1)
 
     def encode_document(self, tokens: np.ndarray) -> np.ndarray:
-        return self._encode(tokens, True)
+        return self.encode_documents(np.asarray(tokens), np.array([len(tokens)]))[0]
+
+
+def token_batch(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of all rows end to end at length 1, tokens per row) of a list<list<float>> array."""
+    from tarnwell.operators.quantize import unit
+
+    o = np.asarray(column.offsets, dtype=np.int64)
+    inner = column.values.slice(o[0], o[-1] - o[0])
+    io = np.asarray(inner.offsets, dtype=np.int64)
+    x = np.asarray(inner.values)[io[0] : io[-1]].astype(np.float64)
+    return unit(x.reshape(len(io) - 1, -1)) if len(io) > 1 else x.reshape(0, 1), np.diff(o)
+
+
+def float_rows(x: np.ndarray) -> pa.Array:
+    flat = np.ascontiguousarray(x, dtype=np.float32)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
 
 
 def encode_documents(df: DataFrame, id_col: str, tokens: str, encoder: FixedEncoder) -> DataFrame:
     """(id, fde) for documents with tokens, in Arrow batches; tokens are brought to length 1 first."""
-    from tarnwell.operators.quantize import unit
 
     def run(batches):
-        for b in batches:
-            rows = [encoder.encode_document(unit(np.array(t, dtype=np.float64))).astype(np.float32) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float32()))], names=["id", "fde"])
+        for big in batches:
+            for at in range(0, big.num_rows, 500):
+                b = big.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([b.column(0), float_rows(encoder.encode_documents(*token_batch(b.column(1))))], names=["id", "fde"])
 
     return df.where(F.size(tokens) > 0).select(F.col(id_col).cast("bigint").alias("id"), F.col(tokens).cast("array<array<float>>").alias("t")).mapInArrow(
         run, "id bigint, fde array<float>"

@@ -1,116 +1,158 @@
-"""Queries by token matrices: encoded candidates, centroid pruning, probing, and rescoring on compressed tokens."""
+"""Sets of token matrices as queries: encoded candidates, centroid pruning, probing, and rescoring on compressed tokens.
+
+Queries are tables (qid, tokens). Candidates come from blocks of queries multiplied inside the tasks that scan the
+stored form; what is decided afterwards is a table of (qid, id) that is joined with the stored rows and the queries.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnwell.operators.fixed_encoding import FixedEncoder
+from tarnwell.operators.dense import FOUND, TIE_PLACES, batch_search, found, matrix_blocks
+from tarnwell.operators.fixed_encoding import FixedEncoder, float_rows, token_batch
 from tarnwell.operators.quantize import ResidualCodec, unit
-from tarnwell.operators.topk import top
+from tarnwell.operators.topk import keep_best, no_best, top_per
+
+_MATRIX = "array<array<float>>"
+#: Rows of a batch that are encoded or multiplied at once.
+ROWS = 500
+
+
+def one_query(spark: SparkSession, tokens: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(0, [[float(x) for x in t] for t in tokens])], f"qid bigint, tokens {_MATRIX}")
 
 
 def encode_tokens(df: DataFrame, id_col: str, tokens: str, codec: ResidualCodec, encoder: FixedEncoder) -> DataFrame:
     """(id, centroid_ids, residuals, fde): the stored form of each document with tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, res, fde = [], [], []
-            for t in b.column(1).to_pylist():
-                x = unit(np.array(t, dtype=np.float64))
-                c, packed = codec.encode(x)
-                at.append(c)
-                res.append(packed)
-                fde.append(encoder.encode_document(x).astype(np.float32))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(res, pa.binary()), pa.array(fde, pa.list_(pa.float32()))],
-                names=["id", "centroid_ids", "residuals", "fde"],
-            )
+        for big in batches:
+            for start in range(0, big.num_rows, ROWS):
+                b = big.slice(start, ROWS)
+                x, count = token_batch(b.column(1))
+                at, packed = codec.encode_many(x, count)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(at))
+                fde = float_rows(encoder.encode_documents(x, count))
+                yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(packed, pa.binary()), fde], names=["id", "centroid_ids", "residuals", "fde"])
 
     return (
         df.where(F.size(tokens) > 0)
-        .select(F.col(id_col).cast("bigint").alias("id"), F.col(tokens).cast("array<array<float>>").alias("t"))
+        .select(F.col(id_col).cast("bigint").alias("id"), F.col(tokens).cast(_MATRIX).alias("t"))
         .mapInArrow(run, "id bigint, centroid_ids array<int>, residuals binary, fde array<float>")
     )
 
 
-def _score(df: DataFrame, columns: list[str], score, k: int, name: str = "score") -> DataFrame:
-    """``k`` best rows by a function of the columns, evaluated in Arrow batches."""
+def fde_candidates(stored: DataFrame, queries: DataFrame, count: int, encoder: FixedEncoder) -> DataFrame:
+    """(qid, id, fde_score, rank): documents by the dot product of their encoding with the query's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, n = token_batch(b.column("tokens"))
+            rows = [encoder.encode_query(t) for t in np.split(x, np.cumsum(n)[:-1])] if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([b.column("qid"), pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))], names=["qid", "vector"])
+
+    asked = queries.where(F.size("tokens") > 0).select(F.col("qid").cast("bigint").alias("qid"), F.col("tokens").cast(_MATRIX).alias("tokens"))
+    encoded = asked.mapInArrow(run, "qid bigint, vector array<double>")
+    return batch_search(stored.select("id", F.col("fde").alias("vector")), encoded, count, normal=False).withColumnRenamed("score", "fde_score")
+
+
+def _scored(pool: DataFrame, stored: DataFrame, queries: DataFrame, columns: list[str], score: Callable, k: int) -> DataFrame:
+    """The ``k`` best per query of the pairs (qid, id) by ``score`` of a batch with the columns and the query's tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(score(b), pa.float64())], names=["id", name])
+                yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("id"), pa.array(np.round(score(b), TIE_PLACES), pa.float64())], names=["qid", "id", "score"])
 
-    return top(df.select("id", *columns).mapInArrow(run, f"id bigint, {name} double"), k, name)
+    pairs = pool.select("qid", "id").join(stored.select("id", *columns), "id").join(queries.select("qid", F.col("tokens").cast(_MATRIX).alias("tokens")), "qid")
+    return top_per(pairs.mapInArrow(run, FOUND), "qid", k)
 
 
-def fde_candidates(stored: DataFrame, query: np.ndarray, count: int, encoder: FixedEncoder) -> DataFrame:
-    """(id, fde_score): documents by the dot product of their encoding with the query's."""
-    q = encoder.encode_query(unit(np.asarray(query, dtype=np.float64)))
+def _tokens_of(b: pa.RecordBatch) -> list[np.ndarray]:
+    x, n = token_batch(b.column("tokens"))
+    return np.split(x, np.cumsum(n)[:-1])
 
-    def score(b: pa.RecordBatch) -> np.ndarray:
-        c = b.column("fde")
-        o = np.asarray(c.offsets)
-        return np.asarray(c.values)[o[0] : o[-1]].reshape(b.num_rows, -1).astype(np.float64) @ q
 
-    return _score(stored, ["fde"], score, count, "fde_score")
+def _centroids_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    o = np.asarray(b.column("centroid_ids").offsets, dtype=np.int64)
+    return np.asarray(b.column("centroid_ids").values)[o[0] : o[-1]], np.diff(o)
 
 
-def rescore(pool: DataFrame, stored: DataFrame, query: np.ndarray, k: int, codec: ResidualCodec) -> DataFrame:
-    """(id, score): the pool by MaxSim against the decoded tokens."""
-    q = unit(np.asarray(query, dtype=np.float64))
+def rescore(pool: DataFrame, stored: DataFrame, queries: DataFrame, k: int, codec: ResidualCodec) -> DataFrame:
+    """(qid, id, score, rank): the pool (qid, id) by MaxSim against the decoded tokens."""
 
     def score(b: pa.RecordBatch) -> list[float]:
-        pairs = zip(b.column("centroid_ids").to_pylist(), b.column("residuals").to_pylist(), strict=True)
-        return [float((q @ codec.decode(np.array(at), r).T).max(1).sum()) for at, r in pairs]
+        at, count = _centroids_of(b)
+        x = codec.decode_many(at, b.column("residuals").to_pylist(), count)
+        return [float((q @ t.T).max(1).sum()) for q, t in zip(_tokens_of(b), np.split(x, np.cumsum(count)[:-1]), strict=True)]
 
-    return _score(stored.join(pool.select("id"), "id", "left_semi"), ["centroid_ids", "residuals"], score, k)
+    return _scored(pool, stored, queries, ["centroid_ids", "residuals"], score, k)
 
 
-def centroid_prune(pool: DataFrame, stored: DataFrame, query: np.ndarray, keep: int, codec: ResidualCodec) -> DataFrame:
-    """(id, score): the pool by MaxSim over centroids only, a table of query tokens by centroids that every task holds."""
-    table = unit(np.asarray(query, dtype=np.float64)) @ codec.centroids.T
+def centroid_prune(pool: DataFrame, stored: DataFrame, queries: DataFrame, keep: int, codec: ResidualCodec) -> DataFrame:
+    """(qid, id, score, rank): the pool by MaxSim over centroids only."""
 
     def score(b: pa.RecordBatch) -> list[float]:
-        return [float(table[:, sorted(set(at))].max(1).sum()) for at in b.column("centroid_ids").to_pylist()]
+        at, count = _centroids_of(b)
+        return [float((q @ codec.centroids[c].T).max(1).sum()) for q, c in zip(_tokens_of(b), np.split(at, np.cumsum(count)[:-1]), strict=True)]
 
-    return _score(stored.join(pool.select("id"), "id", "left_semi"), ["centroid_ids"], score, keep)
+    return _scored(pool, stored, queries, ["centroid_ids"], score, keep)
 
 
-def token_query(stored: DataFrame, query: np.ndarray, k: int, codec: ResidualCodec, encoder: FixedEncoder, candidates: int | None = None, rerank_candidates: int | None = None) -> DataFrame:
-    """(id, score, fde_score): encoded candidates (8 k unless said), pruned by centroids where
+def token_query(
+    stored: DataFrame, queries: DataFrame, k: int, codec: ResidualCodec, encoder: FixedEncoder, candidates: int | None = None, rerank_candidates: int | None = None
+) -> DataFrame:
+    """(qid, id, score, fde_score): encoded candidates (8 k unless said), pruned by centroids where
     ``rerank_candidates`` is given, rescored on compressed tokens."""
     count = max(k, candidates or 8 * k)
     if rerank_candidates is not None and not count >= rerank_candidates >= k > 0:
         raise ValueError("candidates >= rerank_candidates >= top_k > 0 is required")
-    broad = fde_candidates(stored, query, count, encoder)
-    pool = broad if rerank_candidates is None else centroid_prune(broad, stored, query, rerank_candidates, codec)
-    return rescore(pool, stored, query, k, codec).join(broad, "id").select("id", "score", "fde_score")
-
-
-def probe_query(stored: DataFrame, query: np.ndarray, k: int, candidates: int, probes: int, codec: ResidualCodec) -> DataFrame:
-    """(id, score): each query token names its ``probes`` nearest centroids; documents on any of their lists are
-    ranked by MaxSim over centroids, and the best are rescored."""
-    table = unit(np.asarray(query, dtype=np.float64)) @ codec.centroids.T
-    lists = sorted({int(c) for row in table for c in np.argsort(-row, kind="stable")[:probes]})
-    wanted = F.array(*map(F.lit, lists))
-    pool = stored.where(F.arrays_overlap("centroid_ids", wanted)).select("id")
-    return rescore(centroid_prune(pool, stored, query, max(k, candidates), codec), stored, query, k, codec)
+    broad = fde_candidates(stored, queries, count, encoder)
+    pool = broad if rerank_candidates is None else centroid_prune(broad, stored, queries, rerank_candidates, codec)
+    return rescore(pool, stored, queries, k, codec).join(broad.select("qid", "id", "fde_score"), ["qid", "id"]).select("qid", "id", "score", "fde_score")
+
+
+def probe_query(stored: DataFrame, queries: DataFrame, k: int, candidates: int, probes: int, codec: ResidualCodec) -> DataFrame:
+    """(qid, id, score, rank): each query token names its ``probes`` nearest centroids; documents on any of their lists
+    are ranked by MaxSim over centroids, and the best are rescored."""
+    keep = max(k, candidates)
+    pool = stored.sparkSession.createDataFrame([], FOUND)
+    for ids, rows in matrix_blocks(queries):
+        table = unit(np.concatenate(rows)) @ codec.centroids.T
+        start = np.concatenate([[0], np.cumsum([len(t) for t in rows])[:-1]])
+        lists = np.zeros(table.shape, bool)
+        np.put_along_axis(lists, np.argsort(-table, axis=1, kind="stable")[:, :probes], True, axis=1)
+        lists = np.logical_or.reduceat(lists, start, axis=0)
+
+        def run(batches: Iterator[pa.RecordBatch], ids=np.array(ids), table=table, start=start, lists=lists) -> Iterator[pa.RecordBatch]:
+            best = no_best(len(ids), keep)
+            for big in batches:
+                for begin in range(0, big.num_rows, ROWS):
+                    b = big.slice(begin, ROWS)
+                    at, count = _centroids_of(b)
+                    first = np.cumsum(count) - count
+                    s = np.add.reduceat(np.maximum.reduceat(table[:, at], first, axis=1), start, axis=0)
+                    s = np.where(np.logical_or.reduceat(lists[:, at], first, axis=1), np.round(s, TIE_PLACES), -np.inf)
+                    best = keep_best(*best, s, np.asarray(b.column("id")))
+            yield found(ids, *best)
+
+        pool = pool.unionByName(stored.where(F.size("centroid_ids") > 0).select("id", "centroid_ids").mapInArrow(run, FOUND))
+    return rescore(top_per(pool, "qid", keep), stored, queries, k, codec)
 
 
 def explain_tokens(result: DataFrame) -> DataFrame:
-    """One row: the top score, its lead, the place of the best hit among encoded scores, and the share of hits
+    """One row per query: the top score, its lead, the place of the best hit among encoded scores, and the share of hits
     whose two places differ by at most 3."""
-    by = lambda c: F.row_number().over(W.orderBy(F.desc(c), F.asc("id")))
+    by = lambda c: F.row_number().over(W.partitionBy("qid").orderBy(F.desc(c), F.asc("id")))
     placed = result.withColumn("a", by("score")).withColumn("b", by("fde_score"))
     at = lambda p: F.max(F.when(F.col("a") == p, F.col("score")))
-    return placed.agg(
+    return placed.groupBy("qid").agg(
         at(1).alias("top_score"),
         (at(1) - at(2)).alias("margin"),
         F.max(F.when(F.col("a") == 1, F.col("b"))).alias("best_fde_rank"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -137,13 +138,41 @@ class ResidualCodec:
         c = train_centroids(x, centroids, iterations)
         return cls(c, train_residual_levels(x - c[nearest(x, c)], bits), bits)
 
-    def encode(self, tokens: np.ndarray) -> tuple[np.ndarray, bytes]:
-        x = unit(np.asarray(tokens, dtype=np.float64))
+    def encode_many(self, x: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """(centroid of each of the unit tokens ``x``, packed codes per document of ``count`` tokens)."""
         at = nearest(x, self.centroids)
         edges = (self.levels[1:] + self.levels[:-1]) / 2
-        return at.astype(np.int32), pack_bits(np.searchsorted(edges, x - self.centroids[at]), self.bits)
-
-    def decode(self, at: np.ndarray, packed: bytes) -> np.ndarray:
+        codes = np.searchsorted(edges, x - self.centroids[at])
+        ends = np.cumsum(count)
+        width = self.centroids.shape[1] * self.bits
+        if width % 8:
+            return at.astype(np.int32), [pack_bits(codes[e - n : e], self.bits) for n, e in zip(count, ends, strict=True)]
+        packed = pack_bits(codes, self.bits)  # tokens take whole bytes
+        return at.astype(np.int32), [packed[(e - n) * width // 8 : e * width // 8] for n, e in zip(count, ends, strict=True)]
+
+    def decode_many(self, at: np.ndarray, packed: list[bytes], count: np.ndarray) -> np.ndarray:
+        """Tokens of documents of ``count`` tokens, end to end."""
         dim = self.centroids.shape[1]
-        codes = unpack_bits(packed, len(at) * dim, self.bits).reshape(len(at), dim)
+        if dim * self.bits % 8:
+            ends = np.cumsum(count)
+            parts = [unpack_bits(p, n * dim, self.bits) for p, n in zip(packed, count, strict=True)]
+            codes = np.concatenate([*parts, np.empty(0, np.int64)]).reshape(int(ends[-1]) if len(ends) else 0, dim)
+        else:
+            codes = unpack_bits(b"".join(packed), len(at) * dim, self.bits).reshape(len(at), dim)
         return self.centroids[at] + self.levels[codes]
+
+    def encode(self, tokens: np.ndarray) -> tuple[np.ndarray, bytes]:
+        x = unit(np.asarray(tokens, dtype=np.float64))
+        at, packed = self.encode_many(x, np.array([len(x)]))
+        return at, packed[0]
+
+    def decode(self, at: np.ndarray, packed: bytes) -> np.ndarray:
+        return self.decode_many(at, [packed], np.array([len(at)]))
+
+    def to_json(self) -> str:
+        return json.dumps({"centroids": self.centroids.tolist(), "levels": self.levels.tolist(), "bits": self.bits})
+
+    @classmethod
+    def from_json(cls, text: str) -> ResidualCodec:
+        d = json.loads(text)
+        return cls(np.array(d["centroids"]), np.array(d["levels"]), d["bits"])

@@ -146,13 +146,13 @@ class Collection:
 
     def query(self, vectors: np.ndarray, k: int = 10, candidates: int | None = None, rerank_candidates: int | None = None) -> DataFrame:
         self._check_tokens(vectors, k, candidates)
-        return late.token_query(self.stored(), vectors, k, self.codec, self.encoder, candidates, rerank_candidates)
+        return late.token_query(self.stored(), late.one_query(self.spark, vectors), k, self.codec, self.encoder, candidates, rerank_candidates).drop("qid")
 
     def query_with_probes(self, vectors: np.ndarray, k: int, candidates: int, probes: int) -> DataFrame:
         self._check_tokens(vectors, k, candidates)
         if not 1 <= probes <= 4096:
             raise ValueError("1 to 4096 probes")
-        return late.probe_query(self.stored(), vectors, k, candidates, probes, self.codec)
+        return late.probe_query(self.stored(), late.one_query(self.spark, vectors), k, candidates, probes, self.codec).select("id", "score")
 
     @staticmethod
     def _check_tokens(vectors: np.ndarray, k: int, candidates: int | None) -> None:
@@ -187,7 +187,7 @@ class Collection:
                 found = self.indexes[None].search(self.spark, q, channel.limit, AnnOptions(nprobe=max(1, channel.ef_search // 16)), eligible=ok)
                 return found.select("id", (-F.col("sort_key")).alias("score"))
             stored = self.stored().join(eligible.select("id"), "id", "left_semi")
-            return late.fde_candidates(stored, np.array(channel.vectors), channel.limit, self.encoder).select("id", F.col("fde_score").alias("score"))
+            return late.fde_candidates(stored, late.one_query(self.spark, np.array(channel.vectors)), channel.limit, self.encoder).select("id", F.col("fde_score").alias("score"))
         rows = eligible.select("id", F.col("multivector")[channel.field].alias("tokens"))
         q = self.spark.createDataFrame([(0, [list(map(float, v)) for v in channel.vectors])], "qid int, tokens array<array<double>>")
         return dense.exact_maxsim(rows, "tokens", q, channel.limit).select("id", "score")
@@ -211,7 +211,7 @@ class Collection:
             pool = top(ranked, depth).select("id", "score")
             query = [list(v) for v in r.vectors]
             if r.field is None:
-                scored = late.rescore(pool, self.stored(), np.array(query), depth, self.codec)
+                scored = late.rescore(pool.withColumn("qid", F.lit(0).cast("bigint")), self.stored(), late.one_query(self.spark, np.array(query)), depth, self.codec).select("id", "score")
             else:
                 scored = dense.maxsim_rerank(pool, docs.select("id", F.col("multivector")[r.field].alias("t")), "t", query, depth)
             ranked = scored.join(ranked.select("id", "sources"), "id").select(F.lit(0).cast("bigint").alias("qid"), "id", "score", "sources")

@@ -469,46 +469,61 @@ def index_stats(s, d):
 
 
 def _models(s, d):
-    """Codec and encoder of index_config, fitted on the tokens of at most 4,096 records with the smallest hashes."""
+    """(stored tokens, codec, encoder, queries, probes) with the codec of index_config fitted on the tokens of at most 4,096
+    records with the smallest hashes; queries are the matrices of all records whose number is divisible by 20."""
     c = table(s, d, "index_config").where("collection = 'retrieval_docs'").first()
-    m = _matrices(s, d)
-    rows = m.orderBy(F.xxhash64("id")).limit(4096).select("tokens").collect()
+    m = materialize(_matrices(s, d), "matrices")
+    rows = m.orderBy(F.xxhash64("id"), "id").limit(4096).select("tokens").collect()
     samples = np.concatenate([np.array(r.tokens, dtype=float) for r in rows])
     codec = quantize.ResidualCodec.train(samples, min(c.centroids, len(samples)), c.residual_bits, 10)
     encoder = fixed_encoding.FixedEncoder(c.dimension, c.fde_ksim, c.fde_projected, c.fde_repetitions)
-    q = np.array(m.orderBy("id").select("tokens").first()[0], dtype=float)
+    asked = m.where("id % 20 = 0").withColumnRenamed("id", "qid")
     # A query reads the stored form several times (candidates, pruning, rescoring), so it is written first.
-    return materialize(late.encode_tokens(m, "id", "tokens", codec, encoder), "tokens"), codec, encoder, q, c.probes
+    return materialize(late.encode_tokens(m, "id", "tokens", codec, encoder), "tokens"), codec, encoder, asked, c.probes
 
 
 @query()
 def fde_topk(s, d):
-    stored, _, encoder, q, _ = _models(s, d)
-    return late.fde_candidates(stored, q, 20, encoder)
+    stored, _, encoder, asked, _ = _models(s, d)
+    return late.fde_candidates(stored, asked, 20, encoder)
 
 
 @query()
 def residual_maxsim(s, d):
-    stored, codec, encoder, q, _ = _models(s, d)
-    return late.token_query(stored, q, 10, codec, encoder)
+    stored, codec, encoder, asked, _ = _models(s, d)
+    return late.token_query(stored, asked, 10, codec, encoder)
 
 
 @query()
 def centroid_prune(s, d):
-    stored, codec, encoder, q, _ = _models(s, d)
-    return late.token_query(stored, q, 10, codec, encoder, candidates=200, rerank_candidates=50)
+    stored, codec, encoder, asked, _ = _models(s, d)
+    return late.token_query(stored, asked, 10, codec, encoder, candidates=200, rerank_candidates=50)
 
 
 @query()
 def centroid_probes(s, d):
-    stored, codec, _, q, probes = _models(s, d)
-    return late.probe_query(stored, q, 10, 100, probes, codec)
+    stored, codec, _, asked, probes = _models(s, d)
+    return late.probe_query(stored, asked, 10, 100, probes, codec)
 
 
 @query()
 def token_explain(s, d):
-    stored, codec, encoder, q, _ = _models(s, d)
-    return late.explain_tokens(late.token_query(stored, q, 10, codec, encoder))
+    stored, codec, encoder, asked, _ = _models(s, d)
+    return late.explain_tokens(late.token_query(stored, asked, 10, codec, encoder))
+
+
+@query()
+def token_recall(s, d):
+    """(way, recall) of the ten best by each way against exact MaxSim, over all queries."""
+    stored, codec, encoder, asked, probes = _models(s, d)
+    exact = materialize(dense.exact_maxsim(_matrices(s, d), "tokens", asked, 10), "maxsim")
+    ways = {
+        "encoded": late.token_query(stored, asked, 10, codec, encoder),
+        "pruned": late.token_query(stored, asked, 10, codec, encoder, candidates=200, rerank_candidates=50),
+        "probed": late.probe_query(stored, asked, 10, 100, probes, codec),
+    }
+    parts = [evalkit.recall_at_k(f.select("qid", "id", F.lit(1).alias("rank")), exact, 10).agg(F.avg("recall").alias("recall")).select(F.lit(n).alias("way"), "recall") for n, f in ways.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 #: Lists of the index and lists probed.

@@ -194,17 +194,17 @@ def test_token_queries_against_plain_maxsim(spark):
     codec = quantize.ResidualCodec.train(np.concatenate(list(docs.values())), 8, 8, 8)
     encoder = fixed_encoding.FixedEncoder(6, 3, 4, 20)
     stored = late.encode_tokens(df, "id", "t", codec, encoder).cache()
-    q = docs[7]
+    q, one = docs[7], late.one_query(spark, docs[7])
     truth = sorted(docs, key=lambda i: -(q @ docs[i].T).max(1).sum())[:5]
-    got = [r.id for r in late.token_query(stored, q, 5, codec, encoder, candidates=60).orderBy(F.desc("score")).collect()]
+    got = [r.id for r in late.token_query(stored, one, 5, codec, encoder, candidates=60).orderBy(F.desc("score")).collect()]
     assert got[0] == 7 and len(set(got) & set(truth)) >= 4
-    pruned = late.token_query(stored, q, 5, codec, encoder, 60, 30)
+    pruned = late.token_query(stored, one, 5, codec, encoder, 60, 30)
     assert late.explain_tokens(pruned).first().top_score > 2.9
-    assert late.probe_query(stored, q, 5, 60, 8, codec).orderBy(F.desc("score")).first().id == 7
+    assert late.probe_query(stored, one, 5, 60, 8, codec).orderBy(F.desc("score")).first().id == 7
     exact = dense.exact_maxsim(df, "t", spark.createDataFrame([(1, q.tolist())], "qid bigint, tokens array<array<double>>"), 5)
     assert [r.id for r in exact.orderBy("rank").collect()] == truth
     with pytest.raises(ValueError):
-        late.token_query(stored, q, 5, codec, encoder, 10, 20)
+        late.token_query(stored, one, 5, codec, encoder, 10, 20)
 
 
 def test_inverted_lists(spark, tmp_path):
