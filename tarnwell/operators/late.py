@@ -95,6 +95,17 @@ def rescore(pool: DataFrame, stored: DataFrame, queries: DataFrame, k: int, code
     return _scored(pool, stored, queries, ["centroid_ids", "residuals"], score, k)
 
 
+def exact_rescore(pool: DataFrame, docs: DataFrame, tokens: str, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, rank): the pool (qid, id) by MaxSim against the tokens of ``docs`` as they were given."""
+
+    def score(b: pa.RecordBatch) -> list[float]:
+        x, count = token_batch(b.column("t"))
+        return [float((q @ t.T).max(1).sum()) for q, t in zip(_tokens_of(b), np.split(x, np.cumsum(count)[:-1]), strict=True)]
+
+    stored = docs.where(F.size(tokens) > 0).select("id", F.col(tokens).cast(_MATRIX).alias("t"))
+    return _scored(pool, stored, queries, ["t"], score, k)
+
+
 def centroid_prune(pool: DataFrame, stored: DataFrame, queries: DataFrame, keep: int, codec: ResidualCodec) -> DataFrame:
     """(qid, id, score, rank): the pool by MaxSim over centroids only."""
 

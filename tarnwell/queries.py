@@ -488,22 +488,45 @@ def fde_topk(s, d):
     return late.fde_candidates(stored, asked, 20, encoder)
 
 
+#: Candidates of token queries: by encodings, of those kept by centroids, by probes, and rescored exactly.
+ENCODED, BROAD, PROBED, RESCORED = 400, 1500, 1000, 100
+
+
+def _by_encodings(m, k):
+    stored, codec, encoder, asked, _ = m
+    return late.token_query(stored, asked, k, codec, encoder, ENCODED)
+
+
+def _by_centroids(m, k):
+    stored, codec, encoder, asked, _ = m
+    return late.token_query(stored, asked, k, codec, encoder, BROAD, ENCODED)
+
+
+def _by_probes(m, k):
+    stored, codec, _, asked, probes = m
+    return late.probe_query(stored, asked, k, PROBED, probes, codec)
+
+
 @query()
 def residual_maxsim(s, d):
-    stored, codec, encoder, asked, _ = _models(s, d)
-    return late.token_query(stored, asked, 10, codec, encoder)
+    return _by_encodings(_models(s, d), 10)
 
 
 @query()
 def centroid_prune(s, d):
-    stored, codec, encoder, asked, _ = _models(s, d)
-    return late.token_query(stored, asked, 10, codec, encoder, candidates=200, rerank_candidates=50)
+    return _by_centroids(_models(s, d), 10)
 
 
 @query()
 def centroid_probes(s, d):
-    stored, codec, _, asked, probes = _models(s, d)
-    return late.probe_query(stored, asked, 10, 100, probes, codec)
+    return _by_probes(_models(s, d), 10)
+
+
+@query()
+def token_rerank(s, d):
+    """The best hundred by encodings and compressed tokens, rescored on the tokens themselves."""
+    m = _models(s, d)
+    return late.exact_rescore(_by_encodings(m, RESCORED), _matrices(s, d), "tokens", m[3], 10)
 
 
 @query()
@@ -514,16 +537,17 @@ def token_explain(s, d):
 
 @query()
 def token_recall(s, d):
-    """(way, recall) of the ten best by each way against exact MaxSim, over all queries."""
-    stored, codec, encoder, asked, probes = _models(s, d)
-    exact = materialize(dense.exact_maxsim(_matrices(s, d), "tokens", asked, 10), "maxsim")
-    ways = {
-        "encoded": late.token_query(stored, asked, 10, codec, encoder),
-        "pruned": late.token_query(stored, asked, 10, codec, encoder, candidates=200, rerank_candidates=50),
-        "probed": late.probe_query(stored, asked, 10, 100, probes, codec),
-    }
-    parts = [evalkit.recall_at_k(f.select("qid", "id", F.lit(1).alias("rank")), exact, 10).agg(F.avg("recall").alias("recall")).select(F.lit(n).alias("way"), "recall") for n, f in ways.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """(way, compressed, rescored): recall of the ten best of each way against exact MaxSim over all queries, as the
+    compressed tokens rank them and after the best hundred are rescored on the tokens themselves."""
+    m, docs_ = _models(s, d), _matrices(s, d)
+    exact = materialize(dense.exact_maxsim(docs_, "tokens", m[3], 10), "maxsim")
+    out = s.createDataFrame([], "way string, compressed double, rescored double")
+    for way, f in (("encodings", _by_encodings), ("centroids", _by_centroids), ("probes", _by_probes)):
+        hundred = materialize(f(m, RESCORED), "hundred")
+        found = {"compressed": top_per(hundred, "qid", 10), "rescored": late.exact_rescore(hundred, docs_, "tokens", m[3], 10)}
+        parts = [evalkit.recall_at_k(x.select("qid", "id", "rank"), exact, 10).agg(F.avg("recall").alias(name)) for name, x in found.items()]
+        out = out.unionByName(parts[0].crossJoin(parts[1]).withColumn("way", F.lit(way)))  # one row each
+    return out
 
 
 #: Lists of the index and lists probed.
