@@ -7,6 +7,7 @@ are scored exactly beside the lists, and probing every list equals the exact sea
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,14 +17,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.functions.vectors import normalise, sort_key
+from tarnwell.functions.vectors import doubles, normalise, sort_key
 from tarnwell.operators import dense
 from tarnwell.operators.dense import literal
 from tarnwell.operators.quantize import train_centroids, unit
 from tarnwell.operators.topk import keep_best, no_best, top, top_per
+from tarnwell.session import read_text, remove, write_new
 
 #: Rows read to fit centroids, whatever the size of the table.
 TRAINING_ROWS = 65_536
+#: Lists at most, where their number follows from the rows.
+MOST_LISTS = 4096
 
 
 @dataclass(frozen=True)
@@ -36,18 +40,26 @@ class AnnOptions:
 
 @dataclass
 class IvfIndex:
-    """Lists of a table (id, vector[, other columns]) below ``path``, one directory per list."""
+    """Lists of a table (id, vector[, other columns]) below ``path``, one directory per list, with the model beside them."""
 
     path: str
     centroids: np.ndarray
     metric: str
     generation: int = 0
+    name: str | None = None
 
     @classmethod
-    def build(cls, df: DataFrame, path: str, lists: int, metric: str = "cosine", iterations: int = 10, generation: int = 0) -> IvfIndex:
-        """Fit on at most TRAINING_ROWS rows (those with the smallest hashes) and write every row to its list."""
+    def build(
+        cls, df: DataFrame, path: str, lists: int | None = None, metric: str = "cosine", iterations: int = 10, generation: int = 0, name: str | None = None
+    ) -> IvfIndex:
+        """Fit on at most TRAINING_ROWS rows (those with the smallest hashes) and write every row to its list.
+
+        Without ``lists`` there are as many as the root of the rows, at most MOST_LISTS. Rows are written in ranges of
+        (list, id), so a list that holds a large share of them becomes several tasks and files.
+        """
         usable = df.where(F.col("vector").isNotNull())
         n = usable.count()
+        lists = lists or min(MOST_LISTS, max(1, round(n**0.5)))
         step = max(1, n // TRAINING_ROWS)
         sample = usable.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).orderBy(F.xxhash64("id"), "id").limit(TRAINING_ROWS).select("vector").collect()
         x = np.array([r.vector for r in sample], dtype=np.float64)
@@ -59,10 +71,22 @@ class IvfIndex:
             for _ in range(iterations):
                 at = ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1) if len(x) * lists < 2_000_000 else np.array([((r - c) ** 2).sum(1).argmin() for r in x])
                 c = np.array([x[at == i].mean(0) if (at == i).any() else c[i] for i in range(lists)])
-        index = cls(path, c, metric, generation)
-        index.assign(usable).repartition("list").write.mode("overwrite").partitionBy("list").parquet(path)
+        index = cls(path, c, metric, generation, name)
+        index.assign(usable).repartitionByRange("list", "id").write.mode("overwrite").partitionBy("list").parquet(path)
+        model = {"centroids": c.tolist(), "metric": metric, "generation": generation, "name": name}
+        remove(df.sparkSession, f"{path}/_model.json")
+        write_new(df.sparkSession, f"{path}/_model.json", json.dumps(model))
         return index
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> IvfIndex | None:
+        """The index that a finished build left at ``path``."""
+        text = read_text(spark, f"{path}/_model.json")
+        if text is None:
+            return None
+        m = json.loads(text)
+        return cls(path, np.array(m["centroids"], dtype=np.float64), m["metric"], m["generation"], m["name"])
+
     def assign(self, df: DataFrame) -> DataFrame:
         c, cosine = self.centroids, self.metric == "cosine"
 
@@ -107,20 +131,24 @@ class IvfIndex:
         key = sort_key(self.metric, "vector", literal(query))
         return top(rows.select("id", key.alias("sort_key")), k, "sort_key", ascending=True)
 
-    def search_batch(self, spark: SparkSession, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
-        """(qid, id, score, rank): the ``k`` rows of greatest cosine in the probed lists of every query (qid, vector).
+    def search_batch(self, spark: SparkSession, queries: DataFrame, k: int, nprobe: int, eligible: Column | None = None) -> DataFrame:
+        """(qid, id, score, rank): the ``k`` rows of greatest cosine or dot product in the probed lists of every query (qid, vector).
 
         Queries are taken in blocks; each task multiplies the rows of a list with the queries that probe it and
         passes on k rows per query. Scores that agree to TIE_PLACES are ties and go to the lower id.
         """
-        if self.metric != "cosine":
-            raise ValueError("batches are searched by cosine")
-        rows = spark.read.parquet(self.path).select(F.col("id").cast("bigint").alias("id"), "list", normalise("vector").alias("v"))
-        out = spark.createDataFrame([], "qid bigint, id bigint, score double")
-        for ids, q in dense._blocks(queries, "qid", "vector", True):
+        if self.metric == "euclidean":
+            raise ValueError("batches are searched by cosine or dot product")
+        cosine = self.metric == "cosine"
+        rows = spark.read.parquet(self.path)
+        if eligible is not None:
+            rows = rows.where(F.coalesce(eligible, F.lit(False)))
+        rows = rows.select(F.col("id").cast("bigint").alias("id"), "list", (normalise("vector") if cosine else doubles("vector")).alias("v"))
+        out = spark.createDataFrame([], dense.FOUND)
+        for ids, q in dense._blocks(queries, "qid", "vector", cosine):
             # Probes as in ``probe``: the nearest centroids by distance, the first of equals.
             probed = [[] for _ in self.centroids]
-            gap = (self.centroids * self.centroids).sum(1)
+            gap = (self.centroids * self.centroids).sum(1) if cosine else np.zeros(len(self.centroids))
             for at in range(0, len(q), 4096):
                 near = np.argsort(gap - 2 * q[at : at + 4096] @ self.centroids.T, axis=1, kind="stable")[:, :nprobe]
                 for i, lists in enumerate(near, at):
@@ -141,10 +169,9 @@ class IvfIndex:
                                 a = asked[c][part : part + 1024]
                                 s = np.round(q[a] @ x[of == c].T, dense.TIE_PLACES)
                                 best_s[a], best_i[a] = keep_best(best_s[a], best_i[a], s, i[of == c])
-                held = best_s > -np.inf
-                yield pa.RecordBatch.from_pydict({"qid": np.repeat(ids, held.sum(1)), "id": best_i[held], "score": best_s[held]})
+                yield dense.found(ids, best_s, best_i)
 
-            out = out.unionByName(rows.mapInArrow(run, "qid bigint, id bigint, score double"))
+            out = out.unionByName(rows.mapInArrow(run, dense.FOUND))
         return top_per(out, "qid", k)
 
     def search_widening(self, spark: SparkSession, query: list[float], k: int, target: int, options: AnnOptions = AnnOptions(), **kw) -> tuple[list, str]:

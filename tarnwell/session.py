@@ -5,19 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder is set instead.
+    Where the setting is absent a temporary folder is set instead, but only for a local master: the executors of a
+    cluster would each write to a disk of their own.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tarnwell-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -56,3 +60,54 @@ def release(df: DataFrame | None) -> None:
     if path:
         hadoop, fs = _hadoop_path(df.sparkSession, path)
         fs.delete(hadoop, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The content of a small file of any file system Spark knows; None where there is none."""
+    hadoop, fs = _hadoop_path(spark, path)
+    if not fs.exists(hadoop):
+        return None
+    stream = fs.open(hadoop)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that did not exist; False where another writer was first. Readers see all of it or nothing."""
+    hadoop, fs = _hadoop_path(spark, path)
+    pending, _ = _hadoop_path(spark, f"{path}.{uuid.uuid4().hex}.pending")
+    out = fs.create(pending, False)
+    try:
+        out.write(bytearray(text.encode()))
+        out.hsync()
+    finally:
+        out.close()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    options = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        # Without overwriting, the rename fails if the name is taken.
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri()).rename(fs.makeQualified(pending), fs.makeQualified(hadoop), options)
+    except Py4JJavaError:
+        fs.delete(pending, False)
+        if fs.exists(hadoop):
+            return False
+        raise
+    return True
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    hadoop, fs = _hadoop_path(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop, fs = _hadoop_path(spark, path)
+    fs.delete(hadoop, True)
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    hadoop, fs = _hadoop_path(spark, path)
+    return fs.getContentSummary(hadoop).getLength() if fs.exists(hadoop) else 0

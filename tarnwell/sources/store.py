@@ -1,25 +1,34 @@
-"""Collections as generations of Parquet tables: atomic batches, deletes, compaction and statistics.
+"""Collections as generations: a base table, segments of changes on top of it, and a log of versions.
 
-A generation is an immutable folder; a small pointer file names the current one and is replaced by
-one rename after the folder is complete. Readers keep the generation they opened. Ids of a batch are
-anti-joined from the base on the id, so replaced documents leave whole.
+A version is a small file that names the base, the segments and the schema. A batch is written as one segment
+(whole documents and marks of deleted ids) in a folder of its own and becomes visible when the file of the next
+version is created, which fails if another writer created it first; nothing that others wrote can be lost. Readers
+keep the version they opened and merge on read: the last change of an id counts, and changed ids are anti-joined from
+the base. Segments are folded into a new base when they become many.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnwell.session import names_in, read_text, remove, size_of, write_new
+
 NAME = re.compile(r"[A-Za-z0-9_-]{1,64}")
 SCHEMA = (
     "id bigint, text string, metadata string, chunk struct<parent: string, position: bigint>, vectors array<array<float>>, "
     "dense map<string, array<float>>, multivector map<string, array<array<float>>>, sparse map<string, array<struct<feature: bigint, weight: float>>>"
 )
+CHANGES = f"{SCHEMA}, _gone boolean, _no bigint"
+#: Segments that are read on top of a base before they are folded into it, and bytes of a file of a base.
+SEGMENTS = 16
+FILE_BYTES = 256 << 20
 MOST_TEXT, MOST_TOKENS, MOST_FIELDS, MOST_FEATURES = 1 << 20, 8192, 32, 65_536
 
 
@@ -48,9 +57,15 @@ class InvalidDocument(ValueError):
     pass
 
 
+class Conflict(RuntimeError):
+    """Another writer published the next version first; nothing was changed."""
+
+
 @dataclass
 class Pointer:
     generation: int = 0
+    base: str | None = None
+    segments: list = field(default_factory=list)
     config: dict = field(default_factory=dict)
     fields: dict = field(default_factory=dict)
     batch_id: int | None = None
@@ -61,52 +76,41 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str, config: IndexConfig | None = None):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._contexts = jvm.org.apache.hadoop.fs.FileContext
-        self._overwrite = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         self.pointer = self._read()
         if self.pointer is None:
             if config is None:
                 raise FileNotFoundError(f"no collection at {path}")
-            self._write_generation(spark.createDataFrame([], SCHEMA), 0)
-            self._publish(Pointer(0, asdict(config)))
+            self.pointer = self._publish(Pointer(0, None, [], asdict(config)))
         elif config is not None and asdict(config) != self.pointer.config:
             raise ConfigMismatch("the collection was created with another config")
 
-    # The pointer file.
+    # The log of versions.
 
-    def _read(self) -> Pointer | None:
-        p = self._path(f"{self.path}/CURRENT")
-        if not self._fs.exists(p):
-            return None
-        stream = self._fs.open(p)
-        try:
-            text = bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-        return Pointer(**json.loads(text))
-
-    def _publish(self, pointer: Pointer) -> None:
-        pending, current = self._path(f"{self.path}/CURRENT.pending"), self._path(f"{self.path}/CURRENT")
-        out = self._fs.create(pending, True)
-        try:
-            out.write(bytearray(json.dumps(asdict(pointer)).encode()))
-            out.hsync()
-        finally:
-            out.close()
-        context = self._contexts.getFileContext(self._fs.getUri())
-        options = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self._overwrite
-        context.rename(self._fs.makeQualified(pending), self._fs.makeQualified(current), options)
+    def _version(self, generation: int) -> str:
+        return f"{self.path}/log/{generation:020d}.json"
+
+    def _read(self, generation: int | None = None) -> Pointer | None:
+        if generation is None:
+            found = [n for n in names_in(self.spark, f"{self.path}/log") if n.endswith(".json")]
+            if not found:
+                return None
+            generation = int(found[-1].removesuffix(".json"))
+        text = read_text(self.spark, self._version(generation))
+        return text and Pointer(**json.loads(text))
+
+    def _publish(self, pointer: Pointer) -> Pointer:
+        if not write_new(self.spark, self._version(pointer.generation), json.dumps(asdict(pointer))):
+            raise Conflict(f"generation {pointer.generation} exists already")
         self.pointer = pointer
+        return pointer
 
-    def _dir(self, generation: int) -> str:
-        return f"{self.path}/gen={generation}"
+    def refresh(self) -> int:
+        """Move to the newest version."""
+        self.pointer = self._read()
+        return self.generation
 
-    def _write_generation(self, df: DataFrame, generation: int) -> None:
-        df.write.mode("overwrite").parquet(self._dir(generation))
+    def _folder(self, kind: str) -> str:
+        return f"{kind}-{self.generation + 1}-{uuid.uuid4().hex}"
 
     # Reading.
 
@@ -115,7 +119,16 @@ class Store:
         return self.pointer.generation
 
     def documents(self, generation: int | None = None) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(self._dir(self.generation if generation is None else generation))
+        pointer = self.pointer if generation in (None, self.generation) else self._read(generation)
+        if pointer is None:
+            raise FileNotFoundError(f"no generation {generation}")
+        read, empty = self.spark.read, self.spark.createDataFrame([], SCHEMA)
+        base = read.schema(SCHEMA).parquet(f"{self.path}/{pointer.base}") if pointer.base else empty
+        if not pointer.segments:
+            return base
+        changes = read.schema(CHANGES).parquet(*[f"{self.path}/{s}" for s in pointer.segments])
+        last = changes.withColumn("_rn", F.row_number().over(W.partitionBy("id").orderBy(F.desc("_no")))).where("_rn = 1")
+        return base.join(last.select("id"), "id", "left_anti").select(*empty.columns).unionByName(last.where("NOT _gone").select(*empty.columns))
 
     def last_batch(self) -> int | None:
         return self.pointer.batch_id
@@ -156,26 +169,43 @@ class Store:
         return df, fields
 
     def apply(self, upserts: DataFrame | None, deletes: DataFrame | None, batch_id: int | None = None) -> int:
-        """One new generation from a batch of whole documents (the last of an id wins by column ``seq``, if there is
-        one) and ids to delete. An empty batch and ids that do not exist change nothing."""
-        base, fields, changed = self.documents(), self.pointer.fields, False
-        if upserts is not None and not upserts.isEmpty():
+        """One new generation from a batch of whole documents and ids to delete, written as one segment.
+
+        Of several documents of an id the last by the column ``seq`` counts; without that column a table has no
+        order, and a batch with an id twice is refused. An empty batch and ids that do not exist change nothing.
+        """
+        pointer, parts = self.pointer, []
+        if upserts is not None:
             if "seq" in upserts.columns:
                 w = W.partitionBy("id").orderBy(F.desc("seq"))
                 upserts = upserts.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-            else:
-                upserts = upserts.dropDuplicates(["id"])
+            elif not upserts.groupBy("id").count().where("count > 1").isEmpty():
+                raise InvalidDocument("an id occurs twice and no column seq says which document is the last")
             fresh, fields = self._validated(upserts)
-            base = base.join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
-            changed = True
+            if deletes is not None:
+                fresh = fresh.join(deletes.select(F.col("id").cast("bigint").alias("id")), "id", "left_anti")
+            parts.append(fresh.withColumn("_gone", F.lit(False)))
+        else:
+            fields = pointer.fields
         if deletes is not None:
-            gone = deletes.select(F.col("id").cast("bigint").alias("id")).distinct()
-            if not base.join(gone, "id", "left_semi").isEmpty():
-                base, changed = base.join(gone, "id", "left_anti"), True
-        if not changed and batch_id is None:
-            return self.generation
-        self._write_generation(base, self.generation + 1)
-        self._publish(Pointer(self.generation + 1, self.pointer.config, fields, self.pointer.batch_id if batch_id is None else batch_id))
+            gone = deletes.select(F.col("id").cast("bigint").alias("id")).distinct().join(self.documents().select("id"), "id", "left_semi")
+            blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], SCHEMA).schema if f.name != "id"]
+            parts.append(gone.select("id", *blank, F.lit(True).alias("_gone")))
+        folder = self._folder("segment")
+        rows = 0
+        if parts:
+            change = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+            change.withColumn("_no", F.lit(pointer.generation + 1)).write.parquet(f"{self.path}/{folder}")
+            rows = self.spark.read.schema(CHANGES).parquet(f"{self.path}/{folder}").count()
+        if not rows:
+            remove(self.spark, f"{self.path}/{folder}")
+            if batch_id is None:
+                return self.generation
+        batch_id = pointer.batch_id if batch_id is None else batch_id
+        segments = pointer.segments + [folder] * bool(rows)
+        self._publish(Pointer(pointer.generation + 1, pointer.base, segments, pointer.config, fields, batch_id))
+        if len(segments) > SEGMENTS:
+            self.compact()
         return self.generation
 
     def upsert(self, batch: DataFrame) -> int:
@@ -185,23 +215,37 @@ class Store:
         before = self.generation
         return self.apply(None, self.spark.createDataFrame([(id_,)], "id bigint")) != before
 
-    def compact(self, files: int = 1) -> dict:
-        """Rewrite the current generation into ``files`` files and report the bytes."""
-        size = lambda g: self._fs.getContentSummary(self._path(self._dir(g))).getLength()
-        before, start = size(self.generation), self.generation
-        self._write_generation(self.documents().repartition(files), start + 1)
-        if (now := self._read()) and now.generation != start:
-            raise RuntimeError("the collection changed while it was compacted")
-        self._publish(Pointer(start + 1, self.pointer.config, self.pointer.fields, self.pointer.batch_id))
-        after = size(self.generation)
+    def bytes(self) -> int:
+        """Bytes of the base and its segments."""
+        p = self.pointer
+        return sum(size_of(self.spark, f"{self.path}/{f}") for f in [*p.segments, *([p.base] if p.base else [])])
+
+    def compact(self, files: int | None = None) -> dict:
+        """Fold the segments into a new base of ``files`` files (by FILE_BYTES if not given) and report the bytes."""
+        before, pointer, folder = self.bytes(), self.pointer, self._folder("base")
+        files = files or max(1, -(-before // FILE_BYTES))
+        self.documents().repartition(files).write.parquet(f"{self.path}/{folder}")
+        try:
+            self._publish(Pointer(pointer.generation + 1, folder, [], pointer.config, pointer.fields, pointer.batch_id))
+        except Conflict:
+            remove(self.spark, f"{self.path}/{folder}")
+            raise
+        after = self.bytes()
         return {"bytes_before": before, "bytes_after": after, "reclaimed": before - after}
 
     def vacuum(self, keep: int = 2) -> None:
-        """Remove all but the last ``keep`` generations."""
-        for s in self._fs.listStatus(self._path(self.path)):
-            name = s.getPath().getName()
-            if name.startswith("gen=") and int(name[4:]) <= self.generation - keep:
-                self._fs.delete(s.getPath(), True)
+        """Remove what only versions before the last ``keep`` read."""
+        versions = [n for n in names_in(self.spark, f"{self.path}/log") if n.endswith(".json")]
+        kept = [self._read(int(n.removesuffix(".json"))) for n in versions[-keep:]]
+        used = {f for p in kept for f in [p.base, *p.segments]}
+        newest = kept[-1].generation
+        for name in names_in(self.spark, self.path):
+            kind, _, rest = name.partition("-")
+            # Folders of a generation that is still to be published are another writer's.
+            if kind in ("base", "segment") and name not in used and int(rest.split("-")[0]) <= newest:
+                remove(self.spark, f"{self.path}/{name}")
+        for n in versions[:-keep]:
+            remove(self.spark, f"{self.path}/log/{n}")
 
     def stats(self, eligible=None) -> dict:
         """Counts for planning, in one aggregate; with a filter also those of the eligible documents."""
@@ -238,6 +282,4 @@ class Collections:
         return Store(self.spark, self._checked(name))
 
     def names(self) -> list[str]:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+        return names_in(self.spark, self.root)
