@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.functions.text import estimate_tokens
+from tarnwell.functions.text import estimate_tokens, estimated_tokens
+from tarnwell.operators.topk import top_per
 
 POOL = 4096
 
@@ -86,7 +87,9 @@ class Selection:
             return False
         if self.o.per_parent and parent is not None and self.parents.get(parent, 0) >= self.o.per_parent:
             return False
-        cost = estimate_tokens(text) if self.o.budget_tokens is not None else None
+        cost = None
+        if self.o.budget_tokens is not None:
+            cost = int(row["tokens"]) if "tokens" in row else estimate_tokens(text)
         if cost is not None and self.tokens + cost > self.o.budget_tokens:
             return False
         self.tokens += cost or 0
@@ -130,24 +133,45 @@ def select(pool: list[dict], around: dict, options: ContextOptions, vectors: np.
     return chosen
 
 
+def distinct_texts(docs: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
+    """(id, copies): the least id of each exact text and how many share it; documents without text are never duplicates."""
+    key = F.coalesce(F.sha2(text, 256), F.concat(F.lit("id:"), F.col(id_col).cast("string")))
+    return docs.groupBy(key.alias("_key")).agg(F.min(id_col).alias(id_col), F.count("*").alias("copies")).drop("_key")
+
+
+def neighbouring(seeds: DataFrame, chunks: DataFrame, distance: int) -> DataFrame:
+    """Seeds (parent, at, ...) with the chunks (parent, position, ...) of their parent at most ``distance`` places away.
+
+    Both sides are keyed by stretches of the parent of that many places, a seed by its own and the two beside it, so a
+    parent of m chunks costs about m * distance pairs and not m * m.
+    """
+    width = max(1, distance)
+    stretch = lambda c: F.floor(F.col(c) / width)
+    near = seeds.withColumn("_stretch", F.explode(F.array(*[stretch("at") + i for i in (-1, 0, 1)])))
+    return near.join(chunks.withColumn("_stretch", stretch("position")), ["parent", "_stretch"]).where(F.abs(F.col("position") - F.col("at")) <= distance).drop("_stretch")
+
+
 OUT = "qid bigint, position int, id bigint, score double, expanded_from bigint, estimated_tokens bigint"
 
 
 def select_context(ranked: DataFrame, docs: DataFrame, options: ContextOptions, vector: str | None = None) -> DataFrame:
     """Context per query from ranked (qid, id, score) and docs (id, text, parent, position[, vector]).
 
-    Neighbours are joined to the pool by an equi-join on the parent with a bound on the distance, before
-    a query's rows are brought together.
+    Only what can still be accepted is brought together: without duplicates, parents, diversity and budget that is the
+    first ``limit`` rows of a query. What decides is carried in place of the texts: a hash and the estimated tokens.
+    Neighbours are joined by stretches of their parent (:func:`neighbouring`).
     """
     extra = [vector] if vector else []
-    pool = ranked.select("qid", "id", "score").join(docs.select("id", "text", "parent", "position", *extra), "id")
-    rows = pool.select("qid", F.lit(None).cast("bigint").alias("seed"), "id", "score", "text", "parent", "position", *extra)
+    plain_walk = not (options.deduplicate or options.per_parent or options.budget_tokens is not None or options.mmr is not None)
+    cut = top_per(ranked.select("qid", "id", "score"), "qid", options.limit).drop("rank") if plain_walk else ranked.select("qid", "id", "score")
+    short = docs.select("id", F.sha2("text", 256).alias("text"), estimated_tokens("text").alias("tokens"), "parent", "position", *extra)
+    columns = ["score", "text", "tokens", "parent", "position", *extra]
+    pool = cut.join(short, "id")
+    rows = pool.select("qid", F.lit(None).cast("bigint").alias("seed"), "id", *columns)
     if options.neighbours:
         seed = pool.where("parent IS NOT NULL").select("qid", F.col("id").alias("seed"), "score", "parent", F.col("position").alias("at"))
-        chunk = docs.where("parent IS NOT NULL").select("parent", "id", "text", "position", *extra)
-        gap = F.abs(F.col("position") - F.col("at"))
-        near = seed.join(chunk, "parent").where((gap <= options.neighbours) & (F.col("id") != F.col("seed")))
-        rows = rows.unionByName(near.select("qid", "seed", "id", "score", "text", "parent", "position", *extra))
+        near = neighbouring(seed, short.where("parent IS NOT NULL"), options.neighbours).where("id <> seed")
+        rows = rows.unionByName(near.select("qid", "seed", "id", *columns))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         text = pdf["text"].astype(object).where(pdf["text"].notna(), None)
@@ -157,7 +181,11 @@ def select_context(ranked: DataFrame, docs: DataFrame, options: ContextOptions,
         around: dict = {}
         for r in pdf[pdf["seed"].notna()].sort_values(["position", "id"], kind="stable").to_dict("records"):
             around.setdefault(int(r["seed"]), []).append(r)
-        vectors = np.array(main[vector].tolist(), dtype=float) if vector and len(main) else None
+        vectors = None
+        if vector and len(main):
+            # A row without a vector is like none.
+            dim = max((len(v) for v in main[vector] if v is not None), default=1)
+            vectors = np.array([np.zeros(dim) if v is None else v for v in main[vector]], dtype=float)
         done = select(main.to_dict("records"), around, options, vectors)
         qid = pdf["qid"].iloc[0]
         return pd.DataFrame(

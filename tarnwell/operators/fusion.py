@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnwell.session import prepare
+
 RRF_K = 10.0
 
 
 def channel_lists(lists: list[DataFrame], keys: tuple[str, ...] = ("qid",)) -> DataFrame:
     """One table of (keys, channel, id, score, rank from 0) of channel results (keys, id, score); a repeated id
     of a list counts at its best place."""
+    prepare(lists[0].sparkSession)
     parts = [df.select(*keys, F.lit(i).alias("channel"), "id", "score") for i, df in enumerate(lists)]
     both = reduce(DataFrame.unionByName, parts)
     best = both.groupBy(*keys, "channel", "id").agg(F.max("score").alias("score"))

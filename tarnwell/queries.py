@@ -17,7 +17,9 @@ from tarnwell.functions import text as T
 from tarnwell.functions import vectors as V
 from tarnwell.operators import context, dense, evalkit, fixed_encoding, fusion, late, lexical, quantize
 from tarnwell.operators.topk import group_top_n, rounded, top, top_per
+from tarnwell.plans import engine, request
 from tarnwell.session import materialize, scratch_path
+from tarnwell.sources import store
 from tarnwell.sources.tables import latest, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -385,24 +387,23 @@ def group_top(s, d):
 
 @query("SELECT min(doc_id) AS doc_id, count(*)::BIGINT AS copies FROM documents WHERE text IS NOT NULL GROUP BY text UNION ALL SELECT doc_id, 1 FROM documents WHERE text IS NULL")
 def dedup_exact_text(s, d):
-    key = F.coalesce(F.sha2("text", 256), F.concat(F.lit("id:"), F.col("doc_id").cast("string")))
-    return table(s, d, "documents").groupBy(key.alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("k")
+    return context.distinct_texts(table(s, d, "documents"), "doc_id")
 
 
-@query(f"""SELECT number, parent, place::INTEGER AS place FROM (SELECT number, chunk.parent AS parent, row_number() OVER (PARTITION BY chunk.parent ORDER BY chunk."position", number) AS place
-FROM {CURRENT} WHERE chunk.parent IS NOT NULL AND chunk."position" IS NOT NULL) WHERE place <= 2""")
+@query(f"""WITH {HITS}, r AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS ord FROM hits WHERE channel = 'bm25'),
+p AS (SELECT r.*, c.parent, row_number() OVER (PARTITION BY qid, c.parent ORDER BY ord) AS place FROM r JOIN (SELECT number AS id, chunk.parent AS parent FROM {CURRENT}) c USING (id))
+SELECT qid, id, (row_number() OVER (PARTITION BY qid ORDER BY ord) - 1)::INTEGER AS position FROM p WHERE parent IS NULL OR place <= 2""")
 def per_parent_cap(s, d):
-    rows = current(s, d, "chunk").select("number", "chunk.parent", "chunk.position").where("parent IS NOT NULL AND position IS NOT NULL")
-    place = F.row_number().over(W.partitionBy("parent").orderBy("position", "number"))
-    return rows.withColumn("place", place).where("place <= 2").select("number", "parent", "place")
+    best, rows = _pool(s, d)
+    return context.select_context(best, rows, context.ContextOptions(limit=10_000, per_parent=2)).select("qid", "id", "position")
 
 
 @query(f"""WITH c AS (SELECT number, chunk.parent AS parent, chunk."position" AS pos FROM {CURRENT} WHERE chunk.parent IS NOT NULL)
 SELECT a.number AS seed, b.number AS number, (b.pos - a.pos)::BIGINT AS gap FROM c a JOIN c b ON a.parent = b.parent AND abs(a.pos - b.pos) <= 2 AND a.number <> b.number""")
 def neighbour_expand(s, d):
-    c = current(s, d, "chunk").select("number", "chunk.parent", F.col("chunk.position").alias("pos")).where("parent IS NOT NULL")
-    a, b = c.select(F.col("number").alias("seed"), "parent", F.col("pos").alias("at")), c
-    return a.join(b, "parent").where("abs(at - pos) <= 2 AND seed <> number").select("seed", "number", (F.col("pos") - F.col("at")).alias("gap"))
+    c = current(s, d, "chunk").select("number", "chunk.parent", "chunk.position").where("parent IS NOT NULL")
+    near = context.neighbouring(c.select(F.col("number").alias("seed"), "parent", F.col("position").alias("at")), c, 2)
+    return near.where("seed <> number").select("seed", "number", (F.col("position") - F.col("at")).alias("gap"))
 
 
 @query(r"SELECT doc_id, greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\s\x{000B}\x{0085}\p{Z}]+')) * 13 // 10)::BIGINT AS tokens FROM documents")
@@ -425,8 +426,10 @@ def context_select(s, d):
 @query()
 def context_mmr(s, d):
     best, rows = _pool(s, d)
-    m = _matrices(s, d).select("id", F.get("tokens", F.lit(0)).alias("vector"))
-    return context.select_context(best, rows.join(m, "id"), context.ContextOptions(limit=5, mmr=0.5), "vector")
+    # A record stands for the mean of its vectors; those without are like none.
+    mean = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.aggregate("tokens", F.lit(0.0), lambda a, t: a + F.get(t, i)) / F.size("tokens"))
+    rows = rows.join(_matrices(s, d).select("id", mean.alias("vector")), "id", "left")
+    return context.select_context(best, rows, context.ContextOptions(limit=5, mmr=0.5), "vector")
 
 
 # Storage semantics.
@@ -434,14 +437,21 @@ def context_mmr(s, d):
 
 @query(f"SELECT number, seq, md5(coalesce(text, '')) AS digest FROM {CURRENT}")
 def upsert_last_wins(s, d):
-    return current(s, d, "text").select("number", "seq", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    """One batch with every version of a record, into a collection of its own."""
+    rows = table(s, d, "retrieval_docs").where("number IS NOT NULL")
+    held = store.Store(s, scratch_path(s, "store"), store.IndexConfig(24))
+    held.upsert(rows.select(F.col("number").alias("id"), "seq", "text", F.col("seq").cast("string").alias("metadata")))
+    return held.documents().select(F.col("id").alias("number"), F.col("metadata").cast("bigint").alias("seq"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
 
 
 @query("SELECT snapshot, count(DISTINCT point_id)::BIGINT AS live FROM snapshot_points WHERE NOT coalesce(deleted, false) AND point_id NOT IN (SELECT point_id FROM snapshot_points WHERE deleted) GROUP BY snapshot")
 def delete_tombstone(s, d):
-    p = table(s, d, "snapshot_points").select("point_id", "snapshot", "deleted")
-    live = p.where(~F.coalesce("deleted", F.lit(False))).join(p.where("deleted").select("point_id").distinct(), "point_id", "left_anti")
-    return live.groupBy("snapshot").agg(F.count_distinct("point_id").alias("live"))
+    """A batch of points (every point lies in one snapshot), a batch of deletions, and what is left."""
+    p = table(s, d, "snapshot_points").where("point_id IS NOT NULL")
+    held = store.Store(s, scratch_path(s, "store"), store.IndexConfig(64))
+    held.upsert(p.select(F.col("point_id").alias("id"), F.col("snapshot").alias("text")).distinct())
+    held.apply(None, p.where("deleted").select(F.col("point_id").alias("id")))
+    return held.documents().groupBy(F.col("text").alias("snapshot")).agg(F.count("*").alias("live"))
 
 
 @query("""SELECT user_id, event_id AS seq, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
@@ -456,13 +466,62 @@ def wal_replay(s, d):
 @query(f"""SELECT count(*)::BIGINT AS documents, count(text)::BIGINT AS text_documents, count_if({GOOD_MATRIX})::BIGINT AS token_documents,
 coalesce(sum(CASE WHEN {GOOD_MATRIX} THEN len(vectors) END), 0)::BIGINT AS token_vectors, count_if(len(sparse.indices) = len(sparse."values"))::BIGINT AS sparse_documents FROM {CURRENT}""")
 def index_stats(s, d):
-    ok = dense.usable_matrix("vectors", 24)
-    yes = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("bigint"))
-    return current(s, d, "text", "vectors", "sparse").agg(
-        F.count("*").alias("documents"), F.count("text").alias("text_documents"), yes(ok).alias("token_documents"),
-        F.coalesce(F.sum(F.when(ok, F.size("vectors"))), F.lit(0)).alias("token_vectors"),
-        yes(F.size(F.col("sparse.indices")) == F.size(F.col("sparse.values"))).alias("sparse_documents"),
-    )
+    held = store.Store(s, scratch_path(s, "store"), store.IndexConfig(24))
+    held.upsert(_documents(s, d))
+    stats = held.stats()
+    names = ("documents", "text_documents", "token_documents", "token_vectors")
+    row = [stats[n] for n in names] + [stats["fields"].get("terms", 0)]
+    return s.createDataFrame([row], ", ".join(f"{n} bigint" for n in (*names, "sparse_documents")))
+
+
+def _documents(s, d):
+    """The current records as documents of a collection, with what is usable of their vectors and sparse fields."""
+    i, v = F.col("sparse.indices"), F.col("sparse.values")
+    kept = F.filter(F.arrays_zip(i.alias("f"), v.alias("w")), lambda e: e["f"].isNotNull() & (e["w"] >= 0) & (e["w"] < float("inf")))
+    pairs = F.transform(kept, lambda e: F.struct(e["f"].alias("feature"), e["w"].alias("weight")))
+    return current(s, d, "text", "metadata", "chunk", "vectors", "sparse").select(
+        F.col("number").alias("id"), "text", "metadata", "chunk", F.when(dense.usable_matrix("vectors", 24), F.col("vectors")).alias("vectors"),
+        F.when(F.size(i) == F.size(v), F.create_map(F.lit("terms"), pairs)).alias("sparse"),
+    )
+
+
+@query(rf"""
+WITH asked AS (SELECT query_id AS qid, text, vectors FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ingested_at DESC) AS rn FROM query_requests) WHERE rn = 1 AND query_id % 20 = 0),
+live AS (SELECT point_id AS id, {UNIT.format(v='vector')} AS v FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY ingested_at DESC) AS rn FROM snapshot_points)
+  WHERE rn = 1 AND NOT coalesce(deleted, false) AND {GOOD_VECTOR.format(v='vector')}),
+av AS (SELECT qid, j, vector FROM (SELECT qid, unnest(vectors) AS vector, generate_subscripts(vectors, 1) AS j FROM asked) WHERE {GOOD_VECTOR.format(v='vector')}),
+dn AS (SELECT *, row_number() OVER (PARTITION BY qid, j ORDER BY round(score, 9) DESC, id) AS rank FROM
+  (SELECT qid, j, id, list_dot_product(v, {UNIT.format(v='vector')}) AS score FROM av, live)),
+d AS (SELECT number AS id, {WORDS} AS w FROM {CURRENT} WHERE text IS NOT NULL),
+t AS (SELECT count(*)::DOUBLE AS n, avg(len(w))::DOUBLE AS avgdl FROM d),
+tf AS (SELECT id, dl, term, count(*)::DOUBLE AS tf FROM (SELECT id, len(w)::DOUBLE AS dl, unnest(w) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term),
+q AS (SELECT qid, term, count(*)::DOUBLE AS qtf FROM (SELECT qid, unnest({WORDS}) AS term FROM asked) GROUP BY ALL),
+lx AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM
+  (SELECT qid, id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN q USING (term) JOIN df USING (term), t GROUP BY qid, id)),
+h AS (SELECT qid, id, rank, score FROM dn WHERE rank <= 50 UNION ALL SELECT qid, id, rank, score FROM lx WHERE rank <= 50),
+c AS (SELECT qid, count(*) AS channels FROM (SELECT qid, j FROM av UNION ALL SELECT DISTINCT qid, 0 FROM q) GROUP BY qid),
+f AS (SELECT qid, id, CASE WHEN max(channels) = 1 THEN max(round(score, 9)) ELSE sum(1 / (10.0 + rank)) END AS score FROM h JOIN c USING (qid) GROUP BY qid, id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id) - 1 AS position FROM f)
+SELECT qid, id, round(score, 6) AS score, position::INTEGER AS position FROM r WHERE position < 10""")
+def collection_retrieve(s, d):
+    """Requests answered by a collection of its own in one batch: a lexical channel for a text with words and a dense one for
+    each usable vector, fused by reciprocal ranks where there are several."""
+    asked = _asked(s, d)
+    usable = F.filter(F.coalesce("vectors", F.array()), lambda v: dense.usable(v, 64))
+    have = asked.select("qid", F.when(F.size(T.plain("text")) > 0, F.col("text")).alias("text"), usable.alias("vectors")).orderBy("qid").collect()
+    held = engine.Collection.open(s, scratch_path(s, "collection"), store.IndexConfig(24))
+    points = _live(s, d).select("id", F.create_map(F.lit("point"), F.col("vector")).alias("dense"))
+    held.upsert(current(s, d, "text").select(F.col("number").alias("id"), "text").join(points, "id", "full"))
+    held.compact()
+    requests = {}
+    for r in have:
+        channels = [request.Bm25(r.text, 50)] * (r.text is not None) + [request.Dense("point", tuple(v), 50, "exact") for v in r.vectors or ()]
+        if channels:
+            requests[r.qid] = request.RetrieveRequest(tuple(channels))
+    if not requests:
+        return s.createDataFrame([], "qid bigint, id bigint, score double, position int")
+    return held.retrieve_all(requests).select("qid", "id", rounded("score").alias("score"), "position")
 
 
 # Compressed tokens, encodings and inverted lists.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.operators.dense import search
-from tarnwell.session import materialize
+from tarnwell.session import materialize, names_in
 from tarnwell.streaming.mutations import replay
 
 LOG = "seq bigint, op string, id bigint, vector array<float>, payload string"
@@ -18,9 +18,9 @@ class Points:
     def __init__(self, spark: SparkSession, path: str, dim: int, metric: str = "cosine"):
         self.spark, self.path, self.dim, self.metric = spark, path.rstrip("/"), dim, metric
         self._log: DataFrame | None = None
-        try:
+        if names_in(spark, f"{self.path}/log"):
             self.seq = self.log().agg(F.max("seq")).first()[0] or 0
-        except Exception:  # noqa: BLE001
+        else:
             self.seq = 0
             spark.createDataFrame([], LOG).write.parquet(f"{self.path}/log")
 

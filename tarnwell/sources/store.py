@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnwell.session import names_in, read_text, remove, size_of, write_new
+from tarnwell.session import names_in, prepare, read_text, remove, size_of, write_new
 
 NAME = re.compile(r"[A-Za-z0-9_-]{1,64}")
 SCHEMA = (
@@ -75,6 +75,7 @@ class Store:
     """One collection below ``path``."""
 
     def __init__(self, spark: SparkSession, path: str, config: IndexConfig | None = None):
+        prepare(spark)
         self.spark, self.path = spark, path.rstrip("/")
         self.pointer = self._read()
         if self.pointer is None:

@@ -9,7 +9,8 @@ from tarnwell.plans.engine import Collection
 from tarnwell.plans.planner import Stats, auto_channels, choose_access, compile_plan, intent, override
 from tarnwell.plans.request import Adaptive, Bm25, Dense, Fusion, InvalidRequest, Objective, Representations, Rerank, RetrieveRequest, Sparse
 from tarnwell.sources.points import Points
-from tarnwell.sources.store import Collections, ConfigMismatch, IndexConfig, InvalidDocument, Store
+from tarnwell.sources import store as store_module
+from tarnwell.sources.store import Collections, ConfigMismatch, Conflict, IndexConfig, InvalidDocument, Store
 
 DOC = "id bigint, text string, metadata string, chunk struct<parent: string, position: bigint>, dense map<string, array<float>>, multivector map<string, array<array<float>>>, sparse map<string, array<struct<feature: bigint, weight: float>>>"
 
@@ -84,6 +85,70 @@ def test_batch_keeps_errors_apart(collection):
     assert isinstance(a, InvalidRequest) and ids(b)
 
 
+def test_batch_equals_single_requests(collection):
+    collection.build_dense_ann("semantic", 2)
+    shapes = [
+        lambda v: RetrieveRequest((Dense("semantic", v, 3, "exact"), Bm25("E123 repair", 3)), limit=3),
+        lambda v: RetrieveRequest((Dense("semantic", v, 3, "ann", 64),), limit=2),
+        lambda v: RetrieveRequest((Sparse("sp", ((2, v[0]), (4294967295, 0.5))),), filter=Eq("tenant", "a")),
+        lambda v: RetrieveRequest((Dense("semantic", v), Bm25("repair")), limit=1, rerank=Rerank((v,), "tok", 3, Adaptive(1, 0.9))),
+        lambda v: RetrieveRequest((Bm25("repair"),), context=ContextOptions(neighbours=1), limit=10),
+        lambda v: RetrieveRequest((Dense("none", v),)),
+    ]
+    requests = [f(v) for v in ((1.0, 0.0), (0.6, 0.8)) for f in shapes]
+    for r, got in zip(requests, collection.retrieve_batch(requests), strict=True):
+        if r.prefetch[0].kind == "dense" and r.prefetch[0].field == "none":
+            assert isinstance(got, InvalidRequest)
+            continue
+        one = collection.retrieve(r)
+        rows = lambda x: [(m.id, round(m.score, 9), m.expanded_from, m.sources) for m in x.matches.orderBy("position").collect()]
+        assert rows(got) == rows(one) and rows(one)
+        assert (got.trace.reranked, got.trace.agreement) == (one.trace.reranked, one.trace.agreement)
+
+
+def test_a_reopened_collection_has_its_indexes_and_codec(spark, tmp_path):
+    c = Collection.open(spark, str(tmp_path / "c"), IndexConfig(2, centroids=2, residual_bits=4, fde_ksim=1, fde_projected=2, fde_repetitions=2))
+    rows = [(i, {"f": [float(np.cos(i)), float(np.sin(i))]}, [[float(np.cos(i)), float(np.sin(i))]]) for i in range(8)]
+    c.upsert(spark.createDataFrame(rows, "id bigint, dense map<string, array<float>>, vectors array<array<float>>"))
+    c.train(np.array([r[2][0] for r in rows]), 3)
+    c.build_dense_ann("f"), c.build_fde_ann()
+    again = Collection.open(spark, str(tmp_path / "c"))
+    assert again.ready() == {"f", None} and np.allclose(again.codec.centroids, c.codec.centroids)
+    q = RetrieveRequest((Dense("f", (1.0, 0.2), 3, "ann", 64),), limit=3)
+    assert again.plan(q).channels[0].operator == "ann_dense" and ids(again.retrieve(q)) == ids(c.retrieve(q))
+    assert [tuple(r) for r in again.query(np.array([[1.0, 0.0]]), 2).collect()] == [tuple(r) for r in c.query(np.array([[1.0, 0.0]]), 2).collect()]
+    c.upsert(spark.createDataFrame([(9, {"f": [1.0, 0.0]})], "id bigint, dense map<string, array<float>>"))
+    assert Collection.open(spark, str(tmp_path / "c")).ready() == set()
+
+
+def test_writers_cannot_lose_each_others_batches(spark, tmp_path):
+    a = Store(spark, str(tmp_path / "s"), IndexConfig(2))
+    b = Store(spark, str(tmp_path / "s"))
+    batch = lambda i: spark.createDataFrame([(i, "t")], "id bigint, text string")
+    a.upsert(batch(1))
+    with pytest.raises(Conflict):
+        b.upsert(batch(2))
+    with pytest.raises(Conflict):
+        b.compact()
+    b.refresh()
+    b.upsert(batch(2))
+    a.refresh()
+    assert {r.id for r in a.documents().collect()} == {1, 2} and a.documents(1).count() == 1
+    with pytest.raises(InvalidDocument):
+        a.upsert(batch(3).unionByName(batch(3)))
+    a.vacuum(1)
+    assert a.documents().count() == 2
+
+
+def test_segments_are_folded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "SEGMENTS", 3)
+    s = Store(spark, str(tmp_path / "s"), IndexConfig(2))
+    for i in range(5):
+        s.upsert(spark.createDataFrame([(i, f"v{i}"), (100, f"v{i}")], "id bigint, text string"))
+    assert len(s.pointer.segments) == 1 and s.pointer.base
+    assert {r.id: r.text for r in s.documents().collect()} == {**{i: f"v{i}" for i in range(5)}, 100: "v4"}
+
+
 def test_store_state_machine(spark, tmp_path):
     rng, truth = np.random.default_rng(5), {}
     s = Store(spark, str(tmp_path / "s"), IndexConfig(2))
