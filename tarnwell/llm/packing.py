@@ -25,12 +25,14 @@ from __future__ import annotations
 import bisect
 import heapq
 import math
+import os
 from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -242,10 +244,13 @@ def token_counter(path: str):
 
 
 def token_sizes(df: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
-    """(id, tokens) for every row; a null text has 0 tokens. The tokenizer is read once per worker."""
+    """(id, tokens) for every row; a null text has 0 tokens. The tokenizer's file need only exist on the driver, which
+    sends it to the executors; it is read once per task."""
+    df.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = token_counter(path)
+        count = token_counter(SparkFiles.get(name))
         for b in batches:
             texts = pc.fill_null(b.column(1), "").to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count(texts), pa.int64())], names=["id", "tokens"])

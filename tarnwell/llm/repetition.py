@@ -102,7 +102,7 @@ def repeated_words(shingles: Column, length: int = SHINGLE) -> Column:
 
 def _distinct_gap(parts: Column) -> Column:
     """Share of the non-blank parts that equal an earlier one."""
-    kept = F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
     return bind(kept, lambda a: _ratio(F.size(a) - F.size(F.array_distinct(a)), F.size(a)))
 
 

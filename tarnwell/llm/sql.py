@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tarnwell.llm.repetition import RULES, STOP_WORDS
+
 WORDS = r"list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+'), lambda w: lower(w))"
 CURRENT = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY number ORDER BY seq DESC) AS rn FROM retrieval_docs WHERE number IS NOT NULL) WHERE rn = 1)"
 
@@ -137,8 +139,50 @@ c AS (SELECT id, n, least(8, coalesce(lead(i) OVER (PARTITION BY id ORDER BY i)
 SELECT id AS doc_id FROM c GROUP BY id, n HAVING sum(covered) / n >= 0.3"""
 
 
+def _share(part: str, whole: str) -> str:
+    return f"CASE WHEN {whole} > 0 THEN ({part})::DOUBLE / ({whole}) ELSE 0.0 END"
+
+
+def _repeated(parts: str) -> str:
+    kept = f"list_filter(list_transform({parts}, lambda x: trim(x)), lambda x: x <> '')"
+    return _share(f"len({kept}) - len(list_distinct({kept}))", f"len({kept})")
+
+
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_LINES = "list_filter(l, lambda x: trim(x) <> '')"
+_MEASURES = {
+    "n_words": "len(w)::DOUBLE",
+    "mean_word_length": _share("length(array_to_string(w, ''))", "len(w)"),
+    "symbol_ratio": _share(r"length(regexp_replace(t, '[\p{L}\p{N}\s\x{000B}]+', '', 'g'))", "length(t)"),
+    "stop_word_ratio": _share(f"len(list_filter(w, lambda x: lower(x) IN ({_STOP})))", "len(w)"),
+    "bullet_line_ratio": _share(rf"len(list_filter({_LINES}, lambda x: regexp_matches(x, '^[\s\x{{000B}}]*[-*•]')))", f"len({_LINES})"),
+    "ellipsis_line_ratio": _share(rf"len(list_filter({_LINES}, lambda x: regexp_matches(x, '(\.\.\.|…)[\s\x{{000B}}]*$')))", f"len({_LINES})"),
+    "duplicate_line_ratio": _repeated("l"),
+    "duplicate_paragraph_ratio": _repeated(r"string_split_regex(t, '\r?\n[ \t]*\r?\n')"),
+    "repeat_share": "CASE WHEN len(w) > 0 THEN coalesce(covered, 0) / len(w) ELSE 0.0 END",
+}
+
+
+def _limits() -> str:
+    tests = []
+    for r in RULES:
+        sides = [f"{r.measure} < {r.least}"] * (r.least is not None) + [f"{r.measure} >= {r.most}"] * (r.most is not None)
+        tests.append(f"({' OR '.join(sides)}) AS bad_{r.measure}")
+    return ", ".join(tests)
+
+
+P9_MEASURES = rf"""
+WITH x AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}]+') AS w,
+  string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)) AS l FROM documents),
+s AS (SELECT k, i, array_to_string(v[i:i + 7], ' ') AS s FROM (SELECT k, list_transform(w, lambda y: lower(y)) AS v, unnest(range(1, len(w) - 6)) AS i FROM x WHERE len(w) >= 8)),
+r AS (SELECT k, i FROM (SELECT *, row_number() OVER (PARTITION BY k, s ORDER BY i) AS again FROM s) WHERE again > 1),
+c AS (SELECT k, sum(width)::DOUBLE AS covered FROM (SELECT k, least(8, coalesce(lead(i) OVER (PARTITION BY k ORDER BY i) - i, 8)) AS width FROM r) GROUP BY k),
+m AS (SELECT doc_id, {", ".join(f"{c} AS {n}" for n, c in _MEASURES.items())} FROM x LEFT JOIN c USING (k))
+SELECT *, {_limits()} FROM m"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1, "p1_scores": P1_SCORES, "p2_found": P2, "p2_exact": P2_EXACT, "p3_found": P3, "p4_found": P4, "p4_settled": P4_SETTLED, "p5_found": P5, "p6_found": P6, "p6_ranking": P6_RANKING,
-        "p7_found": P7, "p8_found": P8, "p8_leaks": P8_LEAKS, "p8_clean": f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({P8}))", "p9_found": P9,
+        "p7_found": P7, "p8_found": P8, "p8_leaks": P8_LEAKS, "p8_clean": f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({P8}))", "p9_found": P9, "p9_measures": P9_MEASURES,
     }
