@@ -101,7 +101,7 @@ q AS (SELECT qid, term, count(*)::DOUBLE AS qtf FROM (SELECT item_id AS qid, unn
 sc AS (SELECT qid, id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
   FROM tf JOIN q USING (term) JOIN df USING (term), t WHERE ok GROUP BY qid, id),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM sc)
-SELECT qid, id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= {k}"""
+SELECT qid, id, round(round(score, 9), 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= {k}"""
 
 
 def _bm25(s, d, eligible=None):
@@ -142,7 +142,7 @@ def sparse_canonical(s, d):
 
 @query(f"""WITH {SPARSE}, sc AS (SELECT q.id AS qid, p.id, sum(q.weight * p.weight) AS score FROM sp p JOIN sp q USING (feature) WHERE q.id % 20 = 0 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM sc)
-SELECT qid, id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 10""")
+SELECT qid, id, round(round(score, 9), 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 10""")
 def sparse_dot_topk(s, d):
     rows = current(s, d, "sparse").select(F.col("number").alias("id"), "sparse.indices", "sparse.values")
     asked = rows.where("id % 20 = 0").withColumnRenamed("id", "qid")
@@ -197,7 +197,7 @@ def _batch(s, d, k=10):
     return dense.batch_search(v, v.where("id % 20 = 0").withColumnRenamed("id", "qid"), k)
 
 
-@query(f"WITH {BATCH} SELECT qid, id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 10")
+@query(f"WITH {BATCH} SELECT qid, id, round(round(score, 9), 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 10")
 def dense_batch_topk(s, d):
     return _batch(s, d).withColumn("score", rounded("score"))
 
@@ -215,7 +215,7 @@ def _matrices(s, d):
 b AS (SELECT qid, i, id, list_max(list_transform(m, lambda y: list_dot_product(y, v))) AS best FROM q, tok),
 sc AS (SELECT qid, id, sum(best) AS score FROM b GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM sc)
-SELECT qid, id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 5""")
+SELECT qid, id, round(round(score, 9), 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 5""")
 def maxsim_topk(s, d):
     m = _matrices(s, d)
     out = dense.exact_maxsim(m, "tokens", m.where("id % 20 = 0").withColumnRenamed("id", "qid"), 5)
@@ -639,7 +639,7 @@ def ivf_recall(s, d):
   WHERE rn = 1 AND NOT coalesce(deleted, false) AND {GOOD_VECTOR.format(v='vector')}),
 sc AS (SELECT q.id AS qid, p.id, list_dot_product(q.v, p.v) AS score FROM live p JOIN live q ON q.id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM sc)
-SELECT qid, id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 10""")
+SELECT qid, id, round(round(score, 9), 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 10""")
 def ivf_all_lists(s, d):
     """With all lists probed the index gives the exact answer."""
     return _ivf(s, d, IVF_LISTS)[0].withColumn("score", rounded("score"))
