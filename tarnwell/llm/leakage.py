@@ -1,10 +1,11 @@
 """Problem 8: corpus documents that contain passages of held-out evaluation texts.
 
 Suffix arrays over the corpus: every task turns the documents it reads into shards of word numbers and
-ranks the suffixes of the shard and of the evaluation texts together, by prefix doubling up to the
-longest evaluation text. Every test suffix is searched in the sorted array by bisection for the range of
-suffixes that share its first ``least`` words, and each hit's longest verbatim match follows from the tables
-of ranks by halving steps. A document lies in one shard whole, so matches need no shuffle and no merge.
+ranks the suffixes of the shard and of the evaluation texts together, by prefix doubling. Every test suffix
+is searched in the sorted array by bisection for the range of suffixes that share its first ``least`` words.
+For the runs with a hit the doubling goes on up to the longest evaluation text, and each hit's longest
+verbatim match follows from the tables of ranks by halving steps. A document lies in one shard whole, so
+matches need no shuffle and no merge.
 
 A word that no evaluation text contains cannot be part of a match. Such words end a run, and only
 places whose next ``least`` words all occur in the evaluation texts are put into the array; that
@@ -78,10 +79,10 @@ class Items:
 
 
 def suffix_ranks(words: np.ndarray, longest: int) -> list[np.ndarray]:
-    """Ranks of all suffixes by their first 1, 2, 4, ... words, until those reach ``longest``; past the end stands 0."""
+    """Ranks of all suffixes by their first 1, 2, 4, ... words, up to ``longest``; past the end stands 0."""
     ranks = [np.unique(words, return_inverse=True)[1].astype(np.int64)]
     step = 1
-    while step < longest:
+    while 2 * step <= longest:
         shifted = np.zeros_like(ranks[-1])
         shifted[:-step] = ranks[-1][step:]
         ranks.append(np.unique(ranks[-1] * (int(ranks[-1].max()) + 1) + shifted, return_inverse=True)[1].astype(np.int64))
@@ -151,8 +152,7 @@ def shard_matches(ids: np.ndarray, texts: np.ndarray, lens: np.ndarray, items: I
         # Runs and evaluation texts in one sequence; a 0 ends each of the former, and what is left bounds the latter.
         corpus = len(offset)
         both = np.concatenate([words[offset], items.numbers, [0]])
-        ranks = suffix_ranks(both, max(least, int(min(items.left.max(), run[runs].max()))))
-        start = prefix_ranks(ranks, least)
+        start = prefix_ranks(suffix_ranks(both, least), least)
         before = np.concatenate([[0], both[:-1]]).astype(np.int64)
         before[corpus:-1][items.within == 0] = -1  # an item's first word continues nothing
         width = int(both.max()) + 2
@@ -165,10 +165,19 @@ def shard_matches(ids: np.ndarray, texts: np.ndarray, lens: np.ndarray, items: I
         # The suffixes in the same range after the same word continue a longer passage.
         skip, on = (np.searchsorted(sorted_keys, key[suffix], side) for side in ("left", "right"))
         first_part, count = skip - low, (skip - low) + (high - on)
+        # Deeper ranks are needed in the runs with a hit only.
+        hit = np.cumsum(np.bincount(low, minlength=len(array) + 1) - np.bincount(high, minlength=len(array) + 1))[:-1] > 0
+        of_run = np.repeat(np.arange(len(runs)), size)
+        within_hit = np.zeros(len(runs), bool)
+        within_hit[of_run[array[hit]]] = True
+        kept = np.append(within_hit[of_run], np.ones(len(both) - corpus, bool))
+        to = np.cumsum(kept) - 1
+        longest = int(min(items.left.max(), run[runs][within_hit].max(initial=0)))
+        ranks = suffix_ranks(both[kept], longest) if longest else []
         for of, k in _pieces(count, PAIRS):
             at = array[np.where(k < first_part[of], low[of] + k, on[of] + k - first_part[of])]
             which = items.starts[of]
-            length = common_length(ranks, at, corpus + which, np.minimum(left[at], items.left[which]))
+            length = common_length(ranks, to[at], to[corpus + which], np.minimum(left[at], items.left[which]))
             found = _longest(np.concatenate([found, np.stack([doc[at], items.owner[which], length, place[at], items.within[which]])], 1))
     return pa.RecordBatch.from_arrays(
         [
