@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnwell.session import materialize
+
 
 def ranking_metrics(run: DataFrame, qrels: DataFrame, k: int = 10, recall_at: tuple[int, ...] = (20, 100)) -> DataFrame:
     """(qid, ndcg, mrr, recall_k, recall_20, ...) of a run (qid, id, rank from 1) against grades (qid, id, grade).
@@ -148,10 +150,19 @@ def summarise_journal(events: DataFrame) -> DataFrame:
 
 
 def split_queries(queries: DataFrame, qid: str, seed: str) -> DataFrame:
-    """Half of the queries for development, half for the test, by the order of a digest of seed and id."""
-    order = F.row_number().over(W.orderBy(F.sha2(F.concat(F.lit(seed), F.col(qid).cast("string")), 256)))
-    n = queries.count()
-    return queries.withColumn("part", F.when(order <= n // 2, "dev").otherwise("test"))
+    """Half of the queries for development, half for the test, by the order of a digest of seed and id.
+
+    Sorted in ranges of the digest; the place of a query is that in its range plus the sizes of the ranges before.
+    """
+    keyed = queries.withColumn("_digest", F.sha2(F.concat(F.lit(seed), F.col(qid).cast("string")), 256))
+    cut = materialize(keyed.repartitionByRange("_digest").withColumn("_range", F.spark_partition_id()), "split")
+    sizes = cut.groupBy("_range").agg(F.count("*").alias("_n")).collect()  # one row per range
+    before, n = {}, 0
+    for r in sorted(sizes, key=lambda r: r["_range"]):
+        before[r["_range"]], n = n, n + r["_n"]
+    above = queries.sparkSession.createDataFrame(list(before.items()), "_range int, _above bigint")
+    place = F.row_number().over(W.partitionBy("_range").orderBy("_digest")) + F.col("_above")
+    return cut.join(F.broadcast(above), "_range").withColumn("part", F.when(place <= n // 2, "dev").otherwise("test")).select(*queries.columns, "part")
 
 
 def digest(*parts: str) -> str:

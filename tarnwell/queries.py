@@ -674,12 +674,25 @@ def recall_of_codes(s, d):
     return evalkit.recall_at_k(found, _batch(s, d), 10).withColumn("recall", rounded("recall"))
 
 
-@query("""WITH v AS (SELECT config, elapsed_ms, row_number() OVER (PARTITION BY config ORDER BY elapsed_ms) - 1 AS i, count(*) OVER (PARTITION BY config) AS n
-FROM query_log WHERE elapsed_ms > 0 AND isfinite(elapsed_ms))
+#: Each (run, query, repetition) once: the row that arrived first.
+LOG = """log AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, query_idx, rep ORDER BY ingested_at, elapsed_ms) AS copy FROM query_log) WHERE copy = 1)"""
+
+
+def _log(s, d, *columns, timed=True):
+    """``columns`` of the log without repeated rows; with ``timed`` those whose time is finite and above 0."""
+    keys = ("run_id", "query_idx", "rep")
+    more = [c for c in dict.fromkeys(("elapsed_ms", *columns)) if c not in keys]
+    first = F.min_by(F.struct(*more), F.struct("ingested_at", "elapsed_ms"))
+    rows = table(s, d, "query_log").groupBy(*keys).agg(first.alias("r")).select(*keys, "r.*")
+    ok = (F.col("elapsed_ms") > 0) & ~F.isnan("elapsed_ms") & (F.col("elapsed_ms") != float("inf"))
+    return rows.where(ok) if timed else rows
+
+
+@query(f"""WITH {LOG}, v AS (SELECT config, elapsed_ms, row_number() OVER (PARTITION BY config ORDER BY elapsed_ms) - 1 AS i, count(*) OVER (PARTITION BY config) AS n
+FROM log WHERE elapsed_ms > 0 AND isfinite(elapsed_ms))
 SELECT config, max(n)::BIGINT AS n, max(CASE WHEN i = floor(0.5 * (n - 1) + 0.5) THEN elapsed_ms END) AS p50, max(CASE WHEN i = floor(0.99 * (n - 1) + 0.5) THEN elapsed_ms END) AS p99 FROM v GROUP BY config""")
 def percentiles(s, d):
-    ok = (F.col("elapsed_ms") > 0) & ~F.isnan("elapsed_ms") & (F.col("elapsed_ms") != float("inf"))
-    return evalkit.rank_percentiles(table(s, d, "query_log").where(ok), ["config"], "elapsed_ms", (0.5, 0.99))
+    return evalkit.rank_percentiles(_log(s, d, "config"), ["config"], "elapsed_ms", (0.5, 0.99))
 
 
 REPORTS = "reports AS (SELECT DISTINCT run_id, collection, config, ef_search, recall, p50_ms FROM run_reports WHERE recall IS NOT NULL AND p50_ms IS NOT NULL)"
@@ -695,14 +708,13 @@ def pareto_front(s, d):
     return evalkit.pareto_front(_reports(s, d), "recall", "p50_ms", ["collection"]).select("run_id", "collection", "recall", "p50_ms")
 
 
-@query("""WITH o AS (SELECT config AS plan, query_idx AS qid, avg(coalesce(recall, 0)) AS quality, quantile_cont(elapsed_ms, 0.5) AS latency_ms
-  FROM query_log WHERE elapsed_ms > 0 AND isfinite(elapsed_ms) GROUP BY ALL),
+@query(f"""WITH {LOG}, o AS (SELECT config AS plan, query_idx AS qid, avg(coalesce(recall, 0)) AS quality, quantile_cont(elapsed_ms, 0.5) AS latency_ms
+  FROM log WHERE elapsed_ms > 0 AND isfinite(elapsed_ms) GROUP BY ALL),
 s AS (SELECT *, max(quality) OVER (PARTITION BY qid) - quality AS short FROM o)
 SELECT plan, round(avg(quality), 6) AS quality, round(avg(latency_ms), 6) AS latency_ms, round(avg(short), 6) AS regret,
 round(avg(CASE WHEN round(short, 9) <= 0.05 THEN 1.0 ELSE 0.0 END), 6) AS epsilon_hit, count_if(latency_ms > 1.0)::BIGINT AS violations FROM s GROUP BY plan""")
 def plan_regret(s, d):
-    ok = (F.col("elapsed_ms") > 0) & ~F.isnan("elapsed_ms") & (F.col("elapsed_ms") != float("inf"))
-    o = table(s, d, "query_log").where(ok).select(F.col("config").alias("plan"), F.col("query_idx").alias("qid"), F.col("recall").alias("quality"), F.col("elapsed_ms").alias("latency_ms"))
+    o = _log(s, d, "config", "recall").select(F.col("config").alias("plan"), F.col("query_idx").alias("qid"), F.col("recall").alias("quality"), F.col("elapsed_ms").alias("latency_ms"))
     out = evalkit.plan_regret(o, 0.05 + 5e-10, 1.0)
     return out.select("plan", *[rounded(c).alias(c) for c in ("quality", "latency_ms", "regret", "epsilon_hit")], "violations")
 
@@ -769,10 +781,10 @@ def intrinsic_dimension(s, d):
     return evalkit.intrinsic_dimension(_batch(s, d, 17).where("rank > 1")).withColumn("lid", rounded("lid", 4))
 
 
-@query("""WITH o AS (SELECT collection, query_idx, config, avg(recall) AS recall FROM query_log WHERE recall IS NOT NULL GROUP BY ALL)
+@query(f"""WITH {LOG}, o AS (SELECT collection, query_idx, config, avg(recall) AS recall FROM log WHERE recall IS NOT NULL GROUP BY ALL)
 SELECT collection, query_idx, round(avg(recall), 6) AS mean_recall, round(min(recall), 6) AS worst_recall, count(*)::BIGINT AS configs FROM o GROUP BY ALL""")
 def query_hardness(s, d):
-    return evalkit.query_hardness(table(s, d, "query_log"), ["collection", "query_idx"]).select(
+    return evalkit.query_hardness(_log(s, d, "collection", "config", "recall", timed=False), ["collection", "query_idx"]).select(
         "collection", "query_idx", rounded("mean_recall").alias("mean_recall"), rounded("worst_recall").alias("worst_recall"), "configs")
 
 

@@ -322,3 +322,36 @@ def test_flatten_and_journal(spark):
     events = [("query_started", "p", 1, None, None), ("query_finished", "p", 1, 0.8, 5.0), ("query_started", "p", 2, None, None)]
     r = evalkit.summarise_journal(spark.createDataFrame(events, "event string, plan string, qid int, quality double, elapsed_ms double")).first()
     assert (r.queries, r.failures, r.quality) == (2, 1, 0.4)
+
+
+def test_sql_functions_on_odd_values(spark):
+    from tarnwell.functions.registry import register
+
+    register(spark)
+    r = spark.sql(
+        "SELECT tw_analyze_plain('Ünder_1 B') AS t, tw_analyze_plain(NULL) AS n, tw_cosine(array(0.0, 0.0), array(0.0, 0.0)) AS zeros, tw_cosine(array(0.0), array(1.0)) AS zero, "
+        "tw_cosine(NULL, array(1.0)) AS missing, tw_cosine(array(1.0, 2.0), array(-2.0, -4.0)) AS back, tw_maxsim(array(), array(array(1.0))) AS none"
+    ).first()
+    assert r.t == ["ünder", "1", "b"] and r.n == [] and (r.zeros, r.zero, r.missing, r.none) == (1.0, 0.0, None, None) and r.back == pytest.approx(-1)
+
+
+def test_cells_of_neighbouring_chunks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "pq"[i % 2], int(p)) for i, p in enumerate(rng.integers(-5, 40, 200))] + [(900, None, 1), (901, "p", None)]
+    c = spark.createDataFrame(rows, "id bigint, parent string, position bigint")
+    for distance in (0, 1, 3):
+        got = context.neighbouring(c.select(F.col("id").alias("seed"), "parent", F.col("position").alias("at")), c, distance)
+        want = sorted((a[0], b[0]) for a in rows for b in rows if a[1] is not None and a[1] == b[1] and None not in (a[2], b[2]) and abs(a[2] - b[2]) <= distance)
+        assert sorted((r.seed, r.id) for r in got.collect()) == want
+
+
+def test_lexical_and_sparse_search_on_dirty_rows(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (4, "b b c"), (4, "b b c")], "id bigint, text string").withColumn("tf", F.lit("clash"))
+    asked = spark.createDataFrame([(7, "b"), (8, ""), (9, None), (10, "zz")], "qid bigint, text string")
+    assert {(r.qid, r.id) for r in lexical.bm25(docs, asked, 5).collect()} == {(7, 1), (7, 4)}
+    assert lexical.bm25(docs.where("false"), asked, 5).count() == 0 and lexical.bm25(docs, asked.where("false"), 5).count() == 0
+    s = "indices array<bigint>, values array<double>"
+    rows = [(1, [4294967295, 3, 3], [1.0, 2.0, 3.0]), (2, None, None), (3, [1], [1.0, 2.0]), (4, [3, None], [float("nan"), 1.0]), (5, [], []), (6, [3, 9], [-1.0, 1.0])]
+    q = spark.createDataFrame([(1, [3, 4294967295, 3], [1.0, 1.0, 1.0]), (2, None, None), (3, [9], [2.0])], f"qid bigint, {s}")
+    got = {(r.qid, r.id): r.score for r in lexical.sparse_search(spark.createDataFrame(rows, f"id bigint, {s}"), q, 5).collect()}
+    assert got == {(1, 1): 11.0, (3, 6): 2.0}
