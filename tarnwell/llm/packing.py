@@ -1,10 +1,13 @@
 """Problem 7: filling containers of fixed capacity with whole items.
 
-Bin completion by branch and bound: the largest item left opens a container; the undominated
-fillings of the room it leaves are enumerated, most filled first; a branch is cut when the waste it
+Bin completion by branch and bound: the largest item left opens a container; fillings of the room it
+leaves are enumerated, dominated ones dropped, most filled first; a branch is cut when the waste it
 has already sealed shows that it cannot beat the best solution known, and best-fit decreasing gives
 the first such solution. The search ends as soon as the solution meets the lower bound (sum of sizes
 over capacity, rounded up) or a fixed number of nodes is used up; the best solution found is kept.
+It is not exhaustive: of a container at most 12 fillings are looked at, each of which leaves out at
+most 3 of the sizes that would fit on its way (``fillings``), and at most ``BRANCHES`` of them followed.
+These limits and the nodes bound the search for fewer containers, never which items are packed.
 
 Items are spread by a hash of their id over groups of about ``GROUP`` items, each packed by one
 task. Containers that a group leaves emptier than ``KEEP`` (at most ``REPACK`` of them per group)
