@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions.text import estimate_tokens, estimated_tokens
 from tarnwell.operators.topk import top_per
+from tarnwell.session import materialize
 
 POOL = 4096
 
@@ -164,14 +165,17 @@ def select_context(ranked: DataFrame, docs: DataFrame, options: ContextOptions,
     extra = [vector] if vector else []
     plain_walk = not (options.deduplicate or options.per_parent or options.budget_tokens is not None or options.mmr is not None)
     cut = top_per(ranked.select("qid", "id", "score"), "qid", options.limit).drop("rank") if plain_walk else ranked.select("qid", "id", "score")
-    short = docs.select("id", F.sha2("text", 256).alias("text"), estimated_tokens("text").alias("tokens"), "parent", "position", *extra)
-    columns = ["score", "text", "tokens", "parent", "position", *extra]
-    pool = cut.join(short, "id")
-    rows = pool.select("qid", F.lit(None).cast("bigint").alias("seed"), "id", *columns)
+    place = docs.select("id", "parent", "position")
+    pool = cut.join(place, "id")
+    rows = pool.select("qid", F.lit(None).cast("bigint").alias("seed"), "id", "score", "parent", "position")
     if options.neighbours:
         seed = pool.where("parent IS NOT NULL").select("qid", F.col("id").alias("seed"), "score", "parent", F.col("position").alias("at"))
-        near = neighbouring(seed, short.where("parent IS NOT NULL"), options.neighbours).where("id <> seed")
-        rows = rows.unionByName(near.select("qid", "seed", "id", *columns))
+        near = neighbouring(seed, place.where("parent IS NOT NULL"), options.neighbours).where("id <> seed")
+        rows = rows.unionByName(near.select("qid", "seed", "id", "score", "parent", "position"))
+    # Texts are read and measured only for documents that some query may accept; who that is is written, to be found once.
+    rows = materialize(rows, "context")
+    held = docs.join(rows.select("id").distinct(), "id", "left_semi")
+    rows = rows.join(held.select("id", F.sha2("text", 256).alias("text"), estimated_tokens("text").alias("tokens"), *extra), "id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         text = pdf["text"].astype(object).where(pdf["text"].notna(), None)
@@ -193,4 +197,7 @@ def select_context(ranked: DataFrame, docs: DataFrame, options: ContextOptions,
             columns=["qid", "position", "id", "score", "expanded_from", "estimated_tokens"],
         ).astype({"expanded_from": "Int64", "estimated_tokens": "Int64"})
 
-    return rows.groupBy("qid").applyInPandas(run, OUT)
+    # The rows are few bytes and costly to walk: a number given keeps adaptive execution from putting them into one task.
+    spark = ranked.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, "qid").groupBy("qid").applyInPandas(run, OUT)
