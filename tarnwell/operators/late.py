@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnwell.operators.dense import FOUND, TIE_PLACES, batch_search, found, matrix_blocks
+from tarnwell.operators.dense import FOUND, TIE_PLACES, batch_search
 from tarnwell.operators.fixed_encoding import FixedEncoder, float_rows, token_batch
 from tarnwell.operators.quantize import ResidualCodec, unit
-from tarnwell.operators.topk import keep_best, no_best, top_per
+from tarnwell.operators.topk import Best, top_per
 
 _MATRIX = "array<array<float>>"
 #: Rows of a batch that are encoded or multiplied at once.
@@ -106,14 +106,95 @@ def exact_rescore(pool: DataFrame, docs: DataFrame, tokens: str, queries: DataFr
     return _scored(pool, stored, queries, ["t"], score, k)
 
 
-def centroid_prune(pool: DataFrame, stored: DataFrame, queries: DataFrame, keep: int, codec: ResidualCodec) -> DataFrame:
-    """(qid, id, score, rank): the pool by MaxSim over centroids only."""
+#: Queries that a task answers and documents that it holds in compressed form, at most.
+BLOCK, HELD = 1000, 500_000
+#: Scores of a task's queries and a batch of documents that are computed at once.
+SCORES = 1 << 18
 
-    def score(b: pa.RecordBatch) -> list[float]:
-        at, count = _centroids_of(b)
-        return [float((q @ codec.centroids[c].T).max(1).sum()) for q, c in zip(_tokens_of(b), np.split(at, np.cumsum(count)[:-1]), strict=True)]
 
-    return _scored(pool, stored, queries, ["centroid_ids"], score, keep)
+def _blocks(queries: DataFrame) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    """The queries (ids, matrices of unit tokens) in as many blocks as there are cores, or multiples of that where a
+    block would have more than BLOCK queries, but no blocks of less than 50 queries."""
+    asked = queries.where(F.size("tokens") > 0).select(F.col("qid").cast("bigint").alias("qid"), F.col("tokens").cast(_MATRIX).alias("tokens"))
+    rows = [(r.qid, unit(np.array(r.tokens, dtype=np.float32).astype(np.float64))) for r in asked.toLocalIterator()]
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    count = min(cores, -(-len(rows) // 50)) if len(rows) <= cores * BLOCK else -(-len(rows) // (cores * BLOCK)) * cores
+    return [(np.array([q for q, _ in part]), [t for _, t in part]) for part in (rows[i::count] for i in range(count))]
+
+
+def _ranked(stored: DataFrame, queries: DataFrame, k: int, codec: ResidualCodec, count: int, columns: list[str], scorer: Callable, keep: int | None = None) -> DataFrame:
+    """(qid, id, first, pruned, score): of the ``count`` best documents by the ``first`` score the ``keep`` best by MaxSim
+    over centroids (``pruned``, where ``keep`` is given), and of those the ``k`` best by MaxSim on decoded tokens.
+
+    A task answers a block of queries over all documents and decides every stage itself, so what it passes on is the
+    answer and no candidates are shuffled. It holds the tables of ``count`` entries of its queries and the compressed tokens
+    of the documents. Where the documents are more than HELD, or the blocks at most half the cores, the documents of a block
+    are shared by several tasks, which pass on ``count`` candidates with all scores, and the cuts are made afterwards.
+
+    ``scorer`` makes of a block's matrices a function that scores a slice of the queries against a batch.
+    """
+    spark = stored.sparkSession
+    schema = "qid bigint, id bigint, first double, pruned double, score double"
+    blocks = _blocks(queries)
+    if not blocks:
+        return spark.createDataFrame([], schema)
+    stored = stored.where(F.size("centroid_ids") > 0)
+    parts = max(1, spark.sparkContext.defaultParallelism // len(blocks), -(-stored.count() // HELD))
+    rows = stored.select("id", "centroid_ids", "residuals", *columns).coalesce(parts)
+    out = None
+    for ids, tokens in blocks:
+
+        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, tokens: list[np.ndarray] = tokens) -> Iterator[pa.RecordBatch]:
+            score, best, held = scorer(tokens), Best(len(ids), count, ROWS, TIE_PLACES), []
+            step = max(1, SCORES // ROWS)
+            for big in batches:
+                for start in range(0, big.num_rows, ROWS):
+                    b = big.slice(start, ROWS)
+                    of = np.asarray(b.column("id"))
+                    of_batch = score(b)
+                    for at in range(0, len(ids), step):
+                        best.add(at, of_batch(at, min(len(ids), at + step)), of)
+                    held.append((of, *_centroids_of(b), np.array(b.column("residuals").to_pylist(), dtype=object)))
+            # What is decided needs all documents of the task.
+            if held:
+                yield from staged(ids, tokens, best, *[np.concatenate(x) for x in zip(*held, strict=True)])
+
+        def staged(ids: np.ndarray, tokens: list[np.ndarray], best: Best, of: np.ndarray, at: np.ndarray, size: np.ndarray, packed: np.ndarray) -> Iterator[pa.RecordBatch]:
+            first_s, first_i = best.take()
+            by_id, begin = np.argsort(of, kind="stable"), np.cumsum(size) - size
+            sorted_ids = of[by_id]
+            for n, (qid, q) in enumerate(zip(ids, tokens, strict=True)):
+                s, i = first_s[n], first_i[n]
+                s, i = s[s > -np.inf], i[s > -np.inf]
+                if not len(i):
+                    continue
+                doc, low = by_id[np.searchsorted(sorted_ids, i)], np.full(len(i), np.nan)
+                if keep is not None:
+                    low = np.round(_maxsim(q, codec.centroids[at[_spans(begin[doc], size[doc])]], size[doc]), TIE_PLACES)
+                    if parts == 1:
+                        s, i, doc, low = (x[np.lexsort([i, -low])[:keep]] for x in (s, i, doc, low))
+                x = codec.decode_many(at[_spans(begin[doc], size[doc])], packed[doc].tolist(), size[doc])
+                full = np.round(_maxsim(q, x, size[doc]), TIE_PLACES)
+                if parts == 1:
+                    s, i, low, full = (x[np.lexsort([i, -full])[:k]] for x in (s, i, low, full))
+                yield pa.RecordBatch.from_pydict({"qid": np.full(len(i), qid), "id": i, "first": s, "pruned": low, "score": full})
+
+        part = rows.mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    if parts > 1:
+        out = top_per(out, "qid", count, "first").drop("rank")
+        out = out if keep is None else top_per(out, "qid", keep, "pruned").drop("rank")
+        out = top_per(out, "qid", k).drop("rank")
+    return out
+
+
+def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of the tokens of documents that begin at ``begin``, end to end."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _maxsim(q: np.ndarray, x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.maximum.reduceat(q @ x.T, np.cumsum(size) - size, axis=1).sum(0)
 
 
 def token_query(
@@ -124,37 +205,47 @@ def token_query(
     count = max(k, candidates or 8 * k)
     if rerank_candidates is not None and not count >= rerank_candidates >= k > 0:
         raise ValueError("candidates >= rerank_candidates >= top_k > 0 is required")
-    broad = fde_candidates(stored, queries, count, encoder)
-    pool = broad if rerank_candidates is None else centroid_prune(broad, stored, queries, rerank_candidates, codec)
-    return rescore(pool, stored, queries, k, codec).join(broad.select("qid", "id", "fde_score"), ["qid", "id"]).select("qid", "id", "score", "fde_score")
+
+    def scorer(tokens: list[np.ndarray]) -> Callable:
+        q = np.stack([encoder.encode_query(t) for t in tokens])
+
+        def batch(b: pa.RecordBatch) -> Callable:
+            c = b.column("fde")
+            o = np.asarray(c.offsets)
+            x = np.asarray(c.values)[o[0] : o[-1]].reshape(b.num_rows, -1).astype(np.float64)
+            return lambda a, e: q[a:e] @ x.T
+
+        return batch
+
+    found = _ranked(stored, queries, k, codec, count, ["fde"], scorer, rerank_candidates)
+    return found.select("qid", "id", "score", F.col("first").alias("fde_score"))
 
 
 def probe_query(stored: DataFrame, queries: DataFrame, k: int, candidates: int, probes: int, codec: ResidualCodec) -> DataFrame:
     """(qid, id, score, rank): each query token names its ``probes`` nearest centroids; documents on any of their lists
     are ranked by MaxSim over centroids, and the best are rescored."""
-    keep = max(k, candidates)
-    pool = stored.sparkSession.createDataFrame([], FOUND)
-    for ids, rows in matrix_blocks(queries):
-        table = unit(np.concatenate(rows)) @ codec.centroids.T
-        start = np.concatenate([[0], np.cumsum([len(t) for t in rows])[:-1]])
+
+    def scorer(tokens: list[np.ndarray]) -> Callable:
+        start = np.cumsum([0] + [len(t) for t in tokens])
+        table = np.concatenate(tokens) @ codec.centroids.T
         lists = np.zeros(table.shape, bool)
         np.put_along_axis(lists, np.argsort(-table, axis=1, kind="stable")[:, :probes], True, axis=1)
-        lists = np.logical_or.reduceat(lists, start, axis=0)
+        lists = np.logical_or.reduceat(lists, start[:-1], axis=0)
 
-        def run(batches: Iterator[pa.RecordBatch], ids=np.array(ids), table=table, start=start, lists=lists) -> Iterator[pa.RecordBatch]:
-            best = no_best(len(ids), keep)
-            for big in batches:
-                for begin in range(0, big.num_rows, ROWS):
-                    b = big.slice(begin, ROWS)
-                    at, count = _centroids_of(b)
-                    first = np.cumsum(count) - count
-                    s = np.add.reduceat(np.maximum.reduceat(table[:, at], first, axis=1), start, axis=0)
-                    s = np.where(np.logical_or.reduceat(lists[:, at], first, axis=1), np.round(s, TIE_PLACES), -np.inf)
-                    best = keep_best(*best, s, np.asarray(b.column("id")))
-            yield found(ids, *best)
-
-        pool = pool.unionByName(stored.where(F.size("centroid_ids") > 0).select("id", "centroid_ids").mapInArrow(run, FOUND))
-    return rescore(top_per(pool, "qid", keep), stored, queries, k, codec)
+        def batch(b: pa.RecordBatch) -> Callable:
+            at, size = _centroids_of(b)
+            first = np.cumsum(size) - size
+
+            def scores(a: int, e: int) -> np.ndarray:
+                most = np.maximum.reduceat(table[start[a] : start[e]][:, at], first, axis=1)
+                s = np.add.reduceat(most, start[a:e] - start[a], axis=0)
+                return np.where(np.logical_or.reduceat(lists[a:e][:, at], first, axis=1), s, -np.inf)
+
+            return scores
+
+        return batch
+
+    return top_per(_ranked(stored, queries, k, codec, max(k, candidates), [], scorer), "qid", k).select("qid", "id", "score", "rank")
 
 
 def explain_tokens(result: DataFrame) -> DataFrame:

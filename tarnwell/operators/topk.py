@@ -59,3 +59,49 @@ def keep_best(best_s: np.ndarray, best_i: np.ndarray, s: np.ndarray, ids: np.nda
 
 def no_best(rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.full((rows, k), -np.inf), np.full((rows, k), np.iinfo(np.int64).max)
+
+
+class Best:
+    """The ``k`` best scores of each row and their ids, of blocks of at most ``block`` ids that arrive one after another.
+
+    Scores are rounded to ``places``; of ties the lower ids are kept. What arrives is gathered beside the best and cut
+    only where a row is full, so a large ``k`` costs no sort per block, and a row holds 2 k + block entries.
+    """
+
+    def __init__(self, rows: int, k: int, block: int, places: int):
+        self.k, self.places, width = k, places, 2 * k + block
+        self.s, self.i = np.full((rows, width), -np.inf), np.full((rows, width), np.iinfo(np.int64).max)
+        self.held, self.least = np.zeros(rows, np.int64), np.full(rows, -np.inf)
+
+    def add(self, first: int, s: np.ndarray, ids: np.ndarray) -> None:
+        """Scores ``s`` of ``ids`` for the rows from ``first`` on; -inf leaves a pair out."""
+        own = slice(first, first + len(s))
+        i, j = np.nonzero(s >= (self.least[own] - 10.0**-self.places)[:, None])
+        x = np.round(s[i, j], self.places)
+        fit = (x >= self.least[own][i]) & (x > -np.inf)
+        i, j, x = i[fit], j[fit], x[fit]
+        n = np.bincount(i, minlength=len(s))
+        if (self.held[own] + n > self.s.shape[1]).any():
+            self._cut(first + np.flatnonzero(self.held[own] > self.k))
+        place = self.held[own][i] + np.arange(len(i)) - (np.cumsum(n) - n)[i]
+        self.s[first + i, place], self.i[first + i, place] = x, ids[j]
+        self.held[own] += n
+
+    def _cut(self, rows: np.ndarray) -> None:
+        for at in range(0, len(rows), 128):
+            r = rows[at : at + 128]
+            s, i = self.s[r], self.i[r]
+            order = np.argpartition(-s, self.k - 1, axis=1)[:, : self.k]
+            least = np.take_along_axis(s, order, 1).min(1)
+            for t in np.flatnonzero((s >= least[:, None]).sum(1) > self.k):  # ties across the cut
+                order[t] = np.lexsort([i[t], -s[t]])[: self.k]
+            self.s[r, : self.k], self.i[r, : self.k] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+            self.s[r, self.k :], self.i[r, self.k :] = -np.inf, np.iinfo(np.int64).max
+            self.held[r], self.least[r] = self.k, least
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, ids), best first; -inf where a row has fewer than ``k``."""
+        self._cut(np.flatnonzero(self.held > self.k))
+        s, i = self.s[:, : self.k], self.i[:, : self.k]
+        order = np.lexsort([i, -s])
+        return np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)

@@ -1,4 +1,5 @@
 import json
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from tarnwell.functions import predicates as P
 from tarnwell.functions import vectors as V
 from tarnwell.functions.stem import stem
 from tarnwell.functions.text import ENGLISH, PLAIN, Analyzer, estimate_tokens, estimated_tokens, is_identifier, query_features
-from tarnwell.operators import ann, context, dense, evalkit, fixed_encoding, fusion, late, lexical, quantize
+from tarnwell.operators import ann, context, dense, evalkit, fixed_encoding, fusion, late, lexical, quantize, topk
 from tarnwell.sources import datasets
 from tarnwell.streaming import mutations
 
@@ -355,3 +356,62 @@ def test_lexical_and_sparse_search_on_dirty_rows(spark):
     q = spark.createDataFrame([(1, [3, 4294967295, 3], [1.0, 1.0, 1.0]), (2, None, None), (3, [9], [2.0])], f"qid bigint, {s}")
     got = {(r.qid, r.id): r.score for r in lexical.sparse_search(spark.createDataFrame(rows, f"id bigint, {s}"), q, 5).collect()}
     assert got == {(1, 1): 11.0, (3, 6): 2.0}
+
+
+def peak_mb(monkeypatch, frame, plan):
+    """Greatest memory in MB that a Python task of ``plan``'s plan takes for its rows and its queries."""
+    real, runs = type(frame).mapInArrow, []
+    with monkeypatch.context() as m:
+        m.setattr(type(frame), "mapInArrow", lambda self, f, *a, **k: runs.append((self, f)) or real(self, f, *a, **k))
+        plan()
+    peaks = []
+    for rows, run in runs:
+        batches = rows.toArrow().to_batches()
+        tracemalloc.start()
+        for _ in run(iter(batches)):
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    return max(peaks)
+
+
+def test_best_of_blocks_with_ties():
+    rng = np.random.default_rng(2)
+    s, ids = rng.integers(0, 40, (9, 700)) / 8.0, rng.permutation(700)
+    s[0], s[1, 5:] = 1.0, -np.inf
+    best = topk.Best(9, 50, 100, 9)
+    for at in range(0, 700, 100):
+        for first in (0, 4):
+            best.add(first, s[first : first + (4 if first == 0 else 5), at : at + 100] + 1e-12, ids[at : at + 100])
+    got_s, got_i = best.take()
+    for row, a, b in zip(s, got_s, got_i, strict=True):
+        order = [j for j in np.lexsort([ids, -row])[:50] if row[j] > -np.inf]
+        assert (a[: len(order)] == row[order]).all() and (b[: len(order)] == ids[order]).all() and (a[len(order) :] == -np.inf).all()
+
+
+@pytest.fixture(scope="module")
+def many_tokens(spark):
+    x = quantize.unit(np.random.default_rng(3).normal(size=(2000, 3, 6)))
+    df = spark.createDataFrame([(i, m.tolist()) for i, m in enumerate(x)], "id bigint, tokens array<array<float>>").cache()
+    codec, encoder = quantize.ResidualCodec.train(x.reshape(-1, 6), 8, 4, 3), fixed_encoding.FixedEncoder(6, 2, 2, 5)
+    return x, df, late.encode_tokens(df, "id", "tokens", codec, encoder).cache(), codec, encoder
+
+
+def test_token_candidates_are_bounded(spark, monkeypatch, many_tokens):
+    x, df, stored, codec, encoder = many_tokens
+    asked = df.withColumnRenamed("id", "qid")
+    few = asked.where("qid < 7")
+    # One block of seven queries is shared by the cores, blocks of many queries are not: the same answer.
+    one = late.token_query(stored, few, 5, codec, encoder, 300, 40).orderBy("qid", "id").collect()
+    monkeypatch.setattr(late, "BLOCK", 500)
+    many = late.token_query(stored, asked, 5, codec, encoder, 300, 40)
+    assert many.where("qid < 7").orderBy("qid", "id").collect() == one and many.count() == 5 * len(x)
+    unit32 = quantize.unit(x.astype(np.float32).astype(np.float64))
+    code = {i: codec.encode(m) for i, m in enumerate(unit32)}
+    for qid in (0, 6):
+        held = np.array([r.fde for r in stored.orderBy("id").select("fde").collect()]) @ encoder.encode_query(unit32[qid])
+        low = {i: (unit32[qid] @ codec.centroids[code[i][0]].T).max(1).sum() for i in np.lexsort([np.arange(len(x)), -np.round(held, 9)])[:300]}
+        kept = sorted(low, key=lambda i: (-round(low[i], 9), i))[:40]
+        full = {i: (unit32[qid] @ codec.decode(*code[i]).T).max(1).sum() for i in kept}
+        assert {r.id for r in one if r.qid == qid} == set(sorted(full, key=lambda i: (-round(full[i], 9), i))[:5])
+    assert peak_mb(monkeypatch, df, lambda: late.token_query(stored, asked, 5, codec, encoder, 300, 40)) < 40
