@@ -61,8 +61,9 @@ class IvfIndex:
         n = usable.count()
         lists = lists or min(MOST_LISTS, max(1, round(n**0.5)))
         step = max(1, n // TRAINING_ROWS)
-        sample = usable.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).orderBy(F.xxhash64("id"), "id").limit(TRAINING_ROWS).select("vector").collect()
-        x = np.array([r.vector for r in sample], dtype=np.float64)
+        sample = usable.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).orderBy(F.xxhash64("id"), "id").limit(TRAINING_ROWS).select("vector").toArrow()
+        v = sample.column("vector").combine_chunks()
+        x = np.asarray(v.flatten(), dtype=np.float64).reshape(len(v), -1 if len(v) else 0)
         lists = max(1, min(lists, len(x)))
         if metric == "cosine":
             c = train_centroids(x, lists, iterations)
@@ -145,7 +146,7 @@ class IvfIndex:
             rows = rows.where(F.coalesce(eligible, F.lit(False)))
         rows = rows.select(F.col("id").cast("bigint").alias("id"), "list", (normalise("vector") if cosine else doubles("vector")).alias("v"))
         out = spark.createDataFrame([], dense.FOUND)
-        for ids, q in dense._blocks(queries, "qid", "vector", cosine):
+        for ids, q in dense._blocks(queries, "qid", "vector", cosine, k):
             # Probes as in ``probe``: the nearest centroids by distance, the first of equals.
             probed = [[] for _ in self.centroids]
             gap = (self.centroids * self.centroids).sum(1) if cosine else np.zeros(len(self.centroids))
@@ -165,10 +166,10 @@ class IvfIndex:
                         x = np.asarray(b.column("v").values)[o[0] : o[-1]].reshape(b.num_rows, -1)
                         of, i = np.asarray(b.column("list")), np.asarray(b.column("id"))
                         for c in np.unique(of):
-                            for part in range(0, len(asked[c]), 1024):
-                                a = asked[c][part : part + 1024]
-                                s = np.round(q[a] @ x[of == c].T, dense.TIE_PLACES)
-                                best_s[a], best_i[a] = keep_best(best_s[a], best_i[a], s, i[of == c])
+                            held = of == c
+                            for part in range(0, len(asked[c]), 256):
+                                a = asked[c][part : part + 256]
+                                best_s[a], best_i[a] = keep_best(best_s[a], best_i[a], q[a] @ x[held].T, i[held], dense.TIE_PLACES)
                 yield dense.found(ids, best_s, best_i)
 
             out = out.unionByName(rows.mapInArrow(run, dense.FOUND))

@@ -20,6 +20,8 @@ from tarnwell.operators.topk import keep_best, no_best, top, top_per
 
 #: Values of query vectors sent to the tasks at once (64 MB in double precision).
 QUERY_VALUES = 8_000_000
+#: Scores that a task computes at once, and entries of its tables of best rows, at most.
+SCORES, ENTRIES = 1 << 20, 4_000_000
 #: Scores that agree to this many places are ties, so that rounding noise never orders rows.
 TIE_PLACES = 9
 
@@ -39,15 +41,16 @@ def search(df: DataFrame, vector: str, query: list[float], k: int, metric: str =
     return top(scored, k, "sort_key", ascending=True)
 
 
-def _blocks(queries: DataFrame, qid: str, vector: str, normal: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _blocks(queries: DataFrame, qid: str, vector: str, normal: bool, k: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Query vectors in blocks of at most QUERY_VALUES values and ENTRIES best rows."""
     ids, rows, held = [], [], 0
     v = normalise(vector) if normal else doubles(vector)
     for r in queries.where(F.col(vector).isNotNull()).select(F.col(qid).cast("bigint").alias("q"), v.alias("v")).toLocalIterator():
-        if held and held + len(r.v) > QUERY_VALUES:
+        if held and (held + len(r.v) > QUERY_VALUES or (len(ids) + 1) * k > ENTRIES):
             yield np.array(ids), np.array(rows)
             ids, rows, held = [], [], 0
         ids.append(r.q)
-        rows.append(r.v)
+        rows.append(np.array(r.v, dtype=np.float64))
         held += len(r.v)
     if ids:
         yield np.array(ids), np.array(rows)
@@ -59,18 +62,19 @@ def batch_search(
     """(qid, id, score, rank): the ``k`` rows of greatest cosine (or dot product, ``normal=False``) for every query.
 
     A query with several vectors, one per row of ``queries``, counts a row at the best of them. Each task multiplies
-    its rows with the queries and passes on k rows per query; ties go to the lower id.
+    its rows with the queries, about SCORES products at once, and passes on k rows per query; ties go to the lower id.
     """
     rows = df.where(F.col(vector).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("id"), (normalise(vector) if normal else doubles(vector)).alias("v")
     )
     out, blocks = df.sparkSession.createDataFrame([], FOUND), 0
-    for ids, q in _blocks(queries, qid, query_vector, normal):
+    for ids, q in _blocks(queries, qid, query_vector, normal, k):
         order = np.argsort(ids, kind="stable")
         q, (own, first) = q[order], np.unique(ids[order], return_index=True)
 
         def run(batches: Iterator[pa.RecordBatch], own: np.ndarray = own, first: np.ndarray = first, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
-            best = no_best(len(own), k)
+            best_s, best_i = no_best(len(own), k)
+            step, end = SCORES // 4096, np.append(first, len(q))
             for big in batches:
                 for at in range(0, big.num_rows, 4096):
                     b = big.slice(at, 4096)
@@ -78,10 +82,13 @@ def batch_search(
                     o = np.asarray(c.offsets)
                     fit = np.diff(o) == q.shape[1]
                     x = np.asarray(c.values)[o[:-1][fit][:, None] + np.arange(q.shape[1])]
-                    s = q @ x.T
-                    s = np.maximum.reduceat(s, first, axis=0) if len(own) < len(q) else s
-                    best = keep_best(*best, np.round(s, TIE_PLACES), np.asarray(b.column("id"))[fit])
-            yield found(own, *best)
+                    of = np.asarray(b.column("id"))[fit]
+                    for a in range(0, len(own), step):
+                        e = min(len(own), a + step)
+                        s = q[end[a] : end[e]] @ x.T
+                        s = np.maximum.reduceat(s, first[a:e] - first[a], axis=0) if e - a < len(s) else s
+                        best_s[a:e], best_i[a:e] = keep_best(best_s[a:e], best_i[a:e], s, of, TIE_PLACES)
+            yield found(own, best_s, best_i)
 
         out, blocks = out.unionByName(rows.mapInArrow(run, FOUND)), blocks + 1
     if blocks > 1:  # the vectors of a query may be parted by the blocks

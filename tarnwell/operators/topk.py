@@ -42,19 +42,35 @@ def rounded(c: Column | str, places: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, places)
 
 
-def keep_best(best_s: np.ndarray, best_i: np.ndarray, s: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each row's ``best`` scores (k columns, -inf where free) and its scores ``s`` of the rows ``ids``; of ties the lower ids."""
-    k = best_s.shape[1]
-    least = best_s[:, -1]
-    if s.shape[1] > k:
-        least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
-    i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
-    row = np.concatenate([np.repeat(np.arange(len(s)), k), i])
-    score, at = np.concatenate([best_s.ravel(), s[i, j]]), np.concatenate([best_i.ravel(), ids[j]])
+def keep_best(best_s: np.ndarray, best_i: np.ndarray, s: np.ndarray, ids: np.ndarray, places: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row's ``best`` scores (k columns, -inf where free) and its scores ``s`` of the rows ``ids``; of ties the lower ids.
+
+    With ``places`` the scores are rounded to them first, but only those that may be kept."""
+    k, least = best_s.shape[1], best_s[:, -1].copy()
+    free = np.flatnonzero(least == -np.inf)
+    if len(free) and s.shape[1] > k:
+        least[free] = np.partition(s[free], s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+    if places is None:
+        i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+        x = s[i, j]
+    else:
+        least = np.round(least, places)
+        i, j = np.nonzero(s >= (least - 10.0**-places)[:, None])
+        x = np.round(s[i, j], places)
+        fit = (x >= least[i]) & (x > -np.inf)
+        i, j, x = i[fit], j[fit], x[fit]
+    n = np.bincount(i, minlength=len(s))
+    rows = np.flatnonzero(n)
+    if not len(rows):
+        return best_s, best_i
+    row = np.concatenate([np.repeat(np.arange(len(rows)), k), np.repeat(np.arange(len(rows)), n[rows])])
+    score, at = np.concatenate([best_s[rows].ravel(), x]), np.concatenate([best_i[rows].ravel(), ids[j]])
     order = np.lexsort([at, -score, row])
-    count = np.bincount(row, minlength=len(s))
+    count = n[rows] + k
     take = order[((np.cumsum(count) - count)[:, None] + np.arange(k))]
-    return score[take], at[take]
+    best_s, best_i = best_s.copy(), best_i.copy()
+    best_s[rows], best_i[rows] = score[take], at[take]
+    return best_s, best_i
 
 
 def no_best(rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -415,3 +415,29 @@ def test_token_candidates_are_bounded(spark, monkeypatch, many_tokens):
         full = {i: (unit32[qid] @ codec.decode(*code[i]).T).max(1).sum() for i in kept}
         assert {r.id for r in one if r.qid == qid} == set(sorted(full, key=lambda i: (-round(full[i], 9), i))[:5])
     assert peak_mb(monkeypatch, df, lambda: late.token_query(stored, asked, 5, codec, encoder, 300, 40)) < 40
+
+
+def test_batch_search_is_bounded(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(4000, 4)), 1)
+    x[7::500] = x[7]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vector array<double>").coalesce(1).cache()
+    asked = df.where("id < 3000").withColumnRenamed("id", "qid")
+    found = dense.batch_search(df, asked, 5, normal=False)
+    got = {(r.qid, r["rank"]): r.id for r in found.where("qid % 250 = 7").collect()}
+    for qid in range(7, 3000, 250):
+        assert [got[qid, n] for n in range(1, 6)] == np.lexsort([np.arange(4000), -np.round(x @ x[qid], 9)])[:5].tolist()
+    # A query in two blocks of vectors is one query still.
+    twice = asked.where("qid < 40").unionByName(asked.where("qid < 40").select("qid", F.transform("vector", lambda v: -v).alias("vector")))
+    whole = dense.batch_search(df, twice, 5, normal=False).orderBy("qid", "rank").collect()
+    with monkeypatch.context() as m:
+        m.setattr(dense, "ENTRIES", 5 * 60)
+        m.setattr(dense, "SCORES", 4096 * 7)
+        assert dense.batch_search(df, twice, 5, normal=False).orderBy("qid", "rank").collect() == whole
+    assert peak_mb(monkeypatch, df, lambda: dense.batch_search(df, asked, 5, normal=False)) < 40
+
+
+def test_recall_of_empty_and_partial_answers(spark):
+    truth = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (2, 1, 1), (2, 3, 2), (2, 4, 3)], "qid bigint, id bigint, rank int")
+    found = spark.createDataFrame([(1, 2, 1), (1, 1, 3), (3, 1, 1)], "qid bigint, id bigint, rank int")
+    assert {r.qid: r.recall for r in evalkit.recall_at_k(found, truth, 2).collect()} == {1: 0.5, 2: 0.0}
