@@ -7,7 +7,7 @@ the set is bounded by a check and larger ones are taken in blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -132,12 +132,31 @@ def matrix_blocks(queries: DataFrame) -> Iterator[tuple[list[int], list[np.ndarr
         yield ids, rows
 
 
+def best_tokens(of: Callable[[np.ndarray], np.ndarray], size: np.ndarray) -> np.ndarray:
+    """The greatest value per row and document of ``of`` (the columns of the tokens with the numbers it is given), for
+    documents of ``size`` tokens end to end. Documents of one size go together, a token of each at a time."""
+    first, sizes = np.cumsum(size) - size, np.unique(size)
+    if sizes.sum() > 64:  # too many sizes for that
+        return np.maximum.reduceat(of(np.arange(size.sum())), first, axis=1)
+    out = None
+    for n in sizes:
+        own = np.flatnonzero(size == n)
+        most = of(first[own])
+        for t in range(1, n):
+            np.maximum(most, of(first[own] + t), out=most)
+        if len(sizes) == 1:
+            return most
+        out = np.empty((len(most), len(size)), most.dtype) if out is None else out
+        out[:, own] = most
+    return out
+
+
 def exact_maxsim(docs: DataFrame, tokens: str, queries: DataFrame, k: int, id_col: str = "id") -> DataFrame:
     """(qid, id, score, rank) for queries (qid, tokens), over tokens brought to length 1.
 
-    A block of queries, bounded by QUERY_VALUES, is multiplied with the tokens of a batch at once; the
-    greatest product per document and query token and their sums are segment reductions, and each task
-    passes on k rows per query.
+    A block of queries, bounded by QUERY_VALUES, goes to the tasks; of these as many are multiplied with the tokens of a
+    batch at once as make about SCORES products (one at least). The greatest product per document and query token and
+    their sums are segment reductions, and each task passes on k rows per query.
     """
     out = None
     for ids, rows in matrix_blocks(queries):
@@ -146,7 +165,8 @@ def exact_maxsim(docs: DataFrame, tokens: str, queries: DataFrame, k: int, id_co
         out_ids = np.array(ids)
 
         def run(batches: Iterator[pa.RecordBatch], q=q, start=start, out_ids=out_ids) -> Iterator[pa.RecordBatch]:
-            best = no_best(len(out_ids), k)
+            best_s, best_i = no_best(len(out_ids), k)
+            end = np.append(start, len(q))
             for big in batches:
                 for at in range(0, big.num_rows, 1000):
                     b = big.slice(at, 1000)
@@ -155,10 +175,15 @@ def exact_maxsim(docs: DataFrame, tokens: str, queries: DataFrame, k: int, id_co
                     inner = c.values.slice(o[0], o[-1] - o[0])
                     io = np.asarray(inner.offsets)
                     x = unit(np.asarray(inner.values)[io[0] : io[-1]].reshape(len(io) - 1, -1).astype(np.float64))
-                    most = np.maximum.reduceat(q @ x.T, o[:-1] - o[0], axis=1)
-                    s = np.round(np.add.reduceat(most, start, axis=0), TIE_PLACES)
-                    best = keep_best(*best, s, np.asarray(b.column("id")))
-            yield found(out_ids, *best)
+                    of, size, a = np.asarray(b.column("id")), np.diff(o).astype(np.int64), 0
+                    while a < len(out_ids):
+                        e = max(a + 1, int(np.searchsorted(end, end[a] + SCORES // len(x), "right")) - 1)
+                        rows = q[end[a] : end[e]]
+                        most = best_tokens(lambda t, rows=rows, x=x: rows @ x[t].T, size)
+                        s = np.add.reduceat(most, start[a:e] - start[a], axis=0)
+                        best_s[a:e], best_i[a:e] = keep_best(best_s[a:e], best_i[a:e], s, of, TIE_PLACES)
+                        a = e
+            yield found(out_ids, best_s, best_i)
 
         d = docs.where(F.size(tokens) > 0).select(F.col(id_col).cast("bigint").alias("id"), F.col(tokens).alias("t"))
         part = d.mapInArrow(run, FOUND)

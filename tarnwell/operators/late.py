@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnwell.operators.dense import FOUND, TIE_PLACES, batch_search
+from tarnwell.operators.dense import FOUND, TIE_PLACES, batch_search, best_tokens, matrix_blocks
 from tarnwell.operators.fixed_encoding import FixedEncoder, float_rows, token_batch
 from tarnwell.operators.quantize import ResidualCodec, unit
 from tarnwell.operators.topk import Best, top_per
@@ -96,14 +96,30 @@ def rescore(pool: DataFrame, stored: DataFrame, queries: DataFrame, k: int, code
 
 
 def exact_rescore(pool: DataFrame, docs: DataFrame, tokens: str, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score, rank): the pool (qid, id) by MaxSim against the tokens of ``docs`` as they were given."""
-
-    def score(b: pa.RecordBatch) -> list[float]:
-        x, count = token_batch(b.column("t"))
-        return [float((q @ t.T).max(1).sum()) for q, t in zip(_tokens_of(b), np.split(x, np.cumsum(count)[:-1]), strict=True)]
+    """(qid, id, score, rank): the pool (qid, id) by MaxSim against the tokens of ``docs`` as they were given.
 
+    Pairs meet the documents in one join; the queries go to the tasks in blocks, so no pair carries tokens through a shuffle.
+    """
     stored = docs.where(F.size(tokens) > 0).select("id", F.col(tokens).cast(_MATRIX).alias("t"))
-    return _scored(pool, stored, queries, ["t"], score, k)
+    pairs = pool.select(F.col("qid").cast("bigint").alias("qid"), F.col("id").cast("bigint").alias("id")).join(stored, "id")
+    out = pool.sparkSession.createDataFrame([], FOUND)
+    for ids, rows in matrix_blocks(queries):
+        order = np.argsort(ids, kind="stable")
+        qids, asked = np.array(ids)[order], [unit(rows[i].astype(np.float32).astype(np.float64)) for i in order]
+
+        def run(batches: Iterator[pa.RecordBatch], qids: np.ndarray = qids, asked: list[np.ndarray] = asked) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                qid = np.asarray(b.column("qid"))
+                at = np.minimum(np.searchsorted(qids, qid), len(qids) - 1)
+                own = qids[at] == qid
+                if own.any():
+                    x, count = token_batch(b.column("t"))
+                    parts = np.split(x, np.cumsum(count)[:-1])
+                    s = [float((asked[at[n]] @ parts[n].T).max(1).sum()) for n in np.flatnonzero(own)]
+                    yield pa.RecordBatch.from_pydict({"qid": qid[own], "id": np.asarray(b.column("id"))[own], "score": np.round(s, TIE_PLACES)})
+
+        out = out.unionByName(pairs.mapInArrow(run, FOUND))
+    return top_per(out, "qid", k)
 
 
 #: Queries that a task answers and documents that it holds in compressed form, at most.
@@ -154,7 +170,8 @@ def _ranked(stored: DataFrame, queries: DataFrame, k: int, codec: ResidualCodec,
                     of_batch = score(b)
                     for at in range(0, len(ids), step):
                         best.add(at, of_batch(at, min(len(ids), at + step)), of)
-                    held.append((of, *_centroids_of(b), np.array(b.column("residuals").to_pylist(), dtype=object)))
+                    # Copies: a view would keep the whole batch with its encodings.
+                    held.append((*map(np.array, (of, *_centroids_of(b))), np.array(b.column("residuals").to_pylist(), dtype=object)))
             # What is decided needs all documents of the task.
             if held:
                 yield from staged(ids, tokens, best, *[np.concatenate(x) for x in zip(*held, strict=True)])
@@ -234,12 +251,13 @@ def probe_query(stored: DataFrame, queries: DataFrame, k: int, candidates: int,
 
         def batch(b: pa.RecordBatch) -> Callable:
             at, size = _centroids_of(b)
-            first = np.cumsum(size) - size
 
             def scores(a: int, e: int) -> np.ndarray:
-                most = np.maximum.reduceat(table[start[a] : start[e]][:, at], first, axis=1)
-                s = np.add.reduceat(most, start[a:e] - start[a], axis=0)
-                return np.where(np.logical_or.reduceat(lists[a:e][:, at], first, axis=1), s, -np.inf)
+                rows = table[start[a] : start[e]]
+                s = np.add.reduceat(best_tokens(lambda t: rows[:, at[t]], size), start[a:e] - start[a], axis=0)
+                own = lists[a:e]
+                s[~best_tokens(lambda t: own[:, at[t]], size)] = -np.inf
+                return s
 
             return scores
 

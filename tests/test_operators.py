@@ -441,3 +441,21 @@ def test_recall_of_empty_and_partial_answers(spark):
     truth = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (2, 1, 1), (2, 3, 2), (2, 4, 3)], "qid bigint, id bigint, rank int")
     found = spark.createDataFrame([(1, 2, 1), (1, 1, 3), (3, 1, 1)], "qid bigint, id bigint, rank int")
     assert {r.qid: r.recall for r in evalkit.recall_at_k(found, truth, 2).collect()} == {1: 0.5, 2: 0.0}
+
+
+def test_maxsim_and_rescoring_are_bounded(spark, monkeypatch, many_tokens):
+    x, df, _, _, _ = many_tokens
+    asked = df.withColumnRenamed("id", "qid")
+    u = quantize.unit(x.astype(np.float32).astype(np.float64))
+    exact = dense.exact_maxsim(df, "tokens", asked, 5)
+    for qid in (0, 999, 1999):
+        full = np.round(np.einsum("qd,ntd->nqt", u[qid], u).max(2).sum(1), 9)
+        assert [r.id for r in exact.where(f"qid = {qid}").orderBy("rank").collect()] == np.lexsort([np.arange(len(x)), -full])[:5].tolist()
+    rng = np.random.default_rng(5)
+    for size in (np.full(7, 3), np.array([1, 3, 2, 3, 1]), np.arange(1, 20)):
+        m = rng.normal(size=(4, size.sum()))
+        assert (dense.best_tokens(lambda t, m=m: m[:, t], size) == np.maximum.reduceat(m, np.cumsum(size) - size, axis=1)).all()
+    pool = exact.select("qid", "id")
+    again = late.exact_rescore(pool, df, "tokens", asked, 5)
+    assert again.select("qid", "id", "rank").exceptAll(exact.select("qid", "id", "rank")).count() == 0 and again.count() == 5 * len(x)
+    assert peak_mb(monkeypatch, df, lambda: dense.exact_maxsim(df.coalesce(1), "tokens", asked, 5)) < 60
