@@ -28,8 +28,10 @@ def one_query(spark: SparkSession, tokens: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(0, [[float(x) for x in t] for t in tokens])], f"qid bigint, tokens {_MATRIX}")
 
 
-def encode_tokens(df: DataFrame, id_col: str, tokens: str, codec: ResidualCodec, encoder: FixedEncoder) -> DataFrame:
-    """(id, centroid_ids, residuals, fde): the stored form of each document with tokens."""
+def encode_tokens(df: DataFrame, id_col: str, tokens: str, codec: ResidualCodec, encoder: FixedEncoder, packed_fde: bool = False) -> DataFrame:
+    """(id, centroid_ids, residuals, fde): the stored form of each document with tokens.
+
+    With ``packed_fde`` the encoding is the bytes of its floats, which scans hand on whole; only ``token_query`` reads that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -38,13 +40,14 @@ def encode_tokens(df: DataFrame, id_col: str, tokens: str, codec: ResidualCodec,
                 x, count = token_batch(b.column(1))
                 at, packed = codec.encode_many(x, count)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(at))
-                fde = float_rows(encoder.encode_documents(x, count))
+                fde = encoder.encode_documents(x, count)
+                fde = pa.array([r.tobytes() for r in fde.astype("<f4")], pa.binary()) if packed_fde else float_rows(fde)
                 yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(packed, pa.binary()), fde], names=["id", "centroid_ids", "residuals", "fde"])
 
     return (
         df.where(F.size(tokens) > 0)
         .select(F.col(id_col).cast("bigint").alias("id"), F.col(tokens).cast(_MATRIX).alias("t"))
-        .mapInArrow(run, "id bigint, centroid_ids array<int>, residuals binary, fde array<float>")
+        .mapInArrow(run, f"id bigint, centroid_ids array<int>, residuals binary, fde {'binary' if packed_fde else 'array<float>'}")
     )
 
 
@@ -228,8 +231,12 @@ def token_query(
 
         def batch(b: pa.RecordBatch) -> Callable:
             c = b.column("fde")
-            o = np.asarray(c.offsets)
-            x = np.asarray(c.values)[o[0] : o[-1]].reshape(b.num_rows, -1).astype(np.float64)
+            if pa.types.is_binary(c.type):
+                x = np.frombuffer(b"".join(c.to_pylist()), "<f4")
+            else:
+                o = np.asarray(c.offsets)
+                x = np.asarray(c.values)[o[0] : o[-1]]
+            x = x.reshape(b.num_rows, -1).astype(np.float64)
             return lambda a, e: q[a:e] @ x.T
 
         return batch

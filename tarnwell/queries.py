@@ -527,7 +527,7 @@ def collection_retrieve(s, d):
 # Compressed tokens, encodings and inverted lists.
 
 
-def _models(s, d):
+def _models(s, d, packed_fde=True):
     """(stored tokens, codec, encoder, queries, probes) with the codec of index_config fitted on the tokens of at most 4,096
     records with the smallest hashes; queries are the matrices of all records whose number is divisible by 20."""
     c = table(s, d, "index_config").where("collection = 'retrieval_docs'").first()
@@ -538,12 +538,12 @@ def _models(s, d):
     encoder = fixed_encoding.FixedEncoder(c.dimension, c.fde_ksim, c.fde_projected, c.fde_repetitions)
     asked = m.where("id % 20 = 0").withColumnRenamed("id", "qid")
     # A query reads the stored form several times (candidates, pruning, rescoring), so it is written first.
-    return materialize(late.encode_tokens(m, "id", "tokens", codec, encoder), "tokens"), codec, encoder, asked, c.probes
+    return materialize(late.encode_tokens(m, "id", "tokens", codec, encoder, packed_fde), "tokens"), codec, encoder, asked, c.probes
 
 
 @query()
 def fde_topk(s, d):
-    stored, _, encoder, asked, _ = _models(s, d)
+    stored, _, encoder, asked, _ = _models(s, d, False)
     return late.fde_candidates(stored, asked, 20, encoder)
 
 
